@@ -74,3 +74,25 @@ def filesystem(uri: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(uri)
+
+
+def text_slices(batches, column: int = 1, most: int = 8 << 20):
+    """Slices of Arrow batches with at most ``most`` bytes of text each (one text may be longer)."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, at = np.cumsum(sizes), 0
+        while at < batch.num_rows:
+            done = int(ends[at - 1]) if at else 0
+            end = max(at + 1, int(np.searchsorted(ends, done + most, "right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
+def as_bytes(column) -> list[bytes]:
+    """An Arrow string column as UTF-8 bytes; null: empty."""
+    import pyarrow as pa
+
+    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

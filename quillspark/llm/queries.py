@@ -6,6 +6,8 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import mixing, warc
+
 TOKENIZERS = {"words": "word_bpe_49k.json", "bytes": "byte_bpe_50k.json"}
 
 
@@ -29,5 +31,27 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer("words"), end_id=2))
 
 
-QUERIES = {"op4_packing": op4_packing, "op5_token_files": op5_token_files}
-SQL: dict[str, str] = {}
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .common import materialize
+    from .mixing import mix, words
+
+    sized = materialize(table(spark, sf_dir, "documents", "doc_id", "source", "text").select("doc_id", "source", words(F.col("text")).alias("size")), "sizes")
+    return mix(sized, stats=sized).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import read_archives, write_archives
+
+    return read_archives(write_archives(table(spark, sf_dir, "pages", "page_id", "url", "html")))
+
+
+def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_tree import train_and_score
+
+    return train_and_score(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+QUERIES = {"op4_packing": op4_packing, "op5_token_files": op5_token_files, "op6_mixing": op6_mixing, "op8_warc": op8_warc, "op9_suffix_tree": op9_suffix_tree}
+SQL = {"op6_mixing": mixing.SQL, "op8_warc": warc.SQL}
