@@ -22,14 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import filesystem, materialize, new_folder, range_cuts, shard_of
-from .tokens import Encoder
+from .tokens import encoder
 
 #: Longest code in bits; 2 ** LIMIT table entries are kept for decoding.
 LIMIT = 18
 #: Tokens between two checkpoints.
 BLOCK = 512
 #: Tokens after which a file is closed.
-FILE_TOKENS = 4_000_000
+FILE_TOKENS = 2_000_000
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -138,11 +138,11 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int | None) -> DataFrame:
     tail = b"" if end_id is None else np.array([end_id], "<u2").tobytes()
 
     def run(batches):
-        encoder = Encoder(tokenizer)
+        encode = encoder(tokenizer).encode
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                ids = [x + tail for x in encoder.encode(part.column(1).to_pylist())]
+                ids = [x + tail for x in encode(part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 2 for x in ids], pa.int64())], ["doc_id", "ids", "n_tokens"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary, n_tokens long")

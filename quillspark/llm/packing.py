@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .tokens import Encoder
+from .tokens import encoder
 
 #: Lengths whose pairs make triples.
 FREQUENT = 64
@@ -108,12 +108,12 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int, window: int) -> DataF
     tail = np.array([end_id], "<u2").tobytes()
 
     def run(batches):
-        encoder = Encoder(tokenizer)
+        encode = encoder(tokenizer).encode
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 counts, crcs, rems = [], [], []
-                for ids in encoder.encode(part.column(1).to_pylist()):
+                for ids in encode(part.column(1).to_pylist()):
                     ids += tail
                     n = len(ids) // 2
                     wide = np.frombuffer(ids, "<u2").astype("<u4")

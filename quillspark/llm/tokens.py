@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from functools import lru_cache
 
 import numpy as np
 
@@ -20,7 +21,7 @@ RUN = re.compile(r"\s\s")
 MARKS = frozenset('.,!?;:|%$#*&")]}')
 TAIL = re.compile(r"[.,!?;:|%$#*&\")\]}]+$")
 #: Memory of a worker's cache: entries after which it starts anew.
-CACHE = 700_000
+CACHE = 900_000
 
 
 class Encoder:
@@ -101,15 +102,21 @@ class Encoder:
                 continue
             head, *rest = self._cut(text)
             ids = [first.get(head), *map(later.get, rest)]
-            if None in ids:
+            try:
+                out[k] = b"".join(ids)
+            except TypeError:  # None: a cut that is not known yet
                 open_.append((k, head, rest))
                 if ids[0] is None:
                     heads.add(head)
                 words.update(p for p, x in zip(rest, ids[1:], strict=True) if x is None)
-            else:
-                out[k] = b"".join(ids)
         self._fill(first, heads, "")
         self._fill(later, words, " ")
         for k, head, rest in open_:
             out[k] = b"".join((first[head], *map(later.__getitem__, rest)))
         return out
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One for each Python worker, which Spark uses again for its next tasks, cache and all."""
+    return Encoder(path)
