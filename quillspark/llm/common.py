@@ -49,7 +49,7 @@ def shuffle_width(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def range_cuts(df: DataFrame, key: str, shards: int, per_shard: int = 64) -> list[int]:
+def range_cuts(df: DataFrame, key: str, shards: int, per_shard: int = 16) -> list[int]:
     """At most ``shards - 1`` ascending values of the integer column ``key`` that cut it into even ranges.
 
     They come from the rows whose key's hash is lowest, so the same keys give the same cuts whatever

@@ -53,5 +53,17 @@ def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train_and_score(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {"op4_packing": op4_packing, "op5_token_files": op5_token_files, "op6_mixing": op6_mixing, "op8_warc": op8_warc, "op9_suffix_tree": op9_suffix_tree}
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import classify
+
+    return classify(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify
+
+    return classify(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
+QUERIES = {"op3_toxicity": op3_toxicity, "op4_packing": op4_packing, "op5_token_files": op5_token_files, "op6_mixing": op6_mixing, "op8_warc": op8_warc, "op9_suffix_tree": op9_suffix_tree, "op10_quality": op10_quality}
 SQL = {"op6_mixing": mixing.SQL, "op8_warc": warc.SQL}
