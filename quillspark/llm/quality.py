@@ -53,12 +53,16 @@ def logits(x: Sparse, dense: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """Least ratio of the unlabelled and the positive share above a threshold: where no negative is left, it is the prior."""
+    """Least ratio of the unlabelled and the positive share above a threshold: where no negative is left, it is the prior.
+
+    Both shares are taken at the far end of two standard errors: a prior that is too high would call negatives
+    positive, one that is a little low costs nothing."""
     if not len(positive) or not len(unlabelled):
         return 0.5
     cuts = np.quantile(positive, np.linspace(0, 0.5, 51))
-    above = lambda s: 1 - np.searchsorted(np.sort(s), cuts) / len(s)
-    return float(np.clip((above(unlabelled) / np.maximum(above(positive), 1e-9)).min(), 0.05, 0.95))
+    share = {k: 1 - np.searchsorted(np.sort(s), cuts) / len(s) for k, s in (("u", unlabelled), ("p", positive))}
+    error = {k: 2 * np.sqrt(a * (1 - a) / n) for (k, a), n in zip(share.items(), (len(unlabelled), len(positive)), strict=True)}
+    return float(np.clip(((share["u"] - error["u"]) / (share["p"] + error["p"])).min(), 0.05, 0.95))
 
 
 def fit(texts: list[bytes], positive: np.ndarray, ridge: float = 1e-4, steps: int = 250) -> tuple[np.ndarray, float]:

@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, warc
+from . import mixing, vectors, warc
 
 TOKENIZERS = {"words": "word_bpe_49k.json", "bytes": "byte_bpe_50k.json"}
 
@@ -19,6 +19,18 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vectors import exact_search
+
+    return exact_search(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), k=5)
+
+
+def op7_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vectors import approximate_search
+
+    return approximate_search(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), k=5)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -65,5 +77,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
-QUERIES = {"op3_toxicity": op3_toxicity, "op4_packing": op4_packing, "op5_token_files": op5_token_files, "op6_mixing": op6_mixing, "op8_warc": op8_warc, "op9_suffix_tree": op9_suffix_tree, "op10_quality": op10_quality}
-SQL = {"op6_mixing": mixing.SQL, "op8_warc": warc.SQL}
+QUERIES = {"op2_exact_top_k": op2_exact_top_k, "op3_toxicity": op3_toxicity, "op4_packing": op4_packing, "op5_token_files": op5_token_files, "op6_mixing": op6_mixing, "op7_hilbert_neighbours": op7_hilbert_neighbours, "op8_warc": op8_warc, "op9_suffix_tree": op9_suffix_tree, "op10_quality": op10_quality}
+SQL = {"op2_exact_top_k": vectors.SQL_EXACT, "op6_mixing": mixing.SQL, "op8_warc": warc.SQL}
