@@ -70,9 +70,9 @@ def mix(docs: DataFrame, most: int = MOST, seed: str = SEED, weight: str | None
 
     ``weight`` names a column of relative inclusion weights (none: all alike). A null source is a source of its own;
     a null or empty text has size 0 and costs nothing; repeated rows are separate documents that are taken or left
-    alike but at a target's end; an empty table gives none. ``stats``: the same doc_id, source, size, if they are
+    alike but at a target's end; columns named as the added ones are replaced; an empty table gives none. ``stats``: the same doc_id, source, size, if they are
     already written down."""
-    keep = docs.columns
+    keep = [c for c in docs.columns if c not in ("source_size", "target", "copies")]
     narrow = ["doc_id", "source", "size"] + ([weight] if weight else [])
     stats = stats if stats is not None else materialize(docs.select(*narrow), "sizes")
     shares = materialize(targets(stats, most).withColumnRenamed("source", "src"), "targets")
@@ -87,7 +87,8 @@ def mix(docs: DataFrame, most: int = MOST, seed: str = SEED, weight: str | None
     over = sums.withColumn("cum", F.sum("words").over(upto)).where("cum > need")
     ends = over.groupBy(F.col("src").alias("end_src")).agg(F.min(F.struct("b", (F.col("cum") - F.col("words")).alias("before"))).alias("end"))
     ends = materialize(ends.select("end_src", F.col("end.b").alias("end_b"), F.col("end.before").alias("end_before")), "ends")
-    placed = with_order(docs, small(shares), seed, weight).withColumn("b", bucket)
+    whole_rows = docs.select(*narrow, F.struct(*keep).alias("row"))  # no name of theirs meets one of ours
+    placed = with_order(whole_rows, small(shares), seed, weight).withColumn("b", bucket)
     placed = placed.join(small(ends), placed["src"].eqNullSafe(ends["end_src"]), "left")
     last = F.coalesce(F.col("b") == F.col("end_b"), F.lit(False))
     clear = placed.where(~last).withColumn("more", F.coalesce(F.col("b") < F.col("end_b"), F.lit(True)))
@@ -95,7 +96,7 @@ def mix(docs: DataFrame, most: int = MOST, seed: str = SEED, weight: str | None
     cum = F.col("end_before") + F.sum("size").over(inside) - F.col("size")
     edge = placed.where(last).withColumn("more", cum + F.col("size") / 2 <= F.col("need"))
     out = clear.unionByName(edge)
-    return out.select(*keep, "source_size", "target", (F.col("whole") + F.when(F.col("more") & (F.col("part") > 0), 1).otherwise(0)).alias("copies"))
+    return out.select("row.*", "source_size", "target", (F.col("whole") + F.when(F.col("more") & (F.col("part") > 0), 1).otherwise(0)).alias("copies"))
 
 
 #: The same in DuckDB, with one sorted window a source instead of buckets.

@@ -114,7 +114,8 @@ def train(docs: DataFrame, labels: DataFrame, fold: int = 5, held: int = 0, most
 
 
 def score(docs: DataFrame, w: np.ndarray) -> DataFrame:
-    """All columns of ``docs`` and ``score``, the probability of quality 1; null text is empty."""
+    """All columns of ``docs`` and ``score`` (in place of one of that name), the probability of quality 1; null text is empty."""
+    docs = docs.drop("score")
     shared = docs.sparkSession.sparkContext.broadcast(w)
     names = docs.columns
     at = names.index("text")

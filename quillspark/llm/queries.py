@@ -19,6 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .vectors import exact_search
 
@@ -77,5 +83,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
-QUERIES = {"op2_exact_top_k": op2_exact_top_k, "op3_toxicity": op3_toxicity, "op4_packing": op4_packing, "op5_token_files": op5_token_files, "op6_mixing": op6_mixing, "op7_hilbert_neighbours": op7_hilbert_neighbours, "op8_warc": op8_warc, "op9_suffix_tree": op9_suffix_tree, "op10_quality": op10_quality}
+QUERIES = {"op1_near_duplicates": op1_near_duplicates, "op2_exact_top_k": op2_exact_top_k, "op3_toxicity": op3_toxicity, "op4_packing": op4_packing, "op5_token_files": op5_token_files, "op6_mixing": op6_mixing, "op7_hilbert_neighbours": op7_hilbert_neighbours, "op8_warc": op8_warc, "op9_suffix_tree": op9_suffix_tree, "op10_quality": op10_quality}
 SQL = {"op2_exact_top_k": vectors.SQL_EXACT, "op6_mixing": mixing.SQL, "op8_warc": warc.SQL}

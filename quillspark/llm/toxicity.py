@@ -90,7 +90,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str | Column
 
 
 def score(docs: DataFrame, weights: list[np.ndarray], names: list[str]) -> DataFrame:
-    """All columns of ``docs`` and a probability for each category; null text is empty."""
+    """All columns of ``docs`` and a probability for each category (in place of columns of their names); null text is empty."""
+    docs = docs.drop(*names)
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     width, at = 1 << BITS, docs.columns.index("text")
 
