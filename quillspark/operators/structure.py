@@ -1,0 +1,69 @@
+"""Cutting texts into sections, blocks and chunks with locators."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+
+
+def numbered(texts: DataFrame) -> DataFrame:
+    return texts.select("id", F.posexplode(T.lines(F.col("text"))).alias("at", "line"))
+
+
+def with_fences(rows: DataFrame, mark: str = r"^\s*```") -> DataFrame:
+    """Adds fence (the line toggles) and inside (it stands in a fence)."""
+    order = Window.partitionBy("id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.withColumn("fence", F.col("line").rlike(mark))
+    return out.withColumn("inside", F.sum(F.col("fence").cast("int")).over(order) % 2 == 1)
+
+
+def sections(texts: DataFrame, document_title: str = "") -> DataFrame:
+    """id, section, path, text of texts (id, text): ATX headings 1 to 6 outside fences open sections, blank sections drop out.
+
+    A heading of level k is in the path of what follows until one of level k or less comes."""
+    order = Window.partitionBy("id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    rows = with_fences(numbered(texts))
+    found = F.regexp_extract("line", r"^(#{1,6})\s+(.*)$", 1)
+    rows = rows.withColumn("level", F.when(~F.col("fence") & ~F.col("inside"), F.length(found)).otherwise(0))
+    rows = rows.withColumn("title", F.when(F.col("level") > 0, T.strip(F.regexp_extract("line", r"^(#{1,6})\s+(.*)$", 2))))
+    rows = rows.withColumn("section", F.sum((F.col("level") > 0).cast("int")).over(order))
+    for k in range(1, 7):
+        mine = F.when(F.col("level") == k, F.struct("at", "title"))
+        rows = rows.withColumn(f"t{k}", F.last(mine, True).over(order)).withColumn(f"b{k}", F.max(F.when((F.col("level") > 0) & (F.col("level") < k), F.col("at"))).over(order))
+    live = [F.when(F.col(f"t{k}.at") > F.coalesce(f"b{k}", F.lit(-1)), F.col(f"t{k}.title")) for k in range(1, 7)]
+    rows = rows.withColumn("path", F.concat_ws(" > ", *live))
+    body = F.array_sort(F.collect_list(F.when(F.col("level") == 0, F.struct("at", "line"))))
+    out = rows.groupBy("id", "section").agg(F.max("path").alias("path"), T.strip(F.array_join(F.transform(body, lambda x: x["line"]), "\n")).alias("text"))
+    return out.where(F.length("text") > 0)
+
+
+def blocks(texts: DataFrame) -> DataFrame:
+    """id, block, kind, first_line, last_line: paragraphs, fences, list items and tables as gaps and islands of lines."""
+    order = Window.partitionBy("id").orderBy("at")
+    rows = with_fences(numbered(texts))
+    item, row = F.col("line").rlike(r"^\s*(?:[-*+]|\d+[.)])\s+"), F.col("line").rlike(r"^\s*\|")
+    kind = F.when(F.col("fence") | F.col("inside"), "code").when(F.length(T.strip(F.col("line"))) == 0, "blank").when(item, "list").when(row, "table").otherwise("paragraph")
+    rows = rows.withColumn("kind", kind)
+    before = F.lag("kind").over(order)
+    joined = F.when(F.col("kind") == "paragraph", before.isin("paragraph", "list"))
+    # a paragraph line under a list item continues it
+    rows = rows.withColumn("start", F.coalesce(F.when(F.col("kind") == "list", True).when(F.col("kind") == "code", F.col("fence") & F.col("inside")).otherwise(~F.coalesce(joined, before == F.col("kind"), F.lit(False))), F.lit(True)))
+    rows = rows.withColumn("block", F.sum(F.col("start").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))).where("kind <> 'blank'")
+    return rows.groupBy("id", "block").agg(F.min_by("kind", "at").alias("kind"), (F.min("at") + 1).alias("first_line"), (F.max("at") + 1).alias("last_line"))
+
+
+def pack_lines(texts: DataFrame, limit: int = 800) -> DataFrame:
+    """id, part, first_line, last_line, n_chars: greedy runs of lines up to ``limit`` characters with separators; a longer line stands alone."""
+    start = F.struct(F.array().cast("array<struct<first:int,last:int,size:int>>").alias("done"), F.lit(0).alias("first"), F.lit(0).alias("last"), F.lit(-1).alias("size"))
+
+    def step(s, x):
+        fits = (s["size"] >= 0) & (s["size"] + 1 + x["size"] <= limit)
+        grown = F.struct(s["done"].alias("done"), s["first"].alias("first"), x["at"].alias("last"), (s["size"] + 1 + x["size"]).alias("size"))
+        closed = F.when(s["size"] >= 0, F.array_append(s["done"], F.struct(s["first"].alias("first"), s["last"].alias("last"), s["size"].alias("size")))).otherwise(s["done"])
+        return F.when(fits, grown).otherwise(F.struct(closed.alias("done"), x["at"].alias("first"), x["at"].alias("last"), x["size"].alias("size")))
+
+    sizes = F.transform(T.lines(F.col("text")), lambda x, i: F.struct((i + 1).cast("int").alias("at"), F.length(x).alias("size")))
+    end = lambda s: F.when(s["size"] >= 0, F.array_append(s["done"], F.struct(s["first"].alias("first"), s["last"].alias("last"), s["size"].alias("size")))).otherwise(s["done"])
+    return texts.select("id", F.posexplode(F.aggregate(sizes, start, step, end)).alias("part", "x")).select("id", "part", F.col("x.first").alias("first_line"), F.col("x.last").alias("last_line"), F.col("x.size").alias("n_chars"))
