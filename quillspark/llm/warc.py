@@ -97,8 +97,11 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, file_bytes: int = FILE_
     firsts = materialize(firsts, "payloads")
     total = rows.agg(F.sum(F.octet_length("payload")).alias("b")).first()["b"] or 0 if min_bytes else firsts.agg(F.sum("bytes").alias("b")).first()["b"] or 0
     cuts = range_cuts(rows, "page_id", max(1, -(-total // shard_bytes)))
-    shared = firsts.where("n > 1").select("digest", "first", F.lit(True).alias("copied"))
-    placed = rows.join(shared, "digest", "left").withColumn("shard", F.when(F.col("page_id").isNull(), len(cuts)).otherwise(shard_of(F.col("page_id"), cuts)))
+    placed = rows.withColumn("shard", F.when(F.col("page_id").isNull(), len(cuts)).otherwise(shard_of(F.col("page_id"), cuts)))
+    # payloads travel once, to their shard; who refers to whom follows in rows without a payload
+    marks = placed.select("page_id", "digest", "shard").join(firsts.where("n > 1").select("digest", "first"), "digest")
+    marks = marks.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "first", F.lit(True).alias("mark"), "digest", "shard")
+    placed = placed.select("page_id", "url", "payload", F.lit(None).cast("long").alias("first"), F.lit(False).alias("mark"), "digest", "shard").unionByName(marks)
     folder = new_folder(spark, "warc")
 
     def write(batches):
@@ -115,16 +118,21 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, file_bytes: int = FILE_
             return [done]
 
         def files():
-            seen = None
+            seen = marked = None
             for batch in batches:
-                for page_id, url, payload, first, copied, digest, shard in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                for page_id, url, payload, first, mark, digest, shard in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                    if mark:
+                        marked = (page_id, digest, first)
+                        continue
                     if shard != state["shard"]:
                         yield from close()
                         state.update(shard=shard, part=0)
                     if state["out"] is None:
                         temp = f"_temporary-{uuid.uuid4().hex}"
                         state.update(out=store.open_output_stream(f"{root}/{temp}", compression=None), temp=temp, records=0, bytes=0)
-                    again = bool(copied) and (page_id != first or seen == (page_id, digest))
+                    copied = marked is not None and marked[:2] == (page_id, digest)
+                    first = marked[2] if copied else None
+                    again = copied and (page_id != first or seen == (page_id, digest))
                     seen = (page_id, digest)
                     data = record(page_id, url, payload, first, again)
                     state["out"].write(data)
@@ -137,8 +145,7 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, file_bytes: int = FILE_
         for row in files():
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["folder", "temp", "name", "records", "bytes"])
 
-    ordered = placed.select("page_id", "url", "payload", "first", "copied", "digest", "shard").repartition(len(cuts) + 1, "shard")
-    ordered = ordered.sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "digest", "url")
+    ordered = placed.repartition(len(cuts) + 1, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "digest", F.desc("mark"), "url")
     written = materialize(ordered.mapInArrow(write, "folder string, temp string, name string, records long, bytes long"), "written")
 
     def commit(batches):
