@@ -78,7 +78,7 @@ def no_random_access(x: np.ndarray, lists: tuple[np.ndarray, np.ndarray], q: np.
     up, down = q > 0, q < 0
     floor = float((q[up] * value[up, 0]).sum() + (q[down] * value[down, -1]).sum())
     least = -np.inf
-    for depth in sorted({max(1, n // 8), n // 2, n * 5 // 8, n * 3 // 4}):
+    for depth in sorted({max(1, n * part // 8) for part in (1, 4, 5, 6)}):
         ids = np.concatenate([order[up][:, n - depth :], order[down][:, :depth]])
         part = np.concatenate([value[up][:, n - depth :] * q[up, None], value[down][:, :depth] * q[down, None]]).astype(np.float64)
         if not len(ids):
