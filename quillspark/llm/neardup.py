@@ -10,7 +10,9 @@
 4. Each document's best pairs are confirmed on full shingle sets first. Of the others only those count whose
    ends are not connected by then.
 5. A frequent key whose classes are not all connected is swept: every class outside its largest component is compared
-   with all classes of the key, in chunks; what passes is confirmed too. So blocks lose no link.
+   with all classes of the key, in chunks, on sets of 32-bit hashes. A pair is compared in one of the keys it shares,
+   and only pairs that join components leave the task, to be confirmed too. So blocks lose no link, and a hot group of
+   texts that are nearly similar enough makes no rows.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ FEW, DEAL = 8, 4
 #: Similarity in hundredths.
 SIMILAR = 75
 ERRORS = 6
-CHUNK = 2048
+CHUNK = 8192
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -83,7 +85,7 @@ class Shingler(dict):
 
 
 def registers(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of BUCKETS 16-bit registers for each set; 0: no shingle in that bucket.
+    """A row of BUCKETS 16-bit registers for each set; 0: no shingle in that bucket. The high 32 bits of the hashes decide.
 
     A bucket is a range of hashes, so in a sorted set its least hash comes first."""
     out = np.zeros((len(sets), BUCKETS), np.uint16)
@@ -95,16 +97,15 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     key = doc * BUCKETS + (wide >> np.uint64(32)).astype(np.int64)
     first = np.ones(len(h), bool)
     first[1:] = key[1:] != key[:-1]
-    # 52 bits of what the hash is within its bucket: exact as a double, whose exponent counts the leading zeros
-    value = ((wide[first] & np.uint64(0xFFFFFFFF)) << np.uint64(20)) | ((h[first] & np.uint64(0xFFFFFFFF)) >> np.uint64(12))
-    fraction, exponent = np.frexp(value.astype(np.float64) + 0.5)
+    # what the hash is within its bucket, in 32 bits: exact as a double, whose exponent counts the leading zeros
+    fraction, exponent = np.frexp((wide[first] & np.uint64(0xFFFFFFFF)).astype(np.float64) + 0.5)
     mantissa = ((fraction * 2 - 1) * (1 << MANTISSA)).astype(np.uint16)
-    out.reshape(-1)[key[first]] = ((53 - exponent).astype(np.uint16) << MANTISSA) | mantissa | np.uint16(0x8000)
+    out.reshape(-1)[key[first]] = ((33 - exponent).astype(np.uint16) << MANTISSA) | mantissa | np.uint16(0x8000)
     return out
 
 
-def band_keys(rows: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of every band that is not empty, and for tiny sets of every register."""
+def band_keys(rows: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, band, key) of every band that is not empty, and for tiny sets of every register (numbered behind the bands)."""
     bands = rows.reshape(len(rows), -1, ROWS).astype(np.uint64)
     key = np.zeros(bands.shape[:2], np.uint64)
     for k in range(ROWS):
@@ -114,7 +115,7 @@ def band_keys(rows: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     tiny = np.flatnonzero((sizes <= TINY) & (sizes > 0))
     r, b = np.nonzero(rows[tiny])
     single = _mixed(rows[tiny][r, b].astype(np.uint64) + MIX * (b + 1000).astype(np.uint64))
-    return np.concatenate([at, tiny[r]]), np.concatenate([key[at, band], single])
+    return np.concatenate([at, tiny[r]]), np.concatenate([band, b + bands.shape[1]]), np.concatenate([key[at, band], single])
 
 
 def chance(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -149,7 +150,7 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 
 def bands(sketches: DataFrame) -> DataFrame:
-    """key, doc, n: a row for each band key of each class."""
+    """key, band, doc, n: a row for each band key of each class."""
 
     def run(batches):
         for batch in batches:
@@ -157,12 +158,12 @@ def bands(sketches: DataFrame) -> DataFrame:
                 part = batch.slice(at, 4096)
                 sizes = part.column(1).to_numpy()
                 rows = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint16).reshape(len(sizes), BUCKETS)
-                row, key = band_keys(rows, sizes)
+                row, band, key = band_keys(rows, sizes)
                 for k in range(0, len(row), 100_000):
                     r = row[k : k + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(key[k : k + 100_000].view(np.int64)), pa.array(part.column(0).to_numpy()[r]), pa.array(sizes[r])], ["key", "doc", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key[k : k + 100_000].view(np.int64)), pa.array(band[k : k + 100_000].astype(np.int32)), pa.array(part.column(0).to_numpy()[r]), pa.array(sizes[r])], ["key", "band", "doc", "n"])
 
-    return sketches.select("doc", "n", "registers").mapInArrow(run, "key long, doc long, n long")
+    return sketches.select("doc", "n", "registers").mapInArrow(run, "key long, band int, doc long, n long")
 
 
 def dealt_pairs(rows: DataFrame) -> DataFrame:
@@ -265,34 +266,81 @@ def apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
     return joined.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*pairs.columns)
 
 
-def swept(frequent: DataFrame, label: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs that pass the estimate between a class outside its key's largest component and any other class of the key."""
+def handled_here(mine: np.ndarray, others: np.ndarray, doc: np.ndarray, other: int, band: int) -> np.ndarray:
+    """Whether ``band`` is the one in which each pair is compared: of those it shares the first from a place that the pair decides.
+
+    Where the pair shares an unfrequent key, it has been compared already, so any rule over shared bands will do; a tiny set's
+    single registers count only where no band is shared."""
+    bands = mine.reshape(len(mine), -1, ROWS)
+    n = bands.shape[1]
+    same = (bands == others.reshape(1, n, ROWS)).all(2) & bands.any(2)
+    if band >= n:
+        single = (mine == others[None, :]) & (mine > 0)
+        return ~same.any(1) & (single.argmax(1) == band - n)
+    start = (_mixed((doc ^ other).astype(np.uint64)) % np.uint64(n)).astype(np.int64)
+    turn = np.where(same, (np.arange(n)[None, :] - start[:, None]) % n, n)
+    return same[:, band] & (turn.argmin(1) == band)
+
+
+def sweep(rows: pd.DataFrame, others: pd.DataFrame) -> list[tuple[int, int]]:
+    """Pairs that join components of a key's classes, similar by their sets of 32-bit hashes."""
+    sets = [np.frombuffer(x, np.uint32) for x in rows["small"]]
+    regs = registers([x.astype(np.uint64) << np.uint64(32) for x in sets])
+    n, doc, component = (rows[c].to_numpy() for c in ("n", "doc", "component"))
+    component, out = component.copy(), []
+    place = {d: k for k, d in enumerate(doc.tolist())}
+    for d, m, c, small, band in zip(*(others[x].tolist() for x in ("doc", "n", "component", "small", "band")), strict=True):
+        mine = np.frombuffer(small, np.uint32)
+        own = registers([mine.astype(np.uint64) << np.uint64(32)])[0]
+        c = int(component[place[d]]) if d in place else c
+        at = np.flatnonzero((component != c) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * SIMILAR))
+        at = at[handled_here(regs[at], own, doc[at], d, band)]
+        similar, least = estimate(regs[at], own[None, :], n[at], np.full(len(at), m))
+        passed = similar >= least
+        for k in at[passed][np.argsort(-similar[passed], kind="stable")].tolist():
+            if component[k] == c:
+                continue
+            both = np.concatenate([sets[k], mine])
+            both.sort(kind="stable")
+            shared = int((both[1:] == both[:-1]).sum())
+            if 100 * (shared + 2) >= SIMILAR * (len(both) - shared - 2):  # 32 bits can err by a shingle or two; the full sets decide
+                out.append((min(d, int(doc[k])), max(d, int(doc[k]))))
+                if 100 * shared >= SIMILAR * (len(both) - shared):
+                    component[component == component[k]] = c
+    return out
+
+
+def small_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc, small: the distinct high 32 bits of the shingle hashes of the documents in ``ids`` (doc)."""
+
+    def run(batches):
+        shingler = Shingler()
+        for part in text_slices(batches):
+            sets = shingler.sets(as_bytes(part.column(1)))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes() for s in sets], pa.binary())], ["doc", "small"])
+
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ids.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    return materialize(texts.mapInArrow(run, "doc long, small binary"), "small-sets")
+
+
+def swept(frequent: DataFrame, label: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs that join a class outside its key's largest component with another class of the key."""
     rows = frequent.join(label.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     counts = rows.groupBy("key", "component").agg(F.count("*").alias("k"))
     largest = counts.groupBy("key").agg(F.max(F.struct("k", "component")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("m.component").alias("main"))
-    rows = materialize(rows.join(largest, "key").select("key", "doc", "n", "c", "component", "main"), "unconnected")
-    held = rows.join(sketches.select("doc", "registers"), "doc")
+    rows = materialize(rows.join(largest, "key").select("key", "band", "doc", "n", "c", "component", "main"), "unconnected")
+    held = rows.join(small_sets(docs, rows), "doc")
     chunks = F.ceil(F.col("c") / CHUNK).cast("int")
-    left = held.withColumn("chunk", F.pmod(F.xxhash64("doc"), chunks).cast("int"))
+    left = held.withColumn("chunk", F.pmod(F.xxhash64("doc"), chunks).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), chunks - 1)))
     right = held.where("component <> main").withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
     right = right.withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "doc"), chunks).cast("int"))
-    left = left.withColumn("part", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    columns = ["key", "chunk", "part", "doc", "n", "component", "registers"]
+    columns = ["key", "chunk", "part", "band", "doc", "n", "component", "small"]
 
     def run(members: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(members) and len(others):
-            x = np.frombuffer(b"".join(members["registers"]), np.uint16).reshape(-1, BUCKETS)
-            n, doc, component = members["n"].to_numpy(), members["doc"].to_numpy(), members["component"].to_numpy()
-            for d, m, c, r in zip(others["doc"], others["n"], others["component"], others["registers"], strict=True):
-                at = np.flatnonzero((component != c) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * SIMILAR))
-                if len(at):
-                    similar, least = estimate(x[at], np.frombuffer(r, np.uint16)[None, :], n[at], np.full(len(at), m))
-                    out += [(min(d, e), max(d, e)) for e in doc[at[similar >= least]].tolist()]
-        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+        return pd.DataFrame(sweep(members, others) if len(members) and len(others) else [], columns=["a", "b"], dtype=np.int64)
 
-    found = left.select(columns).groupBy("key", "chunk", "part").cogroup(right.select(columns).toDF(*columns).groupBy("key", "chunk", "part")).applyInPandas(run, "a long, b long")
-    return found.distinct()
+    left, right = left.select(columns), right.select(columns).toDF(*columns)
+    return left.groupBy("key", "chunk", "part").cogroup(right.groupBy("key", "chunk", "part")).applyInPandas(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -311,14 +359,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     firsts = materialize(firsts.select(F.col("doc_id").alias("doc"), "n", "registers"), "firsts")
     keys = bands(firsts)
     shared = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    rows = materialize(keys.join(shared, "key").select("key", "doc", "n", "c"), "bands")
+    rows = materialize(keys.join(shared, "key").select("key", "band", "doc", "n", "c"), "bands")
     passed = materialize(estimated(dealt_pairs(rows), firsts), "pairs")
     best = lambda s: F.row_number().over(Window.partitionBy(s).orderBy(F.desc("similar"), "a", "b"))
     ordered = passed.withColumn("ka", best("a")).withColumn("kb", best("b"))
     label = merged(None, confirmed(checkpointed(ordered.where("ka <= 2 OR kb <= 2").select("a", "b")), documents))
     label = merged(label, confirmed(checkpointed(apart(passed.select("a", "b"), label)), documents))
     frequent = rows.where(F.col("c") > FEW)
-    label = merged(label, confirmed(checkpointed(apart(swept(frequent, label, firsts), label)), documents))
+    label = merged(label, confirmed(checkpointed(swept(frequent, label, documents)), documents))
     named = materialize(classes.join(label.withColumnRenamed("node", "doc"), "doc", "left").select("digest", F.coalesce("component", "doc").alias("found")), "components")
     # rows of one doc_id meet in its least component
     out = sketches.select("doc_id", "n", "digest").join(named, "digest", "left")
