@@ -271,7 +271,7 @@ def handled_here(mine: np.ndarray, others: np.ndarray, doc: np.ndarray, other: i
 
     Where the pair shares an unfrequent key, it has been compared already, so any rule over shared bands will do; a tiny set's
     single registers count only where no band is shared."""
-    bands = mine.reshape(len(mine), -1, ROWS)
+    bands = mine.reshape(len(mine), BUCKETS // ROWS, ROWS)
     n = bands.shape[1]
     same = (bands == others.reshape(1, n, ROWS)).all(2) & bands.any(2)
     if band >= n:
@@ -294,7 +294,9 @@ def sweep(rows: pd.DataFrame, others: pd.DataFrame) -> list[tuple[int, int]]:
         own = registers([mine.astype(np.uint64) << np.uint64(32)])[0]
         c = int(component[place[d]]) if d in place else c
         at = np.flatnonzero((component != c) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * SIMILAR))
-        at = at[handled_here(regs[at], own, doc[at], d, band)]
+        at = at[handled_here(regs[at], own, doc[at], d, band)] if len(at) else at
+        if not len(at):
+            continue
         similar, least = estimate(regs[at], own[None, :], n[at], np.full(len(at), m))
         passed = similar >= least
         for k in at[passed][np.argsort(-similar[passed], kind="stable")].tolist():
