@@ -441,3 +441,143 @@ def a19_shares(spark, d):
 def s11_export(spark, d):
     rows = F.array_sort(F.collect_list(F.struct("turn", F.concat(F.lit("## "), "role", F.lit("\n\n"), "text").alias("x"))))
     return read(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(rows, lambda r: r["x"]), "\n\n").alias("markdown"))
+
+
+def _clean_sql(column: str) -> str:
+    for phrase in sorted(T.STOP_PHRASES, key=len, reverse=True):
+        column = f"replace({column}, '{phrase}', ' ')"
+    return f"regexp_replace({column}, '{T.CONNECTORS}', ' ', 'g')"
+
+
+QUESTION_ROWS = ("什么是RAG和Agent的区别", "系统从 KV Cache 到 GQA 的步骤有哪些", "中", "")
+QUESTION_SQL = ", ".join(f"({i}, '{q}')" for i, q in enumerate(QUESTION_ROWS))
+
+
+@query("p4_tokenize_query", f"""WITH q AS (SELECT conv_id * 1000 + turn AS id, text AS t FROM conversations WHERE role = 'user' UNION ALL SELECT -1 - i, x FROM (VALUES {QUESTION_SQL}) v(i, x)),
+c AS (SELECT id, {_clean_sql('lower(t)')} AS t FROM q)
+SELECT CAST(id AS BIGINT) AS id, array_to_string(list_sort(list_distinct({TOKENS.format(t='t')})), ' ') AS tokens FROM c""")
+def p4_tokenize_query(spark, d):
+    rows = read(spark, d, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("q"))
+    rows = rows.unionByName(spark.createDataFrame([(-1 - i, q) for i, q in enumerate(QUESTION_ROWS)], "id long, q string"))
+    return rows.select("id", F.array_join(T.tokenize_query(F.col("q")), " ").alias("tokens"))
+
+
+@query("p12_excerpt")
+def p12_excerpt(spark, d):
+    """Of each question's best document, the lines that hold one of its tokens and the lines above them."""
+    best = lexical.top(lexical.bm25_scores(questions(spark, d), chunks(spark, d)), 1)
+    rows = best.join(chunks(spark, d), "chunk_id").join(questions(spark, d), "query_id")
+    return rows.select("query_id", "chunk_id", T.excerpt(F.col("text"), T.tokenize_query(F.col("query"))).alias("excerpt"))
+
+
+@query("p16_covers", "SELECT item_id AS query_id, doc_id AS chunk_id, length(text) > 0 AND contains(lower(text), 'the') AND contains(lower(text), split_part(lower(item), ' ', 1)) AS covers FROM (SELECT item_id, b.text AS item, d.doc_id, d.text FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40)")
+def p16_covers(spark, d):
+    """Whether a document covers a keyword list: ``the`` and a passage's first word, for the documents of the passage's slot."""
+    items = questions(spark, d).select("query_id", F.array(F.lit("the"), F.substring_index("query", " ", 1)).alias("keywords"), (F.col("query_id") % 40).alias("slot"))
+    docs = chunks(spark, d).withColumn("slot", F.col("chunk_id") % 40)
+    return docs.join(items, "slot").select("query_id", "chunk_id", evaluation.covers_expected(F.col("text"), F.col("keywords")).alias("covers"))
+
+
+@query("a4_diagnostics", "SELECT lang, count(*) AS documents, max(length(text)) AS longest, count(*) FILTER (length(text) > 800) AS over_limit, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY lang")
+def a4_diagnostics(spark, d):
+    size = F.length("text")
+    return read(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("documents"), F.max(size).cast("long").alias("longest"), F.count_if(size > 800).alias("over_limit"), F.sum("n_chars").alias("chars"))
+
+
+@query("a9_next_version", "SELECT source, md5(text) AS content, coalesce(max(doc_id), 0) + 1 AS next_version FROM documents GROUP BY ALL")
+def a9_next_version(spark, d):
+    return read(spark, d, "documents").groupBy("source", F.md5(F.col("text").cast("binary")).alias("content")).agg((F.coalesce(F.max("doc_id"), F.lit(0)) + 1).alias("next_version"))
+
+
+@query("a13_summary", f"""WITH {SQL_CITED},
+c AS (SELECT conv_id, turn % 7 AS category, contains(lower(answer), 'the') AND (turn % 2 = 0 OR (len(labels) > 0 AND len(list_filter(labels, lambda x: x NOT IN ('S1', 'S2', 'S3'))) = 0)) AND turn % 7 <> 3 AS passed, len(labels) > 0 AS cites FROM cited)
+SELECT category, count(*) AS answers, count(*) FILTER (passed) AS passed, count(*) FILTER (cites) / count(*) AS cited_rate FROM c GROUP BY category""")
+def a13_summary(spark, d):
+    """Passed answers and citing ones by category (the turn's place in a week)."""
+    rows = evidence.cited(answers(spark, d).withColumn("available", T.literals(("S1", "S2", "S3")))).select("conv_id", "turn", F.size("labels").alias("n"))
+    scored = g1_score_answers(spark, d).join(rows, ["conv_id", "turn"])
+    return scored.groupBy((F.col("turn") % 7).alias("category")).agg(F.count("*").alias("answers"), F.count_if("passed").alias("passed"), F.try_divide(F.count_if(F.col("n") > 0), F.count("*")).alias("cited_rate"))
+
+
+@query("a15_backlink_rates", f"""WITH {SQL_ANSWERS},
+l AS (SELECT conv_id, turn, unnest(string_split(answer, chr(10))) AS raw FROM answers),
+a AS (SELECT conv_id, turn, count(*) AS n, count(*) FILTER (regexp_matches(raw, '\\[S[123]\\]')) AS s FROM l WHERE length(trim(raw)) > 0 AND NOT starts_with(trim(raw), '#') AND NOT regexp_matches(trim(raw), '^[|\\-: ]*$') GROUP BY ALL)
+SELECT conv_id, CAST(sum(n) AS BIGINT) AS assertions, CAST(sum(s) AS BIGINT) AS with_source, sum(s) / sum(n) AS weighted, median(s / n) AS middle FROM a GROUP BY conv_id""")
+def a15_backlink_rates(spark, d):
+    """Sourced lines of a conversation's answers: weighted rate and the median of the answers' rates; answers without lines are out."""
+    rates = e11_backlinks(spark, d).where("assertions > 0")
+    return rates.groupBy("conv_id").agg(F.sum("assertions").alias("assertions"), F.sum("with_source").alias("with_source"), (F.sum("with_source") / F.sum("assertions")).alias("weighted"), F.median("hit_rate").alias("middle"))
+
+
+@query("a16_length_statistics", "WITH t AS (SELECT lang, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS n FROM documents) SELECT lang, CAST(min(n) AS INTEGER) AS shortest, CAST(max(n) AS INTEGER) AS longest, sum(n) / count(*) AS mean, median(n) AS middle FROM t GROUP BY lang")
+def a16_length_statistics(spark, d):
+    n = F.size(T.tokenize(F.col("text")))
+    rows = read(spark, d, "documents").select("lang", n.alias("n"))
+    return rows.groupBy("lang").agg(F.min("n").alias("shortest"), F.max("n").alias("longest"), (F.sum("n") / F.count("*")).alias("mean"), F.median("n").alias("middle"))
+
+
+@query("j6_favorites", "WITH f AS (SELECT DISTINCT conv_id, doc_id FROM conversations JOIN documents ON doc_id = conv_id * 7 + turn) SELECT source AS library, count(DISTINCT conv_id) AS favorites, count(*) AS sources FROM f JOIN documents USING (doc_id) GROUP BY source")
+def j6_favorites(spark, d):
+    """Messages as favorites, the document of number 7 conv_id + turn as their source: distinct ones for each library."""
+    marks = read(spark, d, "conversations").select("conv_id", (F.col("conv_id") * 7 + F.col("turn")).alias("doc_id"))
+    docs = read(spark, d, "documents").select("doc_id", F.col("source").alias("library"))
+    return marks.join(docs, "doc_id").distinct().groupBy("library").agg(F.count_distinct("conv_id").alias("favorites"), F.count("*").alias("sources"))
+
+
+@query("j11_report_compare", """WITH a AS (SELECT doc_id, quality = 1 AS p FROM labels), b AS (SELECT doc_id, n_chars > 1000 AS p FROM documents)
+SELECT doc_id, CASE WHEN a.p IS NULL OR b.p IS NULL THEN 'unmatched' WHEN a.p AND b.p THEN 'kept_pass' WHEN a.p THEN 'regressed' WHEN b.p THEN 'fixed' ELSE 'kept_fail' END AS verdict FROM a FULL JOIN b USING (doc_id)""")
+def j11_report_compare(spark, d):
+    """Two reports on the documents: their label, and their length."""
+    a = read(spark, d, "labels").select("doc_id", (F.col("quality") == 1).alias("x"))
+    b = read(spark, d, "documents").select("doc_id", (F.col("n_chars") > 1000).alias("y"))
+    x, y = F.col("x"), F.col("y")
+    verdict = F.when(x.isNull() | y.isNull(), "unmatched").when(x & y, "kept_pass").when(x, "regressed").when(y, "fixed").otherwise("kept_fail")
+    return a.join(b, "doc_id", "full_outer").select("doc_id", verdict.alias("verdict"))
+
+
+@query("j12_manifest", "WITH m AS (SELECT source, sha256(string_agg(x, chr(10) ORDER BY x)) AS h FROM (SELECT source, doc_id || ':' || sha256(text) AS x FROM documents) GROUP BY source), n AS (SELECT source, sha256(string_agg(x, chr(10) ORDER BY x)) AS h FROM (SELECT source, doc_id || ':' || sha256(CASE WHEN doc_id % 97 = 3 THEN text || ' ' ELSE text END) AS x FROM documents) GROUP BY source) SELECT source, m.h = n.h AS intact FROM m JOIN n USING (source)")
+def j12_manifest(spark, d):
+    """Manifests of each source before and after some files were touched."""
+    docs = read(spark, d, "documents")
+    touched = F.when(F.col("doc_id") % 97 == 3, F.concat("text", F.lit(" "))).otherwise(F.col("text"))
+    both = [tables.inventory_hash(docs.select("source", "doc_id", T.sha256(t).alias("h")), "doc_id", "h", "source").select("source", F.col("inventory").alias(n)) for t, n in ((F.col("text"), "a"), (touched, "b"))]
+    return both[0].join(both[1], "source").select("source", (F.col("a") == F.col("b")).alias("intact"))
+
+
+@query("r17_stable_order", "SELECT doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY sha256('order:7:' || doc_id), doc_id) AS INTEGER) AS place FROM documents")
+def r17_stable_order(spark, d):
+    order = Window.partitionBy("source").orderBy(F.sha2(F.concat(F.lit("order:7:"), "doc_id").cast("binary"), 256), "doc_id")
+    return read(spark, d, "documents").select("doc_id", F.row_number().over(order).alias("place"))
+
+
+@query("t1_set_algebra", f"""WITH {SQL_BM25}, {SQL_RELEVANT},
+h AS (SELECT query_id, list(chunk_id ORDER BY chunk_id) AS hits FROM bm25_top WHERE rank <= 10 GROUP BY query_id), r AS (SELECT query_id, list(chunk_id ORDER BY chunk_id) AS want FROM relevant GROUP BY query_id)
+SELECT h.query_id, CAST(len(list_filter(hits, lambda x: list_contains(coalesce(want, []), x))) AS INTEGER) AS shared, CAST(len(list_filter(coalesce(want, []), lambda x: NOT list_contains(hits, x))) AS INTEGER) AS missed FROM h LEFT JOIN r ON h.query_id = r.query_id""")
+def t1_set_algebra(spark, d):
+    """Hits and relevant documents of a question: shared ones, and those missed."""
+    hits = found(spark, d).groupBy("query_id").agg(F.collect_set("chunk_id").alias("hits"))  # ten at most
+    want = relevant(spark, d).join(found(spark, d).select("query_id", "chunk_id", F.lit(1).alias("hit")), ["query_id", "chunk_id"], "left")
+    counts = want.groupBy("query_id").agg(F.count("hit").cast("int").alias("shared"), F.count_if(F.col("hit").isNull()).cast("int").alias("missed"))
+    return hits.select("query_id").join(counts, "query_id", "left").na.fill(0)
+
+
+@query("w3_batch_delete", "WITH q AS (SELECT DISTINCT event_id AS doc_id FROM events WHERE event_id % 9 = 0) SELECT q.doc_id, CASE WHEN d.doc_id IS NULL THEN 'not_found' ELSE 'deleted' END AS outcome FROM q LEFT JOIN documents d ON q.doc_id = d.doc_id")
+def w3_batch_delete(spark, d):
+    """A batch of ids to delete (every ninth event's): those that no document has are skipped."""
+    asked = read(spark, d, "events").where("event_id % 9 = 0").select(F.col("event_id").alias("doc_id")).distinct()
+    have = read(spark, d, "documents").select("doc_id", F.lit("deleted").alias("outcome"))
+    return asked.join(have, "doc_id", "left").na.fill("not_found", ["outcome"])
+
+
+@query("st8_supersession", "SELECT user_id, arg_max(event_id, {'t': ts, 'e': event_id}) AS current, count(*) - 1 AS superseded FROM events WHERE event_type = 'click' GROUP BY user_id")
+def st8_supersession(spark, d):
+    clicks = read(spark, d, "events").where("event_type = 'click'")
+    return clicks.groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("current"), (F.count("*") - 1).alias("superseded"))
+
+
+@query("d10_learning_rate", """WITH n AS (SELECT count(*) AS n FROM events), s AS (SELECT unnest(range(0, n)) AS step, n FROM n)
+SELECT step, round(CASE WHEN step < 100 THEN 0.001::DOUBLE * (step + 1) / 100 ELSE 0.001::DOUBLE * (0.1::DOUBLE + 0.9::DOUBLE * 0.5::DOUBLE * (1 + cos(pi() * ((step - 100) / greatest(1, n - 100))))) END, 9) AS rate FROM s""")
+def d10_learning_rate(spark, d):
+    """The schedule of a run with a step for each event."""
+    n = read(spark, d, "events").count()
+    return rounded(datasets.learning_rate(spark.range(n).withColumnRenamed("id", "step"), n, 100, 0.001), "rate")
