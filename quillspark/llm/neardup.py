@@ -167,11 +167,12 @@ def bands(sketches: DataFrame) -> DataFrame:
 
 
 def dealt_pairs(rows: DataFrame) -> DataFrame:
-    """Distinct pairs a < b of similar size from the blocks of each key's classes."""
+    """Distinct pairs a < b of similar size: all of an unfrequent key's classes, neighbours in the blocks of a frequent one."""
     blocks = F.when(F.col("c") <= FEW, F.lit(0)).otherwise(F.pmod(F.xxhash64("doc", "key"), F.ceil(F.col("c") / DEAL)))
-    grouped = rows.groupBy("key", blocks.alias("block")).agg(F.sort_array(F.collect_list(F.struct("doc", "n"))).alias("x")).where(F.size("x") > 1)
+    grouped = rows.groupBy("key", blocks.alias("block")).agg(F.sort_array(F.collect_list(F.struct("doc", "n"))).alias("x"), F.max("c").alias("c")).where(F.size("x") > 1)
     at = F.explode(F.sequence(F.lit(1), F.size("x") - 1))
-    ends = grouped.select("x", at.alias("i")).select(F.element_at("x", F.col("i") + 1).alias("b"), F.explode(F.slice("x", F.lit(1), F.col("i"))).alias("a"))
+    before = F.when(F.col("c") <= FEW, F.slice("x", F.lit(1), F.col("i"))).otherwise(F.slice("x", F.col("i"), F.lit(1)))
+    ends = grouped.select("x", "c", at.alias("i")).select(F.element_at("x", F.col("i") + 1).alias("b"), F.explode(before).alias("a"))
     ends = ends.where((F.col("a.doc") < F.col("b.doc")) & sized_alike(F.col("a.n"), F.col("b.n")))
     return ends.select(F.col("a.doc").alias("a"), F.col("b.doc").alias("b")).distinct()
 
