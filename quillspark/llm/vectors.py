@@ -27,6 +27,10 @@ EVERY = 50
 SALTS = 16
 #: Exact search: rows of a shard, queries of a block.
 SHARD, QUERIES = 8192, 512
+#: How deep the lists are read before the bounds are looked at, in sixteenths.
+DEPTHS = (2, 10)
+#: Rows that may stay open at the end, as a part of the shard: they are resolved at once.
+FEW = 5
 #: Approximate search: curves, projected dimensions and bits of each; share of the rows on either side; rows of a block.
 CURVES, DIMENSIONS, BITS, WINDOW, BLOCK = 8, 4, 10, 0.1, 2048
 #: Rows whose keys cut a curve into blocks, for each block.
@@ -66,34 +70,34 @@ def ranked(found: DataFrame, asked: DataFrame, k: int) -> DataFrame:
 
 def sorted_lists(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(x.T, axis=1, kind="stable")
-    return order, np.take_along_axis(x.T, order, 1)
+    return order, np.take_along_axis(x.T, order, 1).astype(np.float64)
 
 
 def no_random_access(x: np.ndarray, lists: tuple[np.ndarray, np.ndarray], q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
     """(rows, scores, depth read) of the k best integer inner products of ``q`` in a shard; rows of equal score are all found.
 
-    Depths grow step by step. After the first step the rows that lead by what was read are resolved: their scores are
-    lower bounds that let the reading stop; bounds from the lists' ends alone would have them read out."""
+    After a first shallow step the rows that lead by what was read are resolved: their scores are lower bounds that let
+    the reading stop; bounds from the lists' ends alone would have them read out."""
     n, (order, value) = len(x), lists
     up, down = q > 0, q < 0
-    floor = float((q[up] * value[up, 0]).sum() + (q[down] * value[down, -1]).sum())
-    least = -np.inf
-    for depth in sorted({max(1, n * part // 8) for part in (1, 4, 5, 6)}):
-        ids = np.concatenate([order[up][:, n - depth :], order[down][:, :depth]])
-        part = np.concatenate([value[up][:, n - depth :] * q[up, None], value[down][:, :depth] * q[down, None]]).astype(np.float64)
+    least = float((q[up] * value[up, 0]).sum() + (q[down] * value[down, -1]).sum())
+    for step, depth in enumerate(sorted({max(1, n * part // 16) for part in DEPTHS})):
+        ids = np.concatenate([order[up, n - depth :], order[down, :depth]])
         if not len(ids):
             break
-        last = part.min(1, keepdims=True)  # what the lists have come down to
-        upper = last.sum() + np.bincount(ids.ravel(), (part - last).ravel(), n)
-        if least == -np.inf:
+        part = np.concatenate([value[up, n - depth :], value[down, :depth]])
+        part *= np.concatenate([q[up], q[down]])[:, None]
+        last = np.concatenate([part[: up.sum(), 0], part[up.sum() :, -1]])[:, None]  # what the lists have come down to
+        part -= last
+        upper = last.sum() + np.bincount(ids.ravel(), part.ravel(), n)
+        if not step:
             lead = np.argpartition(-upper, min(8 * k, n) - 1)[: 8 * k]
-            scores = np.sort(x[lead] @ q)
-            least = max(floor, float(scores[-min(k, len(scores))]) if len(scores) >= k else floor)
+            if len(lead) >= k:
+                least = max(least, float(np.sort(x[lead] @ q)[-k]))
         open_ = np.flatnonzero(upper >= least)
-        if len(open_) <= max(16 * k, n // 32):
+        if len(open_) <= max(16 * k, n // FEW):
             return open_, x[open_] @ q, depth
-    rows = np.arange(n)
-    return rows, x @ q, n
+    return np.arange(n), x @ q, n
 
 
 def exact_search(df: DataFrame, k: int = 5, shard: int = SHARD, block: int = QUERIES) -> DataFrame:
