@@ -49,15 +49,21 @@ def shuffle_width(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def lowest_hashes(df: DataFrame, h: Column, most: int) -> DataFrame:
+    """About ``most`` rows, those whose 64-bit hash is below a bound; never over four times as many, should rows share one hash."""
+    share = min(1.0, most / max(df.count(), 1))
+    return df.where(h.cast("double") <= -(2.0**63) + share * 2.0**64).limit(4 * most)
+
+
 def range_cuts(df: DataFrame, key: str, shards: int, per_shard: int = 16) -> list[int]:
     """At most ``shards - 1`` ascending values of the integer column ``key`` that cut it into even ranges.
 
     They come from the rows whose key's hash is lowest, so the same keys give the same cuts whatever
-    the partitioning. The driver gets at most ``shards * per_shard`` keys."""
+    the partitioning. The driver gets about ``shards * per_shard`` keys."""
     if shards < 2:
         return []
-    picked = df.select(F.col(key).alias("k")).where("k is not null").select("k", F.xxhash64("k").alias("h"))
-    rows = sorted(r["k"] for r in picked.orderBy("h", "k").limit(shards * per_shard).collect())
+    keys = df.select(F.col(key).alias("k")).where("k is not null")
+    rows = sorted(r["k"] for r in lowest_hashes(keys, F.xxhash64("k"), shards * per_shard).collect())
     return sorted({rows[i * len(rows) // shards] for i in range(1, shards)}) if rows else []
 
 

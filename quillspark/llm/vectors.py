@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import lowest_hashes, materialize
 
 EVERY = 50
 SALTS = 16
@@ -187,8 +187,9 @@ def approximate_search(df: DataFrame, k: int = 5, curves: int = CURVES, window:
     plans = {}
     for d, n in sizes.items():
         blocks = max(round(2 / window), -(-n // block))
-        picked = all_.where(F.size("vector") == d).select("vector", F.xxhash64("c").alias("h")).orderBy("h").limit(blocks * PER_BLOCK).collect()
-        x = np.array([r["vector"] for r in picked])
+        mine = all_.where(F.size("vector") == d)
+        picked = lowest_hashes(mine, F.xxhash64("c"), blocks * PER_BLOCK).select("vector").collect()
+        x = np.array([r["vector"] for r in picked]).reshape(len(picked), d)
         cuts = []
         for curve in range(curves):
             keys = np.sort(curve_keys(x, curve))
