@@ -7,9 +7,9 @@ import zlib
 
 import numpy as np
 
-from .common import as_bytes
-
-MEMO = 600_000
+MEMO = 300_000
+#: Texts of a sample whose words are in memory together.
+TOGETHER = 400
 
 
 class Words(dict):
@@ -100,6 +100,15 @@ class Sparse:
         return Sparse((np.cumsum(keep) - 1)[self.doc[at]], self.feature[at], self.value[at], int(keep.sum()), self.width)
 
 
+def in_parts(build, texts: list[bytes]) -> tuple[Sparse, np.ndarray]:
+    """(features, dense columns) that ``build`` makes of the texts, a few hundred at a time."""
+    parts = [build(texts[k : k + TOGETHER]) for k in range(0, len(texts), TOGETHER)] or [build([])]
+    starts = np.cumsum([0] + [x.n for x, _ in parts])
+    column = lambda f: np.concatenate([f(x, s) for (x, _), s in zip(parts, starts, strict=False)])
+    x = Sparse(column(lambda x, s: x.doc + s), column(lambda x, s: x.feature), column(lambda x, s: x.value), int(starts[-1]), parts[0][0].width)
+    return x, np.concatenate([d for _, d in parts])
+
+
 def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
@@ -125,7 +134,3 @@ def logistic(x: Sparse, extra: np.ndarray, y: np.ndarray, ridge: float = 1e-4, s
         return np.concatenate([x.back(g), g @ dense]) + ridge * w
 
     return descend(gradient, x.width + k + 1, steps)
-
-
-def slice_words(words: Words, column) -> tuple[np.ndarray, np.ndarray]:
-    return words.of(as_bytes(column))

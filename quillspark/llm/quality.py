@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, crc_mod, materialize, text_slices
-from .linear import Sparse, Words, descend, logistic, matrix, shapes, sigmoid
+from .linear import Sparse, Words, descend, in_parts, logistic, matrix, shapes, sigmoid
 
 #: Rows of each kind in the fit, on average.
 MOST = 8000
@@ -67,7 +67,7 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
 
 def fit(texts: list[bytes], positive: np.ndarray, ridge: float = 1e-4, steps: int = 250) -> tuple[np.ndarray, float]:
     """Weights (features, dense, constant) and the prior. Without positives or unlabelled rows: zeros, every score is 0.5."""
-    x, dense = features(texts)
+    x, dense = in_parts(features, texts)
     if not positive.any() or positive.all():
         return np.zeros(x.width + DENSE + 1), 0.5
     half = np.arange(len(texts)) % 2 == 0
@@ -121,7 +121,7 @@ def score(docs: DataFrame, w: np.ndarray) -> DataFrame:
     at = names.index("text")
 
     def run(batches):
-        for part in text_slices(batches, at):
+        for part in text_slices(batches, at, 2 << 20):
             yield part.append_column("score", pa.array(sigmoid(logits(*features(as_bytes(part.column(at))), shared.value))))
 
     from pyspark.sql import types as T

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import as_bytes, crc_mod, materialize, text_slices
-from .linear import Sparse, Words, affixes, logistic, matrix, sigmoid
+from .linear import Sparse, Words, affixes, in_parts, logistic, matrix, sigmoid
 from .quality import sampled
 
 MOST = 6000
@@ -53,7 +53,7 @@ def fitting(k: int, folds: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         g = int(group["part"].iloc[0])
         group = group.sort_values("row")
-        x = features([(t or "").encode() for t in group["text"]])
+        x, _ = in_parts(lambda texts: (features(texts), np.zeros(0)), [(t or "").encode() for t in group["text"]])
         extra = group[[f"o{j}" for j in range(k)]].to_numpy(float)
         fitted = (group["fold"] != g).to_numpy()
         y = group[f"y{k}"].to_numpy(float)
@@ -100,7 +100,7 @@ def score(docs: DataFrame, weights: list[np.ndarray], names: list[str]) -> DataF
         tables = np.zeros((len(weights), width))
         for k, w in enumerate(weights):
             tables[k, 1:] = w[1:width]
-        for part in text_slices(batches, at):
+        for part in text_slices(batches, at, 4 << 20):
             codes, sizes = words.of(as_bytes(part.column(at)))
             used, back = np.unique(codes, return_inverse=True)
             of, odds = np.repeat(np.arange(len(sizes)), sizes), []
