@@ -1,19 +1,19 @@
 """Probabilistic suffix tree over words: training counts gathered by Spark, scores of whole texts.
 
 Symbols are the words of a text and one end. The root is a discounted unigram distribution in which all unseen words share
-the mass of one more symbol, as in the base score. A context of up to ``depth`` words is a candidate while its
-relative frequency reaches ``least_context``; its explicit next symbols are those whose joint frequency with it reaches
-``least_pair``; it is retained if its next-symbol distribution diverges enough from that of its longest suffix.
-A retained state discounts its counts and gives what it takes off to its suffix, so each state's
-distribution sums to 1; a word is scored in the longest suffix that is a state.
-
-Sizes: at most 1 / least_word common words, depth / least_context contexts and depth / least_pair explicit symbols
-are broadcast, however large the corpus. The counts of all other words stay in a table that the rare words of the
-texts are joined with.
+the mass of one more symbol, as in the base score. A context of up to ``depth`` words is a candidate, and a word is one of
+its explicit next symbols, while they occur together ``least_count`` times; it is retained if its next-symbol distribution
+diverges enough from that of its longest suffix. A retained state discounts its counts and gives what it takes off to its
+suffix, so each state's distribution sums to 1; a word is scored in the longest suffix that is a state.
+
+Sizes: support is absolute, so contexts and pairs grow with the corpus; their counts and states are tables. What is
+broadcast only spares joins: the entries whose relative frequency reaches ``least_word`` (at most its inverse for the words
+and for either table of a level), and bitmaps of BITS hashed keys, which never miss a key. All else is joined by key.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -24,26 +24,29 @@ from pyspark.sql import functions as F
 from .common import as_bytes, crc_mod, materialize, text_slices
 
 END = b" end"  # no word holds a space
-LEAST_WORD, LEAST_CONTEXT, LEAST_PAIR, LEAST_COUNT = 1e-6, 1e-5, 2e-6, 8
+LEAST_WORD, LEAST_COUNT = 1e-6, 8
+#: Contexts and pairs need no relative frequency, so that none is lost as the corpus grows; the tests' dictionaries read these.
+LEAST_CONTEXT = LEAST_PAIR = 0.0
 DISCOUNT = 0.75
 #: A context stays if its log-likelihood gain is this many nats for each explicit symbol.
 GAIN = 4.0
 MEMO = 1_000_000
 BIG = 1 << 62
+BITS = 1 << 27
+#: Bits of a row of ``bitmap_construct_agg``.
+ROW = 1 << 15
 
 
 class Codes(dict):
-    """Word to its code: the rank of a common word, else 62 hash bits above all ranks."""
+    """Word to its code of 62 hash bits."""
 
-    def __init__(self, hashes: np.ndarray | None = None):
+    def __init__(self):
         import xxhash
 
         self.hash = xxhash.xxh3_64_intdigest
-        self.ranks = {} if hashes is None else dict(zip(hashes.tolist(), range(len(hashes)), strict=True))
 
     def __missing__(self, word: bytes) -> int:
-        h = self.hash(word) & (BIG - 1) | BIG
-        self[word] = h = self.ranks.get(h, h)
+        self[word] = h = self.hash(word) & (BIG - 1) | BIG
         return h
 
     def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -60,14 +63,14 @@ class Codes(dict):
 
 
 class Counter:
-    """Sums of equal keys in bounded memory."""
+    """Sums of equal keys in bounded memory; ``beside`` are columns that the key determines."""
 
-    def __init__(self, most: int = 3_000_000):
-        self.parts, self.held, self.most = [], 0, most
+    def __init__(self, names: list[str], most: int = 1_000_000):
+        self.names, self.parts, self.held, self.most = names, [], 0, most
 
-    def add(self, keys: np.ndarray):
-        k, n = np.unique(keys, return_counts=True)
-        self.parts.append((k, n.astype(np.int64)))
+    def add(self, keys: np.ndarray, *beside: np.ndarray):
+        k, at, n = np.unique(keys, return_index=True, return_counts=True)
+        self.parts.append((k, n.astype(np.int64), *(b[at] for b in beside)))
         self.held += len(k)
         if self.held > self.most:
             yield from self.flush(self.most // 2)
@@ -75,176 +78,243 @@ class Counter:
     def flush(self, keep: int = 0):
         if not self.parts:
             return
-        keys = np.concatenate([p[0] for p in self.parts])
-        k, at = np.unique(keys, return_inverse=True)
-        n = np.bincount(at, np.concatenate([p[1] for p in self.parts])).astype(np.int64)
-        self.parts, self.held = [(k, n)], len(k)
+        columns = [np.concatenate(x) for x in zip(*self.parts, strict=True)]
+        k, first, at = np.unique(columns[0], return_index=True, return_inverse=True)
+        n = np.bincount(at, columns[1]).astype(np.int64)
+        rows = (k, n, *(x[first] for x in columns[2:]))
+        self.parts, self.held = [rows], len(k)
         if len(k) > keep:
             self.parts, self.held = [], 0
+            found = {"k": k, "n": n, "context": rows[-2], "suffix": rows[-1]}
             for i in range(0, len(k), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(k[i : i + 200_000]), pa.array(n[i : i + 200_000])], ["k", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(found[x][i : i + 200_000]) for x in self.names], self.names)
 
 
-def counted(df: DataFrame, run) -> DataFrame:
-    return df.mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+def mix(a: np.ndarray, b) -> np.ndarray:
+    """64 hash bits of a pair of keys, never 0."""
+    x = a.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(32))) + np.asarray(b, np.int64).view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    x = (x ^ (x >> np.uint64(31))).view(np.int64)
+    return np.where(x == 0, 1, x)
 
 
-def grams(codes: np.ndarray, sizes: np.ndarray, words: int, levels: list[np.ndarray]) -> list[np.ndarray]:
-    """For each level the id of the context that ends at each token (-1: none): level 0 the context words themselves."""
-    first = np.where(codes < words, codes, -1)
-    out = [first]
-    starts = np.cumsum(sizes) - sizes
-    for level in levels:
-        before = np.empty_like(out[-1])
-        before[0:1], before[1:] = -1, out[-1][:-1]
-        before[starts] = -1
-        code = np.where((before >= 0) & (first >= 0), before * words + first, -1)
-        at = np.minimum(np.searchsorted(level, code), max(len(level) - 1, 0))
-        out.append(np.where((code >= 0) & (level[at] == code), at, -1) if len(level) else np.full_like(code, -1))
+def shifted(keys: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """What stands before each token of its text (0: nothing)."""
+    out = np.empty_like(keys)
+    out[0:1], out[1:] = 0, keys[:-1]
+    out[np.cumsum(sizes) - sizes] = 0
     return out
 
 
-def shifted(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """What stands before each token of its text (-1: nothing)."""
-    out = np.empty_like(ids)
-    out[0:1], out[1:] = -1, ids[:-1]
-    out[np.cumsum(sizes) - sizes] = -1
+def grams(codes: np.ndarray, sizes: np.ndarray, depth: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each level (gram, context, suffix): keys of the level + 1 words that end at each token, without the last and without the first (0: none)."""
+    out, key = [], codes
+    for _ in range(depth):
+        context = shifted(key, sizes)
+        gram = np.where((context != 0) & (key != 0), mix(context, key), 0)
+        out.append((gram, context, key))
+        key = gram
     return out
 
 
-def learn(docs: DataFrame, depth: int = 2, least_word: float = LEAST_WORD, least_context: float = LEAST_CONTEXT, least_pair: float = LEAST_PAIR, least_count: int = LEAST_COUNT, gain: float = GAIN) -> tuple[dict, DataFrame]:
-    """(model, counts): the broadcastable states, and the table (k, n) of every training word's count."""
+def has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys & (BITS - 1)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def bitmap(df: DataFrame, key: str = "k") -> np.ndarray:
+    """A bit for each hashed key; BITS / 8 bytes however many keys there are."""
+    at = F.col(key).bitwiseAND(BITS - 1)
+    rows = df.select(F.floor(at / ROW).cast("int").alias("part"), (at % ROW).alias("at")).repartition("part")
+    out = np.zeros(BITS // 8, np.uint8)
+    for r in rows.groupBy("part").agg(F.bitmap_construct_agg("at").alias("bits")).collect():
+        out[r["part"] * ROW // 8 : (r["part"] + 1) * ROW // 8] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def keyed(df: DataFrame, key, schema: str) -> DataFrame:
+    """``df`` with its column k replaced by ``key`` of each batch."""
+
+    def run(batches):
+        for batch in batches:
+            names = batch.schema.names
+            columns = [pa.array(key(batch)) if n == "k" else batch.column(i) for i, n in enumerate(names)]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return df.mapInArrow(run, schema)
+
+
+def numbers(batch, name: str) -> np.ndarray:
+    return batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
+
+
+def learn(docs: DataFrame, depth: int = 2, least_word: float = LEAST_WORD, least_count: int = LEAST_COUNT, gain: float = GAIN) -> tuple[dict, DataFrame, DataFrame]:
+    """(model, counts, states): what is broadcast, the table (k, n) of every training word's count, and the table (k, v)
+    of what a state leaves its suffix and gives each explicit symbol."""
     docs = docs.select("doc_id", F.col("text").cast("string"))
+    spark = docs.sparkSession
 
     def words(batches):
-        codes, sums = Codes(), Counter()
+        codes, sums = Codes(), Counter(["k", "n"])
         for part in text_slices(batches):
             yield from sums.add(codes.of(as_bytes(part.column(1)))[0])
         yield from sums.flush()
 
-    counts = materialize(counted(docs, words), "words")
+    counts = materialize(docs.mapInArrow(words, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")), "words")
     head = counts.agg(F.sum("n").alias("N"), F.count("*").alias("V"), F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2")).first()
     total, distinct = head["N"] or 0, head["V"]
     off = min(0.95, max(0.05, head["n1"] / (head["n1"] + 2 * head["n2"]) if head["n1"] + head["n2"] else 0.5))
-    common = counts.where(F.col("n") >= max(1.0, least_word * total)).toPandas() if total else None  # at most 1 / least_word rows
-    if common is None:
-        common_k = common_n = np.zeros(0, np.int64)
-    else:
-        order = np.lexsort((common["k"].to_numpy(), -common["n"].to_numpy()))
-        common_k, common_n = common["k"].to_numpy()[order], common["n"].to_numpy()[order]
-    n_words = int((common_n >= max(least_count, least_context * total)).sum())
-    model = {"N": total, "V": distinct, "off": off, "k": common_k, "n": common_n, "words": n_words, "levels": [], "states": []}
-    root = (common_n - off) / max(total, 1)
-    seen, spell, logs = common_n[:n_words], [(w,) for w in range(n_words)], {}
+    often = max(1.0, least_word * total)
+    model = {"N": total, "V": distinct, "off": off, "depth": depth}
+    states = spark.createDataFrame([], "k long, v double, n long")
+    #: Grams of the level before with their count and the probability of their last word in the states so far.
+    before = counts.where(F.col("n") >= least_count).select("k", "n", ((F.col("n") - off) / max(total, 1)).alias("p"))
     for level in range(1, depth + 1):
-        if not len(spell):
-            break
-        shared = docs.sparkSession.sparkContext.broadcast((common_k, n_words, list(model["levels"])))
-
-        def pairs(batches, shared=shared):
-            k, n_words, levels = shared.value
-            codes, sums = Codes(k), Counter()
-            for part in text_slices(batches):
-                c, sizes = codes.of(as_bytes(part.column(1)))
-                context = shifted(grams(c, sizes, n_words, levels)[-1], sizes)
-                use = (context >= 0) & (c < n_words)
-                yield from sums.add(context[use] * n_words + c[use])
+        shared = spark.sparkContext.broadcast(bitmap(before))
+
+        def usable(batches, shared=shared, level=level):
+            """Grams of which context and suffix may have the support, without which they have none."""
+            codes = Codes()
+            for part in text_slices(batches, most=2 << 20):
+                gram, context, suffix = grams(*codes.of(as_bytes(part.column(1))), level)[-1]
+                use = np.flatnonzero(gram)
+                use = use[has(shared.value, context[use]) & has(shared.value, suffix[use])]
+                yield gram[use], context[use], suffix[use]
+
+        def buckets(batches, usable=usable):
+            sums = Counter(["k", "n"])
+            for gram, _, _ in usable(batches):
+                yield from sums.add(gram >> 32)
             yield from sums.flush()
 
-        frame = counted(docs, pairs).where(F.col("n") >= max(least_count, least_pair * total)).toPandas().sort_values("k")  # at most 1 / least_pair rows
-        code, joint = frame["k"].to_numpy(np.int64), frame["n"].to_numpy(np.int64)
-        context, word = code // n_words, code % n_words
-        bounds = np.searchsorted(context, np.arange(len(spell) + 1))
-        keep, rest = np.zeros(len(spell), bool), np.ones(len(spell))
-        for c in np.flatnonzero(np.diff(bounds)).tolist():
-            at = slice(bounds[c], bounds[c + 1])
-            n, p = joint[at], joint[at] / seen[c]
-            q = np.array([follow(model, spell[c][1:], int(w), root[w], logs) for w in word[at]])
-            left, other = max(0.0, 1 - p.sum()), max(1e-12, 1 - q.sum())
-            likely = float((n * np.log(p / q)).sum() + (seen[c] * left * math.log(left / other) if left else 0))
-            if likely >= gain * len(n):
-                keep[c] = True
-                rest[c] = 1 - float((n - DISCOUNT).sum()) / seen[c]
-        inside = keep[context]
-        state = {"code": code[inside], "p": (joint[inside] - DISCOUNT) / seen[context[inside]], "rest": rest, "keep": keep, "index": {s: i for i, s in enumerate(spell)}}
-        model["states"].append(state)
-        logs.clear()
-        deeper = (joint >= max(least_count, least_context * total)) if level < depth else np.zeros(len(code), bool)
-        model["levels"].append(code[deeper]) if level < depth else None
-        spell = [(*spell[c], int(w)) for c, w in zip(context[deeper].tolist(), word[deeper].tolist(), strict=True)]
-        seen = joint[deeper]
-    for state in model["states"]:
-        del state["index"]
-    return model, counts
-
-
-def follow(model: dict, context: tuple, word: int, root: float, _logs: dict) -> float:
-    """P(word | context) in the states so far."""
-    p = root
-    for k in range(1, len(context) + 1):
-        state = model["states"][k - 1]
-        c = state["index"].get(context[-k:])
-        if c is None or not state["keep"][c]:
-            continue
-        code = c * model["words"] + word
-        at = int(np.searchsorted(state["code"], code))
-        p = state["rest"][c] * p + (float(state["p"][at]) if at < len(state["code"]) and state["code"][at] == code else 0.0)
-    return p
-
-
-def score(docs: DataFrame, model: dict, counts: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score, score of every row of ``docs`` (doc_id, text); null text is empty (its end alone)."""
+        # counts of 32 hash bits are at least those of their grams, so a bucket without the support holds no gram that has it
+        full = docs.mapInArrow(buckets, "k long, n long").select(F.col("k").cast("int").alias("k"), F.col("n").cast("int").alias("n")).groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") >= least_count)
+        full = spark.sparkContext.broadcast(bitmap(full.select(F.col("k").cast("long").alias("k"))))
+
+        def pairs(batches, usable=usable, full=full):
+            sums = Counter(["n", "context", "suffix"])
+            for gram, context, suffix in usable(batches):
+                use = has(full.value, gram >> 32)
+                yield from sums.add(gram[use], context[use], suffix[use])
+            yield from sums.flush()
+
+        joint = docs.mapInArrow(pairs, "n long, context long, suffix long").groupBy("context", "suffix").agg(F.sum("n").alias("n")).where(F.col("n") >= least_count)
+        joint = joint.select(F.lit(0).cast("long").alias("k"), "context", "suffix", "n")
+        joint = keyed(joint, lambda b: mix(numbers(b, "context"), numbers(b, "suffix")), "k long, context long, suffix long, n long")
+        # the suffix of a gram occurs at least as often as the gram, so it is in the table
+        joint = materialize(joint.join(before.select(F.col("k").alias("suffix"), F.col("p").alias("q")), "suffix"), "pairs")
+        sums = joint.groupBy("context").agg(F.sum("n").alias("explicit"), F.sum("q").alias("q"), F.count("*").alias("m"), F.sum(F.col("n") * F.log(F.col("n") / F.col("q"))).alias("likely"))
+        sums = sums.join(before.select(F.col("k").alias("context"), F.col("n").alias("seen")), "context")
+        left = F.greatest(F.lit(0.0), 1 - F.col("explicit") / F.col("seen"))
+        other = F.greatest(F.lit(1e-12), 1 - F.col("q"))
+        likely = F.col("likely") - F.col("explicit") * F.log("seen") + F.when(left > 0, F.col("seen") * left * F.log(left / other)).otherwise(0.0)
+        kept = materialize(sums.where(likely >= gain * F.col("m")).select("context", "seen", (1 - (F.col("explicit") - DISCOUNT * F.col("m")) / F.col("seen")).alias("rest")), "contexts")
+        p = (F.col("n") - DISCOUNT) / F.col("seen")
+        joint = materialize(joint.join(kept, "context", "left").select("k", "n", p.alias("own"), F.coalesce(F.col("rest") * F.col("q") + p, "q").alias("p")), "states")
+        rests = keyed(kept.select(F.col("context").alias("k"), F.col("rest").alias("v"), F.col("seen").alias("n")), lambda b: rest_key(numbers(b, "k")), "k long, v double, n long")
+        states = states.unionByName(rests).unionByName(joint.where("own IS NOT NULL").select("k", F.col("own").alias("v"), "n"))
+        before = joint.select("k", "n", "p")
+    states = materialize(states, "tree")
+    for name, frame, value in (("words", counts, "n"), ("states", states, "v")):
+        rows = frame.where(F.col("n") >= often).select("k", F.col(value).cast("double").alias("v")).toPandas().sort_values("k")  # relative frequencies, so bounded
+        model[name] = rows["k"].to_numpy(np.int64), rows["v"].to_numpy(np.float64)
+    model["bits"] = bitmap(states.where(F.col("n") < often))
+    return model, counts, states.select("k", "v")
+
+
+def rest_key(contexts: np.ndarray) -> np.ndarray:
+    return np.where(contexts != 0, mix(contexts, 1), 0)
+
+
+def found(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether, value) of each key in a sorted table."""
+    k, v = table
+    if not len(k):
+        return np.zeros(len(keys), bool), np.zeros(len(keys))
+    at = np.minimum(np.searchsorted(k, keys), len(k) - 1)
+    return k[at] == keys, v[at]
+
+
+def score(docs: DataFrame, model: dict, counts: DataFrame, states: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, n_known, base_score, score of every row of ``docs`` (doc_id, text); null text is empty (its end alone).
+
+    A token is scored at once if all it needs is broadcast. A word that is not, in no state that may name it, is joined with
+    the counts; every other open token is joined with counts and states by what it lacks."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    total, distinct, off = model["N"], model["V"], model["off"]
+    total, distinct, off, depth = model["N"], model["V"], model["off"], model["depth"]
     unseen = math.log10(off * distinct / total) if total else 0.0
+    #: What a token needs: its word's count, then for each level what the state leaves and what it gives the word.
+    values, default = [f"v{i}" for i in range(1 + 2 * depth)], [0.0, *[1.0, 0.0] * depth]
 
     def run(batches):
-        m = shared.value
-        codes, n = Codes(m["k"]), len(m["k"])
-        base_log = np.log10((m["n"] + 1) / (total + distinct + 1))
-        root = (m["n"] - off) / max(total, 1)
+        m, codes = shared.value, Codes()
         for part in text_slices(batches, 2):
             c, sizes = codes.of(as_bytes(part.column(2)))
             doc = np.repeat(np.arange(len(sizes)), sizes)
-            common = c < n
-            known = c[common]
-            p = root[known] if n else np.zeros(0)
-            rest = np.ones(len(c) - len(known))
-            for ids, state in zip(grams(c, sizes, m["words"], m["levels"]), m["states"], strict=False):
-                context = shifted(ids, sizes)
-                live = (context >= 0) & state["keep"][context]
-                here, w = context[common], known
-                use = live[common]
-                code = np.where(use & (w < m["words"]), here * m["words"] + w, -1)
-                at = np.minimum(np.searchsorted(state["code"], code), max(len(state["code"]) - 1, 0))
-                hit = (state["code"][at] == code) if len(state["code"]) else np.zeros(len(code), bool)
-                p = np.where(use, state["rest"][here] * p + np.where(hit, state["p"][at], 0.0) if len(state["code"]) else state["rest"][here] * p, p)
-                there = context[~common]
-                rest = np.where(live[~common], state["rest"][there] * rest, rest)
-            count = lambda at, x=None: np.bincount(at, x, len(sizes))
-            rare_doc, rare = doc[~common], c[~common]
-            part_score = count(doc[common], np.log10(p)) + count(rare_doc, np.log10(rest))
-            part_base = count(doc[common], base_log[known] if n else None) if len(known) else np.zeros(len(sizes))
-            order = np.lexsort((rare, rare_doc))
-            d, r = rare_doc[order], rare[order]
-            new = np.ones(len(r), bool)
-            new[1:] = (d[1:] != d[:-1]) | (r[1:] != r[:-1])
-            at = np.flatnonzero(new)
-            times = np.diff(np.append(at, len(r)))
-            offsets = pa.array(np.append(0, np.cumsum(count(d[at]))).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (r[at], times.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes), pa.array(count(doc[common]).astype(np.int64)), pa.array(part_base), pa.array(part_score), *lists], ["row", "doc_id", "n_tokens", "n_common", "base_part", "score_part", "rare", "times"])
+            count = lambda at, x=None: np.bincount(at, x, len(sizes)).astype(np.int64 if x is None else np.float64)
+            common, n = found(m["words"], c)
+            v, keys, lacks, same = [np.where(common, n, 0.0)], [c], [~common], c
+            p, rest, named = (v[0] - off) / max(total, 1), np.ones(len(c)), np.zeros(len(c), bool)
+            for gram, context, _ in grams(c, sizes, depth):
+                same = np.where(gram != 0, gram, same)
+                for key, absent in ((rest_key(context), 1.0), (gram, 0.0)):
+                    have, x = found(m["states"], key)
+                    have &= key != 0
+                    keys.append(key)
+                    v.append(np.where(have, x, absent))
+                    lacks.append((key != 0) & ~have & has(m["bits"], key))
+                p, rest, named = v[-2] * p + v[-1], v[-2] * rest, named | (v[-1] > 0)
+            late = functools.reduce(np.logical_or, lacks[1:], ~common & named)
+            now, alone = common & ~late, ~common & ~late
+            part_score = count(doc[now], np.log10(p[now])) + count(doc[alone], np.log10(rest[alone]))
+            part_base = count(doc[common], np.log10((n[common] + 1) / (total + distinct + 1)))
+
+            def lists(d, columns):
+                offsets = pa.array(np.append(0, np.cumsum(count(d))).astype(np.int32))
+                return [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in columns]
+
+            def distinct_of(at, keys):
+                """First places of equal keys of a text, and how many there are."""
+                at = at[np.lexsort((keys[at], doc[at]))]
+                new = np.ones(len(at), bool)
+                new[1:] = (doc[at[1:]] != doc[at[:-1]]) | (keys[at[1:]] != keys[at[:-1]])
+                first = np.flatnonzero(new)
+                return at[first], np.diff(np.append(first, len(at))).astype(np.int32)
+
+            at, times = distinct_of(np.flatnonzero(alone), c)
+            rare = lists(doc[at], (c[at], times))
+            at, times = distinct_of(np.flatnonzero(late), same)
+            need = np.stack([x[at] for x in lacks], 1)
+            token, kind = np.nonzero(need)
+            key = np.stack([x[at] for x in keys], 1)[token, kind]
+            open_ = lists(doc[at[token]], (token.astype(np.int32), times[token], kind.astype(np.int32), key, *(x[at[token]] for x in v)))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes), pa.array(count(doc[common])), pa.array(part_base), pa.array(part_score), *rare, *open_], ["row", "doc_id", "n_tokens", "n_common", "base_part", "score_part", "rare", "times", "token", "t", "kind", "k", *values])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    schema = "row long, doc_id long, n_tokens long, n_common long, base_part double, score_part double, rare array<long>, times array<int>"
+    schema = "row long, doc_id long, n_tokens long, n_common long, base_part double, score_part double, rare array<long>, times array<int>, token array<int>, t array<int>, kind array<int>, k array<long>, " + ", ".join(f"{v} array<double>" for v in values)
     parts = materialize(rows.mapInArrow(run, schema), "partial-scores")
+    base = lambda n: F.log10((n + 1) / float(total + distinct + 1))
+    root = lambda n: F.when(n > 0, (n - off) / max(total, 1)).otherwise(10.0**unseen)
+
     rare = parts.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("k"), F.col("x.times").alias("t"))
-    joined = rare.join(counts, "k", "left")
-    n = F.coalesce(F.col("n"), F.lit(0))
-    fit = F.when(n > 0, F.log10((n - off) / max(total, 1))).otherwise(unseen)
-    sums = joined.groupBy("row").agg(F.sum(F.when(n > 0, F.col("t")).otherwise(0)).alias("n_rare"), F.sum(F.col("t") * F.log10((n + 1) / float(total + distinct + 1))).alias("base_rare"), F.sum(F.col("t") * fit).alias("score_rare"))
+    n, t = F.coalesce(F.col("n"), F.lit(0)), F.col("t")
+    alone = rare.join(counts, "k", "left").select("row", F.when(n > 0, t).otherwise(0).alias("known"), (t * base(n)).alias("base"), (t * F.log10(root(n))).alias("fit"))
+
+    names = ["token", "t", "kind", "k", *values]
+    late = parts.select("row", F.explode(F.arrays_zip(*names)).alias("x")).select("row", *[F.col(f"x.{n}").alias(n) for n in names])
+    joined = late.join(counts.select("k", F.col("n").cast("double").alias("v")).unionByName(states), "k", "left")
+    mine = lambda i: F.max(F.when(F.col("kind") == i, F.coalesce("v", F.lit(default[i]))))
+    whole = joined.groupBy("row", "token").agg(F.max("t").alias("t"), F.max(F.col("kind") == 0).alias("open"), *[F.coalesce(mine(i), F.max(v)).alias(v) for i, v in enumerate(values)])
+    n, p = F.col("v0"), root(F.col("v0"))
+    for level in range(depth):
+        p = F.col(values[2 * level + 1]) * p + F.col(values[2 * level + 2])
+    word = lambda x: F.when(F.col("open"), x).otherwise(0)
+    alone = alone.unionByName(whole.select("row", word(F.when(n > 0, t).otherwise(0)).alias("known"), word(t * base(n)).alias("base"), (t * F.log10(p)).alias("fit")))
+    sums = alone.groupBy("row").agg(F.sum("known").alias("n_rare"), F.sum("base").alias("base_rare"), F.sum("fit").alias("score_rare"))
     add = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
-    return parts.drop("rare", "times").join(sums, "row", "left").select("doc_id", "n_tokens", add("n_common", "n_rare").alias("n_known"), add("base_part", "base_rare").alias("base_score"), add("score_part", "score_rare").alias("score"))
+    return parts.select("row", "doc_id", "n_tokens", "n_common", "base_part", "score_part").join(sums, "row", "left").select("doc_id", "n_tokens", add("n_common", "n_rare").alias("n_known"), add("base_part", "base_rare").alias("base_score"), add("score_part", "score_rare").alias("score"))
 
 
 def train_and_score(docs: DataFrame, fold: int = 7, held: int = 2, **settings) -> DataFrame:
@@ -253,6 +323,6 @@ def train_and_score(docs: DataFrame, fold: int = 7, held: int = 2, **settings) -
     Repeated rows count and are scored each; other columns are ignored. Without training text every word is unseen
     and the one symbol left has probability 1."""
     mine = docs.select("doc_id", "text")
-    model, counts = learn(mine.where(crc_mod(F.col("doc_id"), fold) != held), **settings)
-    out = score(mine, model, counts)
+    model, counts, states = learn(mine.where(crc_mod(F.col("doc_id"), fold) != held), **settings)
+    out = score(mine, model, counts, states)
     return out.select("doc_id", (crc_mod(F.col("doc_id"), fold) == held).alias("held_out"), "n_tokens", "n_known", F.lit(model["N"]).cast("long").alias("train_tokens"), "base_score", "score")

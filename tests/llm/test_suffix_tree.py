@@ -96,3 +96,20 @@ def test_without_training_text(spark):
     only_held = next(k for k in range(100) if held(k))
     row = S.train_and_score(spark.createDataFrame([(only_held, "a b")], "doc_id long, text string")).first()
     assert (row["held_out"], row["n_tokens"], row["n_known"], row["train_tokens"], row["score"]) == (True, 3, 0, 0, 0.0)
+
+
+def test_support_is_absolute(spark, monkeypatch):
+    """Pairs and contexts of ten occurrences are kept however many other tokens there are, broadcast or joined."""
+    monkeypatch.setattr(S, "LEAST_CONTEXT", 0.0)
+    monkeypatch.setattr(S, "LEAST_PAIR", 0.0)
+    rng = random.Random(3)
+    data = [(k, " ".join(rng.choice(["new york city", "los angeles", "rio", f"once{k}"]) for _ in range(6))) for k in range(60)]
+    data += [(1000 + k, "word " * 300_000) for k in range(5) if not held(1000 + k)]
+    want, states = brute(data)
+    assert ("new",) in states and max(len(s) for s in states) == 2
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    for settings in ({}, {"least_word": 1.0}, {"least_word": 4e-5}):
+        got = sorted(tuple(r) for r in S.train_and_score(docs, **settings).collect())
+        for a, b in zip(got, sorted(want), strict=True):
+            assert a[:5] == b[:5]
+            assert np.allclose(a[5:], b[5:], rtol=1e-9)
