@@ -478,6 +478,13 @@ def p16_covers(spark, d):
     return docs.join(items, "slot").select("query_id", "chunk_id", evaluation.covers_expected(F.col("text"), F.col("keywords")).alias("covers"))
 
 
+@query("p16_covers_all", "SELECT item_id AS query_id, doc_id AS chunk_id, length(d.text) > 0 AND contains(lower(d.text), 'the') AND contains(lower(d.text), split_part(lower(b.text), ' ', 1)) AS covers FROM benchmark b, documents d")
+def p16_covers_all(spark, d):
+    """The keyword lists of ``p16_covers`` against every document; the passages are a stated set, so the pairs grow with the documents."""
+    items = questions(spark, d).select("query_id", F.array(F.lit("the"), F.substring_index("query", " ", 1)).alias("keywords"))
+    return chunks(spark, d).crossJoin(items).select("query_id", "chunk_id", evaluation.covers_expected(F.col("text"), F.col("keywords")).alias("covers"))
+
+
 @query("a4_diagnostics", "SELECT lang, count(*) AS documents, max(length(text)) AS longest, count(*) FILTER (length(text) > 800) AS over_limit, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY lang")
 def a4_diagnostics(spark, d):
     size = F.length("text")

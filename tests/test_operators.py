@@ -184,3 +184,11 @@ def test_windows(spark):
 def test_learning_rate(spark):
     rates = [r["rate"] for r in datasets.learning_rate(spark.range(100).withColumnRenamed("id", "step"), 100, 10, 1.0).orderBy("step").collect()]
     assert rates[0] == 0.1 and rates[9] == 1.0 and abs(rates[10] - 1) < 1e-9 and rates[-1] < 0.11
+
+
+def test_covers_all_pairs(spark, oracle):
+    """Every passage meets every document."""
+    items, docs = (oracle.execute(f"SELECT * FROM {t}").fetchall() for t in ("(SELECT item_id, text FROM benchmark)", "(SELECT doc_id, text FROM documents)"))
+    got = {(r["query_id"], r["chunk_id"]): r["covers"] for r in catalog.QUERIES["p16_covers_all"](spark, SF).collect()}
+    want = {(i, n): "the" in text.lower() and item.split(" ")[0].lower() in text.lower() for i, item in items for n, text in docs}
+    assert got == want and any(got[i, n] for i, n in got if i % 40 != n % 40)
