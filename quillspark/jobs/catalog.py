@@ -309,9 +309,17 @@ def c3_blocks(spark, d):
 
 @query("e2_round_robin")
 def e2_round_robin(spark, d):
-    rows = sources(spark, d).select("query_id", F.col("rank").alias("source"), F.lit("[S]").alias("header"), F.posexplode(T.lines(F.col("content"))).alias("unit", "content"))
-    out = evidence.round_robin(rows, 2200)
-    return out.select("query_id", "used", F.array_join(F.transform("accepted", lambda x: F.concat(x["source"], F.lit(":"), x["unit"])), ",").alias("accepted"))
+    """Lines of a source in the order (-matches, position); accepted ones as source:position, in that order."""
+    rows = sources(spark, d).select("query_id", F.col("rank").alias("source"), F.lit("[S]").alias("header"), F.posexplode(T.lines(F.col("content"))).alias("position", "content"))
+    asked = questions(spark, d).select("query_id", T.tokenize_query(F.col("query")).alias("asked"))
+    rows = rows.join(asked, "query_id").withColumn("matches", F.size(F.array_intersect("asked", T.tokenize(F.col("content")))))
+    order = Window.partitionBy("query_id", "source").orderBy(F.desc("matches"), "position")
+    rows = rows.withColumn("unit", F.row_number().over(order) - 1)
+    out = evidence.round_robin(rows.select("query_id", "source", "unit", "header", "content"), 2200)
+    taken = out.select("query_id", F.explode("accepted").alias("x")).select("query_id", "x.source", "x.unit").join(rows, ["query_id", "source", "unit"])
+    placed = F.array_sort(F.collect_list(F.struct("source", "position")))
+    texts = taken.groupBy("query_id").agg(F.array_join(F.transform(placed, lambda x: F.concat(x["source"], F.lit(":"), x["position"])), ",").alias("accepted"))
+    return out.select("query_id", "used").join(texts, "query_id", "left").na.fill("", ["accepted"])
 
 
 @query("a6_libraries", "SELECT source AS library, count(*) AS document_count, count(*) FILTER (n_chars >= 200) AS ready_count FROM documents GROUP BY source")
@@ -341,6 +349,13 @@ def r16_recent_history(spark, d):
     return rows.groupBy("conv_id").agg(F.count("*").alias("messages"), F.sum(F.length("text")).alias("chars"))
 
 
+@query("r16_fitting_history")
+def r16_fitting_history(spark, d):
+    """The turns that a prompt takes of a conversation, in order."""
+    rows = evidence.recent_history(read(spark, d, "conversations"))
+    return rows.select("conv_id", "chars", F.array_join(F.col("turns").cast("array<string>"), ",").alias("turns"))
+
+
 @query("j9_difference", """WITH o AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 10 <> 0), n AS (SELECT doc_id, sha256(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 11 <> 0)
 SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN o.doc_id IS NULL THEN 'added' WHEN n.doc_id IS NULL THEN 'deleted' WHEN o.h = n.h THEN 'same' ELSE 'changed' END AS change FROM o FULL JOIN n ON o.doc_id = n.doc_id""")
 def j9_difference(spark, d):
@@ -357,6 +372,15 @@ def j10_embedding_reuse(spark, d):
     return read(spark, d, "documents").select("doc_id").join(have, "doc_id", "left").na.fill(False)
 
 
+@query("j10_passage_reuse", """WITH n AS (SELECT doc_id, source, CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END AS text FROM documents), o AS (SELECT DISTINCT source, text FROM documents WHERE doc_id % 10 <> 0)
+SELECT n.doc_id, o.text IS NOT NULL AS reused FROM n LEFT JOIN o ON n.source = o.source AND n.text = o.text""")
+def j10_passage_reuse(spark, d):
+    """Two versions as in ``j9_difference``: a passage, heading and text, keeps its vector whatever its id; edited ones do not."""
+    docs = read(spark, d, "documents").select("doc_id", "source", "text")
+    edited = docs.withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    return tables.reused(edited, docs.where("doc_id % 10 <> 0"), "doc_id", "source", "text")
+
+
 @query("w1_upsert", "SELECT user_id, event_type, arg_max(value, {'t': ts, 'e': event_id}) AS value, max(ts) AS updated_at FROM events GROUP BY ALL")
 def w1_upsert(spark, d):
     e = read(spark, d, "events").select("user_id", "event_type", "value", F.col("ts").alias("updated_at"), "event_id")

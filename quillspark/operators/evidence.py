@@ -72,6 +72,20 @@ def round_robin(units: DataFrame, budget: int) -> DataFrame:
     return units.withColumn("unit", F.col("unit").cast("int")).withColumn("source", F.col("source").cast("int")).groupBy("query_id").agg(F.aggregate(visit, start, step).alias("state")).select("query_id", F.col("state.used").alias("used"), F.col("state.accepted").alias("accepted"))
 
 
+def recent_history(messages: DataFrame, last: int = 8, budget: int = 4000) -> DataFrame:
+    """conv_id, turns (chronological), chars of messages (conv_id, turn, text): of the last ones, newest first, each that still fits."""
+    order = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
+    rows = messages.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= last)
+    newest = F.array_sort(F.collect_list(F.struct("_r", F.col("turn").cast("long").alias("turn"), F.coalesce(F.length("text"), F.lit(0)).alias("size"))))
+    start = F.struct(F.lit(0).alias("chars"), F.array().cast("array<bigint>").alias("turns"))
+
+    def step(s, x):
+        grown = F.struct((s["chars"] + x["size"]).alias("chars"), F.array_prepend(s["turns"], x["turn"]).alias("turns"))
+        return F.when(s["chars"] + x["size"] <= budget, grown).otherwise(s)
+
+    return rows.groupBy("conv_id").agg(F.aggregate(newest, start, step).alias("s")).select("conv_id", "s.turns", "s.chars")
+
+
 def cited(answers: DataFrame) -> DataFrame:
     """Adds labels, invalid, valid to answers (answer, available): at least one citation and none outside ``available``."""
     out = answers.withColumn("labels", T.citation_labels(F.col("answer"))).withColumn("invalid", F.array_except("labels", "available"))

@@ -19,6 +19,13 @@ def difference(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFram
     return o.join(n, key, "full_outer").select(key, change.alias("change"))
 
 
+def reused(new: DataFrame, old: DataFrame, key: str, *rendered: str) -> DataFrame:
+    """key, reused: whether a row of ``old`` has the same rendered strings, wherever it stands."""
+    passage = F.sha2(F.to_json(F.struct(*rendered), {"ignoreNullFields": "false"}).cast("binary"), 256)
+    have = old.select(passage.alias("_p")).distinct().withColumn("reused", F.lit(True))
+    return new.withColumn("_p", passage).join(have, "_p", "left").select(key, F.coalesce("reused", F.lit(False)).alias("reused"))
+
+
 def listing(libraries: DataFrame, documents: DataFrame) -> DataFrame:
     """Libraries with their documents counted: all, ready, removed ones too; libraries without any stay."""
     counts = documents.groupBy("library").agg(F.count("*").alias("document_count"), F.count_if("ready").alias("ready_count"))

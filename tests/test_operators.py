@@ -192,3 +192,51 @@ def test_covers_all_pairs(spark, oracle):
     got = {(r["query_id"], r["chunk_id"]): r["covers"] for r in catalog.QUERIES["p16_covers_all"](spark, SF).collect()}
     want = {(i, n): "the" in text.lower() and item.split(" ")[0].lower() in text.lower() for i, item in items for n, text in docs}
     assert got == want and any(got[i, n] for i, n in got if i % 40 != n % 40)
+
+
+def test_fitting_history(spark):
+    """Of the last eight, newest first, what does not fit is skipped and older ones still tried."""
+    sizes = [50, 100, 900, 3500, 10, 3000, 4001, 700, 400, 30]
+    rows = [(1, k, "x" * n) for k, n in enumerate(sizes)] + [(2, 0, "")]
+    got = {r["conv_id"]: (r["turns"], r["chars"]) for r in evidence.recent_history(spark.createDataFrame(rows, "conv_id long, turn int, text string")).collect()}
+    assert got == {1: _greedy(sizes), 2: ([0], 0)}
+    found = {r["conv_id"]: r["chars"] for r in catalog.QUERIES["r16_fitting_history"](spark, "/root/testdata/sf0.1").collect()}
+    assert max(found.values()) <= 4000
+
+
+def _greedy(sizes):
+    taken, total = [], 0
+    for k in reversed(range(max(0, len(sizes) - 8), len(sizes))):
+        if total + sizes[k] <= 4000:
+            taken.insert(0, k)
+            total += sizes[k]
+    return taken, total
+
+
+def test_passage_reuse(spark):
+    """Moved passages keep their vectors, edited ones and those of another heading do not."""
+    old = spark.createDataFrame([(1, "a", "t"), (2, "a", "u")], "id long, heading string, text string")
+    new = spark.createDataFrame([(1, "a", "t!"), (2, "b", "u"), (3, "a", "t"), (4, None, "t")], "id long, heading string, text string")
+    assert {r["id"]: r["reused"] for r in tables.reused(new, old, "id", "heading", "text").collect()} == {1: False, 2: False, 3: True, 4: False}
+
+
+def test_round_robin_visits_matches_first(spark):
+    """Accepted lines are those of a plain visit in the order (-matches, position)."""
+    asked = {r["query_id"]: set(r["a"]) for r in catalog.questions(spark, SF).select("query_id", T.tokenize_query(F.col("query")).alias("a")).collect()}
+    units = {}
+    lines = catalog.sources(spark, SF).select("query_id", "rank", F.posexplode(T.lines(F.col("content"))).alias("position", "content"))
+    for r in lines.select("*", T.tokenize(F.col("content")).alias("words")).collect():
+        units.setdefault(r["query_id"], {}).setdefault(r["rank"], []).append((-len(asked[r["query_id"]] & set(r["words"])), r["position"], r["content"]))
+    want = {}
+    for q, of in units.items():
+        used, seen, opened, accepted = 0, set(), set(), []
+        for turn in itertools.zip_longest(*(sorted((m, p, s, c) for m, p, c in of[s]) for s in sorted(of))):
+            for _, p, s, c in filter(None, turn):
+                added = len(c) + (2 if s in opened else 3 + (2 if opened else 0))
+                if c not in seen and used + added <= 2200:
+                    used += added
+                    seen.add(c)
+                    opened.add(s)
+                    accepted.append((s, p))
+        want[q] = (used, ",".join(f"{s}:{p}" for s, p in sorted(accepted)))
+    assert {r["query_id"]: (r["used"], r["accepted"]) for r in catalog.QUERIES["e2_round_robin"](spark, SF).collect()} == want
