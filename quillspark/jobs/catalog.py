@@ -571,7 +571,7 @@ def j12_manifest(spark, d):
     """Manifests of each source before and after some files were touched."""
     docs = read(spark, d, "documents")
     touched = F.when(F.col("doc_id") % 97 == 3, F.concat("text", F.lit(" "))).otherwise(F.col("text"))
-    both = [tables.inventory_hash(docs.select("source", "doc_id", T.sha256(t).alias("h")), "doc_id", "h", "source").select("source", F.col("inventory").alias(n)) for t, n in ((F.col("text"), "a"), (touched, "b"))]
+    both = [tables.inventory_tree(docs.select("source", "doc_id", T.sha256(t).alias("h")), "doc_id", "h", "source").select("source", F.col("inventory").alias(n)) for t, n in ((F.col("text"), "a"), (touched, "b"))]
     return both[0].join(both[1], "source").select("source", (F.col("a") == F.col("b")).alias("intact"))
 
 

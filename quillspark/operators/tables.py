@@ -32,10 +32,62 @@ def listing(libraries: DataFrame, documents: DataFrame) -> DataFrame:
     return libraries.where("active").join(counts, "library", "left").na.fill(0, ["document_count", "ready_count"])
 
 
-def inventory_hash(files: DataFrame, name: str, digest: str, *by: str) -> DataFrame:
-    """One hash per group that does not depend on the order of its files. A group is a manifest, of bounded size."""
-    rows = F.array_sort(F.collect_list(F.concat_ws(":", name, digest)))
-    return files.groupBy(*by).agg(F.sha2(F.array_join(rows, "\n").cast("binary"), 256).alias("inventory"), F.count("*").alias("files"))
+def inventory_hash(files: DataFrame, name: str, digest: str, by: str) -> DataFrame:
+    """One hash per group of its sorted files, as of one text: read as a stream in order, so that no group is held or has a limit.
+
+    A hash of one text runs in sequence, so one task reads a group's names and digests; ``inventory_tree`` has no such task."""
+
+    def run(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        group, state, n = None, None, 0
+        make = lambda: pa.RecordBatch.from_arrays([pa.array([group], kind), pa.array([state.hexdigest()]), pa.array([n], pa.int64())], [by, "inventory", "files"])
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for g, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if state is None or g != group:
+                    if state is not None:
+                        yield make()
+                    group, state, n = g, hashlib.sha256(), 0
+                state.update((("\n" if n else "") + line).encode())
+                n += 1
+        if state is not None:
+            yield make()
+
+    rows = files.select(by, F.concat_ws(":", name, digest).alias("line")).repartition(by).sortWithinPartitions(by, "line")
+    kind = files.schema[by].dataType.simpleString()
+    return rows.mapInArrow(run, f"`{by}` {kind}, inventory string, files long")
+
+
+#: Rows of a bucket of ``inventory_tree``, on average at most.
+LEAF = 4096
+
+
+def inventory_tree(files: DataFrame, name: str, digest: str, by: str) -> DataFrame:
+    """One hash per group in levels: buckets of the names' hash, whose number grows with the group, halved in bits until one is left.
+
+    Equal for the same files in any order; each array holds about LEAF lines or 256 digests, however large the group."""
+    line = F.concat_ws(":", name, digest)
+    rows = files.select(by, F.sha2(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary"), 256).alias("key"), line.alias("line"))
+    sizes = rows.groupBy(by).agg(F.count("*").alias("files"))
+    largest = sizes.agg(F.max("files")).first()[0] or 0
+    # hexadecimal digits of a bucket by its group's size, and digests in levels of two digits
+    digits = sum((F.when(F.col("files") > LEAF * 16**i, 1).otherwise(0) for i in range(12)), F.lit(0))
+    sizes = sizes.withColumn("digits", digits)
+    same = F.col("s.by").eqNullSafe(F.col("r.by"))
+    rows = rows.withColumnRenamed(by, "by").alias("r").join(F.broadcast(sizes.withColumnRenamed(by, "by")).alias("s"), same).select("r.by", "key", "line", "files", "digits")
+    rows = rows.withColumn("bucket", F.expr("substr(key, 1, digits)"))
+    joined = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "\n").cast("binary"), 256)
+    out = rows.groupBy("by", "files", "bucket").agg(joined("line").alias("d"))
+    depth = 0
+    while LEAF * 16**depth < largest:
+        depth += 1
+    for _ in range(-(-depth // 2)):
+        out = out.withColumn("upper", F.expr("substr(bucket, 1, greatest(0, length(bucket) - 2))"))
+        out = out.groupBy("by", "files", F.col("upper").alias("bucket")).agg(joined(F.concat_ws(":", "bucket", "d")).alias("d"))
+    return out.select(F.col("by").alias(by), F.col("d").alias("inventory"), "files")
 
 
 def grouped_split(df: DataFrame, group: str, shares: dict[str, float], seed: int, namespace: str) -> DataFrame:

@@ -240,3 +240,21 @@ def test_round_robin_visits_matches_first(spark):
                     accepted.append((s, p))
         want[q] = (used, ",".join(f"{s}:{p}" for s, p in sorted(accepted)))
     assert {r["query_id"]: (r["used"], r["accepted"]) for r in catalog.QUERIES["e2_round_robin"](spark, SF).collect()} == want
+
+
+def test_inventories_hold_no_group(spark, monkeypatch):
+    """Both hashes depend on the files alone, and neither plan gathers the lines of a group."""
+    import hashlib
+
+    monkeypatch.setattr(tables, "LEAF", 4)
+    rows = [("big" if k % 10 else None if k % 20 else "small", k, f"h{k}") for k in range(4000)]
+    frame = lambda x, n: spark.createDataFrame(x, "g string, k long, h string").repartition(n)
+    flat = {r["g"]: (r["inventory"], r["files"]) for r in tables.inventory_hash(frame(rows, 5), "k", "h", "g").collect()}
+    of = lambda g: sorted(f"{k}:{h}" for x, k, h in rows if x == g)
+    assert flat == {g: (hashlib.sha256("\n".join(of(g)).encode()).hexdigest(), len(of(g))) for g in ("big", "small", None)}
+    assert "collect_list" not in tables.inventory_hash(frame(rows, 5), "k", "h", "g")._jdf.queryExecution().toString()
+    tree = lambda x, n: {r["g"]: (r["inventory"], r["files"]) for r in tables.inventory_tree(frame(x, n), "k", "h", "g").collect()}
+    one, moved = tree(rows, 3), [(g, k, h + "!" if k == 1001 else h) for g, k, h in rows]
+    assert one == tree(rows[::-1], 7) and {g: n for g, (_, n) in one.items()} == {"big": 3600, "small": 200, None: 200}
+    other = tree(moved, 3)
+    assert {g for g in one if one[g] != other[g]} == {"big"}
