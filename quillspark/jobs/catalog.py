@@ -425,6 +425,15 @@ def d7_windows(spark, d):
     return rows.select("id", "start", flat("x"), flat("y"))
 
 
+@query("d7_document_windows")
+def d7_document_windows(spark, d):
+    """Windows of every document by the alphabet of the training split (all but every tenth), as a digest of each."""
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    rows = datasets.windows(datasets.encoded(docs, datasets.vocabulary(docs.where("id % 10 <> 0"))), 64)
+    flat = lambda c: F.array_join(F.col(c).cast("array<string>"), " ")
+    return rows.select("id", "start", F.md5(F.concat_ws("|", flat("x"), flat("y")).cast("binary")).alias("digest"))
+
+
 @query("a17_latency", """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, value DESC) AS r FROM events), v AS (SELECT event_type, list(value ORDER BY value) AS v FROM r WHERE r <= 100 GROUP BY event_type)
 SELECT event_type, CAST(len(v) AS INTEGER) AS n, v[greatest(1, CAST(floor(len(v) * 0.5::DOUBLE + 0.999999::DOUBLE) AS BIGINT))] AS p50, v[greatest(1, CAST(floor(len(v) * 0.95::DOUBLE + 0.999999::DOUBLE) AS BIGINT))] AS p95, v[len(v)] AS top FROM v""")
 def a17_latency(spark, d):

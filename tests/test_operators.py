@@ -258,3 +258,21 @@ def test_inventories_hold_no_group(spark, monkeypatch):
     assert one == tree(rows[::-1], 7) and {g: n for g, (_, n) in one.items()} == {"big": 3600, "small": 200, None: 200}
     other = tree(moved, 3)
     assert {g for g in one if one[g] != other[g]} == {"big"}
+
+
+def test_document_windows(spark, tmp_path):
+    """Every document is cut, and characters that only held-out ones have are unknown."""
+    import hashlib
+
+    data = [(k, f"text {k} " * (k % 40) + ("\u00e9" if k % 10 == 0 else "")) for k in range(1, 60)]
+    spark.createDataFrame(data, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    ids = {c: i + 3 for i, c in enumerate(sorted({c for k, t in data if k % 10 for c in t}))}
+    want = set()
+    for k, text in data:
+        codes = [ids.get(c, datasets.UNKNOWN) for c in text] + [datasets.END]
+        for at in range(0, len(codes) - 1, 64):
+            x, y = codes[at : min(at + 64, len(codes) - 1)], codes[at + 1 : at + 65]
+            x, y = x + [datasets.PAD] * (64 - len(x)), y + [datasets.IGNORE] * (64 - len(y))
+            want.add((k, at, hashlib.md5("|".join(" ".join(map(str, v)) for v in (x, y)).encode()).hexdigest()))
+    assert "\u00e9" not in ids
+    assert {tuple(r) for r in catalog.QUERIES["d7_document_windows"](spark, str(tmp_path)).collect()} == want
