@@ -2,20 +2,30 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run without the six ASCII white-space characters; ``bytes.split()`` cuts at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Part of all rows from which a key's rows are not shuffled to meet their one partner.
+HOT = 4096
+#: Ranges of a table at most; a larger table has larger ranges.
+MOST_CUTS = 100_000
+#: Bits of a row of ``bitmap_construct_agg``.
+PAGE = 1 << 15
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in ``spark.checkpoint.dir``; one of our own only where it is unset."""
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``; unset, a local session gets one of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(folder)
     elif not spark.sparkContext.getCheckpointDir():
@@ -45,34 +55,63 @@ def crc_mod(key: Column, modulus: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % modulus, F.lit(-1))
 
 
-def shuffle_width(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+def joined(rows: DataFrame, table: DataFrame, key: list[str], n: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined on ``key`` with ``table``, which has one row a key and in ``n`` how many of ``total`` rows hold it.
+
+    Keys of more than one row in HOT are at most HOT: they are broadcast, so that no task gets all rows of one of them."""
+    hot = F.col(n) * HOT > total
+    often = table.where(hot)
+    if not often.limit(1).count():
+        return rows.join(table, key, how)
+    rest = rows.join(F.broadcast(often.select(*key)), key, "left_anti").join(table.where(~hot), key, how)
+    return rows.join(F.broadcast(often), key).unionByName(rest)
 
 
 def lowest_hashes(df: DataFrame, h: Column, most: int) -> DataFrame:
-    """About ``most`` rows, those whose 64-bit hash is below a bound; never over four times as many, should rows share one hash."""
+    """About ``most`` rows, those whose 64-bit hash is below a bound; ``df`` holds each key once."""
     share = min(1.0, most / max(df.count(), 1))
-    return df.where(h.cast("double") <= -(2.0**63) + share * 2.0**64).limit(4 * most)
+    return df.where(h.cast("double") <= -(2.0**63) + share * 2.0**64)
 
 
 def range_cuts(df: DataFrame, key: str, shards: int, per_shard: int = 16) -> list[int]:
     """At most ``shards - 1`` ascending values of the integer column ``key`` that cut it into even ranges.
 
-    They come from the rows whose key's hash is lowest, so the same keys give the same cuts whatever
-    the partitioning. The driver gets about ``shards * per_shard`` keys."""
+    They come from the distinct keys whose hash is lowest, so the same keys give the same cuts whatever the
+    partitioning. The driver gets about ``shards * per_shard`` keys, MOST_CUTS times that at most."""
+    shards = min(shards, MOST_CUTS)
     if shards < 2:
         return []
-    keys = df.select(F.col(key).alias("k")).where("k is not null")
+    keys = df.select(F.col(key).alias("k")).where("k is not null").distinct()
     rows = sorted(r["k"] for r in lowest_hashes(keys, F.xxhash64("k"), shards * per_shard).collect())
     return sorted({rows[i * len(rows) // shards] for i in range(1, shards)}) if rows else []
 
 
 def shard_of(key: Column, cuts: list[int]) -> Column:
-    """The index of the range of ``cuts`` that holds ``key`` (null: 0). ``cuts`` has one entry a shard, so the literal is small."""
+    """The index of the range of ``cuts`` that holds ``key`` (null: 0), found in two steps of about the root of their number."""
     if not cuts:
         return F.lit(0)
-    bounds = F.array(*[F.lit(c).cast("long") for c in cuts]) if len(cuts) <= 64 else F.from_json(F.lit(str(cuts)), "array<long>")
-    return F.coalesce(F.size(F.filter(bounds, lambda c: c <= key)), F.lit(0))
+    width = max(1, math.isqrt(len(cuts)))
+    pages = [cuts[k : k + width] for k in range(0, len(cuts), width)]
+    count = lambda values: F.size(F.filter(values, lambda c: c <= key))
+    page = F.greatest(count(F.from_json(F.lit(str([p[0] for p in pages])), "array<long>")), F.lit(1))
+    inner = F.element_at(F.from_json(F.lit(str(pages)), "array<array<long>>"), page)
+    return F.coalesce((page - 1) * width + count(inner), F.lit(0))
+
+
+def bitmap(df: DataFrame, key: str, bits: int) -> np.ndarray:
+    """A bit for each key modulo ``bits``, a power of two from 2 ** 15: bits / 8 bytes however many keys there are."""
+    at = F.col(key).bitwiseAND(bits - 1)
+    rows = df.select(F.floor(at / PAGE).cast("int").alias("part"), (at % PAGE).alias("at")).repartition("part")
+    out = np.zeros(bits // 8, np.uint8)
+    for r in rows.groupBy("part").agg(F.bitmap_construct_agg("at").alias("bits")).collect():
+        out[r["part"] * PAGE // 8 : (r["part"] + 1) * PAGE // 8] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the bit of each key is set."""
+    at = keys & (len(bits) * 8 - 1)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
 def filesystem(uri: str):
@@ -84,7 +123,6 @@ def filesystem(uri: str):
 
 def text_slices(batches, column: int = 1, most: int = 8 << 20):
     """Slices of Arrow batches with at most ``most`` bytes of text each (one text may be longer)."""
-    import numpy as np
     import pyarrow.compute as pc
 
     for batch in batches:

@@ -3,16 +3,14 @@
 1. A document's words make shingles of five; each shingle hash falls into one of 192 buckets, and of the least hash of a bucket
    a register keeps the count of leading zeros and ten mantissa bits. Equal sets form one class; only its smallest
    document goes on.
-2. Four neighbouring registers are a band; classes that share a band key are candidates. A key with few classes compares
-   all of them; the classes of a frequent key are dealt at random into small blocks, anew for each key.
+2. Four neighbouring registers are a band; classes that share a band key are candidates. Of a key with few classes all are
+   compared; the classes of a frequent key are compared with one hub for each range of sizes, the same for all the keys
+   that it is in.
 3. A candidate pair's Jaccard similarity is estimated from its registers, less what chance collisions add; pairs six
-   standard errors below the threshold are left.
-4. Each document's best pairs are confirmed on full shingle sets first. Of the others only those count whose
-   ends are not connected by then.
-5. A frequent key whose classes are not all connected is swept: every class outside its largest component is compared
-   with all classes of the key, in chunks, on sets of 32-bit hashes. A pair is compared in one of the keys it shares,
-   and only pairs that join components leave the task, to be confirmed too. So blocks lose no link, and a hot group of
-   texts that are nearly similar enough makes no rows.
+   standard errors below the threshold are left. The others are confirmed on full shingle sets.
+4. A frequent key whose classes are not all connected by then is swept: classes of different components are estimated, and
+   compared on full sets, in chunks of bounded size that one task holds at a time. Only links leave the task, no more
+   than join its components, so a hot group of texts that are nearly similar enough makes no rows, and none is lost.
 """
 
 from __future__ import annotations
@@ -20,21 +18,26 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, checkpointed, materialize, text_slices
+from .common import as_bytes, bitmap, checkpointed, joined, marked, materialize, text_slices
 
 WORDS = 5
 BUCKETS, ROWS, MANTISSA = 192, 4, 10
 #: Sets up to this size also have a key for each register: few shingles can all meet in one band.
 TINY = 12
-#: Classes of a key that are all compared; blocks of a more frequent key.
-FEW, DEAL = 8, 4
+#: Classes of a key that are all compared.
+FEW = 8
 #: Similarity in hundredths.
 SIMILAR = 75
 ERRORS = 6
-CHUNK = 8192
+#: Ranges of sizes in which the classes of a frequent key meet: each ends at this many times its start.
+SPAN = 4
+#: Bytes of shingles in a chunk of the sweep; a set counts as LEAST bytes at least.
+CHUNK, LEAST = 8 << 20, 1024
+#: Parts in which the pairs of one document meet its shingles.
+SALTS = 64
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -44,43 +47,69 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Shingler(dict):
-    """Texts to sorted arrays of distinct 64-bit shingle hashes."""
+class Shingler:
+    """Texts to sorted arrays of distinct 64-bit shingle hashes.
+
+    A word's hash is a polynomial of random values of its bytes, A-Z as a-z; it is the difference of two prefix sums, so a
+    window of a text is hashed at once. Words longer than LONG are hashed one by one."""
+
+    WINDOW, LONG = 1 << 17, 4096
 
     def __init__(self):
+        self.space = np.zeros(256, bool)
+        self.space[list(b" \t\n\v\f\r")] = True
+        self.byte = _mixed(np.arange(1, 257, dtype=np.uint64))
+        self.byte[65:91] = self.byte[97:123]
+        inverse = np.uint64(pow(int(MIX), -1, 1 << 64))
+        self.power, self.back = (np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(self.WINDOW, x)])) for x in (MIX, inverse))
+
+    def words(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and hash of every word of ``data``."""
         import xxhash
 
-        self.hash = xxhash.xxh3_64_intdigest
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = self.hash(word)
-        return h
+        blank = np.ones(len(data) + 2, np.int8)
+        blank[1:-1] = self.space[data]
+        edges = np.flatnonzero(np.diff(blank))
+        start, end = edges[::2], edges[1::2]
+        out, at = np.zeros(len(start), np.uint64), 0
+        while at < len(start):
+            to = max(at + 1, int(np.searchsorted(end, start[at] + self.WINDOW, "right")))
+            low = int(start[at])
+            if end[to - 1] - low <= self.WINDOW:
+                part = self.byte[data[low : int(end[to - 1])]]
+                part *= self.power[: len(part)]
+                sums = np.zeros(len(part) + 1, np.uint64)
+                np.cumsum(part, out=sums[1:])
+                s, e = start[at:to] - low, end[at:to] - low
+                out[at:to] = (sums[e] - sums[s]) * self.back[s]
+            at = to
+        for k in np.flatnonzero(end - start > self.LONG).tolist():
+            out[k] = xxhash.xxh3_64_intdigest(data[start[k] : end[k]].tobytes().lower())
+        return start, _mixed(out + (end - start).astype(np.uint64))
 
     def sets(self, texts: list[bytes]) -> list[np.ndarray]:
-        if len(self) > 800_000:
-            self.clear()
-        get, words, sizes = self.__getitem__, [], []
-        for text in texts:
-            own = text.lower().split()
-            words.extend(map(get, own))
-            sizes.append(len(own))
-        h = np.array(words, np.uint64)
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        start, h = self.words(np.frombuffer(b" ".join(texts), np.uint8))
         n = max(0, len(h) - WORDS + 1)
         rolled = np.zeros(n, np.uint64)
         for k in range(WORDS):
             rolled = rolled * MIX + h[k : k + n]
         rolled, out, at = _mixed(rolled), [], 0
-        for size in sizes:
+        for to in np.searchsorted(start, ends).tolist():
+            size = to - at
             if size >= WORDS:
-                out.append(np.unique(rolled[at : at + size - WORDS + 1]))
+                own = np.sort(rolled[at : to - WORDS + 1])
+                new = np.ones(len(own), bool)
+                np.not_equal(own[1:], own[:-1], out=new[1:])
+                out.append(own[new])
             elif size:
-                x = np.uint64(size)
-                for w in h[at : at + size]:
-                    x = np.uint64((int(x) * int(MIX) + int(w)) & 0xFFFFFFFFFFFFFFFF)
+                x = size
+                for w in h[at:to].tolist():
+                    x = (x * int(MIX) + w) & 0xFFFFFFFFFFFFFFFF
                 out.append(_mixed(np.array([x], np.uint64)))
             else:
                 out.append(np.zeros(0, np.uint64))
-            at += size
+            at = to
         return out
 
 
@@ -104,8 +133,8 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def band_keys(rows: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, band, key) of every band that is not empty, and for tiny sets of every register (numbered behind the bands)."""
+def band_keys(rows: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of every band that is not empty, and for tiny sets of every register."""
     bands = rows.reshape(len(rows), -1, ROWS).astype(np.uint64)
     key = np.zeros(bands.shape[:2], np.uint64)
     for k in range(ROWS):
@@ -115,7 +144,7 @@ def band_keys(rows: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     tiny = np.flatnonzero((sizes <= TINY) & (sizes > 0))
     r, b = np.nonzero(rows[tiny])
     single = _mixed(rows[tiny][r, b].astype(np.uint64) + MIX * (b + 1000).astype(np.uint64))
-    return np.concatenate([at, tiny[r]]), np.concatenate([band, b + bands.shape[1]]), np.concatenate([key[at, band], single])
+    return np.concatenate([at, tiny[r]]), np.concatenate([key[at, band], single])
 
 
 def chance(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -150,7 +179,7 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 
 def bands(sketches: DataFrame) -> DataFrame:
-    """key, band, doc, n: a row for each band key of each class."""
+    """key, doc, n: a row for each band key of each class."""
 
     def run(batches):
         for batch in batches:
@@ -158,33 +187,53 @@ def bands(sketches: DataFrame) -> DataFrame:
                 part = batch.slice(at, 4096)
                 sizes = part.column(1).to_numpy()
                 rows = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint16).reshape(len(sizes), BUCKETS)
-                row, band, key = band_keys(rows, sizes)
+                row, key = band_keys(rows, sizes)
                 for k in range(0, len(row), 100_000):
                     r = row[k : k + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(key[k : k + 100_000].view(np.int64)), pa.array(band[k : k + 100_000].astype(np.int32)), pa.array(part.column(0).to_numpy()[r]), pa.array(sizes[r])], ["key", "band", "doc", "n"])
-
-    return sketches.select("doc", "n", "registers").mapInArrow(run, "key long, band int, doc long, n long")
-
+                    yield pa.RecordBatch.from_arrays([pa.array(key[k : k + 100_000].view(np.int64)), pa.array(part.column(0).to_numpy()[r]), pa.array(sizes[r])], ["key", "doc", "n"])
 
-def dealt_pairs(rows: DataFrame) -> DataFrame:
-    """Distinct pairs a < b of similar size: all of an unfrequent key's classes, neighbours in the blocks of a frequent one."""
-    blocks = F.when(F.col("c") <= FEW, F.lit(0)).otherwise(F.pmod(F.xxhash64("doc", "key"), F.ceil(F.col("c") / DEAL)))
-    grouped = rows.groupBy("key", blocks.alias("block")).agg(F.sort_array(F.collect_list(F.struct("doc", "n"))).alias("x"), F.max("c").alias("c")).where(F.size("x") > 1)
-    at = F.explode(F.sequence(F.lit(1), F.size("x") - 1))
-    before = F.when(F.col("c") <= FEW, F.slice("x", F.lit(1), F.col("i"))).otherwise(F.slice("x", F.col("i"), F.lit(1)))
-    ends = grouped.select("x", "c", at.alias("i")).select(F.element_at("x", F.col("i") + 1).alias("b"), F.explode(before).alias("a"))
-    ends = ends.where((F.col("a.doc") < F.col("b.doc")) & sized_alike(F.col("a.n"), F.col("b.n")))
-    return ends.select(F.col("a.doc").alias("a"), F.col("b.doc").alias("b")).distinct()
+    return sketches.select("doc", "n", "registers").mapInArrow(run, "key long, doc long, n long")
 
 
 def sized_alike(n, m):
     return F.least(n, m) * 100 >= F.greatest(n, m) * SIMILAR
 
 
+def spans(rows: DataFrame) -> DataFrame:
+    """A row (span, own) for the range of sizes of each class, and for the one below while a class of it may be similar."""
+    start = F.pow(F.lit(float(SPAN)), F.col("g"))
+    both = F.when(F.col("n") * SIMILAR <= start * 100, F.array(F.col("g"), F.col("g") - 1)).otherwise(F.array("g"))
+    ranged = rows.withColumn("g", F.floor(F.log("n") / F.log(F.lit(float(SPAN))) + 1e-9).cast("int"))
+    return ranged.withColumn("span", F.explode(both)).withColumn("own", F.col("span") == F.col("g")).drop("g")
+
+
+def few_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs a < b of similar size that share a key of at most FEW classes."""
+    grouped = rows.where(F.col("c") <= FEW).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("doc", "n"))).alias("x"))
+    ends = grouped.select("x", F.posexplode("x").alias("i", "b")).select("b", F.explode(F.slice("x", F.lit(1), F.col("i"))).alias("a"))
+    return ends.where((F.col("a.doc") < F.col("b.doc")) & sized_alike(F.col("a.n"), F.col("b.n"))).select(F.col("a.doc").alias("a"), F.col("b.doc").alias("b"))
+
+
+def hub_pairs(spanned: DataFrame, total: int) -> DataFrame:
+    """Pairs of each class of a frequent key with the key's hub in its range of sizes: of those in the range the one of least hash."""
+    hubs = spanned.groupBy("key", "span").agg(F.min(F.when(F.col("own"), F.struct(F.xxhash64("doc").alias("h"), "doc", "n"))).alias("hub"), F.count("*").alias("held"))
+    hubs = materialize(hubs.where("hub IS NOT NULL AND held > 1").select("key", "span", "held", F.col("hub.doc").alias("hub"), F.col("hub.n").alias("hub_n")), "hubs")
+    rows = joined(spanned, hubs, ["key", "span"], "held", total).where((F.col("doc") != F.col("hub")) & sized_alike(F.col("n"), F.col("hub_n")))
+    return rows.select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b"))
+
+
+def with_sides(pairs: DataFrame, side: DataFrame, columns: list[str]) -> DataFrame:
+    """``pairs`` with ``columns`` of ``side`` (doc) for a and for b. What a document brings goes to at most SALTS parts of its pairs."""
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("a", "b"), F.lit(SALTS)).cast("int"))
+    for s in ("a", "b"):
+        wanted = salted.select(F.col(s).alias("doc"), "salt").distinct()
+        mine = wanted.join(side.select("doc", *columns), "doc").select(F.col("doc").alias(s), "salt", *[F.col(c).alias(c + s) for c in columns])
+        salted = salted.join(mine, [s, "salt"])
+    return salted.select("a", "b", *[c + s for c in columns for s in ("a", "b")])
+
+
 def estimated(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The pairs (a, b) that pass the estimate, with it."""
-    side = lambda s: sketches.select(F.col("doc").alias(s), F.col("n").alias(f"n{s}"), F.col("registers").alias(f"r{s}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ra", "rb")
+    """The pairs (a, b) that pass the estimate."""
 
     def run(batches):
         for batch in batches:
@@ -193,58 +242,80 @@ def estimated(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
                 ra, rb = (np.frombuffer(b"".join(part.column(k).to_pylist()), np.uint16).reshape(-1, BUCKETS) for k in (4, 5))
                 similar, least = estimate(ra, rb, part.column(2).to_numpy(), part.column(3).to_numpy())
                 keep = pa.array(np.flatnonzero(similar >= least))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(keep), part.column(1).take(keep), pa.array(similar).take(keep)], ["a", "b", "similar"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(keep), part.column(1).take(keep)], ["a", "b"])
 
-    return joined.mapInArrow(run, "a long, b long, similar double")
+    return with_sides(pairs, sketches, ["n", "registers"]).mapInArrow(run, "a long, b long").distinct()
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the similarity."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc, shingles of the texts whose doc_id is in ``ids`` (doc), and of a few others.
+
+    A bitmap of the wanted ids, of 16 MB at most, spares other texts the hashing; no text is shuffled. Full, it only
+    lets more texts through."""
+    ids = materialize(ids.select("doc").distinct(), "wanted")
+    bits = 1 << min(27, max(15, (16 * ids.count()).bit_length()))
+    hashed = lambda c: F.xxhash64(F.col(c).cast("long"))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(ids.select(hashed("doc").alias("k")), "k", bits))
 
     def run(batches):
         shingler = Shingler()
-        for part in text_slices(batches):
-            sets = shingler.sets(as_bytes(part.column(1)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc", "shingles"])
+        for batch in batches:
+            use = np.flatnonzero(marked(shared.value, batch.column(2).to_numpy()))
+            for part in text_slices([batch.take(pa.array(use))]) if len(use) else ():
+                sets = shingler.sets(as_bytes(part.column(1)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc", "shingles"])
 
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ids, "doc_id", "left_semi")
-    sets = materialize(texts.mapInArrow(run, "doc long, shingles binary"), "sets")
-    side = lambda s: sets.select(F.col("doc").alias(s), F.col("shingles").alias(f"s{s}"))
-    joined = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb")
+    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("text").cast("string"), hashed("doc_id").alias("k"))
+    return materialize(texts.mapInArrow(run, "doc long, shingles binary"), "sets")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets reach the similarity."""
+    sets = sets_of(docs, pairs.select(F.col("a").alias("doc")).union(pairs.select("b")))
 
     def check(batches):
         for batch in batches:
             keep = []
             for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                if 100 * shared >= SIMILAR * (len(both) - shared):
+                if similar_enough(int(shared_with(x, y, np.array([0]))[0]) if len(x) and len(y) else 0, len(x), len(y)):
                     keep.append(k)
             keep = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], ["a", "b"])
 
-    return joined.mapInArrow(check, "a long, b long")
+    return with_sides(pairs, sets, ["shingles"]).mapInArrow(check, "a long, b long")
+
+
+def shared_with(mine: np.ndarray, others: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """How many values of each of the non-empty sorted sets that start at ``starts`` of ``others`` are in the sorted set ``mine``."""
+    at = np.minimum(np.searchsorted(mine, others), len(mine) - 1)
+    return np.add.reduceat((mine[at] == others).astype(np.int64), starts)
+
+
+def similar_enough(shared, n, m):
+    return (100 * shared >= SIMILAR * (n + m - shared)) & (shared > 0)
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (its smallest node) of every node of ``edges`` (a, b), by least neighbours and pointer jumps."""
+    """node, component (its smallest node) of every node of ``edges`` (a, b), by least neighbours and pointer jumps.
+
+    A node that holds more than one edge in 4096 (there are no more than that many) tells its component by broadcast."""
     both = checkpointed(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct())
-    label = checkpointed(both.groupBy(F.col("u").alias("node")).agg(F.min(F.least("u", "v")).alias("component")))
+    label = checkpointed(both.groupBy(F.col("u").alias("node")).agg(F.min(F.least("u", "v")).alias("component"), F.count("*").alias("held")))
+    total = both.count()
     while True:
-        heard = both.join(label, F.col("v") == F.col("node")).select(F.col("u").alias("node"), "component")
+        heard = joined(both.withColumnRenamed("v", "node"), label, ["node"], "held", total).select(F.col("u").alias("node"), "component")
+        least_heard = heard.groupBy("node").agg(F.min("component").alias("heard"))
         # a root hears what its members hear, so whole trees join and not single nodes
-        roots = heard.join(label.withColumnRenamed("component", "root"), "node").where("component < root").select(F.col("root").alias("node"), "component")
-        least = label.union(heard).union(roots).groupBy("node").agg(F.min("component").alias("component"))
-        up = label.select(F.col("node").alias("n2"), F.col("component").alias("c2"))
-        jumped = least.join(up, F.col("component") == F.col("n2")).select("node", F.least("component", "c2").alias("component"))
-        new = checkpointed(jumped)
-        moved = new.join(label.withColumnRenamed("component", "before"), "node").where("component <> before").limit(1).count()
+        now = label.join(least_heard, "node", "left").withColumn("heard", F.least("component", F.coalesce("heard", "component")))
+        roots = now.groupBy(F.col("component").alias("node")).agg(F.min("heard").alias("root_heard"))
+        least = now.join(roots, "node", "left").select("node", "held", F.least("heard", F.coalesce("root_heard", "heard")).alias("component"))
+        up = label.select(F.col("node").alias("component"), F.col("component").alias("above"))
+        new = checkpointed(least.join(up, "component", "left").select("node", F.least("component", F.coalesce("above", "component")).alias("component"), "held"))
+        moved = new.join(label.select("node", F.col("component").alias("before")), "node").where("component <> before").limit(1).count()
         label = new
         if not moved:
-            return label
+            return label.select("node", "component")
 
 
 def merged(label: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -260,90 +331,60 @@ def merged(label: DataFrame | None, links: DataFrame) -> DataFrame:
     return checkpointed(old.union(new))
 
 
-def apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different components."""
-    at = lambda s: label.select(F.col("node").alias(s), F.col("component").alias(f"c{s}"))
-    joined = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left")
-    return joined.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*pairs.columns)
-
-
-def handled_here(mine: np.ndarray, others: np.ndarray, doc: np.ndarray, other: int, band: int) -> np.ndarray:
-    """Whether ``band`` is the one in which each pair is compared: of those it shares the first from a place that the pair decides.
-
-    Where the pair shares an unfrequent key, it has been compared already, so any rule over shared bands will do; a tiny set's
-    single registers count only where no band is shared."""
-    bands = mine.reshape(len(mine), BUCKETS // ROWS, ROWS)
-    n = bands.shape[1]
-    same = (bands == others.reshape(1, n, ROWS)).all(2) & bands.any(2)
-    if band >= n:
-        single = (mine == others[None, :]) & (mine > 0)
-        return ~same.any(1) & (single.argmax(1) == band - n)
-    start = (_mixed((doc ^ other).astype(np.uint64)) % np.uint64(n)).astype(np.int64)
-    turn = np.where(same, (np.arange(n)[None, :] - start[:, None]) % n, n)
-    return same[:, band] & (turn.argmin(1) == band)
-
-
-def sweep(rows: pd.DataFrame, others: pd.DataFrame) -> list[tuple[int, int]]:
-    """Pairs that join components of a key's classes, similar by their sets of 32-bit hashes."""
-    sets = [np.frombuffer(x, np.uint32) for x in rows["small"]]
-    regs = registers([x.astype(np.uint64) << np.uint64(32) for x in sets])
-    n, doc, component = (rows[c].to_numpy() for c in ("n", "doc", "component"))
-    component, out = component.copy(), []
-    place = {d: k for k, d in enumerate(doc.tolist())}
-    for d, m, c, small, band in zip(*(others[x].tolist() for x in ("doc", "n", "component", "small", "band")), strict=True):
-        mine = np.frombuffer(small, np.uint32)
-        own = registers([mine.astype(np.uint64) << np.uint64(32)])[0]
-        c = int(component[place[d]]) if d in place else c
-        at = np.flatnonzero((component != c) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * SIMILAR))
-        at = at[handled_here(regs[at], own, doc[at], d, band)] if len(at) else at
+def links_between(doc: np.ndarray, component: np.ndarray, side: np.ndarray, own: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that join components of these classes, no two of them the same two.
+
+    Classes of ``side`` 0 and 1 are two chunks, and only pairs of both are compared; 2 is one chunk. Pairs of which neither is
+    ``own`` to this range of sizes are compared in another."""
+    n = np.array([len(s) for s in sets])
+    order = np.lexsort((doc, n))
+    n, doc, component, side, own, sets = n[order], doc[order], component[order].copy(), side[order], own[order], [sets[k] for k in order]
+    regs, out = registers(sets), []
+    names, count = np.unique(component, return_counts=True)
+    main = names[count.argmax()]
+    other = component != main
+    for x in np.flatnonzero(other).tolist():
+        low, high = np.searchsorted(n, n[x] * SIMILAR / 100, "left"), np.searchsorted(n, n[x] * 100 / SIMILAR, "right")
+        at = np.arange(low, high)
+        at = at[~other[at] | (at > x)]  # of two others the pair comes once
+        at = at[(component[at] != component[x]) & ((side[at] != side[x]) | (side[x] == 2)) & (own[at] | own[x])]
         if not len(at):
             continue
-        similar, least = estimate(regs[at], own[None, :], n[at], np.full(len(at), m))
+        similar, least = estimate(regs[at], regs[x][None, :], n[at], np.full(len(at), n[x]))
         passed = similar >= least
-        for k in at[passed][np.argsort(-similar[passed], kind="stable")].tolist():
-            if component[k] == c:
-                continue
-            both = np.concatenate([sets[k], mine])
-            both.sort(kind="stable")
-            shared = int((both[1:] == both[:-1]).sum())
-            if 100 * (shared + 2) >= SIMILAR * (len(both) - shared - 2):  # 32 bits can err by a shingle or two; the full sets decide
-                out.append((min(d, int(doc[k])), max(d, int(doc[k]))))
-                if 100 * shared >= SIMILAR * (len(both) - shared):
-                    component[component == component[k]] = c
+        at = at[passed][np.argsort(-similar[passed], kind="stable")]
+        while len(at):
+            now, at = at[:16], at[16:]
+            shared = shared_with(sets[x], np.concatenate([sets[k] for k in now]), np.cumsum(n[now]) - n[now])
+            for k in now[similar_enough(shared, n[now], n[x])].tolist():
+                if component[k] != component[x]:
+                    out.append((min(int(doc[k]), int(doc[x])), max(int(doc[k]), int(doc[x]))))
+                    component[component == component[k]] = component[x]
+            at = at[component[at] != component[x]]
     return out
 
 
-def small_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc, small: the distinct high 32 bits of the shingle hashes of the documents in ``ids`` (doc)."""
-
-    def run(batches):
-        shingler = Shingler()
-        for part in text_slices(batches):
-            sets = shingler.sets(as_bytes(part.column(1)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes() for s in sets], pa.binary())], ["doc", "small"])
-
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ids.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    return materialize(texts.mapInArrow(run, "doc long, small binary"), "small-sets")
-
-
-def swept(frequent: DataFrame, label: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs that join a class outside its key's largest component with another class of the key."""
-    rows = frequent.join(label.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    counts = rows.groupBy("key", "component").agg(F.count("*").alias("k"))
-    largest = counts.groupBy("key").agg(F.max(F.struct("k", "component")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("m.component").alias("main"))
-    rows = materialize(rows.join(largest, "key").select("key", "band", "doc", "n", "c", "component", "main"), "unconnected")
-    held = rows.join(small_sets(docs, rows), "doc")
-    chunks = F.ceil(F.col("c") / CHUNK).cast("int")
-    left = held.withColumn("chunk", F.pmod(F.xxhash64("doc"), chunks).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    right = held.where("component <> main").withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    right = right.withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "doc"), chunks).cast("int"))
-    columns = ["key", "chunk", "part", "band", "doc", "n", "component", "small"]
+def swept(spanned: DataFrame, label: DataFrame, docs: DataFrame, chunk: int | None = None) -> DataFrame:
+    """Links (a, b) between classes of a frequent key that ``label`` has in different components."""
+    rows = spanned.join(label.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    weight = F.greatest(F.col("n") * 8, F.lit(LEAST))
+    parts = rows.groupBy("key", "span", "component").agg(F.sum(weight).alias("bytes"), F.max("own").alias("own"), F.count("*").alias("held"))
+    parts = parts.groupBy("key", "span").agg(F.count("*").alias("parts"), F.sum("bytes").alias("bytes"), F.max("own").alias("some"), F.sum("held").alias("held"))
+    open_ = materialize(parts.where("parts > 1 AND some").select("key", "span", "held", F.ceil(F.col("bytes") / (chunk or CHUNK)).cast("int").alias("chunks")), "open-keys")
+    total = rows.count()
+    rows = joined(rows, open_, ["key", "span"], "held", total).withColumn("chunk", F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int"))
+    rows = materialize(rows.select("key", "span", "doc", "component", "own", "chunk", "chunks"), "unconnected")
+    sets = sets_of(docs, rows)
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    dealt = rows.withColumn("other", other).select("key", "span", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "doc", "component", "own", F.when(F.col("chunk") == F.col("other"), F.lit(2)).otherwise((F.col("chunk") > F.col("other")).cast("int")).alias("side"))
 
-    def run(members: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(sweep(members, others) if len(members) and len(others) else [], columns=["a", "b"], dtype=np.int64)
+    def run(members: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if members["component"].nunique() > 1:
+            found = links_between(*(members[c].to_numpy() for c in ("doc", "component", "side", "own")), [np.frombuffer(x, np.uint64) for x in members["shingles"]])
+        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
-    left, right = left.select(columns), right.select(columns).toDF(*columns)
-    return left.groupBy("key", "chunk", "part").cogroup(right.groupBy("key", "chunk", "part")).applyInPandas(run, "a long, b long").distinct()
+    return dealt.join(sets, "doc").groupBy("key", "span", "i", "j").applyInPandas(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -352,26 +393,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Words are runs without ASCII white space, A-Z lower-cased. Documents are linked when 100 * shared >= 75 * all of their
     distinct five-word shingles; fewer words are one shingle, no words none and no link. A component is named by its
     smallest doc_id. Null text is empty; a null doc_id is linked with nothing and kept, its component null; rows of
-    equal doc_id are one document with several texts; other columns are ignored."""
+    equal doc_id are one document with several texts, in one component; other columns are ignored; an empty table gives
+    no row. Texts of any length are hashed whole, a window at a time; one text's shingles fit a task."""
     documents = docs.select(F.col("doc_id").cast("long"), "text")
     sketches = materialize(sketch(documents), "sketches")
     linked = sketches.where("n > 0 AND doc_id IS NOT NULL")
-    classes = materialize(linked.groupBy("digest").agg(F.min("doc_id").alias("doc")), "classes")
-    firsts = linked.join(classes.select(F.col("doc").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])
+    least = linked.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "registers")).alias("x"), F.count("*").alias("held"))
+    classes = materialize(least.select("digest", "held", F.col("x.doc_id").alias("doc"), F.col("x.n").alias("n"), F.col("x.registers").alias("registers")), "classes")
     # a doc_id that stands for several sets has a row for each: all their keys and estimates are tried
-    firsts = materialize(firsts.select(F.col("doc_id").alias("doc"), "n", "registers"), "firsts")
-    keys = bands(firsts)
-    shared = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    rows = materialize(keys.join(shared, "key").select("key", "band", "doc", "n", "c"), "bands")
-    passed = materialize(estimated(dealt_pairs(rows), firsts), "pairs")
-    best = lambda s: F.row_number().over(Window.partitionBy(s).orderBy(F.desc("similar"), "a", "b"))
-    ordered = passed.withColumn("ka", best("a")).withColumn("kb", best("b"))
-    label = merged(None, confirmed(checkpointed(ordered.where("ka <= 2 OR kb <= 2").select("a", "b")), documents))
-    label = merged(label, confirmed(checkpointed(apart(passed.select("a", "b"), label)), documents))
-    frequent = rows.where(F.col("c") > FEW)
-    label = merged(label, confirmed(checkpointed(swept(frequent, label, documents)), documents))
-    named = materialize(classes.join(label.withColumnRenamed("node", "doc"), "doc", "left").select("digest", F.coalesce("component", "doc").alias("found")), "components")
-    # rows of one doc_id meet in its least component
-    out = sketches.select("doc_id", "n", "digest").join(named, "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    firsts = classes.select("doc", "n", "registers")
+    keys = materialize(bands(firsts), "keys")
+    shared = materialize(keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "shared-keys")
+    rows = materialize(joined(keys, shared, ["key"], "c", keys.count()).select("key", "doc", "n", "c"), "bands")
+    frequent = spans(rows.where(F.col("c") > FEW).select("key", "doc", "n"))
+    pairs = few_pairs(rows).union(hub_pairs(frequent, rows.count())).distinct()
+    links = confirmed(materialize(estimated(materialize(pairs, "candidates"), firsts), "pairs"), documents)
+    several = linked.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select("doc_id")
+    copies = linked.join(several, "doc_id").select("doc_id", "digest").join(classes.select("digest", "doc"), "digest").where("doc_id <> doc")
+    label = merged(None, links.union(copies.select(F.col("doc").alias("a"), F.col("doc_id").alias("b"))))
+    label = merged(label, swept(frequent, label, documents))
+    named = classes.select("digest", "doc", "held").join(label.withColumnRenamed("node", "doc"), "doc", "left").select("digest", "held", F.coalesce("component", "doc").alias("found"))
+    found = joined(linked.select("doc_id", "n", "digest"), materialize(named, "components"), ["digest"], "held", sketches.count()).select("doc_id", "n", "found")
+    alone = sketches.where("n = 0 OR doc_id IS NULL").select("doc_id", "n", F.col("doc_id").alias("found"))
+    return found.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), F.col("found").alias("component_id"), F.coalesce(F.col("found") == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, crc_mod, materialize, text_slices
+from .common import as_bytes, bitmap, crc_mod, marked, materialize, text_slices
 
 END = b" end"  # no word holds a space
 LEAST_WORD, LEAST_COUNT = 1e-6, 8
@@ -33,8 +33,6 @@ GAIN = 4.0
 MEMO = 1_000_000
 BIG = 1 << 62
 BITS = 1 << 27
-#: Bits of a row of ``bitmap_construct_agg``.
-ROW = 1 << 15
 
 
 class Codes(dict):
@@ -119,21 +117,6 @@ def grams(codes: np.ndarray, sizes: np.ndarray, depth: int) -> list[tuple[np.nda
     return out
 
 
-def has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = keys & (BITS - 1)
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-
-
-def bitmap(df: DataFrame, key: str = "k") -> np.ndarray:
-    """A bit for each hashed key; BITS / 8 bytes however many keys there are."""
-    at = F.col(key).bitwiseAND(BITS - 1)
-    rows = df.select(F.floor(at / ROW).cast("int").alias("part"), (at % ROW).alias("at")).repartition("part")
-    out = np.zeros(BITS // 8, np.uint8)
-    for r in rows.groupBy("part").agg(F.bitmap_construct_agg("at").alias("bits")).collect():
-        out[r["part"] * ROW // 8 : (r["part"] + 1) * ROW // 8] = np.frombuffer(r["bits"], np.uint8)
-    return out
-
-
 def keyed(df: DataFrame, key, schema: str) -> DataFrame:
     """``df`` with its column k replaced by ``key`` of each batch."""
 
@@ -172,7 +155,7 @@ def learn(docs: DataFrame, depth: int = 2, least_word: float = LEAST_WORD, least
     #: Grams of the level before with their count and the probability of their last word in the states so far.
     before = counts.where(F.col("n") >= least_count).select("k", "n", ((F.col("n") - off) / max(total, 1)).alias("p"))
     for level in range(1, depth + 1):
-        shared = spark.sparkContext.broadcast(bitmap(before))
+        shared = spark.sparkContext.broadcast(bitmap(before, "k", BITS))
 
         def usable(batches, shared=shared, level=level):
             """Grams of which context and suffix may have the support, without which they have none."""
@@ -180,7 +163,7 @@ def learn(docs: DataFrame, depth: int = 2, least_word: float = LEAST_WORD, least
             for part in text_slices(batches, most=2 << 20):
                 gram, context, suffix = grams(*codes.of(as_bytes(part.column(1))), level)[-1]
                 use = np.flatnonzero(gram)
-                use = use[has(shared.value, context[use]) & has(shared.value, suffix[use])]
+                use = use[marked(shared.value, context[use]) & marked(shared.value, suffix[use])]
                 yield gram[use], context[use], suffix[use]
 
         def buckets(batches, usable=usable):
@@ -191,12 +174,12 @@ def learn(docs: DataFrame, depth: int = 2, least_word: float = LEAST_WORD, least
 
         # counts of 32 hash bits are at least those of their grams, so a bucket without the support holds no gram that has it
         full = docs.mapInArrow(buckets, "k long, n long").select(F.col("k").cast("int").alias("k"), F.col("n").cast("int").alias("n")).groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") >= least_count)
-        full = spark.sparkContext.broadcast(bitmap(full.select(F.col("k").cast("long").alias("k"))))
+        full = spark.sparkContext.broadcast(bitmap(full.select(F.col("k").cast("long").alias("k")), "k", BITS))
 
         def pairs(batches, usable=usable, full=full):
             sums = Counter(["n", "context", "suffix"])
             for gram, context, suffix in usable(batches):
-                use = has(full.value, gram >> 32)
+                use = marked(full.value, gram >> 32)
                 yield from sums.add(gram[use], context[use], suffix[use])
             yield from sums.flush()
 
@@ -220,7 +203,7 @@ def learn(docs: DataFrame, depth: int = 2, least_word: float = LEAST_WORD, least
     for name, frame, value in (("words", counts, "n"), ("states", states, "v")):
         rows = frame.where(F.col("n") >= often).select("k", F.col(value).cast("double").alias("v")).toPandas().sort_values("k")  # relative frequencies, so bounded
         model[name] = rows["k"].to_numpy(np.int64), rows["v"].to_numpy(np.float64)
-    model["bits"] = bitmap(states.where(F.col("n") < often))
+    model["bits"] = bitmap(states.where(F.col("n") < often), "k", BITS)
     return model, counts, states.select("k", "v")
 
 
@@ -264,7 +247,7 @@ def score(docs: DataFrame, model: dict, counts: DataFrame, states: DataFrame) ->
                     have &= key != 0
                     keys.append(key)
                     v.append(np.where(have, x, absent))
-                    lacks.append((key != 0) & ~have & has(m["bits"], key))
+                    lacks.append((key != 0) & ~have & marked(m["bits"], key))
                 p, rest, named = v[-2] * p + v[-1], v[-2] * rest, named | (v[-1] > 0)
             late = functools.reduce(np.logical_or, lacks[1:], ~common & named)
             now, alone = common & ~late, ~common & ~late

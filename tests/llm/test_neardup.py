@@ -71,15 +71,47 @@ def test_components_equal_all_pairs(spark):
     assert all(got[i]["n_shingles"] == len(sets_of(t)) for i, t in rows)
 
 
-def test_sweep_finds_what_blocks_left(spark, monkeypatch):
-    """With blocks so small that they link little, the sweep of frequent keys still connects all."""
-    monkeypatch.setattr(N, "dealt_pairs", lambda rows: rows.sparkSession.createDataFrame([], "a long, b long"))
+def no_pairs(rows, *_):
+    return rows.sparkSession.createDataFrame([], "a long, b long")
+
+
+@pytest.mark.parametrize("chunk", [N.CHUNK, 16 * N.LEAST])
+def test_sweep_finds_what_pairs_left(spark, monkeypatch, chunk):
+    """Without any pair of an unfrequent key or a hub, the sweep of frequent keys still connects all, in one chunk or in several."""
+    monkeypatch.setattr(N, "few_pairs", no_pairs)
+    monkeypatch.setattr(N, "hub_pairs", no_pairs)
     monkeypatch.setattr(N, "FEW", 1)
+    monkeypatch.setattr(N, "CHUNK", chunk)
     rows = corpus(5)[:120]
     got = {r["doc_id"]: r["component_id"] for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute(rows)
 
 
+def test_long_texts_in_a_hot_key(spark):
+    """Long texts that share most of their words, some similar and some not, over several chunks of the sweep."""
+    rng = random.Random(9)
+    base, rows = words(rng, 12_000, 10**9), []
+    for k in range(14):  # all nearly similar: a part of the words of each is its own
+        own = rng.choice([600, 900, 2600, 3000])
+        rows.append((k, " ".join(base[own:] + [f"own{k}-{i}" for i in range(own)])))
+    want = brute(rows)
+    assert len(set(want.values())) > 1
+    assert {r["doc_id"]: r["component_id"] for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+
+
+def test_texts_of_one_document_meet(spark):
+    rows = [(7, "a b c d e f"), (7, "g h i j k l"), (3, "a b c d e f"), (5, "g h i j k l"), (9, "m n o p q r")]
+    got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(3, 3), (5, 3), (7, 3), (7, 3), (9, 9)]
+
+
+def test_words_longer_than_a_window():
+    shingler = N.Shingler()
+    long = b"q" * (2 * shingler.WINDOW)
+    got = shingler.sets([b"a " + long + b" b c d e", b"A " + long.upper() + b" B c d e", b"a b c d e", b"", b"  "])
+    assert [len(x) for x in got] == [2, 2, 1, 0, 0] and (got[0] == got[1]).all()
+
+
 def test_edges(spark):
     long = " ".join(f"v{k}" for k in range(60_000))
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "A b"), (5, "a  B\n"), (None, "a b"), (6, long), (7, long + " tail"), (8, "same same same same same same"), (8, "same same same same same same"), (9, "a b")]
