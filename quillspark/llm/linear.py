@@ -6,17 +6,23 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import as_bytes, materialize, text_slices
 
 MEMO = 300_000
-#: Texts of a sample whose words are in memory together.
-TOGETHER = 400
+#: Values of a block in the fits.
+BLOCK = 1 << 18
 
 
 class Words(dict):
-    """Word to its row of feature ids, in bounded memory."""
+    """Word to its row of feature ids, in bounded memory. Words of over ``piece`` bytes count as several, one a piece."""
 
-    def __init__(self, features, width: int):
-        self.features, self.rows = features, np.zeros((1024, width), np.int32)
+    def __init__(self, features, width: int, piece: int | None = None):
+        self.features, self.rows, self.piece = features, np.zeros((1024, width), np.int32), piece
 
     def __missing__(self, word: bytes) -> int:
         at = len(self)
@@ -33,6 +39,8 @@ class Words(dict):
         get, out, sizes = self.__getitem__, [], []
         for text in texts:
             words = text.split()
+            if self.piece and len(text) > self.piece and max(map(len, words), default=0) > self.piece:
+                words = [w[k : k + self.piece] for w in words for k in range(0, len(w), self.piece)]
             out.extend(map(get, words))
             sizes.append(len(words))
         return np.array(out, np.int64), np.array(sizes, np.int64)
@@ -65,7 +73,7 @@ def shapes(bits: int):
 
     def features(word: bytes) -> list[int]:
         text = word.decode("utf-8", "replace")
-        shape = _DIGIT.sub("0", _UPPER.sub("A", _LOWER.sub("a", text[:64])))
+        shape = _DIGIT.sub("0", _UPPER.sub("A", _LOWER.sub("a", text)))
         marks = _RUNS.sub(r"\1", re.sub(r"[aA0]", "", shape))
         return [zlib.crc32(_RUNS.sub(r"\1", shape).encode()) & mask or 1, zlib.crc32(marks.encode(), 1) & mask or 1 if marks else 0, zlib.crc32(b"%d" % min(len(text), 40), 2) & mask or 1]
 
@@ -84,38 +92,90 @@ def matrix(rows: np.ndarray, words: np.ndarray, sizes: np.ndarray, bits: int) ->
 
 
 class Sparse:
-    """Rows of (feature, value) for the fits, on one bounded sample."""
+    """Features of some texts: (text, feature, value) in the order of the texts."""
 
     def __init__(self, doc: np.ndarray, feature: np.ndarray, value: np.ndarray, n: int, width: int):
-        self.doc, self.feature, self.value, self.n, self.width = doc, feature, value.astype(np.float64), n, width
+        self.doc, self.feature, self.value, self.n, self.width = doc, feature, value, n, width
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.doc, self.value * w[self.feature], self.n)
 
+    def packed(self) -> tuple[list[bytes], list[bytes]]:
+        """Feature ids (i4) and values (f4) of each text."""
+        ends = np.searchsorted(self.doc, np.arange(self.n + 1))
+        ids, values = self.feature.astype("<i4"), self.value.astype("<f4")
+        return [ids[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)], [values[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
+
+
+class Rows:
+    """The packed features of a bounded sample, eight bytes a value; products go block by block.
+
+    Each row begins with a value 0 of feature 0, so that none is empty."""
+
+    def __init__(self, sizes: np.ndarray, ids: np.ndarray, values: np.ndarray, width: int):
+        self.sizes, self.ids, self.values, self.width, self.n = sizes, ids, values, width, len(sizes)
+        self.starts = np.cumsum(sizes) - sizes
+
+    @classmethod
+    def of(cls, ids, values, width: int) -> Rows:
+        first = (b"\0\0\0\0",)
+        join = lambda column: b"".join(x for row in column for x in (*first, row))
+        sizes = np.array([len(x) // 4 + 1 for x in ids], np.int64)
+        return cls(sizes, np.frombuffer(join(ids), "<i4"), np.frombuffer(join(values), "<f4"), width)
+
+    def blocks(self):
+        a = 0
+        while a < self.n:
+            b = max(a + 1, int(np.searchsorted(self.starts, self.starts[a] + BLOCK)))
+            low, high = self.starts[a], self.starts[b - 1] + self.sizes[b - 1]
+            yield slice(a, b), self.ids[low:high], self.values[low:high]
+            a = b
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.n)
+        for rows, ids, values in self.blocks():
+            out[rows] = np.add.reduceat(w[ids] * values, self.starts[rows] - self.starts[rows.start])
+        return out
+
     def back(self, g: np.ndarray) -> np.ndarray:
-        return np.bincount(self.feature, self.value * g[self.doc], self.width)
+        out = np.zeros(self.width)
+        for rows, ids, values in self.blocks():
+            out += np.bincount(ids, values * np.repeat(g[rows], self.sizes[rows]), self.width)
+        return out
+
+    def take(self, keep: np.ndarray) -> Rows:
+        at = np.repeat(keep, self.sizes)
+        return Rows(self.sizes[keep], self.ids[at], self.values[at], self.width)
+
 
-    def take(self, keep: np.ndarray) -> Sparse:
-        at = keep[self.doc]
-        return Sparse((np.cumsum(keep) - 1)[self.doc[at]], self.feature[at], self.value[at], int(keep.sum()), self.width)
+def featured(sample: DataFrame, build, kept: list[str], label: str) -> DataFrame:
+    """The columns ``kept`` of ``sample`` (text and others), and ids, values, dense: features made in parallel and written down.
 
+    ``build`` makes (Sparse, dense columns) of a list of texts."""
+    fields = [sample.schema[c] for c in kept] + [T.StructField(c, T.BinaryType()) for c in ("ids", "values", "dense")]
 
-def in_parts(build, texts: list[bytes]) -> tuple[Sparse, np.ndarray]:
-    """(features, dense columns) that ``build`` makes of the texts, a few hundred at a time."""
-    parts = [build(texts[k : k + TOGETHER]) for k in range(0, len(texts), TOGETHER)] or [build([])]
-    starts = np.cumsum([0] + [x.n for x, _ in parts])
-    column = lambda f: np.concatenate([f(x, s) for (x, _), s in zip(parts, starts, strict=False)])
-    x = Sparse(column(lambda x, s: x.doc + s), column(lambda x, s: x.feature), column(lambda x, s: x.value), int(starts[-1]), parts[0][0].width)
-    return x, np.concatenate([d for _, d in parts])
+    def run(batches):
+        for part in text_slices(batches, len(kept), 1 << 20):
+            x, dense = build(as_bytes(part.column(len(kept))))
+            columns = (*x.packed(), [row.astype("<f8").tobytes() for row in dense])
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array(c, pa.binary()) for c in columns)], [*kept, "ids", "values", "dense"])
+
+    return materialize(sample.select(*kept, F.col("text").cast("string")).mapInArrow(run, T.StructType(fields)), label)
+
+
+def one_text(sample: DataFrame, *known: str) -> DataFrame:
+    """A row for each doc_id: the least of its texts, and the greatest of each column ``known``. Its tasks are not fused."""
+    width = max(2, sample.sparkSession.sparkContext.defaultParallelism)
+    return sample.repartition(width, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), *[F.max(c).alias(c) for c in known])
 
 
 def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def descend(gradient, width: int, steps: int = 200, rate: float = 0.1) -> np.ndarray:
-    """Adam from zero with a falling rate; ``gradient(w)`` over all rows of the sample."""
-    w, m, v = np.zeros(width), np.zeros(width), np.zeros(width)
+def descend(gradient, width: int, steps: int = 200, rate: float = 0.1, start: np.ndarray | None = None) -> np.ndarray:
+    """Adam from ``start`` (zero) with a falling rate; ``gradient(w)`` over all rows of the sample."""
+    w, m, v = np.zeros(width) if start is None else start.copy(), np.zeros(width), np.zeros(width)
     for t in range(1, steps + 1):
         g = gradient(w)
         m = 0.9 * m + 0.1 * g
@@ -124,13 +184,20 @@ def descend(gradient, width: int, steps: int = 200, rate: float = 0.1) -> np.nda
     return w
 
 
-def logistic(x: Sparse, extra: np.ndarray, y: np.ndarray, ridge: float = 1e-4, steps: int = 200) -> np.ndarray:
-    """Weights of the features, of the ``extra`` dense columns and of the constant."""
+def logistic(x: Rows, extra: np.ndarray, y: np.ndarray, ridge: float = 1e-4, steps: int = 200, fixed: bool = False) -> np.ndarray:
+    """Weights of the features, of the ``extra`` dense columns and of the constant.
+
+    A ``fixed`` constant is the log odds of ``y`` itself, so that a text of few known features gets about that."""
     k = extra.shape[1] if extra.ndim == 2 else 0
     dense = np.column_stack([extra.reshape(x.n, k), np.ones(x.n)])
+    start = np.zeros(x.width + k + 1)
+    if fixed:
+        start[-1] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
 
     def gradient(w):
         g = (sigmoid(x.dot(w[: x.width]) + dense @ w[x.width :]) - y) / max(x.n, 1)
-        return np.concatenate([x.back(g), g @ dense]) + ridge * w
+        out = np.concatenate([x.back(g), g @ dense]) + ridge * w
+        out[-1] *= not fixed
+        return out
 
-    return descend(gradient, x.width + k + 1, steps)
+    return descend(gradient, x.width + k + 1, steps, start=start)

@@ -154,12 +154,22 @@ def chance(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return BUCKETS * both * 0.17 * 4 * ratio / (1 + ratio) ** 2 / (1 << MANTISSA)
 
 
+def least_similar(used: np.ndarray) -> np.ndarray:
+    """The least estimate that passes, of so many registers."""
+    t = SIMILAR / 100
+    return t - ERRORS * np.sqrt(t * (1 - t) / used) - 1 / used
+
+
+def set_bits(flags: np.ndarray) -> np.ndarray:
+    """How many of the BUCKETS flags of each row are set."""
+    return np.bitwise_count(np.packbits(flags, axis=1).view(np.uint64)).sum(1, dtype=np.int64)
+
+
 def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Collision-corrected Jaccard similarity, and the least value that still passes."""
-    used = np.maximum(((a > 0) | (b > 0)).sum(1), 1)
-    similar = np.clip((((a == b) & (a > 0)).sum(1) - chance(n, m)) / used, 0, 1)
-    t = SIMILAR / 100
-    return similar, t - ERRORS * np.sqrt(t * (1 - t) / used) - 1 / used
+    used = np.maximum(set_bits((a | b) > 0), 1)
+    same = BUCKETS - set_bits(a != b) - (BUCKETS - used)  # equal, and not both empty
+    return np.clip((same - chance(n, m)) / used, 0, 1), least_similar(used)
 
 
 def sketch(docs: DataFrame) -> DataFrame:
@@ -342,17 +352,17 @@ def links_between(doc: np.ndarray, component: np.ndarray, side: np.ndarray, own:
     regs, out = registers(sets), []
     names, count = np.unique(component, return_counts=True)
     main = names[count.argmax()]
-    other = component != main
+    other, first = component != main, np.searchsorted(n, n * SIMILAR / 100, "left")
+    last = np.searchsorted(n, n * 100 / SIMILAR, "right")
     for x in np.flatnonzero(other).tolist():
-        low, high = np.searchsorted(n, n[x] * SIMILAR / 100, "left"), np.searchsorted(n, n[x] * 100 / SIMILAR, "right")
-        at = np.arange(low, high)
-        at = at[~other[at] | (at > x)]  # of two others the pair comes once
-        at = at[(component[at] != component[x]) & ((side[at] != side[x]) | (side[x] == 2)) & (own[at] | own[x])]
-        if not len(at):
+        at = slice(int(first[x]), int(last[x]))
+        open_ = (component[at] != component[x]) & (own[at] | own[x]) & ((side[at] != side[x]) | (side[x] == 2))
+        open_ &= ~other[at] | (np.arange(at.start, at.stop) > x)  # of two others the pair comes once
+        if not open_.any():
             continue
-        similar, least = estimate(regs[at], regs[x][None, :], n[at], np.full(len(at), n[x]))
-        passed = similar >= least
-        at = at[passed][np.argsort(-similar[passed], kind="stable")]
+        similar, least = estimate(regs[at], regs[x][None, :], n[at], n[x : x + 1])
+        passed = np.flatnonzero(open_ & (similar >= least))
+        at = at.start + passed[np.argsort(-similar[passed], kind="stable")]
         while len(at):
             now, at = at[:16], at[16:]
             shared = shared_with(sets[x], np.concatenate([sets[k] for k in now]), np.cumsum(n[now]) - n[now])

@@ -4,7 +4,8 @@ Trusted positives are labelled rows of quality 1, unlabelled text is the corpus
 and repetition measures minimises the non-negative unbiased risk: the unlabelled risk of the negative class less what the
 class prior says of it is positive, kept from falling below zero. The prior is estimated from the same sample.
 
-The fit sees at most about ``most`` rows of each kind, picked by the hash of their doc_id; every text is scored whole.
+The fit sees about ``most`` documents of each kind at most, picked by the hash of their doc_id, one text each; their features
+are made in parallel and written down as sparse rows. Every text is scored whole.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, crc_mod, materialize, text_slices
-from .linear import Sparse, Words, descend, in_parts, logistic, matrix, shapes, sigmoid
+from .linear import Rows, Sparse, Words, descend, featured, logistic, matrix, one_text, shapes, sigmoid
 
 #: Rows of each kind in the fit, on average.
 MOST = 8000
@@ -29,7 +30,7 @@ THRESHOLD = 0.3
 
 @lru_cache(maxsize=1)
 def shape_words() -> Words:
-    return Words(*shapes(BITS))
+    return Words(*shapes(BITS), piece=64)
 
 
 def features(texts: list[bytes]) -> tuple[Sparse, np.ndarray]:
@@ -48,7 +49,7 @@ def features(texts: list[bytes]) -> tuple[Sparse, np.ndarray]:
     return Sparse(doc, feature, 10 / 3 * np.sqrt(n / length[doc]), len(sizes), 1 << BITS), dense
 
 
-def logits(x: Sparse, dense: np.ndarray, w: np.ndarray) -> np.ndarray:
+def logits(x: Sparse | Rows, dense: np.ndarray, w: np.ndarray) -> np.ndarray:
     return x.dot(w[: x.width]) + dense @ w[x.width : -1] + w[-1]
 
 
@@ -65,12 +66,11 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     return float(np.clip(((share["u"] - error["u"]) / (share["p"] + error["p"])).min(), 0.05, 0.95))
 
 
-def fit(texts: list[bytes], positive: np.ndarray, ridge: float = 1e-4, steps: int = 250) -> tuple[np.ndarray, float]:
+def fit(x: Rows, dense: np.ndarray, positive: np.ndarray, ridge: float = 1e-4, steps: int = 250) -> tuple[np.ndarray, float]:
     """Weights (features, dense, constant) and the prior. Without positives or unlabelled rows: zeros, every score is 0.5."""
-    x, dense = in_parts(features, texts)
     if not positive.any() or positive.all():
         return np.zeros(x.width + DENSE + 1), 0.5
-    half = np.arange(len(texts)) % 2 == 0
+    half = np.arange(x.n) % 2 == 0
     w = logistic(x.take(half), dense[half], positive[half].astype(float), 1e-3, 120)
     s = logits(x.take(~half), dense[~half], w)
     prior = class_prior(s[positive[~half]], s[~positive[~half]])
@@ -78,19 +78,24 @@ def fit(texts: list[bytes], positive: np.ndarray, ridge: float = 1e-4, steps: in
     dp, du = (np.column_stack([dense[k], np.ones(k.sum())]) for k in (positive, ~positive))
 
     def gradient(w):
-        gp, gu = sigmoid(xp.dot(w[: x.width]) + dp @ w[x.width :]), sigmoid(xu.dot(w[: x.width]) + du @ w[x.width :])
-        negative = prior * np.log(1 - gp + 1e-9).mean() - np.log(1 - gu + 1e-9).mean()
-        if negative >= 0:
-            a, b = prior * (gp - 1 - gp) / xp.n, gu / xu.n
-        else:  # the negative class's risk has been fitted away: step back up
-            a, b = prior * gp / xp.n, -gu / xu.n
-        return np.concatenate([xp.back(a) + xu.back(b), a @ dp + b @ du]) + ridge * w
+        return risk_gradient(w, xp, dp, xu, du, prior) + ridge * w
 
     return descend(gradient, x.width + DENSE + 1, steps, 0.05), prior
 
 
+def risk_gradient(w: np.ndarray, xp: Rows, dp: np.ndarray, xu: Rows, du: np.ndarray, prior: float) -> np.ndarray:
+    """Gradient of the risk: the positives' cost, and what the unlabelled rows cost as negatives less the prior's share of it."""
+    gp, gu = sigmoid(xp.dot(w[: xp.width]) + dp @ w[xp.width :]), sigmoid(xu.dot(w[: xp.width]) + du @ w[xp.width :])
+    negative = prior * np.log(1 - gp + 1e-9).mean() - np.log(1 - gu + 1e-9).mean()
+    if negative >= 0:
+        a, b = prior * (gp - 1 - gp) / xp.n, gu / xu.n
+    else:  # the negative class's risk has been fitted away: step back up
+        a, b = prior * gp / xp.n, -gu / xu.n
+    return np.concatenate([xp.back(a) + xu.back(b), a @ dp + b @ du])
+
+
 def sampled(df: DataFrame, most: int, salt: str) -> DataFrame:
-    """About ``most`` rows at most, those whose doc_id's hash is low."""
+    """About ``most`` documents at most, those whose doc_id's hash is low."""
     share = min(1.0, most / max(df.count(), 1))
     return df.where(F.pmod(F.xxhash64(F.lit(salt), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
 
@@ -100,13 +105,15 @@ def train(docs: DataFrame, labels: DataFrame, fold: int = 5, held: int = 0, most
     open_ = lambda df: df.where(F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), fold) != held))
     trusted = sampled(open_(labels.where("quality = 1").select(F.col("doc_id").cast("long"))).distinct(), most, "trusted")
     texts = open_(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    positive = texts.join(F.broadcast(trusted), "doc_id").select("text", F.lit(True).alias("positive"))  # about ``most`` ids
-    sample = materialize(sampled(texts, most, "unlabelled").select("text", F.lit(False).alias("positive")).unionByName(positive), "quality-sample")
+    positive = one_text(texts.join(F.broadcast(trusted), "doc_id"))  # about ``most`` ids
+    some = one_text(sampled(texts, most, "unlabelled"))
+    rows = some.select("text", "doc_id", F.lit(False).alias("positive")).unionByName(positive.select("text", "doc_id", F.lit(True).alias("positive")))
+    sample = featured(rows.withColumn("place", F.xxhash64("doc_id", "positive")), features, ["place", "positive"], "quality-sample")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["positive", "text"], na_position="first")
-        rows = rows.sample(frac=1, random_state=0)
-        w, prior = fit([(t or "").encode() for t in rows["text"]], rows["positive"].to_numpy(bool))
+        rows = rows.sort_values("place", ignore_index=True)
+        dense = np.frombuffer(b"".join(rows["dense"]), "<f8").reshape(len(rows), DENSE)
+        w, prior = fit(Rows.of(rows["ids"], rows["values"], 1 << BITS), dense, rows["positive"].to_numpy(bool))
         return pd.DataFrame({"w": [w.tolist()], "prior": [prior]})
 
     found = sample.withColumn("part", F.lit(0)).groupBy("part").applyInPandas(run, "w array<double>, prior double").first()
@@ -132,7 +139,9 @@ def score(docs: DataFrame, w: np.ndarray) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, fold: int = 5, held: int = 0, threshold: float = THRESHOLD, **settings) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of ``docs``; repeated rows score alike, other columns are ignored.
 
-    No label, language, source or id is an input of a score. A null doc_id is not held out and not learnt from."""
+    No label, language, source or id is an input of a score. A null doc_id is not held out and not learnt from; null text is
+    empty, and an empty text has a score of its own from a feature that says so; texts of any length are scored whole; a
+    score at the threshold is predicted 1; an empty table gives no row, and without labels every score is 0.5."""
     w, _ = train(docs, labels, fold, held, **settings)
     scored = score(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), w)
     return scored.select("doc_id", (crc_mod(F.col("doc_id"), fold) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
