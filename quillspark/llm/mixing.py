@@ -28,6 +28,11 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def inclusion(size: Column) -> Column:
+    """Inclusion weight of a document: sixteen times the root of its words, whole, so that sums do not depend on their order."""
+    return F.greatest(F.floor(16 * F.sqrt(size)).cast("long"), F.lit(1).cast("long"))
+
+
 def targets(sized: DataFrame, most: int = MOST) -> DataFrame:
     """source, source_size, target: all sizes shared by the weights 1, 2, 3, 1, ... of the sources in code-point order (null last).
 
@@ -59,7 +64,7 @@ def with_order(sized: DataFrame, shares: DataFrame, seed: str, weight: str | Non
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     out = out.withColumn("whole", F.floor(ratio).cast("long")).withColumn("part", ratio - F.floor(ratio))
     out = out.withColumn("need", F.col("target") - F.col("whole") * F.col("source_size"))
-    odds = F.col("part") if weight is None else F.least(F.lit(1.0), F.col("part") * F.col(weight) / F.col("mean_weight"))
+    odds = F.col("part") if weight is None else F.least(F.lit(1.0), F.col("part") * (F.col(weight) / F.col("mean_weight")))
     u = uniform(F.col("doc_id"), seed)
     place = (u / (1 - u)) / (odds / (1 - odds))
     return out.withColumn("v", F.when(odds <= 0, 1.0).when(odds >= 1, 0.0).otherwise(place / (1 + place)))
@@ -68,21 +73,23 @@ def with_order(sized: DataFrame, shares: DataFrame, seed: str, weight: str | Non
 def mix(docs: DataFrame, most: int = MOST, seed: str = SEED, weight: str | None = None, buckets: int = BUCKETS, stats: DataFrame | None = None) -> DataFrame:
     """``docs`` (doc_id, source, size and any others) with source_size, target and copies (0 to ``most``).
 
-    ``weight`` names a column of relative inclusion weights (none: all alike). A null source is a source of its own;
+    ``weight`` names a column of relative inclusion weights (none: all alike), whole numbers if reruns must agree to the last
+    bit: a document's inclusion odds are the part of a copy that its source wants, times its weight over the mean weight of a
+    word. A null source is a source of its own;
     a null or empty text has size 0 and costs nothing; repeated rows are separate documents that are taken or left
-    alike but at a target's end; columns named as the added ones are replaced; an empty table gives none. ``stats``: the same doc_id, source, size, if they are
-    already written down."""
+    alike but at a target's end; columns named as the added ones are replaced; an empty table gives none. ``stats``: the same doc_id, source, size and weight, if they
+    are already written down."""
     keep = [c for c in docs.columns if c not in ("source_size", "target", "copies")]
     narrow = ["doc_id", "source", "size"] + ([weight] if weight else [])
     stats = stats if stats is not None else materialize(docs.select(*narrow), "sizes")
     shares = materialize(targets(stats, most).withColumnRenamed("source", "src"), "targets")
     if weight:
-        means = stats.groupBy(F.col("source").alias("s")).agg((F.sum(F.col(weight) * F.col("size")) / F.sum("size")).alias("mean_weight"))
+        means = stats.groupBy(F.col("source").alias("s")).agg(F.coalesce(F.try_divide(F.sum(F.col(weight) * F.col("size")), F.sum("size")), F.lit(1.0)).alias("mean_weight"))
         shares = shares.join(means, F.col("src").eqNullSafe(F.col("s"))).drop("s")
     n = shares.count()
     small = (lambda df: F.broadcast(df)) if n <= BROADCAST_SOURCES else (lambda df: df)
     bucket = F.least(F.floor(F.col("v") * buckets), F.lit(buckets - 1)).cast("int").alias("b")
-    sums = with_order(stats, small(shares), seed, weight).groupBy("src", bucket).agg(F.sum("size").alias("words"), F.max("need").alias("need"))
+    sums = with_order(stats, small(shares), seed, weight).where("part > 0").groupBy("src", bucket).agg(F.sum("size").alias("words"), F.max("need").alias("need"))
     upto = Window.partitionBy("src").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
     over = sums.withColumn("cum", F.sum("words").over(upto)).where("cum > need")
     ends = over.groupBy(F.col("src").alias("end_src")).agg(F.min(F.struct("b", (F.col("cum") - F.col("words")).alias("before"))).alias("end"))
@@ -104,6 +111,8 @@ SQL = f"""
 WITH sized AS (
   SELECT doc_id, source, CAST(CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) END AS BIGINT) AS size FROM documents),
 sums AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
+means AS (SELECT source AS mean_source, CASE WHEN sum(size) > 0 THEN CAST(sum(weight * size) AS DOUBLE) / CAST(sum(size) AS DOUBLE) ELSE 1.0 END AS mean_weight
+  FROM (SELECT *, greatest(CAST(floor(16 * sqrt(size)) AS BIGINT), 1) AS weight FROM sized) GROUP BY source),
 weighed AS (SELECT *, (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS weight, source_size * {MOST} AS cap FROM sums),
 levels AS (
   SELECT *, CAST((SELECT sum(source_size) FROM sums) - coalesce(sum(cap) OVER (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
@@ -112,13 +121,14 @@ water AS (SELECT max(level) AS water FROM levels WHERE level <= cap / weight),
 shares AS (SELECT source, source_size, least(CAST(cap AS DOUBLE), coalesce(water, 0.0) * weight) AS target FROM levels, water),
 ordered AS (
   SELECT d.doc_id, d.size, s.*, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS ratio,
+    CAST(greatest(CAST(floor(16 * sqrt(d.size)) AS BIGINT), 1) AS DOUBLE) / mean_weight AS lead,
     (CAST(CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / {float(1 << 52)} AS u
-  FROM sized d JOIN shares s ON d.source IS NOT DISTINCT FROM s.source),
+  FROM sized d JOIN shares s ON d.source IS NOT DISTINCT FROM s.source JOIN means m ON d.source IS NOT DISTINCT FROM m.mean_source),
+odded AS (SELECT *, floor(ratio) AS whole, ratio - floor(ratio) AS part, target - floor(ratio) * source_size AS need, least(1.0, (ratio - floor(ratio)) * lead) AS odds FROM ordered),
 placed AS (
-  SELECT *, floor(ratio) AS whole, ratio - floor(ratio) AS part, target - floor(ratio) * source_size AS need,
-    CASE WHEN ratio - floor(ratio) <= 0 THEN 1.0 ELSE (u / (1 - u)) / ((ratio - floor(ratio)) / (1 - (ratio - floor(ratio)))) END AS place FROM ordered),
+  SELECT *, CASE WHEN odds <= 0 THEN 1.0 WHEN odds >= 1 THEN 0.0 ELSE (u / (1 - u)) / (odds / (1 - odds)) / (1 + (u / (1 - u)) / (odds / (1 - odds))) END AS v FROM odded),
 cums AS (
-  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY CASE WHEN part <= 0 THEN 1.0 ELSE place / (1 + place) END, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS cum FROM placed)
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY v, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS cum FROM placed)
 SELECT doc_id, size, source_size, target,
   CAST(size * (whole + CASE WHEN part > 0 AND cum + size / 2 <= need THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM cums

@@ -20,64 +20,75 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents."""
     from .neardup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five highest integer inner products of every 50th vector with all others."""
     from .vectors import exact_search
 
     return exact_search(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), k=5)
 
 
 def op7_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors found of every 50th vector among all others."""
     from .vectors import approximate_search
 
     return approximate_search(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), k=5)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids in sequences of 1024."""
     from .packing import pack
 
     return pack(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer("bytes"), window=1024, end_id=0)
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids, written to token files and read back."""
     from .huffman import read_token_files, write_token_files
 
     return read_token_files(write_token_files(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer("words"), end_id=2))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of every document; longer documents have higher odds."""
     from pyspark.sql import functions as F
 
     from .common import materialize
-    from .mixing import mix, words
+    from .mixing import inclusion, mix, words
 
-    sized = materialize(table(spark, sf_dir, "documents", "doc_id", "source", "text").select("doc_id", "source", words(F.col("text")).alias("size")), "sizes")
-    return mix(sized, stats=sized).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    sized = table(spark, sf_dir, "documents", "doc_id", "source", "text").select("doc_id", "source", words(F.col("text")).alias("size"))
+    sized = materialize(sized.withColumn("weight", inclusion(F.col("size"))), "sizes")
+    return mix(sized, weight="weight", stats=sized).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A WARC record for every page, written to archives and read back."""
     from .warc import read_archives, write_archives
 
     return read_archives(write_archives(table(spark, sf_dir, "pages", "page_id", "url", "html")))
 
 
 def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log probabilities under the suffix tree and under word counts."""
     from .suffix_tree import train_and_score
 
     return train_and_score(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity by the classifier chain."""
     from .toxicity import classify
 
     return classify(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality by the positive-unlabelled model."""
     from .quality import classify
 
     return classify(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"))
