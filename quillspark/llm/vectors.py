@@ -4,37 +4,35 @@ Both searches work on distinct vectors: equal vectors form one class that keeps
 that a third of all rows share is one candidate and one query. The ids come back at the end.
 
 Exact top k: the classes lie in shards, and a shard has one sorted list for each component. A query reads its lists in step,
-keeps a lower and an upper bound of every score, and stops reading once all but a few rows cannot reach
-the k-th lower bound; those few are resolved. Shards' results are merged.
+keeps a lower and an upper bound of every score, and drops rows whose upper bound is below the k-th lower bound. The lists
+are read on until every row that is left has been met in all of them, which gives its score; no row is looked up. Shards'
+results are merged.
 
-Approximate: random projections are ordered along several shifted Hilbert curves, each cut into blocks of equal share; a query
-is compared in full with the blocks around its own on every curve, and what the curves find is merged and ranked.
+Approximate: random projections are ordered along several shifted Hilbert curves by range partitions. A query meets the
+``window`` classes on either side of its place on every curve; a pair is scored on the first curve that brings it
+together, and what the curves find is merged and ranked.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lowest_hashes, materialize
+from .common import materialize
 
 EVERY = 50
 SALTS = 16
 #: Exact search: rows of a shard, queries of a block.
 SHARD, QUERIES = 8192, 512
 #: How deep the lists are read before the bounds are looked at, in sixteenths.
-DEPTHS = (2, 10)
-#: Rows that may stay open at the end, as a part of the shard: they are resolved at once.
-FEW = 5
-#: Approximate search: curves, projected dimensions and bits of each; share of the rows on either side; rows of a block.
-CURVES, DIMENSIONS, BITS, WINDOW, BLOCK = 8, 4, 10, 0.1, 2048
-#: Rows whose keys cut a curve into blocks, for each block.
-PER_BLOCK = 32
+DEPTHS = (13, 15, 16)
+#: Approximate search: curves, projected dimensions and bits of each; share of the classes on either side; rows of a block.
+CURVES, DIMENSIONS, BITS, WINDOW, BLOCK = 12, 8, 6, 0.055, 4096
+#: Classes on either side at least.
+LEAST = 64
 
 
 def usable(df: DataFrame, nonzero: bool) -> DataFrame:
@@ -73,31 +71,54 @@ def sorted_lists(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.take_along_axis(x.T, order, 1).astype(np.float64)
 
 
-def no_random_access(x: np.ndarray, lists: tuple[np.ndarray, np.ndarray], q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+def no_random_access(lists: tuple[np.ndarray, np.ndarray], q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
     """(rows, scores, depth read) of the k best integer inner products of ``q`` in a shard; rows of equal score are all found.
 
-    After a first shallow step the rows that lead by what was read are resolved: their scores are lower bounds that let
-    the reading stop; bounds from the lists' ends alone would have them read out."""
-    n, (order, value) = len(x), lists
-    up, down = q > 0, q < 0
-    least = float((q[up] * value[up, 0]).sum() + (q[down] * value[down, -1]).sum())
-    for step, depth in enumerate(sorted({max(1, n * part // 16) for part in DEPTHS})):
-        ids = np.concatenate([order[up, n - depth :], order[down, :depth]])
-        if not len(ids):
-            break
-        part = np.concatenate([value[up, n - depth :], value[down, :depth]])
-        part *= np.concatenate([q[up], q[down]])[:, None]
-        last = np.concatenate([part[: up.sum(), 0], part[up.sum() :, -1]])[:, None]  # what the lists have come down to
-        part -= last
-        upper = last.sum() + np.bincount(ids.ravel(), part.ravel(), n)
-        if not step:
-            lead = np.argpartition(-upper, min(8 * k, n) - 1)[: 8 * k]
-            if len(lead) >= k:
-                least = max(least, float(np.sort(x[lead] @ q)[-k]))
-        open_ = np.flatnonzero(upper >= least)
-        if len(open_) <= max(16 * k, n // FEW):
-            return open_, x[open_] @ q, depth
-    return np.arange(n), x @ q, n
+    Only the sorted lists are read, each from the end that ``q`` favours. A row's lower bound takes the far end of every list
+    in which it has not been met, its upper bound what that list has come down to."""
+    order, value = lists
+    n, use = order.shape[1], np.flatnonzero(q)
+    if not len(use):
+        return np.arange(n), np.zeros(n, np.int64), 0
+    up, factor = q[use] > 0, q[use].astype(np.float64)
+    worst = factor * np.where(up, value[use, 0], value[use, -1])
+    lower, held, place, met_all = np.full(n, worst.sum()), np.zeros(n), None, []
+    depth = max(1, n * DEPTHS[0] // 16)
+    gap = factor * np.where(up, value[use, n - depth], value[use, depth - 1]) - worst
+    for c, is_up, f, w, g in zip(use.tolist(), up.tolist(), factor.tolist(), worst.tolist(), gap.tolist(), strict=True):
+        span = slice(n - depth, n) if is_up else slice(0, depth)
+        met = order[c, span]
+        lower[met] += value[c, span] * f - w
+        held[met] += g
+        met_all.append(met)
+    open_ = lower + (gap.sum() - held) >= (np.partition(lower, -k)[-k] if n >= k else -np.inf)
+    left = np.flatnonzero(open_)
+    # from here on only the rows that are still open: their bounds, and the lists in which they have not been met
+    place = np.full(n, -1)
+    place[left] = np.arange(len(left))
+    unmet = np.ones((len(use), len(left)), bool)
+    for j, met in enumerate(met_all):
+        unmet[j, place[met[open_[met]]]] = False
+    lower = lower[left]
+    for part in DEPTHS[1:]:
+        to = n if part == DEPTHS[-1] else max(depth, n * part // 16)
+        if not unmet.any() or to == depth:
+            continue
+        for j, (c, is_up, f, w) in enumerate(zip(use.tolist(), up.tolist(), factor.tolist(), worst.tolist(), strict=True)):
+            span = slice(n - to, n - depth) if is_up else slice(depth, to)
+            at = place[order[c, span]]
+            new = at >= 0
+            at = at[new]
+            lower[at] += value[c, span][new] * f - w
+            unmet[j, at] = False
+        depth = to
+        gap = factor * np.where(up, value[use, n - depth], value[use, depth - 1]) - worst
+        out = lower + gap @ unmet < (np.partition(lower, -k)[-k] if len(left) >= k else -np.inf)
+        if out.any():
+            left, lower, unmet = left[~out], lower[~out], unmet[:, ~out]
+            place[:] = -1
+            place[left] = np.arange(len(left))
+    return left, np.rint(lower).astype(np.int64), depth
 
 
 def exact_search(df: DataFrame, k: int = 5, shard: int = SHARD, block: int = QUERIES) -> DataFrame:
@@ -121,7 +142,7 @@ def exact_search(df: DataFrame, k: int = 5, shard: int = SHARD, block: int = QUE
             x = np.stack(rows["vector"].to_numpy()).astype(np.int64)
             lists, ids = sorted_lists(x), rows["ids"].to_numpy()
             for qc, q in zip(queries["qc"], queries["vector"], strict=True):
-                at, score, _ = no_random_access(x, lists, np.asarray(q, np.int64), k + 1)
+                at, score, _ = no_random_access(lists, np.asarray(q, np.int64), k + 1)
                 if len(at) > k + 1:
                     edge = np.partition(score, -(k + 1))[-(k + 1)]
                     keep = score >= edge
@@ -176,26 +197,10 @@ def curve_keys(x: np.ndarray, curve: int, dimensions: int = DIMENSIONS, bits: in
     return hilbert(grid.astype(np.int64), bits)
 
 
-def approximate_search(df: DataFrame, k: int = 5, curves: int = CURVES, window: float = WINDOW, block: int = BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score: the k largest cosines found for every query among all other rows.
+def places(all_: DataFrame, curves: int) -> DataFrame:
+    """c, d, ranks: the place of every class (c, vector) on each curve, among the classes of its length.
 
-    A curve's blocks are cut at keys of a bounded sample (the classes of lowest hash); every class is indexed on every curve.
-    ``window`` is the share of a curve searched on either side of a query. Zero, null and non-finite vectors
-    take no part; lengths, repeated and null ids, other columns and empty tables as in ``exact_search``."""
-    all_, asked = classes(usable(df, True).withColumnRenamed("embedding", "vector"), k)
-    sizes = {r["d"]: r["count"] for r in all_.groupBy(F.size("vector").alias("d")).count().collect()}
-    plans = {}
-    for d, n in sizes.items():
-        blocks = max(round(2 / window), -(-n // block))
-        mine = all_.where(F.size("vector") == d)
-        picked = lowest_hashes(mine, F.xxhash64("c"), blocks * PER_BLOCK).select("vector").collect()
-        x = np.array([r["vector"] for r in picked]).reshape(len(picked), d)
-        cuts = []
-        for curve in range(curves):
-            keys = np.sort(curve_keys(x, curve))
-            cuts.append(keys[(np.arange(1, blocks) * len(keys)) // blocks])
-        plans[d] = (np.array(cuts), max(1, round(window * blocks)))
-    shared = df.sparkSession.sparkContext.broadcast(plans)
+    Keys are range-partitioned; a partition's places follow from the counts of those before it."""
 
     def index(batches):
         for batch in batches:
@@ -205,43 +210,73 @@ def approximate_search(df: DataFrame, k: int = 5, curves: int = CURVES, window:
                 lengths = np.array([len(v) for v in vectors])
                 for d in set(lengths.tolist()):
                     rows = np.flatnonzero(lengths == d)
-                    x = np.array([vectors[i] for i in rows], dtype=np.float64)
-                    cuts, _ = shared.value[d]
-                    mine = part.take(pa.array(rows))
+                    x, mine = np.array([vectors[i] for i in rows], dtype=np.float64), part.column(0).take(pa.array(rows))
                     for curve in range(curves):
-                        key = curve_keys(x, curve)
-                        low, high = np.searchsorted(cuts[curve], key, "left"), np.searchsorted(cuts[curve], key, "right")
-                        spread = np.array([zlib.crc32(c.encode()) for c in mine.column(0).to_pylist()]) if (low < high).any() else 0
-                        yield mine.append_column("curve", pa.array(np.full(len(rows), curve, np.int32))).append_column("block", pa.array((low + spread % (high - low + 1)).astype(np.int32)))
+                        yield pa.RecordBatch.from_arrays([mine, pa.array(np.full(len(rows), d, np.int32)), pa.array(np.full(len(rows), curve, np.int32)), pa.array(curve_keys(x, curve))], ["c", "d", "curve", "key"])
+
+    keys = all_.select("c", "vector").mapInArrow(index, "c string, d int, curve int, key long")
+    order = ["d", "curve", "key", "c"]
+    ranged = keys.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())
+    ranged = materialize(ranged.drop("key"), "curves")
+    counts = ranged.groupBy("d", "curve", "part").agg(F.count("*").alias("n"), F.min("at").alias("first"))  # one row a partition, and one a curve
+    before = Window.partitionBy("d", "curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("d", "curve", "part", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    ranked_ = ranged.join(F.broadcast(counts), ["d", "curve", "part"]).select("c", "d", "curve", (F.col("at") - F.col("first") + F.col("before")).alias("r"))
+    return ranked_.groupBy("c", "d").agg(F.transform(F.sort_array(F.collect_list(F.struct("curve", "r"))), lambda x: x["r"]).alias("ranks"))
+
+
+def window_scores(rows: pd.DataFrame, queries: pd.DataFrame, k: int) -> tuple[list[tuple], int]:
+    """(qc, ids, score) of each query's k + 1 best in its window on this curve, and how many pairs were scored.
+
+    A pair whose windows meet on an earlier curve has been scored there."""
+    rows = rows.sort_values("r", ignore_index=True)
+    at, curve = rows["r"].to_numpy(), int(rows["curve"].iloc[0])
+    x, ranks, ids = np.stack(rows["vector"].to_numpy()), np.stack(rows["ranks"].to_numpy()), rows["ids"].to_numpy()
+    x = x / np.abs(x).max(1, keepdims=True)
+    nx, out, scored = np.sqrt((x * x).sum(1)), [], 0
+    for qc, r, theirs, q, reach in zip(*(queries[c] for c in ("qc", "r", "ranks", "vector", "reach")), strict=True):
+        low, high = np.searchsorted(at, r - reach, "left"), np.searchsorted(at, r + reach, "right")
+        near = np.arange(low, high)
+        if curve:
+            near = near[(np.abs(ranks[low:high, :curve] - theirs[:curve]) > reach).all(1)]
+        scored += len(near)
+        if not len(near):
+            continue
+        q = q / np.abs(q).max()
+        nq = np.sqrt((q * q).sum())
+        rough = x[near] @ q / (nx[near] * nq)
+        if len(near) > k + 1:
+            near = near[rough >= np.partition(rough, -(k + 1))[-(k + 1)] - 1e-12]  # all that tie with the last
+        score = (x[near] * q).sum(1) / (nx[near] * nq)
+        if len(near) > k + 1:
+            keep = np.lexsort((np.array([ids[i][0] for i in near]), -score))[: k + 1]
+            near, score = near[keep], score[keep]
+        out += [(qc, ids[i], s) for i, s in zip(near, score, strict=True)]
+    return out, scored
+
+
+def approximate_search(df: DataFrame, k: int = 5, curves: int = CURVES, window: float = WINDOW, block: int = BLOCK, least: int = LEAST) -> DataFrame:
+    """query_id, rank, vec_id, score: the k largest cosines found for every query among all other rows.
 
-    indexed = materialize(all_.select("c", "vector", "ids", "asked").mapInArrow(index, "c string, vector array<double>, ids array<long>, asked boolean, curve int, block int"), "curves")
-    reach = F.element_at(F.create_map(*[F.lit(v) for d, p in plans.items() for v in (d, p[1])]), F.size("vector")) if plans else F.lit(1)
-    size = F.size("vector").alias("d")
-    left = indexed.select(size, "curve", "block", "c", "vector", "ids")
-    right = indexed.where("asked").select(size, "curve", F.explode(F.sequence(F.col("block") - reach, F.col("block") + reach)).alias("block"), F.col("c").alias("qc"), "vector")
+    Every class is indexed on every curve. A query meets the share ``window`` of a curve, and ``least`` classes at least, on
+    either side, so it finds ``k`` others wherever there are so many. Zero, null and non-finite vectors
+    take no part; lengths, repeated and null ids, other columns and empty tables as in ``exact_search``."""
+    all_, asked = classes(usable(df, True).withColumnRenamed("embedding", "vector"), k)
+    ranks = materialize(places(all_, curves), "places")
+    sizes = materialize(ranks.groupBy("d").count(), "lengths").select("d", F.greatest(F.ceil(F.col("count") * window), F.lit(max(least, k + 1))).alias("reach"))
+    placed = materialize(all_.join(ranks, "c"), "placed").select("*", F.posexplode("ranks").alias("curve", "r"))
+    left = placed.select("d", "curve", F.floor(F.col("r") / block).alias("block"), "r", "ranks", "vector", "ids")
+    queries = placed.where("asked").withColumnRenamed("c", "qc").join(F.broadcast(sizes), "d")  # one row a length
+    reached = F.sequence(F.floor(F.greatest(F.col("r") - F.col("reach"), F.lit(0)) / block), F.floor((F.col("r") + F.col("reach")) / block))
+    right = queries.withColumn("block", F.explode(reached)).select("d", "curve", "block", "qc", "r", "ranks", "vector", "reach")
+    right = right.toDF(*right.columns)
 
     def search(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(rows) and len(queries):
-            x, q = np.stack(rows["vector"].to_numpy()), np.stack(queries["vector"].to_numpy())
-            x, q = (m / np.abs(m).max(1, keepdims=True) for m in (x, q))
-            nx, ids, c, qcs = np.sqrt((x * x).sum(1)), rows["ids"].to_numpy(), rows["c"].to_numpy(), queries["qc"].to_numpy()
-            for at in range(0, len(q), 256):
-                part = q[at : at + 256]
-                near = part @ (x / nx[:, None]).T
-                top = np.argpartition(-near, min(k, len(x) - 1), axis=1)[:, : k + 1]
-                for i, row in enumerate(top):
-                    edge = near[i, row].min()
-                    row = np.flatnonzero(near[i] >= edge - 1e-12)  # all that tie with the last
-                    score = (x[row] * part[i]).sum(1) / (nx[row] * np.sqrt((part[i] * part[i]).sum()))
-                    if len(row) > k + 1:
-                        keep = np.lexsort((np.array([ids[r][0] for r in row]), -score))[: k + 1]
-                        row, score = row[keep], score[keep]
-                    out += [(qcs[at + i], c[r], ids[r], s) for r, s in zip(row, score, strict=True)]
-        return pd.DataFrame(out, columns=["qc", "c", "ids", "score"])
-
-    found = left.groupBy("d", "curve", "block").cogroup(right.groupBy("d", "curve", "block")).applyInPandas(search, "qc string, c string, ids array<long>, score double")
-    return ranked(found.dropDuplicates(["qc", "c"]).drop("c"), asked, k)
+        out = window_scores(rows, queries, k)[0] if len(rows) and len(queries) else []
+        return pd.DataFrame(out, columns=["qc", "ids", "score"])
+
+    found = left.groupBy("d", "curve", "block").cogroup(right.groupBy("d", "curve", "block")).applyInPandas(search, "qc string, ids array<long>, score double")
+    return ranked(found, asked, k)
 
 
 SQL_EXACT = """

@@ -55,15 +55,67 @@ def test_exact(spark, shard, block):
     assert got == brute(data, False)
 
 
+class Counted(np.ndarray):
+    """A table of lists that notes how deep it is read, and allows slices of one list from either end only."""
+
+    def __getitem__(self, at):
+        if isinstance(at, tuple) and isinstance(at[1], slice):
+            assert np.isscalar(at[0])
+            self.read.append((at[0], at[1].start, at[1].stop))
+        else:
+            assert isinstance(at, tuple) and np.isscalar(at[1])  # the ends, and what the lists have come down to
+        return np.asarray(self)[at]
+
+
 def test_reading_stops_early_and_exactly():
+    """Lists are read in order only, once each; where some rows lead in all lists, the bounds end the reading."""
     rng = np.random.default_rng(3)
-    x = np.floor(256 * rng.normal(size=(4000, 16)) / 4).astype(np.int64)
-    lists, depths = V.sorted_lists(x), []
-    for q in x[:50]:
-        at, score, depth = V.no_random_access(x, lists, q, 6)
+    x = np.floor(256 * (1 + 0.1 * rng.normal(size=(4000, 16))) * rng.gamma(0.5, size=(4000, 1))).astype(np.int64)
+    order, value = V.sorted_lists(x)
+    value = value.view(Counted)
+    depths = []
+    for q in [*x[:40], np.zeros(16, np.int64)]:
+        value.read = []
+        at, score, depth = V.no_random_access((order, value), q, 6)
         depths.append(depth)
         assert (np.sort(score)[-6:] == np.sort(x @ q)[-6:]).all()
-    assert min(depths) < 4000
+        for j in range(16):
+            spans = [(a, b) for i, a, b in value.read if i == j]
+            forward, backward = sorted(spans), sorted(spans, reverse=True)
+            assert spans in (forward, backward) and all(a[1] == b[0] for a, b in zip(forward, forward[1:], strict=False))
+            assert sum(b - a for a, b in spans) in (0, depth)
+    assert min(depths[:-1]) < 4000
+
+
+def test_reading_a_few_rows():
+    for n in range(1, 9):
+        x = np.arange(n * 3).reshape(n, 3) % 5 - 2
+        at, score, _ = V.no_random_access(V.sorted_lists(x), np.array([1, -2, 0]), 6)
+        assert sorted(at.tolist()) == list(range(n)) or n > 6
+        assert (score == x[at] @ np.array([1, -2, 0])).all()
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 6, 7, 12, 30])
+def test_approximate_gives_all_of_a_small_table(spark, n):
+    data = [(50 * k, np.random.default_rng(k).normal(size=8).astype(np.float32).tolist()) for k in range(n)]
+    got = sorted(tuple(r) for r in V.approximate_search(frame(spark, data), curves=3).collect())
+    assert [r[:3] for r in got] == [r[:3] for r in brute(data, True)] and len(got) == n * min(5, n - 1)
+
+
+def test_pairs_are_scored_once():
+    """Over all curves a pair comes once, in the first window that holds it."""
+    import pandas as pd
+
+    rng = np.random.default_rng(2)
+    x, n, reach = rng.normal(size=(300, 6)), 300, 25
+    ranks = np.array([np.argsort(np.argsort(V.curve_keys(x, c), kind="stable"), kind="stable") for c in range(4)]).T
+    scored = 0
+    for c in range(4):
+        rows_ = pd.DataFrame({"curve": c, "r": ranks[:, c], "ranks": list(ranks), "vector": list(x), "ids": [[k] for k in range(n)]})
+        asked = pd.DataFrame({"qc": range(0, n, 50), "r": ranks[::50, c], "ranks": list(ranks[::50]), "vector": list(x[::50]), "reach": reach})
+        scored += V.window_scores(rows_, asked, 5)[1]
+    want = sum((np.abs(ranks - ranks[q]) <= reach).any(1).sum() for q in range(0, n, 50))
+    assert scored == want
 
 
 def test_approximate(spark):
