@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import math
 import tempfile
 import uuid
@@ -121,7 +122,25 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def text_slices(batches, column: int = 1, most: int = 8 << 20):
+def text_session(spark: SparkSession) -> None:
+    """Arrow batches of long texts hold 8 MB, unless the session says something else than Spark's 64."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("67108864b", "67108864", "64m", "64MB"):
+        spark.conf.set(key, str(8 << 20))
+
+
+def release() -> None:
+    """Give memory that is free in this Python worker back to the machine."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # no glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def text_slices(batches, column: int = 1, most: int = 2 << 20):
     """Slices of Arrow batches with at most ``most`` bytes of text each (one text may be longer)."""
     import pyarrow.compute as pc
 
@@ -133,6 +152,7 @@ def text_slices(batches, column: int = 1, most: int = 8 << 20):
             end = max(at + 1, int(np.searchsorted(ends, done + most, "right")))
             yield batch.slice(at, end - at)
             at = end
+    release()
 
 
 def as_bytes(column) -> list[bytes]:

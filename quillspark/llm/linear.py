@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,12 @@ MEMO = 300_000
 BLOCK = 1 << 18
 
 
+@lru_cache(maxsize=1)
+def memo(kind: str, bits: int, piece: int | None = None) -> Words:
+    """The words that this Python worker has met, of one kind of features at a time."""
+    return Words(*{"affixes": affixes, "shapes": shapes}[kind](bits), piece=piece)
+
+
 class Words(dict):
     """Word to its row of feature ids, in bounded memory. Words of over ``piece`` bytes count as several, one a piece."""
 

@@ -10,16 +10,14 @@ are made in parallel and written down as sparse rows. Every text is scored whole
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, crc_mod, materialize, text_slices
-from .linear import Rows, Sparse, Words, descend, featured, logistic, matrix, one_text, shapes, sigmoid
+from .common import as_bytes, crc_mod, materialize, release, text_slices
+from .linear import Rows, Sparse, Words, descend, featured, logistic, matrix, memo, one_text, sigmoid
 
 #: Rows of each kind in the fit, on average.
 MOST = 8000
@@ -28,9 +26,8 @@ DENSE = 5
 THRESHOLD = 0.3
 
 
-@lru_cache(maxsize=1)
 def shape_words() -> Words:
-    return Words(*shapes(BITS), piece=64)
+    return memo("shapes", BITS, 64)
 
 
 def features(texts: list[bytes]) -> tuple[Sparse, np.ndarray]:
@@ -114,6 +111,7 @@ def train(docs: DataFrame, labels: DataFrame, fold: int = 5, held: int = 0, most
         rows = rows.sort_values("place", ignore_index=True)
         dense = np.frombuffer(b"".join(rows["dense"]), "<f8").reshape(len(rows), DENSE)
         w, prior = fit(Rows.of(rows["ids"], rows["values"], 1 << BITS), dense, rows["positive"].to_numpy(bool))
+        release()
         return pd.DataFrame({"w": [w.tolist()], "prior": [prior]})
 
     found = sample.withColumn("part", F.lit(0)).groupBy("part").applyInPandas(run, "w array<double>, prior double").first()

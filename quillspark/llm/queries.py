@@ -7,6 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 
 from . import mixing, vectors, warc
+from .common import text_session
 
 TOKENIZERS = {"words": "word_bpe_49k.json", "bytes": "byte_bpe_50k.json"}
 
@@ -16,6 +17,7 @@ def tokenizer(kind: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    text_session(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 

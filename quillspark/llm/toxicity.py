@@ -10,8 +10,6 @@ made once, in parallel, and written down as sparse rows. Every text is scored wh
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -19,8 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, crc_mod, materialize, text_slices
-from .linear import Rows, Sparse, Words, affixes, featured, logistic, matrix, one_text, sigmoid
+from .common import as_bytes, crc_mod, materialize, release, text_slices
+from .linear import Rows, Sparse, Words, featured, logistic, matrix, memo, one_text, sigmoid
 from .quality import sampled
 
 MOST = 6000
@@ -32,9 +30,8 @@ CATEGORIES = {"toxic_prose": "quality = 1 AND toxic = 1", "toxic": "toxic = 1"}
 THRESHOLD = 0.5
 
 
-@lru_cache(maxsize=1)
 def affix_words() -> Words:
-    return Words(*affixes(BITS))
+    return memo("affixes", BITS)
 
 
 def scale(sizes: np.ndarray) -> np.ndarray:
@@ -54,16 +51,15 @@ def fitting(k: int, folds: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         g = int(group["part"].iloc[0])
         group = group.sort_values("doc_id", ignore_index=True)
-        x, extra = Rows.of(group["ids"], group["values"], 1 << BITS), group[[f"p{j}" for j in range(k)]].to_numpy(float)
-        group = group[["doc_id", "fold", f"y{k}"]]
-        fitted = (group["fold"] != g).to_numpy()
-        w = np.zeros(x.width + k + 1)
+        extra, fitted, width = group[[f"p{j}" for j in range(k)]].to_numpy(float), (group["fold"] != g).to_numpy(), 1 << BITS
+        rows = lambda use: Rows.of(group["ids"][use], group["values"][use], width)
+        w = np.zeros(width + k + 1)
         if fitted.any():
-            w = logistic(x.take(fitted), extra[fitted], group[f"y{k}"].to_numpy(float)[fitted], RIDGE, 150, fixed=True)
+            w = logistic(rows(fitted), extra[fitted], group[f"y{k}"].to_numpy(float)[fitted], RIDGE, 150, fixed=True)
+        release()
         if g == folds:
             return pd.DataFrame({"doc_id": [0], "p": [0.0], "w": [w.astype("<f4").tobytes()]})
-        rest = x.take(~fitted)
-        odds = rest.dot(w[: x.width]) + extra[~fitted] @ w[x.width : -1] + w[-1]
+        odds = rows(~fitted).dot(w[:width]) + extra[~fitted] @ w[width:-1] + w[-1]
         return pd.DataFrame({"doc_id": group["doc_id"][~fitted], "p": sigmoid(odds), "w": None})
 
     return run
