@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import mixing, packing, quality, toxicity
-from quillspark.llm.common import materialize
+from quillspark.llm.common import materialize, text_session
 from quillspark.llm.neardup import near_duplicates
 from quillspark.llm.queries import table, tokenizer
 
@@ -39,6 +39,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Texts of one doc_id are one document and stay or go together; of its rows with the same text one stays, the one whose other
     columns come first as JSON."""
+    text_session(spark)
     dropped = near_duplicates(docs.select("doc_id", "text")).where("NOT kept").select("doc_id").distinct()
     once = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
     repeated = once.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
@@ -57,6 +58,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 1024 ids; null text is empty and has its end id alone; a repeated row is packed each time."""
+    text_session(spark)
     return packing.pack(docs.select("doc_id", "text"), tokenizer("bytes"), window=1024, end_id=0)
 
 
