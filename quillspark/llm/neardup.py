@@ -36,8 +36,8 @@ ERRORS = 6
 SPAN = 4
 #: Bytes of shingles in a chunk of the sweep; a set counts as LEAST bytes at least.
 CHUNK, LEAST = 8 << 20, 1024
-#: Parts in which the pairs of one document meet its shingles.
-SALTS = 64
+#: Pairs of one document beyond which they are dealt to parts, and how many parts.
+MANY, SALTS = 256, 64
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -188,8 +188,9 @@ def sketch(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, digest binary, registers binary")
 
 
-def bands(sketches: DataFrame) -> DataFrame:
-    """key, doc, n: a row for each band key of each class."""
+def bands(sketches: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
+    """key, doc, n: a row for each band key of each class; with ``bits`` only for keys whose bit is set."""
+    shared = None if bits is None else sketches.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
         for batch in batches:
@@ -198,13 +199,26 @@ def bands(sketches: DataFrame) -> DataFrame:
                 sizes = part.column(1).to_numpy()
                 rows = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint16).reshape(len(sizes), BUCKETS)
                 row, key = band_keys(rows, sizes)
+                key = key.view(np.int64)
+                if shared is not None:
+                    use = marked(shared.value, key)
+                    row, key = row[use], key[use]
                 for k in range(0, len(row), 100_000):
                     r = row[k : k + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(key[k : k + 100_000].view(np.int64)), pa.array(part.column(0).to_numpy()[r]), pa.array(sizes[r])], ["key", "doc", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key[k : k + 100_000]), pa.array(part.column(0).to_numpy()[r]), pa.array(sizes[r])], ["key", "doc", "n"])
 
     return sketches.select("doc", "n", "registers").mapInArrow(run, "key long, doc long, n long")
 
 
+def shared_keys(firsts: DataFrame) -> DataFrame:
+    """key, doc, n, c of the keys that c > 1 classes share. Of the others a bitmap of 16 MB at most keeps nearly all from a second shuffle."""
+    counts = bands(firsts).groupBy("key").agg(F.count("*").alias("c"))
+    shared = materialize(counts.where("c > 1"), "shared-keys")
+    bits = 1 << min(27, max(15, (16 * shared.count()).bit_length()))
+    keys = materialize(bands(firsts, bitmap(shared, "key", bits)), "keys")
+    return materialize(joined(keys, shared, ["key"], "c", keys.count()).select("key", "doc", "n", "c"), "bands")
+
+
 def sized_alike(n, m):
     return F.least(n, m) * 100 >= F.greatest(n, m) * SIMILAR
 
@@ -233,13 +247,23 @@ def hub_pairs(spanned: DataFrame, total: int) -> DataFrame:
 
 
 def with_sides(pairs: DataFrame, side: DataFrame, columns: list[str]) -> DataFrame:
-    """``pairs`` with ``columns`` of ``side`` (doc) for a and for b. What a document brings goes to at most SALTS parts of its pairs."""
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("a", "b"), F.lit(SALTS)).cast("int"))
+    """``pairs`` with ``columns`` of ``side`` (doc) for a and for b. Pairs of a document that is in over MANY of them are dealt
+    to SALTS parts, each of which gets what the document brings."""
+    mine = lambda s: side.select(F.col("doc").alias(s), *[F.col(c).alias(c + s) for c in columns])
+    order = ["a", "b", *[c + s for c in columns for s in ("a", "b")]]
+    many = pairs.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").count().where(F.col("count") > MANY).select("doc")
+    many = materialize(many, "many-pairs")
+    if not many.limit(1).count():
+        return pairs.select("a", "b").join(mine("a"), "a").join(mine("b"), "b").select(order)
+    flagged = pairs.select("a", "b")
+    for s in ("a", "b"):
+        flagged = flagged.join(many.select(F.col("doc").alias(s), F.lit(True).alias("many" + s)), s, "left")
+    flagged = materialize(flagged.select("a", "b", F.coalesce("manya", "manyb", F.lit(False)).alias("many")), "dealt-pairs")
+    few = flagged.where("NOT many").select("a", "b").join(mine("a"), "a").join(mine("b"), "b").select(order)
+    salted = flagged.where("many").select("a", "b", F.pmod(F.xxhash64("a", "b"), F.lit(SALTS)).cast("int").alias("salt"))
     for s in ("a", "b"):
-        wanted = salted.select(F.col(s).alias("doc"), "salt").distinct()
-        mine = wanted.join(side.select("doc", *columns), "doc").select(F.col("doc").alias(s), "salt", *[F.col(c).alias(c + s) for c in columns])
-        salted = salted.join(mine, [s, "salt"])
-    return salted.select("a", "b", *[c + s for c in columns for s in ("a", "b")])
+        salted = salted.join(salted.select(s, "salt").distinct().join(mine(s), s), [s, "salt"])
+    return few.unionByName(salted.select(order))
 
 
 def estimated(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -412,9 +436,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = materialize(least.select("digest", "held", F.col("x.doc_id").alias("doc"), F.col("x.n").alias("n"), F.col("x.registers").alias("registers")), "classes")
     # a doc_id that stands for several sets has a row for each: all their keys and estimates are tried
     firsts = classes.select("doc", "n", "registers")
-    keys = materialize(bands(firsts), "keys")
-    shared = materialize(keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "shared-keys")
-    rows = materialize(joined(keys, shared, ["key"], "c", keys.count()).select("key", "doc", "n", "c"), "bands")
+    rows = shared_keys(firsts)
     frequent = spans(rows.where(F.col("c") > FEW).select("key", "doc", "n"))
     pairs = few_pairs(rows).union(hub_pairs(frequent, rows.count())).distinct()
     links = confirmed(materialize(estimated(materialize(pairs, "candidates"), firsts), "pairs"), documents)

@@ -62,7 +62,10 @@ def corpus(seed=3):
     return rows
 
 
-def test_components_equal_all_pairs(spark):
+@pytest.mark.parametrize("many", [N.MANY, 2])
+def test_components_equal_all_pairs(spark, monkeypatch, many):
+    """Also with the pairs of nearly every document dealt to parts."""
+    monkeypatch.setattr(N, "MANY", many)
     rows = corpus()
     got = {r["doc_id"]: r for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     want = brute(rows)
