@@ -17,7 +17,9 @@ SPECULATION = ("推测", "可能", "一般而言", "根据常识", "我认为",
 ABSTENTION = ("知识库资料不足", "资料不足", "无法提供", "无法回答", "未提供详细", "无法直接找到", "未给出明确支持")
 PENDING_HEADING, PENDING_FACTOR = "待继续拆分", 0.35
 FOLLOW_UP = "^(?:它|这个|这项|上述|前面|刚才|那个|那它|还有|那么|为什么|怎么做|有何区别)|(?:呢|还有吗)$"
-TOKEN = "[a-z0-9]+|[\\x{4e00}-\\x{9fff}]+"
+CJK = "[\\x{4e00}-\\x{9fff}]"
+#: Group 1 looks ahead to the token, what follows consumes a whole Latin run or one CJK character, so pairs may overlap.
+TOKEN = f"(?=([a-z0-9]+|{CJK}{{2}}|(?<!{CJK}){CJK}(?!{CJK})))(?:[a-z0-9]+|{CJK})"
 
 
 def literals(values) -> Column:
@@ -31,10 +33,7 @@ def strip(text: Column) -> Column:
 
 def tokenize(text: Column) -> Column:
     """Tokens in order: lower-case Latin-and-digit runs whole, CJK runs as overlapping pairs (a lone character stays)."""
-    runs = F.regexp_extract_all(F.lower(text), F.lit(f"({TOKEN})"), F.lit(1))
-    pairs = lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: r.substr(i, F.lit(2)))
-    cjk = lambda r: (F.length(r) > 1) & r.rlike("^[\\x{4e00}-\\x{9fff}]")
-    return F.flatten(F.transform(F.coalesce(runs, F.array().cast("array<string>")), lambda r: F.when(cjk(r), pairs(r)).otherwise(F.array(r))))
+    return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(1)), F.array().cast("array<string>"))
 
 
 def tokenize_query(text: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import datasets, evaluation, evidence, fusion, lexical, structure, studio, tables
+from ..sources.files import scratch_table
 from ..streaming import windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,8 +73,8 @@ bm25_top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score D
 
 @query("p3_tokenize", f"SELECT doc_id, CAST(len({TOKENS.format(t='text')}) AS INTEGER) AS n_tokens, md5(array_to_string({TOKENS.format(t='text')}, ' ')) AS digest FROM documents")
 def p3_tokenize(spark, d):
-    tokens = T.tokenize(F.col("text"))
-    return read(spark, d, "documents").select("doc_id", F.size(tokens).alias("n_tokens"), F.md5(F.array_join(tokens, " ").cast("binary")).alias("digest"))
+    rows = read(spark, d, "documents").select("doc_id", T.tokenize(F.col("text")).alias("tokens"))
+    return rows.select("doc_id", F.size("tokens").alias("n_tokens"), F.md5(F.array_join("tokens", " ").cast("binary")).alias("digest"))
 
 
 @query("p29_hashing", "SELECT doc_id, sha256(text) AS sha256 FROM documents")
@@ -110,8 +111,9 @@ def r1_search_idf(spark, d):
 @query("r2_explain", f"WITH {SQL_BM25} SELECT s.query_id, s.chunk_id, token, tf, heading_tf, text_tf, round(idf, 9) AS idf, round(s.score, 9) AS score FROM scored s JOIN bm25_top b ON s.query_id = b.query_id AND s.chunk_id = b.chunk_id WHERE rank = 1")
 def r2_explain(spark, d):
     q, c = questions(spark, d), chunks(spark, d)
-    best = lexical.top(lexical.bm25_scores(q, c), 1).select("query_id", "chunk_id")
-    return rounded(lexical.contributions(q, c).join(best, ["query_id", "chunk_id"], "left_semi"), "score", "idf")
+    parts = lexical.contributions(q, c)
+    best = lexical.top(lexical.summed(parts, c), 1).select("query_id", "chunk_id")
+    return rounded(parts.join(best, ["query_id", "chunk_id"], "left_semi"), "score", "idf")
 
 
 @query("r3_search_bm25", f"WITH {SQL_BM25} SELECT query_id, chunk_id, round(score, 9) AS score, CAST(rank AS INTEGER) AS rank FROM bm25_top WHERE rank <= 10")
@@ -157,8 +159,8 @@ def relevant(spark, d):
     """Documents that hold a question's passage: words of the passage pick candidates by its rarest token, then the text decides."""
     q, c = questions(spark, d), chunks(spark, d)
     tokens = q.select("query_id", "query", F.explode(F.array_distinct(T.tokenize(F.col("query")))).alias("token"))
-    post = c.select("chunk_id", F.explode(F.array_distinct(T.tokenize(F.col("text")))).alias("token"))
-    post = post.join(tokens.select("token").distinct(), "token", "left_semi")
+    post = c.select("chunk_id", F.explode_outer(F.array_distinct(T.tokenize(F.col("text")))).alias("token"))
+    post = scratch_table(post.join(tokens.select("token").distinct(), "token", "left_semi"), "passage-words")
     rare = post.groupBy("token").count().join(tokens, "token")
     rare = rare.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("count", "token"))).where("r = 1")
     near = post.join(rare.select("query_id", "query", "token"), "token").select("query_id", "query", "chunk_id")

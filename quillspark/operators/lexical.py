@@ -1,7 +1,7 @@
 """Lexical index and ranking: postings, document frequencies, IDF and BM25 scores.
 
-A query token meets the postings by an equi-join; each (query, chunk) sums its contributions in token order, so scores do
-not depend on the partitioning. Query tokens prune the postings before they are aggregated.
+A query token meets the postings by an equi-join; each (query, chunk) sums its contributions exactly, so scores do not
+depend on the partitioning. Query tokens prune the postings before they are shuffled.
 """
 
 from __future__ import annotations
@@ -10,28 +10,51 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.files import scratch_table
 
 K1, B, HEADING_REPEAT = 1.5, 0.75, 1
 
 
-def chunk_tokens(chunks: DataFrame) -> DataFrame:
-    """chunk_id, heading_tokens, text_tokens of chunks (chunk_id, heading, text)."""
-    return chunks.select("chunk_id", "heading", T.tokenize(F.coalesce("heading", F.lit(""))).alias("heading_tokens"), T.tokenize(F.coalesce("text", F.lit(""))).alias("text_tokens"))
+def chunk_rows(chunks: DataFrame) -> DataFrame:
+    """chunk_id, doc_len, token, h (1 in the heading) of every token, and one row of the empty token a chunk.
 
+    ``explode_outer``: Spark would put a filter on a plain ``explode`` that repeats the tokenizer."""
+    tokens = chunks.select("chunk_id", T.tokenize(F.coalesce("heading", F.lit(""))).alias("heads"), T.tokenize(F.coalesce("text", F.lit(""))).alias("words"))
+    marked = lambda column, h: F.transform(column, lambda t: F.struct(t.alias("token"), F.lit(h).alias("h")))
+    each = F.concat(F.array(F.struct(F.lit("").alias("token"), F.lit(0).alias("h"))), marked("heads", 1), marked("words", 0))
+    doc_len = (F.size("heads") * (1 + HEADING_REPEAT) + F.size("words")).cast("long")
+    return tokens.select("chunk_id", doc_len.alias("doc_len"), F.explode_outer(each).alias("x")).select("chunk_id", "doc_len", "x.token", "x.h")
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """chunk_id, token, tf, heading_tf, text_tf, doc_len; the heading counts 1 + HEADING_REPEAT times."""
-    tokens = chunk_tokens(chunks).withColumn("doc_len", F.size("heading_tokens") * (1 + HEADING_REPEAT) + F.size("text_tokens"))
-    each = lambda column, heading: tokens.select("chunk_id", "doc_len", F.explode(column).alias("token"), F.lit(heading).alias("h"))
-    rows = each("heading_tokens", 1).unionByName(each("text_tokens", 0))
+
+def counted(rows: DataFrame) -> DataFrame:
+    """chunk_id, token, tf, heading_tf, text_tf, doc_len of token rows; the heading counts 1 + HEADING_REPEAT times."""
     counts = rows.groupBy("chunk_id", "token").agg(F.sum("h").alias("heading_tf"), F.sum(1 - F.col("h")).alias("text_tf"), F.first("doc_len").alias("doc_len"))
-    return counts.select("chunk_id", "token", (F.col("heading_tf") * (1 + HEADING_REPEAT) + F.col("text_tf")).alias("tf"), "heading_tf", "text_tf", F.col("doc_len").cast("long").alias("doc_len"))
+    return counts.select("chunk_id", "token", (F.col("heading_tf") * (1 + HEADING_REPEAT) + F.col("text_tf")).alias("tf"), "heading_tf", "text_tf", "doc_len")
+
+
+def postings(chunks: DataFrame) -> DataFrame:
+    """chunk_id, token, tf, heading_tf, text_tf, doc_len of every token of every chunk."""
+    return counted(chunk_rows(chunks).where("token <> ''"))
 
 
 def corpus_stats(chunks: DataFrame) -> DataFrame:
     """One row: n (chunks), avgdl."""
-    tokens = chunk_tokens(chunks)
-    return tokens.agg(F.count("*").alias("n"), (F.sum(F.size("heading_tokens") * (1 + HEADING_REPEAT) + F.size("text_tokens")) / F.count("*")).alias("avgdl"))
+    return stats_of(chunk_rows(chunks).where("token = ''"))
+
+
+def stats_of(rows: DataFrame) -> DataFrame:
+    """n and avgdl of the rows of the empty token, one a chunk."""
+    return rows.agg(F.count("*").alias("n"), (F.sum("doc_len") / F.count("*")).alias("avgdl"))
+
+
+def asked_index(wanted: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Postings of the wanted tokens, their document frequencies, and the corpus statistics, from one pass over the texts.
+
+    Tokens of no question go before anything is shuffled; what is left is a table of its own, read three times."""
+    tokens = wanted.select("token").union(wanted.sparkSession.createDataFrame([("",)], "token string")).distinct()
+    table = scratch_table(counted(chunk_rows(chunks).join(tokens, "token", "left_semi")), "postings")
+    post = table.where("token <> ''")
+    return post, document_frequency(post), stats_of(table.where("token = ''"))
 
 
 def document_frequency(post: DataFrame) -> DataFrame:
@@ -54,9 +77,8 @@ def query_tokens(queries: DataFrame) -> DataFrame:
 def contributions(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """query_id, chunk_id, token, tf, heading_tf, text_tf, idf, score of every token of a query in every chunk that has it."""
     wanted = query_tokens(queries)
-    post = postings(chunks).join(wanted.select("token").distinct(), "token", "left_semi")
-    stats = corpus_stats(chunks)
-    weighed = document_frequency(post).crossJoin(F.broadcast(stats))  # one row
+    post, df, stats = asked_index(wanted, chunks)
+    weighed = df.crossJoin(F.broadcast(stats))  # one row
     weighed = weighed.select("token", "avgdl", bm25_idf(F.col("n"), F.col("df")).alias("idf"))
     joined = post.join(weighed, "token").join(wanted, "token")
     norm = (1 - B) + B * F.col("doc_len") / F.col("avgdl")
@@ -69,9 +91,21 @@ def in_order(token: str, score: str) -> Column:
     return F.aggregate(F.array_sort(F.collect_list(F.struct(token, score))), F.lit(0.0), lambda a, x: a + x[score])
 
 
+def exact_sum(score: Column) -> Column:
+    """Sum of scores of up to 2**40 as two sums of whole numbers: no order changes it, and it combines before the shuffle."""
+    high = F.floor(score * 2.0**20)
+    low = F.round((score * 2.0**20 - high) * 2.0**40).cast("long")
+    return F.sum(high) / F.lit(2.0**20) + F.sum(low) / F.lit(2.0**60)
+
+
 def bm25_scores(queries: DataFrame, chunks: DataFrame, raw: bool = False) -> DataFrame:
     """query_id, chunk_id, score > 0; unfinished headings count 0.35 unless ``raw``."""
-    sums = contributions(queries, chunks).groupBy("query_id", "chunk_id").agg(in_order("token", "score").alias("score"))
+    return summed(contributions(queries, chunks), chunks, raw)
+
+
+def summed(parts: DataFrame, chunks: DataFrame, raw: bool = False) -> DataFrame:
+    """query_id, chunk_id, score > 0 of ``contributions``."""
+    sums = parts.groupBy("query_id", "chunk_id").agg(exact_sum(F.col("score")).alias("score"))
     if not raw:
         factors = chunks.select("chunk_id", T.quality_factor(F.coalesce("heading", F.lit(""))).alias("factor"))
         sums = sums.join(factors, "chunk_id").select("query_id", "chunk_id", (F.col("score") * F.col("factor")).alias("score"))
@@ -81,10 +115,10 @@ def bm25_scores(queries: DataFrame, chunks: DataFrame, raw: bool = False) -> Dat
 def idf_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """query_id, chunk_id, score: IDF of the tokens matched in the text plus those matched in the heading."""
     wanted = query_tokens(queries)
-    post = postings(chunks).join(wanted.select("token").distinct(), "token", "left_semi")
-    weighed = document_frequency(post).crossJoin(F.broadcast(corpus_stats(chunks)))
+    post, df, stats = asked_index(wanted, chunks)
+    weighed = df.crossJoin(F.broadcast(stats))  # one row
     joined = post.join(weighed.select("token", smooth_idf(F.col("n"), F.col("df")).alias("idf")), "token").join(wanted, "token")
-    part = lambda tf: F.aggregate(F.array_sort(F.filter(F.collect_list(F.struct("token", "idf", tf)), lambda x: x[tf] > 0)), F.lit(0.0), lambda a, x: a + x["idf"])
+    part = lambda tf: exact_sum(F.when(F.col(tf) > 0, F.col("idf")).otherwise(0.0))
     return joined.groupBy("query_id", "chunk_id").agg((part("text_tf") + part("heading_tf")).alias("score")).where("score > 0")
 
 
