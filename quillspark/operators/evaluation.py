@@ -60,3 +60,59 @@ def score_answers(answers: DataFrame) -> DataFrame:
     out = answers.withColumn("behavior_correct", behaviour).withColumn("mentions_present", F.forall("must_mention", lambda m: F.contains(F.lower("answer"), F.lower(m))))
     out = out.withColumn("no_speculation", ~has(T.SPECULATION))
     return out.withColumn("passed", F.col("behavior_correct") & F.col("mentions_present") & F.col("no_speculation") & (~F.col("must_cite") | F.col("valid")))
+
+
+#: Checks of an answer's format, in the order of reports.
+CHECKS = ("behavior_correct", "format_correct", "citations_available", "citations_exact", "no_speculation", "passed")
+
+
+def score_formats(answers: DataFrame) -> DataFrame:
+    """Adds CHECKS and mentions_present to answers (answer, expected, labels, invalid, required, must_mention).
+
+    ``expected`` is answer (a conclusion and a line of grounds), abstain or conflict (one line each)."""
+    text = F.col("answer")
+    opens = lambda p: text.startswith(p)
+    holds = lambda p: F.contains(text, F.lit(p))
+    answer, abstain = F.col("expected") == "answer", F.col("expected") == "abstain"
+    behaviour = F.when(answer, opens("结论：") & ~holds("资料不足") & ~holds("资料冲突")).when(abstain, opens("资料不足：") & ~holds("结论：")).otherwise(opens("资料冲突：") & ~holds("结论："))
+    ends = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+    shape = F.when(answer, (ends == 1) & holds("\n依据：")).otherwise(~F.contains(T.strip(text), F.lit("\n")))
+    out = answers.withColumns({
+        "behavior_correct": behaviour,
+        "format_correct": shape,
+        "mentions_present": F.forall("must_mention", lambda m: F.contains(F.lower(text), F.lower(m))),
+        "citations_available": F.size("invalid") == 0,
+        "citations_exact": F.col("labels") == F.col("required"),
+        "no_speculation": ~F.exists(T.literals(T.SPECULATION), lambda p: F.contains(text, p)),
+    })
+    return out.withColumn("passed", F.forall(F.array("mentions_present", *CHECKS[:-1]), lambda x: x))
+
+
+def check_counts(scored: DataFrame, *by: str) -> DataFrame:
+    """Answers and how many met each check, by category."""
+    return scored.groupBy(*by).agg(F.count("*").alias("answers"), *[F.count_if(F.col(c)).alias(c) for c in CHECKS])
+
+
+def retrieval_cases(queries: DataFrame, expected: DataFrame, retrieved: DataFrame) -> DataFrame:
+    """query_id, in_domain, retrieved, matched, passed: distinct sources; a question that expects none passes if nothing is found."""
+    sides = expected.select("query_id", "source", F.lit(1).alias("want"), F.lit(0).alias("got")).unionByName(retrieved.select("query_id", "source", F.lit(0).alias("want"), F.lit(1).alias("got")))
+    each = sides.groupBy("query_id", "source").agg(F.max("want").alias("want"), F.max("got").alias("got"))
+    sums = each.groupBy("query_id").agg(F.sum("want").alias("want"), F.sum("got").alias("retrieved"), F.sum(F.col("want") * F.col("got")).alias("matched"))
+    rows = queries.join(sums, "query_id", "left").na.fill(0)
+    domain = F.col("want") > 0
+    return rows.select("query_id", domain.alias("in_domain"), "retrieved", "matched", F.when(domain, F.col("matched") > 0).otherwise(F.col("retrieved") == 0).alias("passed"))
+
+
+def case_summary(cases: DataFrame) -> DataFrame:
+    """Questions in and out of the domain, recall of the first and rejection of the second; null where there are none."""
+    inside, outside = F.count_if("in_domain"), F.count_if(~F.col("in_domain"))
+    rate = lambda of, n: F.try_divide(F.count_if(of & F.col("passed")), n)
+    return cases.agg(inside.alias("in_domain"), outside.alias("out_of_domain"), rate(F.col("in_domain"), inside).alias("recall"), rate(~F.col("in_domain"), outside).alias("rejection"))
+
+
+def lenient_rank(queries: DataFrame, hits: DataFrame, texts: DataFrame) -> DataFrame:
+    """query_id, first_rank of queries (query_id, keywords): the first hit whose whole text covers the keywords; null without keywords."""
+    met = hits.select("query_id", "chunk_id", "rank").join(texts, "chunk_id")
+    joined = queries.join(met, "query_id", "left")
+    good = (F.size("keywords") > 0) & covers_expected(F.col("text"), F.col("keywords"))
+    return joined.groupBy("query_id").agg(F.min(F.when(good, F.col("rank"))).alias("first_rank"))

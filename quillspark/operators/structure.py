@@ -1,4 +1,4 @@
-"""Cutting texts into sections, blocks and chunks with locators."""
+"""Blocks and runs of lines of texts."""
 
 from __future__ import annotations
 
@@ -19,26 +19,6 @@ def with_fences(rows: DataFrame, mark: str = r"^\s*```") -> DataFrame:
     return out.withColumn("inside", F.sum(F.col("fence").cast("int")).over(order) % 2 == 1)
 
 
-def sections(texts: DataFrame, document_title: str = "") -> DataFrame:
-    """id, section, path, text of texts (id, text): ATX headings 1 to 6 outside fences open sections, blank sections drop out.
-
-    A heading of level k is in the path of what follows until one of level k or less comes."""
-    order = Window.partitionBy("id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    rows = with_fences(numbered(texts))
-    found = F.regexp_extract("line", r"^(#{1,6})\s+(.*)$", 1)
-    rows = rows.withColumn("level", F.when(~F.col("fence") & ~F.col("inside"), F.length(found)).otherwise(0))
-    rows = rows.withColumn("title", F.when(F.col("level") > 0, T.strip(F.regexp_extract("line", r"^(#{1,6})\s+(.*)$", 2))))
-    rows = rows.withColumn("section", F.sum((F.col("level") > 0).cast("int")).over(order))
-    for k in range(1, 7):
-        mine = F.when(F.col("level") == k, F.struct("at", "title"))
-        rows = rows.withColumn(f"t{k}", F.last(mine, True).over(order)).withColumn(f"b{k}", F.max(F.when((F.col("level") > 0) & (F.col("level") < k), F.col("at"))).over(order))
-    live = [F.when(F.col(f"t{k}.at") > F.coalesce(f"b{k}", F.lit(-1)), F.col(f"t{k}.title")) for k in range(1, 7)]
-    rows = rows.withColumn("path", F.concat_ws(" > ", *live))
-    body = F.array_sort(F.collect_list(F.when(F.col("level") == 0, F.struct("at", "line"))))
-    out = rows.groupBy("id", "section").agg(F.max("path").alias("path"), T.strip(F.array_join(F.transform(body, lambda x: x["line"]), "\n")).alias("text"))
-    return out.where(F.length("text") > 0)
-
-
 def blocks(texts: DataFrame) -> DataFrame:
     """id, block, kind, first_line, last_line: paragraphs, fences, list items and tables as gaps and islands of lines."""
     order = Window.partitionBy("id").orderBy("at")

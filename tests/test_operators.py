@@ -11,8 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
-from quillspark.jobs import catalog
-from quillspark.operators import datasets, evidence, fusion, lexical, structure, tables
+from quillspark.jobs import catalog, records  # noqa: F401
+from quillspark.operators import datasets, evidence, fusion, lexical, sections, structure, tables
 
 SF = "/root/testdata/sf0.001"
 NAMES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -120,8 +120,8 @@ def test_pack_lines(spark):
 
 def test_sections(spark):
     text = "intro\n# A\none\n```\n# not\n```\n### C\ntwo\n## B\n\n# D\nthree"
-    got = structure.sections(spark.createDataFrame([(1, text)], "id long, text string")).orderBy("section").collect()
-    assert [(r["path"], r["text"]) for r in got] == [("", "intro"), ("A", "one\n```\n# not\n```"), ("A > C", "two"), ("D", "three")]
+    got = sections.sections(spark.createDataFrame([(1, "T", text)], "id long, title string, text string")).orderBy("section").collect()
+    assert [(r["path"], r["text"]) for r in got] == [("T", "intro"), ("A", "one\n```\n# not\n```"), ("A > C", "two"), ("D", "three")]
 
 
 def test_blocks(spark):
