@@ -3,9 +3,9 @@
 1. A document's words make shingles of five; each shingle hash falls into one of 192 buckets, and of the least hash of a bucket
    a register keeps the count of leading zeros and ten mantissa bits. Equal sets form one class; only its smallest
    document goes on.
-2. Four neighbouring registers are a band; classes that share a band key are candidates. Of a key with few classes all are
-   compared; the classes of a frequent key are compared with one hub for each range of sizes, the same for all the keys
-   that it is in.
+2. Four neighbouring registers are a band; classes that share a band key are candidates. The classes of a key are compared
+   with one hub, those of a frequent key with one for each range of sizes; a hub is the same for all the keys that it is in.
+   Of a key with few classes all pairs follow that are in different components by then.
 3. A candidate pair's Jaccard similarity is estimated from its registers, less what chance collisions add; pairs six
    standard errors below the threshold are left. The others are confirmed on full shingle sets.
 4. A frequent key whose classes are not all connected by then is swept: classes of different components are estimated, and
@@ -231,11 +231,29 @@ def spans(rows: DataFrame) -> DataFrame:
     return ranged.withColumn("span", F.explode(both)).withColumn("own", F.col("span") == F.col("g")).drop("g")
 
 
-def few_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs a < b of similar size that share a key of at most FEW classes."""
-    grouped = rows.where(F.col("c") <= FEW).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("doc", "n"))).alias("x"))
-    ends = grouped.select("x", F.posexplode("x").alias("i", "b")).select("b", F.explode(F.slice("x", F.lit(1), F.col("i"))).alias("a"))
-    return ends.where((F.col("a.doc") < F.col("b.doc")) & sized_alike(F.col("a.n"), F.col("b.n"))).select(F.col("a.doc").alias("a"), F.col("b.doc").alias("b"))
+def first_pairs(few: DataFrame) -> DataFrame:
+    """Pairs of each class of a key (key, doc, n) with the key's class of least hash, if of similar size."""
+    grouped = few.groupBy("key").agg(F.collect_list(F.struct("doc", "n")).alias("x"), hub_of().alias("hub"))
+    ends = grouped.select("hub", F.explode("x").alias("y")).where((F.col("hub.doc") != F.col("y.doc")) & sized_alike(F.col("hub.n"), F.col("y.n")))
+    return ends.select(F.least("hub.doc", "y.doc").alias("a"), F.greatest("hub.doc", "y.doc").alias("b"))
+
+
+def hub_of():
+    return F.min(F.struct(F.xxhash64("doc").alias("h"), "doc", "n"))
+
+
+def other_pairs(few: DataFrame, label: DataFrame) -> DataFrame:
+    """Pairs a < b of similar size that share a key of at most FEW classes, are in different components of ``label``, and were
+    not met in ``first_pairs`` of that key."""
+    rows = few.join(label.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    members = F.sort_array(F.collect_list(F.struct("doc", "n", "component")))
+    grouped = rows.groupBy("key").agg(members.alias("x"), hub_of().alias("hub"), F.min("component").alias("low"), F.max("component").alias("high"))
+    hub = lambda x: (x["doc"] == F.col("hub.doc")) & (x["n"] == F.col("hub.n"))
+    rest = grouped.where("low <> high").select(F.filter("x", lambda x: ~hub(x)).alias("x"))
+    b = F.col("b")
+    open_ = lambda a: (a["doc"] < b["doc"]) & (a["component"] != b["component"]) & sized_alike(a["n"], b["n"])
+    ends = rest.select("x", F.posexplode("x").alias("i", "b")).select("b", F.explode(F.filter(F.slice("x", F.lit(1), F.col("i")), open_)).alias("a"))
+    return ends.select(F.col("a.doc").alias("a"), F.col("b.doc").alias("b"))
 
 
 def hub_pairs(spanned: DataFrame, total: int) -> DataFrame:
@@ -320,6 +338,11 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return with_sides(pairs, sets, ["shingles"]).mapInArrow(check, "a long, b long")
 
 
+def linked_pairs(pairs: DataFrame, sketches: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b), each tried once, that pass the estimate and then full sets."""
+    return confirmed(materialize(estimated(materialize(pairs.distinct(), "candidates"), sketches), "pairs"), docs)
+
+
 def shared_with(mine: np.ndarray, others: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """How many values of each of the non-empty sorted sets that start at ``starts`` of ``others`` are in the sorted set ``mine``."""
     at = np.minimum(np.searchsorted(mine, others), len(mine) - 1)
@@ -438,11 +461,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     firsts = classes.select("doc", "n", "registers")
     rows = shared_keys(firsts)
     frequent = spans(rows.where(F.col("c") > FEW).select("key", "doc", "n"))
-    pairs = few_pairs(rows).union(hub_pairs(frequent, rows.count())).distinct()
-    links = confirmed(materialize(estimated(materialize(pairs, "candidates"), firsts), "pairs"), documents)
+    few = rows.where(F.col("c") <= FEW).select("key", "doc", "n")
+    links = linked_pairs(first_pairs(few).union(hub_pairs(frequent, rows.count())), firsts, documents)
     several = linked.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select("doc_id")
     copies = linked.join(several, "doc_id").select("doc_id", "digest").join(classes.select("digest", "doc"), "digest").where("doc_id <> doc")
     label = merged(None, links.union(copies.select(F.col("doc").alias("a"), F.col("doc_id").alias("b"))))
+    label = merged(label, linked_pairs(other_pairs(few, label), firsts, documents))
     label = merged(label, swept(frequent, label, documents))
     named = classes.select("digest", "doc", "held").join(label.withColumnRenamed("node", "doc"), "doc", "left").select("digest", "held", F.coalesce("component", "doc").alias("found"))
     found = joined(linked.select("doc_id", "n", "digest"), materialize(named, "components"), ["digest"], "held", sketches.count()).select("doc_id", "n", "found")

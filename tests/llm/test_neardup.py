@@ -81,8 +81,8 @@ def no_pairs(rows, *_):
 @pytest.mark.parametrize("chunk", [N.CHUNK, 16 * N.LEAST])
 def test_sweep_finds_what_pairs_left(spark, monkeypatch, chunk):
     """Without any pair of an unfrequent key or a hub, the sweep of frequent keys still connects all, in one chunk or in several."""
-    monkeypatch.setattr(N, "few_pairs", no_pairs)
-    monkeypatch.setattr(N, "hub_pairs", no_pairs)
+    for name in ("first_pairs", "other_pairs", "hub_pairs"):
+        monkeypatch.setattr(N, name, no_pairs)
     monkeypatch.setattr(N, "FEW", 1)
     monkeypatch.setattr(N, "CHUNK", chunk)
     rows = corpus(5)[:120]
@@ -90,6 +90,21 @@ def test_sweep_finds_what_pairs_left(spark, monkeypatch, chunk):
     assert got == brute(rows)
 
 
+def test_open_components_give_every_pair_but_the_hubs(spark):
+    """Of each key every pair of similar size in different components is met once, with the hub first and then without it."""
+    rng = random.Random(3)
+    rows = sorted({(k, d, 10 + d % 3) for k in range(20) for d in rng.sample(range(30), rng.randint(2, 8))})
+    label = {d: d % 4 for d in range(0, 30, 2)}
+    few = spark.createDataFrame(rows, "key long, doc long, n long")
+    first = {tuple(r) for r in N.first_pairs(few).collect()}
+    other = [tuple(r) for r in N.other_pairs(few, spark.createDataFrame(list(label.items()), "node long, component long")).collect()]
+    want = {(a, b) for k, a, n in rows for j, b, m in rows if k == j and a < b and min(n, m) * 100 >= max(n, m) * N.SIMILAR}
+    apart = {(a, b) for a, b in want if label.get(a, a) != label.get(b, b)}
+    assert first | set(other) <= want and apart <= first | set(other)
+    assert all(label.get(a, a) != label.get(b, b) for a, b in other)
+    assert N.other_pairs(few, few.selectExpr("doc AS node", "-1L AS component").distinct()).count() == 0
+
+
 def test_long_texts_in_a_hot_key(spark):
     """Long texts that share most of their words, some similar and some not, over several chunks of the sweep."""
     rng = random.Random(9)
