@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import mixing, vectors, warc
 from .common import text_session
 
-TOKENIZERS = {"words": "word_bpe_49k.json", "bytes": "byte_bpe_50k.json"}
+TOKENIZERS = {"words": "word_bpe_49k.json", "bytes": "byte_bpe_50k.json", "pieces": "piece_bpe_32k.model"}
 
 
 def tokenizer(kind: str) -> str:
@@ -96,5 +96,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
-QUERIES = {"op1_near_duplicates": op1_near_duplicates, "op2_exact_top_k": op2_exact_top_k, "op3_toxicity": op3_toxicity, "op4_packing": op4_packing, "op5_token_files": op5_token_files, "op6_mixing": op6_mixing, "op7_hilbert_neighbours": op7_hilbert_neighbours, "op8_warc": op8_warc, "op9_suffix_tree": op9_suffix_tree, "op10_quality": op10_quality}
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' SentencePiece ids with begin and end, and the text decoded from them, as digests."""
+    from pyspark.sql import functions as F
+
+    from .pieces import decode, encode
+
+    model = tokenizer("pieces")
+    rows = decode(encode(table(spark, sf_dir, "documents", "doc_id", "text"), model), model)
+    return rows.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
+QUERIES = {"op1_near_duplicates": op1_near_duplicates, "op2_exact_top_k": op2_exact_top_k, "op3_toxicity": op3_toxicity, "op4_packing": op4_packing, "op5_token_files": op5_token_files, "op6_mixing": op6_mixing, "op7_hilbert_neighbours": op7_hilbert_neighbours, "op8_warc": op8_warc, "op9_suffix_tree": op9_suffix_tree, "op10_quality": op10_quality, "op12_pieces": op12_pieces}
 SQL = {"op2_exact_top_k": vectors.SQL_EXACT, "op6_mixing": mixing.SQL, "op8_warc": warc.SQL}
