@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, vectors, warc
+from . import codes, mixing, negatives, vectors, warc
 from .common import text_session
 
 TOKENIZERS = {"words": "word_bpe_49k.json", "bytes": "byte_bpe_50k.json", "pieces": "piece_bpe_32k.model"}
@@ -107,5 +107,19 @@ def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op1_near_duplicates": op1_near_duplicates, "op2_exact_top_k": op2_exact_top_k, "op3_toxicity": op3_toxicity, "op4_packing": op4_packing, "op5_token_files": op5_token_files, "op6_mixing": op6_mixing, "op7_hilbert_neighbours": op7_hilbert_neighbours, "op8_warc": op8_warc, "op9_suffix_tree": op9_suffix_tree, "op10_quality": op10_quality, "op12_pieces": op12_pieces}
-SQL = {"op2_exact_top_k": vectors.SQL_EXACT, "op6_mixing": mixing.SQL, "op8_warc": warc.SQL}
+def op11_ball_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's product code by ball k-means, its error and its label's."""
+    from .codes import code_report
+
+    return code_report(table(spark, sf_dir, "embeddings", "vec_id", "label", "embedding"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five hard negatives of each anchor's five positives, by cover trees."""
+    from .negatives import hard_negatives
+
+    return hard_negatives(table(spark, sf_dir, "embeddings", "vec_id", "label", "embedding"))
+
+
+QUERIES = {"op1_near_duplicates": op1_near_duplicates, "op2_exact_top_k": op2_exact_top_k, "op3_toxicity": op3_toxicity, "op4_packing": op4_packing, "op5_token_files": op5_token_files, "op6_mixing": op6_mixing, "op7_hilbert_neighbours": op7_hilbert_neighbours, "op8_warc": op8_warc, "op9_suffix_tree": op9_suffix_tree, "op10_quality": op10_quality, "op11_ball_codes": op11_ball_codes, "op12_pieces": op12_pieces, "op13_hard_negatives": op13_hard_negatives}
+SQL = {"op2_exact_top_k": vectors.SQL_EXACT, "op6_mixing": mixing.SQL, "op8_warc": warc.SQL, "op11_ball_codes": codes.sql(), "op13_hard_negatives": negatives.SQL}
