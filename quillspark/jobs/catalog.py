@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import datasets, evaluation, evidence, fusion, lexical, sections, structure, studio, tables
+from ..operators import datasets, evaluation, evidence, fusion, lexical, studio, tables
 from ..sources.files import scratch_table
 from ..streaming import windows
 
@@ -287,11 +287,6 @@ def e1_build_context(spark, d):
     return evidence.build_context(sources(spark, d)).select("query_id", "rank", "label", F.md5(F.concat("head", "content").cast("binary")).alias("digest"))
 
 
-@query("c5_split_lines")
-def c5_split_lines(spark, d):
-    return structure.pack_lines(read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
-
-
 def outlined(spark, d):
     """Documents as Markdown: every fifth line becomes a heading of level 1 to 3 by its place."""
     level = lambda i: F.repeat(F.lit("#"), (F.floor(i / 5) % 3 + 1).cast("int"))
@@ -302,40 +297,6 @@ def outlined(spark, d):
 SQL_OUTLINED = """outlined AS (SELECT doc_id AS id, source AS title, list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN (i - 1) % 5 = 0 THEN repeat('#', CAST(((i - 1) // 5) % 3 + 1 AS INTEGER)) || ' ' || x ELSE x END) AS lines FROM documents)"""
 
 
-@query("c1_sections", f"""WITH {SQL_OUTLINED},
-l AS (SELECT id, title, unnest(range(1, len(lines) + 1)) AS pos, unnest(lines) AS line FROM outlined),
-f AS (SELECT *, starts_with(trim(line), '```') AS fence, sum(CAST(starts_with(trim(line), '```') AS INTEGER)) OVER (PARTITION BY id ORDER BY pos) % 2 = 1 AS inside FROM l),
-g AS (SELECT *, CASE WHEN NOT fence AND NOT inside AND regexp_matches(line, '^#{{1,6}}\\s+') THEN length(regexp_extract(line, '^(#+)', 1)) END AS level, trim(regexp_extract(line, '^#{{1,6}}\\s+(.*)$', 1)) AS name FROM f),
-h AS (SELECT *, count(level) OVER (PARTITION BY id ORDER BY pos) AS n FROM g),
-k AS (SELECT *, CASE WHEN level IS NOT NULL THEN n + least(1, min(level - n) OVER (PARTITION BY id ORDER BY pos)) END AS deep FROM h),
-p AS (SELECT id, n, deep, {', '.join(f"last_value(CASE WHEN deep = {i} THEN name END IGNORE NULLS) OVER (PARTITION BY id ORDER BY n) AS t{i}" for i in range(1, 7))} FROM k WHERE level IS NOT NULL),
-b AS (SELECT id, any_value(title) AS title, n, trim(string_agg(line, chr(10) ORDER BY pos), chr(10) || chr(32) || chr(9) || chr(13)) AS text FROM k WHERE level IS NULL GROUP BY id, n)
-SELECT b.id, CAST(row_number() OVER (PARTITION BY b.id ORDER BY b.n) - 1 AS INTEGER) AS section, CASE WHEN b.n = 0 THEN title ELSE array_to_string(list_slice([coalesce(t1, title), t2, t3, t4, t5, t6], 1, deep), ' > ') END AS path, md5(text) AS digest
-FROM b LEFT JOIN p ON p.id = b.id AND p.n = b.n WHERE length(text) > 0""")
-def c1_sections(spark, d):
-    return sections.sections(outlined(spark, d)).select("id", "section", "path", F.md5(F.col("text").cast("binary")).alias("digest"))
-
-
-@query("c2_section_spans")
-def c2_section_spans(spark, d):
-    return sections.section_spans(outlined(spark, d))
-
-
-@query("c4_located_chunks")
-def c4_located_chunks(spark, d):
-    return sections.located_chunks(outlined(spark, d)).withColumn("text", F.md5(F.col("text").cast("binary"))).withColumnRenamed("text", "digest")
-
-
-@query("c7_chunks")
-def c7_chunks(spark, d):
-    return sections.chunks(outlined(spark, d)).withColumn("text", F.md5(F.col("text").cast("binary"))).withColumnRenamed("text", "digest")
-
-
-@query("c3_blocks")
-def c3_blocks(spark, d):
-    return structure.blocks(outlined(spark, d))
-
-
 @query("e2_round_robin")
 def e2_round_robin(spark, d):
     """Lines of a source in the order (-matches, position); accepted ones as source:position, in that order."""

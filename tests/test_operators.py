@@ -11,8 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
-from quillspark.jobs import catalog, records  # noqa: F401
-from quillspark.operators import datasets, evidence, fusion, lexical, sections, structure, tables
+from quillspark.jobs import catalog, markdown, records  # noqa: F401
+from quillspark.operators import datasets, evidence, fusion, lexical, sections, tables
 
 SF = "/root/testdata/sf0.001"
 NAMES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -114,7 +114,7 @@ def test_pack_lines(spark):
             first, size = at, len(line)
         if size >= 0:
             want.append((k, part, first, len(lines), size))
-    got = structure.pack_lines(spark.createDataFrame(texts, "id long, text string"), 50)
+    got = sections.line_runs(spark.createDataFrame(texts, "id long, text string"), 50)
     assert sorted(tuple(r) for r in got.collect()) == want
 
 
@@ -126,8 +126,9 @@ def test_sections(spark):
 
 def test_blocks(spark):
     text = "para\nmore\n\n- one\n- two\n\n| a |\n| b |\n```\ncode\n\n```\nend"
-    got = structure.blocks(spark.createDataFrame([(1, text)], "id long, text string")).orderBy("first_line").collect()
+    got = sections.blocks(spark.createDataFrame([(1, "", text)], "id long, title string, text string")).orderBy("first_line").collect()
     assert [(r["kind"], r["first_line"], r["last_line"]) for r in got] == [("paragraph", 1, 2), ("list", 4, 4), ("list", 5, 5), ("table", 7, 8), ("code", 9, 12), ("paragraph", 13, 13)]
+    assert [text[r["start"] : r["end"]] for r in got] == ["para\nmore", "- one", "- two", "| a |\n| b |", "```\ncode\n\n```", "end"]
 
 
 def test_context_keeps_budget(spark):
