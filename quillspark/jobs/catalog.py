@@ -514,11 +514,6 @@ def a4_diagnostics(spark, d):
     return read(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("documents"), F.max(size).cast("long").alias("longest"), F.count_if(size > 800).alias("over_limit"), F.sum("n_chars").alias("chars"))
 
 
-@query("a9_next_version", "SELECT source, md5(text) AS content, coalesce(max(doc_id), 0) + 1 AS next_version FROM documents GROUP BY ALL")
-def a9_next_version(spark, d):
-    return read(spark, d, "documents").groupBy("source", F.md5(F.col("text").cast("binary")).alias("content")).agg((F.coalesce(F.max("doc_id"), F.lit(0)) + 1).alias("next_version"))
-
-
 @query("a13_summary", f"""WITH {SQL_CITED},
 c AS (SELECT conv_id, turn % 7 AS category, contains(lower(answer), 'the') AND (turn % 2 = 0 OR (len(labels) > 0 AND len(list_filter(labels, lambda x: x NOT IN ('S1', 'S2', 'S3'))) = 0)) AND turn % 7 <> 3 AS passed, len(labels) > 0 AS cites FROM cited)
 SELECT category, count(*) AS answers, count(*) FILTER (passed) AS passed, count(*) FILTER (cites) / count(*) AS cited_rate FROM c GROUP BY category""")
@@ -591,14 +586,6 @@ def t1_set_algebra(spark, d):
     return hits.select("query_id").join(counts, "query_id", "left").na.fill(0)
 
 
-@query("w3_batch_delete", "WITH q AS (SELECT DISTINCT event_id AS doc_id FROM events WHERE event_id % 9 = 0) SELECT q.doc_id, CASE WHEN d.doc_id IS NULL THEN 'not_found' ELSE 'deleted' END AS outcome FROM q LEFT JOIN documents d ON q.doc_id = d.doc_id")
-def w3_batch_delete(spark, d):
-    """A batch of ids to delete (every ninth event's): those that no document has are skipped."""
-    asked = read(spark, d, "events").where("event_id % 9 = 0").select(F.col("event_id").alias("doc_id")).distinct()
-    have = read(spark, d, "documents").select("doc_id", F.lit("deleted").alias("outcome"))
-    return asked.join(have, "doc_id", "left").na.fill("not_found", ["outcome"])
-
-
 @query("st8_supersession", "SELECT user_id, arg_max(event_id, {'t': ts, 'e': event_id}) AS current, count(*) - 1 AS superseded FROM events WHERE event_type = 'click' GROUP BY user_id")
 def st8_supersession(spark, d):
     clicks = read(spark, d, "events").where("event_type = 'click'")

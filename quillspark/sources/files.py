@@ -35,20 +35,22 @@ def scan(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("source_file", F.when(F.col("text").rlike(r"(?m)^# "), T.strip(first)).otherwise(stem).alias("title"), "text", "document_sha256")
 
 
-def scratch_table(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once below the shared folder of ``spark.checkpoint.dir`` and read again, so that its uses do not repeat its work.
-
-    Unset, a local session gets a folder of its own; elsewhere that is an error."""
-    spark = df.sparkSession
+def scratch_folder(spark: SparkSession) -> str:
+    """The shared folder of ``spark.checkpoint.dir``; unset, a local session gets one of its own, and elsewhere that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def scratch_table(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once to the shared folder and read again, so that its uses do not repeat its work."""
+    path = f"{scratch_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def notebook_cells(files: DataFrame) -> DataFrame:
