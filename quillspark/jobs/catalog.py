@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import datasets, evaluation, evidence, fusion, lexical, studio, tables
-from ..sources.files import scratch_table
+from ..sources.files import corpus_table, scratch_table, spread
 from ..streaming import windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,11 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("heading"), "text")
 
 
+def indexed(spark: SparkSession, d: str) -> lexical.Index:
+    """The documents with their posting table, which all queries over the same files read."""
+    return lexical.Index(chunks(spark, d), corpus_table(spark, f"{d}/documents.parquet", "postings", lambda: lexical.posting_rows(spread(chunks(spark, d)))))
+
+
 def questions(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
@@ -73,7 +78,7 @@ bm25_top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score D
 
 @query("p3_tokenize", f"SELECT doc_id, CAST(len({TOKENS.format(t='text')}) AS INTEGER) AS n_tokens, md5(array_to_string({TOKENS.format(t='text')}, ' ')) AS digest FROM documents")
 def p3_tokenize(spark, d):
-    rows = read(spark, d, "documents").select("doc_id", T.tokenize(F.col("text")).alias("tokens"))
+    rows = spread(read(spark, d, "documents").select("doc_id", "text")).select("doc_id", T.tokenize(F.col("text")).alias("tokens"))
     return rows.select("doc_id", F.size("tokens").alias("n_tokens"), F.md5(F.array_join("tokens", " ").cast("binary")).alias("digest"))
 
 
@@ -89,14 +94,14 @@ def p33_url_host(spark, d):
 
 @query("a1_build_idf", f"WITH {SQL_CHUNKS} SELECT token, CAST(df AS BIGINT) AS df, round(ln((n + 1) / (df + 1)) + 1, 9) AS idf FROM df, stats")
 def a1_build_idf(spark, d):
-    c = chunks(spark, d)
-    df = lexical.document_frequency(lexical.postings(c)).crossJoin(F.broadcast(lexical.corpus_stats(c)))
+    found_ = indexed(spark, d)
+    df = lexical.document_frequency(lexical.postings(found_)).crossJoin(F.broadcast(lexical.corpus_stats(found_)))  # one row
     return df.select("token", "df", F.round(lexical.smooth_idf(F.col("n"), F.col("df")), 9).alias("idf"))
 
 
 @query("a2_postings", f"WITH {SQL_CHUNKS} SELECT p.chunk_id, token, tf, heading_tf, text_tf, CAST(doc_len AS BIGINT) AS doc_len FROM post p JOIN lens ON p.chunk_id = lens.chunk_id")
 def a2_postings(spark, d):
-    return lexical.postings(chunks(spark, d))
+    return lexical.postings(indexed(spark, d))
 
 
 @query("r1_search_idf", f"""WITH {SQL_CHUNKS},
@@ -105,15 +110,14 @@ sums AS (SELECT query_id, chunk_id, coalesce(list_sum(list(idf ORDER BY token) F
 top AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM sums WHERE score > 0)
 SELECT query_id, chunk_id, round(score, 9) AS score, rank FROM top WHERE rank <= 10""")
 def r1_search_idf(spark, d):
-    return rounded(lexical.top(lexical.idf_scores(questions(spark, d), chunks(spark, d)), 10))
+    return rounded(lexical.search(questions(spark, d), indexed(spark, d), 10, idf_only=True))
 
 
 @query("r2_explain", f"WITH {SQL_BM25} SELECT s.query_id, s.chunk_id, token, tf, heading_tf, text_tf, round(idf, 9) AS idf, round(s.score, 9) AS score FROM scored s JOIN bm25_top b ON s.query_id = b.query_id AND s.chunk_id = b.chunk_id WHERE rank = 1")
 def r2_explain(spark, d):
-    q, c = questions(spark, d), chunks(spark, d)
-    parts = lexical.contributions(q, c)
-    best = lexical.top(lexical.summed(parts, c), 1).select("query_id", "chunk_id")
-    return rounded(parts.join(best, ["query_id", "chunk_id"], "left_semi"), "score", "idf")
+    q, i = questions(spark, d), indexed(spark, d)
+    best = lexical.search(q, i, 1).select("query_id", "chunk_id")
+    return rounded(lexical.contributions(q, i, best), "score", "idf")
 
 
 @query("r3_search_bm25", f"WITH {SQL_BM25} SELECT query_id, chunk_id, round(score, 9) AS score, CAST(rank AS INTEGER) AS rank FROM bm25_top WHERE rank <= 10")
@@ -122,7 +126,7 @@ def r3_search_bm25(spark, d):
 
 
 def found(spark, d):
-    return lexical.top(lexical.bm25_scores(questions(spark, d), chunks(spark, d)), 10)
+    return lexical.search(questions(spark, d), indexed(spark, d), 10)
 
 
 SQL_DENSE = """dense AS (SELECT b.item_id AS query_id, e.vec_id AS chunk_id, list_reduce(list_prepend(0::DOUBLE, list_transform(range(1, len(e.embedding) + 1), lambda i: CAST(q.embedding[i] AS DOUBLE) * CAST(e.embedding[i] AS DOUBLE))), lambda a, x: a + x) AS score
@@ -147,7 +151,7 @@ fused AS (SELECT query_id, chunk_id, list_sum(list(vote ORDER BY c)) AS score FR
 top AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM fused)
 SELECT query_id, chunk_id, score, rank FROM top WHERE rank <= 10""")
 def r6_hybrid(spark, d):
-    return fusion.hybrid(questions(spark, d), chunks(spark, d), *vectors(spark, d))
+    return fusion.hybrid(questions(spark, d), indexed(spark, d), *vectors(spark, d))
 
 
 @query("p25_relative", f"WITH {SQL_BM25}, t AS (SELECT * FROM bm25_top WHERE rank <= 10) SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank, round(score, 9) AS score, round(CASE WHEN max(score) OVER (PARTITION BY query_id) = min(score) OVER (PARTITION BY query_id) THEN 1.0::DOUBLE ELSE (score - min(score) OVER (PARTITION BY query_id)) / (max(score) OVER (PARTITION BY query_id) - min(score) OVER (PARTITION BY query_id)) END, 9) AS ratio FROM t")
@@ -157,14 +161,13 @@ def p25_relative(spark, d):
 
 def relevant(spark, d):
     """Documents that hold a question's passage: words of the passage pick candidates by its rarest token, then the text decides."""
-    q, c = questions(spark, d), chunks(spark, d)
+    q, i = questions(spark, d), indexed(spark, d)
     tokens = q.select("query_id", "query", F.explode(F.array_distinct(T.tokenize(F.col("query")))).alias("token"))
-    post = c.select("chunk_id", F.explode_outer(F.array_distinct(T.tokenize(F.col("text")))).alias("token"))
-    post = scratch_table(post.join(tokens.select("token").distinct(), "token", "left_semi"), "passage-words")
+    post = i.rows.where("text_tf > 0").select("chunk_id", "token").join(tokens.select("token").distinct(), "token", "left_semi")
     rare = post.groupBy("token").count().join(tokens, "token")
     rare = rare.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("count", "token"))).where("r = 1")
-    near = post.join(rare.select("query_id", "query", "token"), "token").select("query_id", "query", "chunk_id")
-    return near.join(c.select("chunk_id", "text"), "chunk_id").where(F.contains("text", "query")).select("query_id", "chunk_id")
+    near = i.rows.where("text_tf > 0").join(rare.select("query_id", "query", "token"), "token").select("query_id", "query", "chunk_id")
+    return near.join(i.chunks.select("chunk_id", "text"), "chunk_id").where(F.contains("text", "query")).select("query_id", "chunk_id")
 
 
 SQL_RELEVANT = "relevant AS (SELECT item_id AS query_id, doc_id AS chunk_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
@@ -488,7 +491,7 @@ def p4_tokenize_query(spark, d):
 @query("p12_excerpt")
 def p12_excerpt(spark, d):
     """Of each question's best document, the lines that hold one of its tokens and the lines above them."""
-    best = lexical.top(lexical.bm25_scores(questions(spark, d), chunks(spark, d)), 1)
+    best = lexical.search(questions(spark, d), indexed(spark, d), 1)
     rows = best.join(chunks(spark, d), "chunk_id").join(questions(spark, d), "query_id")
     return rows.select("query_id", "chunk_id", T.excerpt(F.col("text"), T.tokenize_query(F.col("query"))).alias("excerpt"))
 
@@ -580,10 +583,10 @@ h AS (SELECT query_id, list(chunk_id ORDER BY chunk_id) AS hits FROM bm25_top WH
 SELECT h.query_id, CAST(len(list_filter(hits, lambda x: list_contains(coalesce(want, []), x))) AS INTEGER) AS shared, CAST(len(list_filter(coalesce(want, []), lambda x: NOT list_contains(hits, x))) AS INTEGER) AS missed FROM h LEFT JOIN r ON h.query_id = r.query_id""")
 def t1_set_algebra(spark, d):
     """Hits and relevant documents of a question: shared ones, and those missed."""
-    hits = found(spark, d).groupBy("query_id").agg(F.collect_set("chunk_id").alias("hits"))  # ten at most
-    want = relevant(spark, d).join(found(spark, d).select("query_id", "chunk_id", F.lit(1).alias("hit")), ["query_id", "chunk_id"], "left")
+    hits = scratch_table(found(spark, d), "hits")
+    want = relevant(spark, d).join(hits.select("query_id", "chunk_id", F.lit(1).alias("hit")), ["query_id", "chunk_id"], "left")
     counts = want.groupBy("query_id").agg(F.count("hit").cast("int").alias("shared"), F.count_if(F.col("hit").isNull()).cast("int").alias("missed"))
-    return hits.select("query_id").join(counts, "query_id", "left").na.fill(0)
+    return hits.select("query_id").distinct().join(counts, "query_id", "left").na.fill(0)
 
 
 @query("st8_supersession", "SELECT user_id, arg_max(event_id, {'t': ts, 'e': event_id}) AS current, count(*) - 1 AS superseded FROM events WHERE event_type = 'click' GROUP BY user_id")

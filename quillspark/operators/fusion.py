@@ -40,23 +40,24 @@ def fuse(channels: list[tuple[str, DataFrame]], k: int = RRF_K) -> DataFrame:
 
 def hybrid(queries: DataFrame, chunks: DataFrame, query_vectors: DataFrame, vectors: DataFrame, candidates: int = 50, k: int = 10) -> DataFrame:
     """Both channels cut to ``candidates``, fused, quality factor once on positive scores, then the ``k`` best."""
-    words = lexical.top(lexical.bm25_scores(queries, chunks, raw=True), candidates)
+    found = lexical.index(chunks)
+    words = lexical.search(queries, found, candidates, raw=True)
     dense = lexical.top(dense_scores(query_vectors, vectors), candidates)
     fused = fuse([("bm25", words), ("vector", dense)])
-    factors = chunks.select("chunk_id", T.quality_factor(F.coalesce("heading", F.lit(""))).alias("factor"))
+    factors = lexical.factors(found.chunks)
     scored = fused.join(factors, "chunk_id", "left").withColumn("score", F.when(F.col("score") > 0, F.col("score") * F.coalesce("factor", F.lit(1.0))).otherwise(F.col("score")))
     return lexical.top(scored.select("query_id", "chunk_id", "score"), k)
 
 
-def multi_query(queries: DataFrame, chunks: DataFrame, each: int = 3) -> DataFrame:
-    """Sub-questions searched on their own (``each`` best), fused per question; an undivided question keeps its BM25 ranking."""
-    parts = queries.select("query_id", F.size(T.decompose(F.col("query"))).alias("parts"), F.posexplode(T.decompose(F.col("query"))).alias("part", "sub"))
-    subs = parts.select(F.struct("query_id", "part").alias("query_id"), F.col("sub").alias("query"))
-    found = lexical.top(lexical.bm25_scores(subs, chunks), each)
-    found = found.select(F.col("query_id.query_id").alias("query_id"), F.col("query_id.part").alias("part"), "chunk_id", "rank", "score")
-    found = found.join(parts.select("query_id", "part", "parts"), ["query_id", "part"])
-    votes = found.withColumn("vote", F.when(F.col("parts") == 1, F.col("score")).otherwise(1 / (RRF_K + F.col("rank"))))
-    return lexical.top(votes.groupBy("query_id", "chunk_id").agg(lexical.in_order("part", "vote").alias("score")), each)
+def multi_query(queries: DataFrame, chunks: DataFrame | lexical.Index, each: int = 3, k: int = 5, rrf: int = RRF_K) -> DataFrame:
+    """query_id, chunk_id, score, parts, rank: the ``k`` best of each question, whose sub-questions have ``each`` hits and fuse by rank.
+
+    An undivided question keeps its BM25 ranking and scores. All sub-questions and questions are one search."""
+    subs = queries.select("query_id", T.decompose(F.coalesce("query", F.lit(""))).alias("subs")).select("query_id", F.size("subs").alias("parts"), F.posexplode("subs").alias("part", "query"))
+    found = lexical.search(subs.select(F.struct("query_id", "part", "parts").alias("query_id"), "query"), chunks, max(each, k))
+    found = found.select("query_id.*", "chunk_id", "rank", "score").where((F.col("parts") == 1) | (F.col("rank") <= each))
+    votes = found.withColumn("vote", F.when(F.col("parts") == 1, F.col("score")).otherwise(1 / (rrf + F.col("rank"))))
+    return lexical.top(votes.groupBy("query_id", "parts", "chunk_id").agg(lexical.in_order("part", "vote").alias("score")), k)
 
 
 def relative(scores: DataFrame) -> DataFrame:

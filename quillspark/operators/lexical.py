@@ -1,11 +1,17 @@
 """Lexical index and ranking: postings, document frequencies, IDF and BM25 scores.
 
-A query token meets the postings by an equi-join; each (query, chunk) sums its contributions exactly, so scores do not
-depend on the partitioning. Query tokens prune the postings before they are shuffled.
+A chunk's tokens are counted in its own row, so an index is made without a shuffle. It is a table that all searches of a corpus
+read. Scores are sums of whole numbers, so they do not depend on the partitioning.
+
+A search for the k best reads no more postings than it must. A token's greatest contribution to any chunk bounds what it can
+add. Rare tokens are scored first and give a score that k chunks reach; the frequent tokens that together cannot reach it
+bring no chunk of their own, and are looked up only in the chunks that the others leave in reach of it.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,48 +19,60 @@ from ..functions import text as T
 from ..sources.files import scratch_table
 
 K1, B, HEADING_REPEAT = 1.5, 0.75, 1
+#: Postings of a question's rarest tokens from which its first threshold comes, about.
+SEED = 4096
+#: Chunks scored whole for the first threshold, as a multiple of those wanted.
+FIRST = 5
+#: Relative slack of bounds in doubles.
+SLACK = 1e-9
 
 
-def chunk_rows(chunks: DataFrame) -> DataFrame:
-    """chunk_id, doc_len, token, h (1 in the heading) of every token, and one row of the empty token a chunk.
+@dataclass
+class Index:
+    """chunks (chunk_id, heading, text) and their posting rows (``posting_rows``)."""
 
-    ``explode_outer``: Spark would put a filter on a plain ``explode`` that repeats the tokenizer."""
-    tokens = chunks.select("chunk_id", T.tokenize(F.coalesce("heading", F.lit(""))).alias("heads"), T.tokenize(F.coalesce("text", F.lit(""))).alias("words"))
-    marked = lambda column, h: F.transform(column, lambda t: F.struct(t.alias("token"), F.lit(h).alias("h")))
-    each = F.concat(F.array(F.struct(F.lit("").alias("token"), F.lit(0).alias("h"))), marked("heads", 1), marked("words", 0))
-    doc_len = (F.size("heads") * (1 + HEADING_REPEAT) + F.size("words")).cast("long")
-    return tokens.select("chunk_id", doc_len.alias("doc_len"), F.explode_outer(each).alias("x")).select("chunk_id", "doc_len", "x.token", "x.h")
+    chunks: DataFrame
+    rows: DataFrame
 
 
-def counted(rows: DataFrame) -> DataFrame:
-    """chunk_id, token, tf, heading_tf, text_tf, doc_len of token rows; the heading counts 1 + HEADING_REPEAT times."""
-    counts = rows.groupBy("chunk_id", "token").agg(F.sum("h").alias("heading_tf"), F.sum(1 - F.col("h")).alias("text_tf"), F.first("doc_len").alias("doc_len"))
-    return counts.select("chunk_id", "token", (F.col("heading_tf") * (1 + HEADING_REPEAT) + F.col("text_tf")).alias("tf"), "heading_tf", "text_tf", "doc_len")
+def index(chunks: DataFrame | Index) -> Index:
+    return chunks if isinstance(chunks, Index) else Index(chunks, scratch_table(posting_rows(chunks), "postings"))
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """chunk_id, token, tf, heading_tf, text_tf, doc_len of every token of every chunk."""
-    return counted(chunk_rows(chunks).where("token <> ''"))
+def posting_rows(chunks: DataFrame) -> DataFrame:
+    """chunk_id, token, heading_tf, text_tf, doc_len of every token of every chunk; one without tokens has a row of the empty token.
 
+    Sorted tokens are counted by where the next different one begins. The heading counts 1 + HEADING_REPEAT times in doc_len."""
+    rows = chunks.select("chunk_id", T.tokenize(F.coalesce("heading", F.lit(""))).alias("heads"), T.tokenize(F.coalesce("text", F.lit(""))).alias("words"))
+    doc_len = (F.size("heads") * (1 + HEADING_REPEAT) + F.size("words")).cast("long")
+    rows = rows.select("chunk_id", doc_len.alias("doc_len"), "heads", F.sort_array(F.concat("heads", "words")).alias("tokens"))
+    # one element more than there are tokens: the last turn is the end
+    turns = F.zip_with("tokens", F.concat(F.array(F.lit(None).cast("string")), "tokens"), lambda x, before: F.when(~x.eqNullSafe(before), F.struct(x.alias("token"))))
+    places = F.filter(F.transform(turns, lambda e, i: F.when(e.isNotNull(), F.struct(e["token"].alias("token"), i.alias("at")))), lambda e: e.isNotNull())
+    rows = rows.select("chunk_id", "doc_len", "heads", places.alias("turns"))
+    runs = F.zip_with("turns", F.slice("turns", 2, F.greatest(F.size("turns"), F.lit(1))), lambda a, b: F.struct(a["token"].alias("token"), (b["at"] - a["at"]).alias("n")))
+    runs = F.filter(runs, lambda x: x["token"].isNotNull())
+    rows = rows.select("chunk_id", "doc_len", "heads", F.explode_outer(runs).alias("x"))
+    in_heading = F.size(F.filter("heads", lambda h: h == F.col("x.token")))
+    token, n = F.coalesce("x.token", F.lit("")), F.coalesce("x.n", F.lit(0))
+    return rows.select("chunk_id", token.alias("token"), in_heading.cast("long").alias("heading_tf"), (n - in_heading).cast("long").alias("text_tf"), "doc_len")
 
-def corpus_stats(chunks: DataFrame) -> DataFrame:
-    """One row: n (chunks), avgdl."""
-    return stats_of(chunk_rows(chunks).where("token = ''"))
 
+def weighed(rows: DataFrame, repeat: int = HEADING_REPEAT) -> Column:
+    return F.col("heading_tf") * (1 + repeat) + F.col("text_tf")
 
-def stats_of(rows: DataFrame) -> DataFrame:
-    """n and avgdl of the rows of the empty token, one a chunk."""
-    return rows.agg(F.count("*").alias("n"), (F.sum("doc_len") / F.count("*")).alias("avgdl"))
 
+def postings(chunks: DataFrame | Index) -> DataFrame:
+    """chunk_id, token, tf, heading_tf, text_tf, doc_len of every token of every chunk."""
+    rows = chunks.rows if isinstance(chunks, Index) else posting_rows(chunks)
+    return rows.where("token <> ''").select("chunk_id", "token", weighed(rows).alias("tf"), "heading_tf", "text_tf", "doc_len")
 
-def asked_index(wanted: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Postings of the wanted tokens, their document frequencies, and the corpus statistics, from one pass over the texts.
 
-    Tokens of no question go before anything is shuffled; what is left is a table of its own, read three times."""
-    tokens = wanted.select("token").union(wanted.sparkSession.createDataFrame([("",)], "token string")).distinct()
-    table = scratch_table(counted(chunk_rows(chunks).join(tokens, "token", "left_semi")), "postings")
-    post = table.where("token <> ''")
-    return post, document_frequency(post), stats_of(table.where("token = ''"))
+def corpus_stats(chunks: DataFrame | Index) -> DataFrame:
+    """One row: n (chunks), avgdl."""
+    found = index(chunks)
+    total = found.rows.agg(F.sum(weighed(found.rows)).alias("tokens"))  # a chunk's length is the sum of its tokens
+    return found.chunks.agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).select("n", (F.col("tokens") / F.col("n")).alias("avgdl"))
 
 
 def document_frequency(post: DataFrame) -> DataFrame:
@@ -74,16 +92,21 @@ def query_tokens(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(T.tokenize_query(F.coalesce("query", F.lit("")))).alias("token"))
 
 
-def contributions(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """query_id, chunk_id, token, tf, heading_tf, text_tf, idf, score of every token of a query in every chunk that has it."""
-    wanted = query_tokens(queries)
-    post, df, stats = asked_index(wanted, chunks)
-    weighed = df.crossJoin(F.broadcast(stats))  # one row
-    weighed = weighed.select("token", "avgdl", bm25_idf(F.col("n"), F.col("df")).alias("idf"))
-    joined = post.join(weighed, "token").join(wanted, "token")
-    norm = (1 - B) + B * F.col("doc_len") / F.col("avgdl")
-    score = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * norm)
-    return joined.select("query_id", "chunk_id", "token", "tf", "heading_tf", "text_tf", "idf", score.alias("score"))
+def tf_part(tf: Column, doc_len: Column, avgdl: Column, k1: float | Column = K1, b: float | Column = B) -> Column:
+    """What a token's count adds to BM25 before its IDF."""
+    return tf * (k1 + 1) / (tf + k1 * ((1 - b) + b * doc_len / avgdl))
+
+
+def asked_postings(wanted: DataFrame, chunks: Index) -> tuple[DataFrame, DataFrame]:
+    """(postings of the wanted tokens, with part of BM25 and both, the fields of IDF; token, df, n, idf of BM25 and smooth)."""
+    stats = corpus_stats(chunks)
+    tokens = wanted.select("token").distinct()
+    post = postings(chunks).join(tokens, "token", "left_semi").crossJoin(F.broadcast(stats))  # one row
+    both = (F.col("text_tf") > 0).cast("int") + (F.col("heading_tf") > 0).cast("int")
+    post = post.select("chunk_id", "token", "tf", "heading_tf", "text_tf", tf_part(F.col("tf"), F.col("doc_len"), F.col("avgdl")).alias("part"), both.cast("double").alias("fields"))
+    post = scratch_table(post, "asked")
+    words = post.groupBy("token").agg(F.count("*").alias("df"), F.max("part").alias("part_peak"), F.max("fields").alias("fields_peak")).crossJoin(F.broadcast(stats.select("n")))
+    return post, words.withColumn("idf", bm25_idf(F.col("n"), F.col("df"))).withColumn("smooth", smooth_idf(F.col("n"), F.col("df")))
 
 
 def in_order(token: str, score: str) -> Column:
@@ -91,35 +114,81 @@ def in_order(token: str, score: str) -> Column:
     return F.aggregate(F.array_sort(F.collect_list(F.struct(token, score))), F.lit(0.0), lambda a, x: a + x[score])
 
 
-def exact_sum(score: Column) -> Column:
-    """Sum of scores of up to 2**40 as two sums of whole numbers: no order changes it, and it combines before the shuffle."""
+def exact(score: Column) -> tuple[Column, Column]:
+    """Sums of scores of up to 2**40 as two sums of whole numbers: no order changes them, and they combine before the shuffle."""
     high = F.floor(score * 2.0**20)
-    low = F.round((score * 2.0**20 - high) * 2.0**40).cast("long")
-    return F.sum(high) / F.lit(2.0**20) + F.sum(low) / F.lit(2.0**60)
+    return F.sum(high).alias("high"), F.sum(F.round((score * 2.0**20 - high) * 2.0**40).cast("long")).alias("low")
+
+
+def value(high: Column, low: Column) -> Column:
+    return high / F.lit(2.0**20) + low / F.lit(2.0**60)
+
+
+def exact_sum(score: Column) -> Column:
+    return value(*exact(score))
+
 
+def contributions(queries: DataFrame, chunks: DataFrame | Index, pairs: DataFrame | None = None) -> DataFrame:
+    """query_id, chunk_id, token, tf, heading_tf, text_tf, idf, score of every token of a query in every chunk that has it,
+    or in those of ``pairs`` (query_id, chunk_id)."""
+    wanted = query_tokens(queries)
+    post, words = asked_postings(wanted, index(chunks))
+    asked = wanted.join(words.select("token", "idf"), "token")
+    rows = asked.join(pairs, "query_id").join(post, ["token", "chunk_id"]) if pairs is not None else post.join(asked, "token")
+    return rows.select("query_id", "chunk_id", "token", "tf", "heading_tf", "text_tf", "idf", (F.col("idf") * F.col("part")).alias("score"))
 
-def bm25_scores(queries: DataFrame, chunks: DataFrame, raw: bool = False) -> DataFrame:
-    """query_id, chunk_id, score > 0; unfinished headings count 0.35 unless ``raw``."""
-    return summed(contributions(queries, chunks), chunks, raw)
 
+def factors(chunks: DataFrame) -> DataFrame:
+    """chunk_id, factor of the chunks with unfinished headings."""
+    return chunks.select("chunk_id", T.quality_factor(F.coalesce("heading", F.lit(""))).alias("factor")).where("factor < 1")
 
-def summed(parts: DataFrame, chunks: DataFrame, raw: bool = False) -> DataFrame:
-    """query_id, chunk_id, score > 0 of ``contributions``."""
-    sums = parts.groupBy("query_id", "chunk_id").agg(exact_sum(F.col("score")).alias("score"))
+
+def bm25_scores(queries: DataFrame, chunks: DataFrame | Index, raw: bool = False) -> DataFrame:
+    """query_id, chunk_id, score > 0 of every chunk; unfinished headings count 0.35 unless ``raw``."""
+    found = index(chunks)
+    sums = contributions(queries, found).groupBy("query_id", "chunk_id").agg(exact_sum(F.col("score")).alias("score"))
     if not raw:
-        factors = chunks.select("chunk_id", T.quality_factor(F.coalesce("heading", F.lit(""))).alias("factor"))
-        sums = sums.join(factors, "chunk_id").select("query_id", "chunk_id", (F.col("score") * F.col("factor")).alias("score"))
+        sums = sums.join(factors(found.chunks), "chunk_id", "left").select("query_id", "chunk_id", (F.col("score") * F.coalesce("factor", F.lit(1.0))).alias("score"))
     return sums.where("score > 0")
 
 
-def idf_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """query_id, chunk_id, score: IDF of the tokens matched in the text plus those matched in the heading."""
-    wanted = query_tokens(queries)
-    post, df, stats = asked_index(wanted, chunks)
-    weighed = df.crossJoin(F.broadcast(stats))  # one row
-    joined = post.join(weighed.select("token", smooth_idf(F.col("n"), F.col("df")).alias("idf")), "token").join(wanted, "token")
-    part = lambda tf: exact_sum(F.when(F.col(tf) > 0, F.col("idf")).otherwise(0.0))
-    return joined.groupBy("query_id", "chunk_id").agg((part("text_tf") + part("heading_tf")).alias("score")).where("score > 0")
+def search(queries: DataFrame, chunks: DataFrame | Index, k: int, raw: bool = False, idf_only: bool = False, seed: int = SEED) -> DataFrame:
+    """query_id, chunk_id, score, rank of the ``k`` best chunks of each query with a score over 0; ties to the smaller chunk_id.
+
+    BM25 by default, with the factor of unfinished headings unless ``raw``; ``idf_only``: IDF of the tokens matched in the text
+    plus those matched in the heading, without factor. All tied chunks are compared, and no chunk in reach is left out."""
+    found, wanted = index(chunks), query_tokens(queries)
+    post, words = asked_postings(wanted, found)
+    idf, part = ("smooth", "fields") if idf_only else ("idf", "part")
+    post = post.select("chunk_id", "token", F.col(part).alias("part"))
+    words = words.select("token", "df", F.col(idf).alias("idf"), (F.col(idf) * F.col(f"{part}_peak")).alias("bound"))
+    rarest = Window.partitionBy("query_id").orderBy("df", "token")
+    asked = wanted.join(words, "token").withColumns({
+        "place": F.row_number().over(rarest),
+        "met": F.sum("df").over(rarest.rowsBetween(Window.unboundedPreceding, 0)),
+        "reach": F.sum("bound").over(rarest.rowsBetween(0, Window.unboundedFollowing)),
+    })
+    asked = scratch_table(asked, "questions")
+    odd = None if raw or idf_only else factors(found.chunks)
+
+    def scored(tokens: DataFrame) -> DataFrame:
+        sums = post.join(tokens, "token").groupBy("query_id", "chunk_id").agg(*exact(F.col("idf") * F.col("part")))
+        return sums.withColumn("factor", F.lit(1.0)) if odd is None else sums.join(odd, "chunk_id", "left").withColumn("factor", F.coalesce("factor", F.lit(1.0)))
+
+    score = F.col("factor") * value(F.col("high"), F.col("low"))
+    # the whole scores of the chunks that look best by the rarest tokens give a bar close to the k-th best
+    first = top(scored(asked.where((F.col("place") == 1) | (F.col("met") <= seed))).withColumn("score", score), FIRST * k).select("query_id", "chunk_id", "factor")
+    tried = asked.select("query_id", "token", "idf").join(first, "query_id").join(post, ["token", "chunk_id"]).groupBy("query_id", "chunk_id", "factor").agg(*exact(F.col("idf") * F.col("part")))
+    bar = top(tried.withColumn("score", score), k).where(F.col("rank") == k).select("query_id", (F.col("score") * (1 - SLACK)).alias("bar"))
+    asked = scratch_table(asked.join(bar, "query_id", "left").withColumn("leads", F.coalesce(F.col("reach") * (1 + SLACK) >= F.col("bar"), F.lit(True))), "bars")
+    rest = asked.groupBy("query_id").agg(F.max("bar").alias("bar"), F.coalesce(F.sum(F.when(~F.col("leads"), F.col("bound"))), F.lit(0.0)).alias("tail"))
+    near = scored(asked.where("leads")).join(rest, "query_id")
+    near = near.where(F.coalesce(F.col("factor") * (value(F.col("high"), F.col("low")) + F.col("tail")) * (1 + SLACK) >= F.col("bar"), F.lit(True)))
+    near = scratch_table(near.select("query_id", "chunk_id", "factor", "high", "low"), "near")
+    more = near.select("query_id", "chunk_id", "factor").join(asked.where(~F.col("leads")).select("query_id", "token", "idf"), "query_id").join(post, ["token", "chunk_id"])
+    added = more.groupBy("query_id", "chunk_id", "factor").agg(*exact(F.col("idf") * F.col("part")))
+    whole = near.unionByName(added).groupBy("query_id", "chunk_id", "factor").agg(F.sum("high").alias("high"), F.sum("low").alias("low"))
+    return top(whole.select("query_id", "chunk_id", score.alias("score")).where("score > 0"), k)
 
 
 def top(scores: DataFrame, k: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +54,32 @@ def scratch_table(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Folder and schema of each table that ``corpus_table`` made, by application, label and what the corpus was.
+_MADE: dict[tuple, tuple] = {}
+
+
+def corpus_table(spark: SparkSession, path: str, label: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table that ``make()`` gives of the corpus at ``path``, written once a version of the corpus (its files' number, bytes and
+    time) and application, and read by all that ask for it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    size = system.getContentSummary(at)
+    key = (spark.sparkContext.applicationId, label, path, size.getFileCount(), size.getLength(), system.getFileStatus(at).getModificationTime())
+    if key not in _MADE:
+        folder = f"{scratch_folder(spark)}/{label}-{uuid.uuid4().hex}"
+        rows = make()
+        rows.write.parquet(folder)
+        _MADE[key] = folder, rows.schema
+    folder, schema = _MADE[key]
+    return spark.read.schema(schema).parquet(folder)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt anew where its scan has fewer tasks than the cluster has cores, which a large corpus never has."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def notebook_cells(files: DataFrame) -> DataFrame:
     """source_file, cell, cell_type, text of notebooks (source_file, content): sources of all cells, in order."""
     schema = "cells array<struct<cell_type:string,source:array<string>>>"
