@@ -100,3 +100,17 @@ def decompose(question: Column) -> Column:
 
 def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
+
+
+def highlighted(text: Column, tokens: Column) -> Column:
+    """``text`` as an array of (text, hit): the places of ``tokens`` in any case, from the left, the longest first where several
+    begin, none over another. Null and empty tokens count for nothing; without any hit the text is one piece."""
+    quoted = lambda t: F.concat(F.lit("\\Q"), F.replace(t, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    needles = F.array_distinct(F.transform(F.filter(tokens, lambda t: F.length(t) > 0), F.lower))
+    needles = F.transform(F.array_sort(F.transform(needles, lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), lambda x: quoted(x["t"]))
+    pattern = F.concat(F.lit("(?iu)(?:"), F.array_join(needles, "|"), F.lit(")"))
+    hits, rest = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, F.lit(-1))
+    both = F.flatten(F.transform(rest, lambda x, i: F.array(F.struct(x.alias("text"), F.lit(False).alias("hit")), F.struct(F.get(hits, i).alias("text"), F.lit(True).alias("hit")))))
+    pieces = F.filter(both, lambda x: F.length(x["text"]) > 0)
+    whole = F.array(F.struct(text.alias("text"), F.lit(False).alias("hit")))
+    return F.when(text.isNotNull(), F.when((F.size(needles) > 0) & (F.size(pieces) > 0), pieces).otherwise(whole))

@@ -40,7 +40,7 @@ def index(chunks: DataFrame | Index) -> Index:
 
 
 def posting_rows(chunks: DataFrame) -> DataFrame:
-    """chunk_id, token, heading_tf, text_tf, doc_len of every token of every chunk; one without tokens has a row of the empty token.
+    """chunk_id, token, heading_tf, text_tf, doc_len, head_len of every token of every chunk; one without tokens has a row of the empty token.
 
     Sorted tokens are counted by where the next different one begins. The heading counts 1 + HEADING_REPEAT times in doc_len."""
     rows = chunks.select("chunk_id", T.tokenize(F.coalesce("heading", F.lit(""))).alias("heads"), T.tokenize(F.coalesce("text", F.lit(""))).alias("words"))
@@ -55,7 +55,7 @@ def posting_rows(chunks: DataFrame) -> DataFrame:
     rows = rows.select("chunk_id", "doc_len", "heads", F.explode_outer(runs).alias("x"))
     in_heading = F.size(F.filter("heads", lambda h: h == F.col("x.token")))
     token, n = F.coalesce("x.token", F.lit("")), F.coalesce("x.n", F.lit(0))
-    return rows.select("chunk_id", token.alias("token"), in_heading.cast("long").alias("heading_tf"), (n - in_heading).cast("long").alias("text_tf"), "doc_len")
+    return rows.select("chunk_id", token.alias("token"), in_heading.cast("long").alias("heading_tf"), (n - in_heading).cast("long").alias("text_tf"), "doc_len", F.size("heads").cast("long").alias("head_len"))
 
 
 def weighed(rows: DataFrame, repeat: int = HEADING_REPEAT) -> Column:
