@@ -5,7 +5,8 @@
    document goes on.
 2. Four neighbouring registers are a band; classes that share a band key are candidates. The classes of a key are compared
    with one hub, those of a frequent key with one for each range of sizes; a hub is the same for all the keys that it is in.
-   Of a key with few classes all pairs follow that are in different components by then.
+   Of a key with few classes all pairs follow that are in different components by then; they are estimated where the key is,
+   so that only pairs that pass become rows.
 3. A candidate pair's Jaccard similarity is estimated from its registers, less what chance collisions add; pairs six
    standard errors below the threshold are left. The others are confirmed on full shingle sets.
 4. A frequent key whose classes are not all connected by then is swept: classes of different components are estimated, and
@@ -242,18 +243,38 @@ def hub_of():
     return F.min(F.struct(F.xxhash64("doc").alias("h"), "doc", "n"))
 
 
-def other_pairs(few: DataFrame, label: DataFrame) -> DataFrame:
-    """Pairs a < b of similar size that share a key of at most FEW classes, are in different components of ``label``, and were
-    not met in ``first_pairs`` of that key."""
+def open_pairs(few: DataFrame, label: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs a < b that pass the estimate, of similar size, that share a key of at most FEW classes, are in different components of
+    ``label``, and were not met in ``first_pairs`` of that key.
+
+    A key gets the registers of its classes once, and its pairs are made and estimated in one task: only what passes leaves it."""
     rows = few.join(label.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     members = F.sort_array(F.collect_list(F.struct("doc", "n", "component")))
     grouped = rows.groupBy("key").agg(members.alias("x"), hub_of().alias("hub"), F.min("component").alias("low"), F.max("component").alias("high"))
     hub = lambda x: (x["doc"] == F.col("hub.doc")) & (x["n"] == F.col("hub.n"))
-    rest = grouped.where("low <> high").select(F.filter("x", lambda x: ~hub(x)).alias("x"))
-    b = F.col("b")
-    open_ = lambda a: (a["doc"] < b["doc"]) & (a["component"] != b["component"]) & sized_alike(a["n"], b["n"])
-    ends = rest.select("x", F.posexplode("x").alias("i", "b")).select("b", F.explode(F.filter(F.slice("x", F.lit(1), F.col("i")), open_)).alias("a"))
-    return ends.select(F.col("a.doc").alias("a"), F.col("b.doc").alias("b"))
+    rest = grouped.where("low <> high").select("key", F.filter("x", lambda x: ~hub(x)).alias("x")).where(F.size("x") > 1)
+    rest = rest.select("key", F.explode("x").alias("x")).select("key", "x.*").join(sketches.select("doc", "n", "registers"), ["doc", "n"])
+    rest = rest.groupBy("key").agg(F.collect_list(F.struct("doc", "n", "component", "registers")).alias("x"))  # FEW at most
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(0)
+            lengths = np.diff(lists.offsets.to_numpy())
+            doc, n, component, registers_ = (lists.flatten().field(k) for k in range(4))
+            doc, n, component = (c.to_numpy(zero_copy_only=False) for c in (doc, n, component))
+            regs = np.frombuffer(b"".join(registers_.to_pylist()), np.uint16).reshape(-1, BUCKETS)
+            owner = np.repeat(np.arange(len(lengths)), lengths)
+            for step in range(1, int(lengths.max(initial=0))):
+                i = np.flatnonzero(owner[:-step] == owner[step:])
+                j = i + step
+                i, j = (x[(component[i] != component[j]) & (doc[i] != doc[j]) & (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * SIMILAR)] for x in (i, j))
+                for at in range(0, len(i), 8192):
+                    a, b = i[at : at + 8192], j[at : at + 8192]
+                    similar, least = estimate(regs[a], regs[b], n[a], n[b])
+                    a, b = doc[a[similar >= least]], doc[b[similar >= least]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return rest.select("x").mapInArrow(run, "a long, b long").distinct()
 
 
 def hub_pairs(spanned: DataFrame, total: int) -> DataFrame:
@@ -466,7 +487,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     several = linked.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select("doc_id")
     copies = linked.join(several, "doc_id").select("doc_id", "digest").join(classes.select("digest", "doc"), "digest").where("doc_id <> doc")
     label = merged(None, links.union(copies.select(F.col("doc").alias("a"), F.col("doc_id").alias("b"))))
-    label = merged(label, linked_pairs(other_pairs(few, label), firsts, documents))
+    label = merged(label, confirmed(materialize(open_pairs(few, label, firsts), "open-pairs"), documents))
     label = merged(label, swept(frequent, label, documents))
     named = classes.select("digest", "doc", "held").join(label.withColumnRenamed("node", "doc"), "doc", "left").select("digest", "held", F.coalesce("component", "doc").alias("found"))
     found = joined(linked.select("doc_id", "n", "digest"), materialize(named, "components"), ["digest"], "held", sketches.count()).select("doc_id", "n", "found")

@@ -81,7 +81,7 @@ def no_pairs(rows, *_):
 @pytest.mark.parametrize("chunk", [N.CHUNK, 16 * N.LEAST])
 def test_sweep_finds_what_pairs_left(spark, monkeypatch, chunk):
     """Without any pair of an unfrequent key or a hub, the sweep of frequent keys still connects all, in one chunk or in several."""
-    for name in ("first_pairs", "other_pairs", "hub_pairs"):
+    for name in ("first_pairs", "open_pairs", "hub_pairs"):
         monkeypatch.setattr(N, name, no_pairs)
     monkeypatch.setattr(N, "FEW", 1)
     monkeypatch.setattr(N, "CHUNK", chunk)
@@ -97,12 +97,16 @@ def test_open_components_give_every_pair_but_the_hubs(spark):
     label = {d: d % 4 for d in range(0, 30, 2)}
     few = spark.createDataFrame(rows, "key long, doc long, n long")
     first = {tuple(r) for r in N.first_pairs(few).collect()}
-    other = [tuple(r) for r in N.other_pairs(few, spark.createDataFrame(list(label.items()), "node long, component long")).collect()]
+    # equal registers pass the estimate, and those of document 7 fail it
+    full = {d: np.full(N.BUCKETS, 9 if d == 7 else 5, np.uint16).tobytes() for d in range(30)}
+    sketches = spark.createDataFrame([(d, 10 + d % 3, bytearray(x)) for d, x in full.items()], "doc long, n long, registers binary")
+    other = [tuple(r) for r in N.open_pairs(few, spark.createDataFrame(list(label.items()), "node long, component long"), sketches).collect()]
     want = {(a, b) for k, a, n in rows for j, b, m in rows if k == j and a < b and min(n, m) * 100 >= max(n, m) * N.SIMILAR}
-    apart = {(a, b) for a, b in want if label.get(a, a) != label.get(b, b)}
+    apart = {(a, b) for a, b in want if label.get(a, a) != label.get(b, b) and 7 not in (a, b)}
+    assert not any(7 in x for x in other)
     assert first | set(other) <= want and apart <= first | set(other)
     assert all(label.get(a, a) != label.get(b, b) for a, b in other)
-    assert N.other_pairs(few, few.selectExpr("doc AS node", "-1L AS component").distinct()).count() == 0
+    assert N.open_pairs(few, few.selectExpr("doc AS node", "-1L AS component").distinct(), sketches).count() == 0
 
 
 def test_long_texts_in_a_hot_key(spark):
