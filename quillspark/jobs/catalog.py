@@ -300,7 +300,16 @@ def outlined(spark, d):
 SQL_OUTLINED = """outlined AS (SELECT doc_id AS id, source AS title, list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN (i - 1) % 5 = 0 THEN repeat('#', CAST(((i - 1) // 5) % 3 + 1 AS INTEGER)) || ' ' || x ELSE x END) AS lines FROM documents)"""
 
 
-@query("e2_round_robin")
+@query("e2_round_robin", f"""WITH RECURSIVE {SQL_SOURCES},
+u AS (SELECT query_id, rank, CAST(unnest(range(len(x))) AS INTEGER) AS position, unnest(x) AS content FROM (SELECT query_id, rank, string_split(content, chr(10)) AS x FROM sources)),
+a AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS asked FROM benchmark),
+m AS (SELECT u.*, len(list_intersect(list_distinct(regexp_extract_all(lower(content), '[a-z0-9]+')), asked)) AS matches FROM u JOIN a USING (query_id)),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id, rank ORDER BY matches DESC, position) AS unit FROM m),
+v AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY unit, rank) AS k FROM o),
+f AS (SELECT DISTINCT query_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS used, CAST([] AS VARCHAR[]) AS seen, CAST([] AS BIGINT[]) AS opened, CAST([] AS STRUCT(r BIGINT, p INTEGER)[]) AS taken FROM v
+  UNION ALL SELECT query_id, k, CASE WHEN ok THEN used + added ELSE used END, CASE WHEN ok THEN list_append(seen, content) ELSE seen END, CASE WHEN ok AND NOT list_contains(opened, rank) THEN list_append(opened, rank) ELSE opened END, CASE WHEN ok THEN list_append(taken, {{'r': rank, 'p': position}}) ELSE taken END
+  FROM (SELECT *, NOT list_contains(seen, content) AND used + added <= 2200 AS ok FROM (SELECT f.query_id, v.k, used, seen, opened, taken, v.rank, v.position, v.content, length(v.content) + CASE WHEN list_contains(opened, v.rank) THEN 2 WHEN len(opened) > 0 THEN 5 ELSE 3 END AS added FROM f JOIN v ON v.query_id = f.query_id AND v.k = f.k + 1)))
+SELECT query_id, CAST(used AS INTEGER) AS used, array_to_string(list_transform(list_sort(taken), lambda x: x.r || ':' || x.p), ',') AS accepted FROM f QUALIFY k = max(k) OVER (PARTITION BY query_id)""")
 def e2_round_robin(spark, d):
     """Lines of a source in the order (-matches, position); accepted ones as source:position, in that order."""
     rows = sources(spark, d).select("query_id", F.col("rank").alias("source"), F.lit("[S]").alias("header"), F.posexplode(T.lines(F.col("content"))).alias("position", "content"))
@@ -334,15 +343,10 @@ def j5_replies(spark, d):
     return before.where("role = 'assistant' AND q.role = 'user' AND q.turn = turn - 1").select("conv_id", "turn", F.col("q.turn").alias("question_turn"), F.length("q.text").cast("long").alias("question_chars"))
 
 
-@query("r16_recent_history", """WITH l AS (SELECT conv_id, turn, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations)
-SELECT conv_id, count(*) AS messages, CAST(sum(n) AS BIGINT) AS chars FROM l WHERE r <= 8 GROUP BY conv_id""")
-def r16_recent_history(spark, d):
-    last = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
-    rows = read(spark, d, "conversations").withColumn("r", F.row_number().over(last)).where("r <= 8")
-    return rows.groupBy("conv_id").agg(F.count("*").alias("messages"), F.sum(F.length("text")).alias("chars"))
-
-
-@query("r16_fitting_history")
+@query("r16_fitting_history", """WITH RECURSIVE l AS (SELECT conv_id, turn, CAST(length(text) AS INTEGER) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations),
+f AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS r, 0 AS chars, CAST([] AS BIGINT[]) AS turns FROM l
+  UNION ALL SELECT f.conv_id, l.r, CASE WHEN chars + n <= 4000 THEN chars + n ELSE chars END, CASE WHEN chars + n <= 4000 THEN list_prepend(turn, turns) ELSE turns END FROM f JOIN l ON l.conv_id = f.conv_id AND l.r = f.r + 1 WHERE l.r <= 8)
+SELECT conv_id, chars, array_to_string(turns, ',') AS turns FROM f QUALIFY r = max(r) OVER (PARTITION BY conv_id)""")
 def r16_fitting_history(spark, d):
     """The turns that a prompt takes of a conversation, in order."""
     rows = evidence.recent_history(read(spark, d, "conversations"))
@@ -359,12 +363,6 @@ def j9_difference(spark, d):
     return tables.difference(old, new, "doc_id", "h")
 
 
-@query("j10_embedding_reuse", "SELECT d.doc_id, e.vec_id IS NOT NULL AS reused FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id")
-def j10_embedding_reuse(spark, d):
-    have = read(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(True).alias("reused"))
-    return read(spark, d, "documents").select("doc_id").join(have, "doc_id", "left").na.fill(False)
-
-
 @query("j10_passage_reuse", """WITH n AS (SELECT doc_id, source, CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END AS text FROM documents), o AS (SELECT DISTINCT source, text FROM documents WHERE doc_id % 10 <> 0)
 SELECT n.doc_id, o.text IS NOT NULL AS reused FROM n LEFT JOIN o ON n.source = o.source AND n.text = o.text""")
 def j10_passage_reuse(spark, d):
@@ -405,20 +403,12 @@ def d6_vocabulary(spark, d):
     return datasets.vocabulary(read(spark, d, "documents"))
 
 
-@query("d7_windows", """WITH v AS (SELECT char, CAST(row_number() OVER (ORDER BY char) + 2 AS INTEGER) AS id FROM (SELECT DISTINCT unnest(string_split(text, '')) AS char FROM benchmark) WHERE char <> ''),
+@query("d7_document_windows", """WITH v AS (SELECT char, CAST(row_number() OVER (ORDER BY char) + 2 AS INTEGER) AS id FROM (SELECT DISTINCT unnest(string_split(text, '')) AS char FROM documents WHERE doc_id % 10 <> 0) WHERE char <> ''),
 m AS (SELECT map(list(char), list(id)) AS t FROM v),
-c AS (SELECT item_id AS id, list_append(list_transform(list_filter(string_split(text, ''), lambda x: x <> ''), lambda x: coalesce(t[x], 1)), 2) AS codes FROM benchmark, m),
+c AS (SELECT doc_id AS id, list_append(list_transform(list_filter(string_split(text, ''), lambda x: x <> ''), lambda x: coalesce(t[x], 1)), 2) AS codes FROM documents, m),
 s AS (SELECT id, codes, unnest(range(0, len(codes) - 1, 64)) AS start FROM c WHERE len(codes) >= 2),
 p AS (SELECT id, start, codes[start + 1 : least(start + 64, len(codes) - 1)] AS x, codes[start + 2 : start + 65] AS y FROM s)
-SELECT id, CAST(start AS INTEGER) AS start, array_to_string(list_concat(x, list_transform(range(64 - len(x)), lambda i: 0)), ' ') AS x, array_to_string(list_concat(y, list_transform(range(64 - len(y)), lambda i: -100)), ' ') AS y FROM p""")
-def d7_windows(spark, d):
-    items = read(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
-    rows = datasets.windows(datasets.encoded(items, datasets.vocabulary(items)), 64)
-    flat = lambda c: F.array_join(F.col(c).cast("array<string>"), " ").alias(c)
-    return rows.select("id", "start", flat("x"), flat("y"))
-
-
-@query("d7_document_windows")
+SELECT id, CAST(start AS INTEGER) AS start, md5(array_to_string(list_concat(x, list_transform(range(64 - len(x)), lambda i: 0)), ' ') || '|' || array_to_string(list_concat(y, list_transform(range(64 - len(y)), lambda i: -100)), ' ')) AS digest FROM p""")
 def d7_document_windows(spark, d):
     """Windows of every document by the alphabet of the training split (all but every tenth), as a digest of each."""
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
@@ -428,9 +418,10 @@ def d7_document_windows(spark, d):
 
 
 @query("a17_latency", """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, value DESC) AS r FROM events), v AS (SELECT event_type, list(value ORDER BY value) AS v FROM r WHERE r <= 100 GROUP BY event_type)
-SELECT event_type, CAST(len(v) AS INTEGER) AS n, v[greatest(1, CAST(floor(len(v) * 0.5::DOUBLE + 0.999999::DOUBLE) AS BIGINT))] AS p50, v[greatest(1, CAST(floor(len(v) * 0.95::DOUBLE + 0.999999::DOUBLE) AS BIGINT))] AS p95, v[len(v)] AS top FROM v""")
+SELECT event_type, CAST(len(v) AS INTEGER) AS n, v[greatest(1, CAST(floor(len(v) * 0.5::DOUBLE + 0.999999::DOUBLE) AS BIGINT))] AS p50, v[greatest(1, CAST(floor(len(v) * 0.95::DOUBLE + 0.999999::DOUBLE) AS BIGINT))] AS p95, v[len(v)] AS top, round(list_sum(v) / len(v), 9) AS mean FROM v""")
 def a17_latency(spark, d):
-    return tables.nearest_rank(read(spark, d, "events"), "event_type", "value", "ts", 100, {"p50": 0.5, "p95": 0.95})
+    """Counts, means and nearest-rank percentiles of the last hundred values of each type."""
+    return rounded(tables.nearest_rank(read(spark, d, "events"), "event_type", "value", "ts", 100, {"p50": 0.5, "p95": 0.95}), "mean")
 
 
 @query("st9_windowed", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
@@ -488,7 +479,9 @@ def p4_tokenize_query(spark, d):
     return rows.select("id", F.array_join(T.tokenize_query(F.col("q")), " ").alias("tokens"))
 
 
-@query("p12_excerpt")
+@query("p12_excerpt", f"""WITH {SQL_BM25}, b AS (SELECT query_id, chunk_id, trim(d.text, chr(10) || chr(32) || chr(9) || chr(13)) AS text, regexp_extract_all(lower(q.text), '[a-z0-9]+') AS asked FROM bm25_top JOIN documents d ON doc_id = chunk_id JOIN benchmark q ON item_id = query_id WHERE rank = 1),
+h AS (SELECT *, string_split(text, chr(10)) AS lines, list_transform(string_split(text, chr(10)), lambda x: list_has_any(regexp_extract_all(lower(x), '[a-z0-9]+'), asked)) AS hit FROM b)
+SELECT query_id, chunk_id, CASE WHEN list_contains(hit, true) THEN array_to_string(list_filter(lines, lambda x, i: length(trim(x)) > 0 AND (hit[i] OR coalesce(hit[i + 1], false))), chr(10)) ELSE text END AS excerpt FROM h""")
 def p12_excerpt(spark, d):
     """Of each question's best document, the lines that hold one of its tokens and the lines above them."""
     best = lexical.search(questions(spark, d), indexed(spark, d), 1)
@@ -496,17 +489,11 @@ def p12_excerpt(spark, d):
     return rows.select("query_id", "chunk_id", T.excerpt(F.col("text"), T.tokenize_query(F.col("query"))).alias("excerpt"))
 
 
-@query("p16_covers", "SELECT item_id AS query_id, doc_id AS chunk_id, length(text) > 0 AND contains(lower(text), 'the') AND contains(lower(text), split_part(lower(item), ' ', 1)) AS covers FROM (SELECT item_id, b.text AS item, d.doc_id, d.text FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40)")
-def p16_covers(spark, d):
-    """Whether a document covers a keyword list: ``the`` and a passage's first word, for the documents of the passage's slot."""
-    items = questions(spark, d).select("query_id", F.array(F.lit("the"), F.substring_index("query", " ", 1)).alias("keywords"), (F.col("query_id") % 40).alias("slot"))
-    docs = chunks(spark, d).withColumn("slot", F.col("chunk_id") % 40)
-    return docs.join(items, "slot").select("query_id", "chunk_id", evaluation.covers_expected(F.col("text"), F.col("keywords")).alias("covers"))
-
-
 @query("p16_covers_all", "SELECT item_id AS query_id, doc_id AS chunk_id, length(d.text) > 0 AND contains(lower(d.text), 'the') AND contains(lower(d.text), split_part(lower(b.text), ' ', 1)) AS covers FROM benchmark b, documents d")
 def p16_covers_all(spark, d):
-    """The keyword lists of ``p16_covers`` against every document; the passages are a stated set, so the pairs grow with the documents."""
+    """Whether a document covers a keyword list, ``the`` and a passage's first word, for every document and passage.
+
+    The passages are a stated set, so the pairs grow with the documents."""
     items = questions(spark, d).select("query_id", F.array(F.lit("the"), F.substring_index("query", " ", 1)).alias("keywords"))
     return chunks(spark, d).crossJoin(items).select("query_id", "chunk_id", evaluation.covers_expected(F.col("text"), F.col("keywords")).alias("covers"))
 
@@ -595,9 +582,18 @@ def st8_supersession(spark, d):
     return clicks.groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("current"), (F.count("*") - 1).alias("superseded"))
 
 
-@query("d10_learning_rate", """WITH n AS (SELECT count(*) AS n FROM events), s AS (SELECT unnest(range(0, n)) AS step, n FROM n)
-SELECT step, round(CASE WHEN step < 100 THEN 0.001::DOUBLE * (step + 1) / 100 ELSE 0.001::DOUBLE * (0.1::DOUBLE + 0.9::DOUBLE * 0.5::DOUBLE * (1 + cos(pi() * ((step - 100) / greatest(1, n - 100))))) END, 9) AS rate FROM s""")
-def d10_learning_rate(spark, d):
-    """The schedule of a run with a step for each event."""
-    n = read(spark, d, "events").count()
-    return rounded(datasets.learning_rate(spark.range(n).withColumnRenamed("id", "step"), n, 100, 0.001), "rate")
+@query("st6_rolling", """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, value DESC) AS r FROM events)
+SELECT event_type, count(*) AS n, round(list_sum(list(value ORDER BY value)) / count(*), 9) AS mean, max(value) AS top FROM r WHERE r <= 100 GROUP BY event_type""")
+def st6_rolling(spark, d):
+    """What a stream's rolling state of the last hundred values says when all events have come."""
+    return rounded(windows.rolled(read(spark, d, "events")), "mean")
+
+
+@query("x27_job_states", """WITH e AS (SELECT user_id, event_id, ts, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'running' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' END AS state FROM events WHERE event_type <> 'click'),
+n AS (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next, max(ts) OVER () AS final FROM e)
+SELECT user_id, ts, state FROM n UNION ALL SELECT user_id, ts + INTERVAL 6 HOUR, 'interrupted' FROM n WHERE state IN ('queued', 'running') AND coalesce(next, final + INTERVAL 1 SECOND) > ts + INTERVAL 6 HOUR AND (next IS NOT NULL OR final > ts + INTERVAL 6 HOUR)""")
+def x27_job_states(spark, d):
+    """The log of each user's job: its events, and an interruption six hours after one that was under way and never heard of again."""
+    kinds = F.when(F.col("event_type") == "signup", "queued").when(F.col("event_type") == "view", "running").when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "failed")
+    events = read(spark, d, "events").where("event_type <> 'click'").select(F.col("user_id").alias("job"), "ts", kinds.alias("state"), "event_id")
+    return windows.job_log(events, 6).select(F.col("job").alias("user_id"), "ts", "state")

@@ -19,10 +19,12 @@ def p1_title(spark, d):
     return outlined(spark, d).select("id", N.title(F.col("text")).alias("title"))
 
 
-@query("p5_normal_path", "SELECT page_id, replace(replace(url, '/', chr(92)), chr(92), '/') AS path FROM pages")
+@query("p5_normal_path", "SELECT doc_id, source || '/' || lang || '/' || (doc_id % 7) || '/' || doc_id || '.md' AS path FROM documents")
 def p5_normal_path(spark, d):
-    """URLs written with back slashes, and set right again."""
-    return read(spark, d, "pages").select("page_id", N.normal_path(F.translate("url", "/", "\\")).alias("path"))
+    """File names as different systems write them, with one kind of slash."""
+    slash = F.when(F.col("doc_id") % 2 == 0, F.lit("\\")).otherwise(F.lit("/"))
+    name = F.concat("source", F.lit("\\"), "lang", slash, F.col("doc_id") % 7, F.lit("/"), "doc_id", F.lit(".md"))
+    return read(spark, d, "documents").select("doc_id", N.normal_path(name).alias("path"))
 
 
 @query("p13_canonical", f"SELECT page_id, md5(trim(replace(replace(html, chr(13) || chr(10), chr(10)), chr(13), chr(10)), {WHITE} || chr(11) || chr(12))) AS digest FROM pages")

@@ -115,4 +115,4 @@ def nearest_rank(df: DataFrame, by: str, value: str, last: str, window: int, sha
     rows = F.array_sort(F.collect_list(value))
     out = recent.groupBy(by).agg(rows.alias("v"))
     at = lambda share: F.element_at("v", F.greatest(F.lit(1), F.floor(F.size("v") * F.lit(share) + 0.999999)).cast("int"))
-    return out.select(by, F.size("v").alias("n"), *[at(s).alias(name) for name, s in shares.items()], F.array_max("v").alias("top"))
+    return out.select(by, F.size("v").alias("n"), *[at(s).alias(name) for name, s in shares.items()], F.array_max("v").alias("top"), (F.aggregate("v", F.lit(0.0), lambda a, x: a + x) / F.size("v")).alias("mean"))

@@ -97,3 +97,39 @@ def publish(df: DataFrame, root: str, version: str) -> None:
 def current(spark: SparkSession, root: str) -> DataFrame:
     version = json.loads(spark.read.text(f"{root}/current").first()[0])["version"]
     return spark.read.parquet(f"{root}/versions/{version}")
+
+
+def folder_scan(spark: SparkSession, folder: str, documents: DataFrame) -> DataFrame:
+    """source_file, media_type, checksum, outcome, error of the files below ``folder`` against documents (source_file, checksum, removed).
+
+    Files of unknown types and those with a dot in front of any part of their path are left out. A file is added, changed,
+    the same, or back (removed before); one whose text is no UTF-8 failed, alone, and keeps its document; documents without a
+    file are removed, unless they were. Contents are hashed where they are read, and only names and hashes are joined."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    root = folder.rstrip("/").split(":", 1)[-1].lstrip("/")
+    name = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", ""), f"^{root}/", "")
+    rows = files.select(name.alias("source_file"), F.sha2("content", 256).alias("now"), F.is_valid_utf8(F.col("content").cast("string")).alias("readable"))
+    rows = rows.withColumn("media_type", media_type(F.col("source_file"))).where(F.col("media_type").isNotNull() & ~F.col("source_file").rlike(r"(^|/)\."))
+    both = rows.join(documents.select("source_file", "checksum", "removed"), "source_file", "full_outer")
+    gone, text = F.col("now").isNull(), F.col("media_type") != "pdf"
+    outcome = F.when(gone & ~F.col("removed"), "removed").when(text & ~F.col("readable"), "failed").when(F.col("checksum").isNull(), "added").when(F.col("removed"), "back").when(F.col("checksum") == F.col("now"), "same").otherwise("changed")
+    found = both.where(~(gone & F.col("removed"))).withColumn("outcome", outcome)
+    return found.select("source_file", "media_type", F.col("now").alias("checksum"), "outcome", F.when(F.col("outcome") == "failed", "not UTF-8").alias("error"))
+
+
+def write_files(rows: DataFrame, folder: str) -> None:
+    """One file a row of rows (name, content as bytes) below ``folder``, by the tasks, through the file system of the folder's URI."""
+
+    def run(frames):
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(folder)
+        for frame in frames:
+            for name, content in zip(frame["name"], frame["content"], strict=True):
+                path = f"{root}/{name}"
+                system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(path) as f:
+                    f.write(bytes(content))
+            yield frame[["name"]]
+
+    rows.select("name", "content").mapInPandas(run, "name string").write.format("noop").mode("overwrite").save()
