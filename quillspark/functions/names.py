@@ -57,8 +57,13 @@ def follows_up(question: Column) -> Column:
     return F.regexp_replace(question, f"[{ENDS}]+$", "").rlike(FOLLOW_UP)
 
 
-def safe_member(path: Column) -> Column:
-    """Whether an archive member's path stays inside and is a legal name everywhere."""
+def safe_member(path: Column, files: tuple[str, ...] = (), folders: tuple[str, ...] = ()) -> Column:
+    """Whether an archive member's path stays inside and is a legal name everywhere, and, where ``files`` or ``folders`` are given,
+    is one of those files or lies below one of those folders."""
     reserved = "(?i)^(CON|PRN|AUX|NUL|COM[1-9¹²³]|LPT[1-9¹²³])(\\.|$)"
     bad = lambda p: (F.length(p) == 0) | p.isin(".", "..") | p.rlike(r"[ .]$") | p.rlike(r'[\x00-\x1f<>"|?*]') | p.rlike(reserved)
-    return (F.length(path) > 0) & ~path.rlike(r"[\\:\x00]") & F.forall(F.split(path, "/"), lambda p: ~bad(p))
+    parts = F.split(path, "/")
+    fine = (F.length(path) > 0) & ~path.rlike(r"[\\:\x00]") & F.forall(parts, lambda p: ~bad(p))
+    if not files and not folders:
+        return fine
+    return fine & (path.isin(*files) | ((F.size(parts) > 1) & F.get(parts, 0).isin(*folders)))

@@ -186,11 +186,11 @@ def x24_figures(spark, d):
     return rows.select("conv_id", "turn", D.rate_cell(kind, F.col("hit_rate"), F.col("conv_id") % 9).alias("figure"), D.short_index(name).alias("index_name"))
 
 
-@query("x29_errors", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'deepseek_not_configured' WHEN 1 THEN 'ollama_busy' WHEN 2 THEN 'ollama_unavailable' ELSE 'generation_failed' END AS code, strftime(ts, '%Y-%m-%d %H:%M') AS at FROM events WHERE event_type = 'error'")
+@query("x29_errors", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'deepseek_not_configured' WHEN 1 THEN 'ollama_busy' WHEN 2 THEN 'ollama_unavailable' ELSE 'generation_failed' END AS code, strftime(ts, '%Y-%m-%d %H:%M') AS minute FROM events WHERE event_type = 'error'")
 def x29_errors(spark, d):
     """Error events by what their text says, with the minute."""
     said = F.element_at(T.literals(("deepseek_not_configured", "Ollama is busy: wait", "no Ollama at the port", "timeout")), (F.col("event_id") % 4 + 1).cast("int"))
-    return read(spark, d, "events").where("event_type = 'error'").select("event_id", D.error_code(said).alias("code"), D.short_time(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS")).alias("at"))
+    return read(spark, d, "events").where("event_type = 'error'").select("event_id", D.error_code(said).alias("code"), D.short_time(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS")).alias("minute"))
 
 
 @query("a21_documents", f"WITH {SQL_BM25} SELECT count(DISTINCT chunk_id) AS documents, count(DISTINCT query_id) AS questions FROM bm25_top WHERE rank <= 10")

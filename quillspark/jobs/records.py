@@ -51,10 +51,13 @@ def p24_names(spark, d):
     return read(spark, d, "pages").select("page_id", N.label(head).alias("label"), N.file_name(F.col("url"), F.lit("page")).alias("file_name"))
 
 
-@query("p31_safe_member", r"""WITH x AS (SELECT page_id, regexp_replace(url, '^https?://', '') AS path FROM pages)
-SELECT page_id, length(path) > 0 AND NOT regexp_matches(path, '[\\:\x00]') AND len(list_filter(string_split(path, '/'), lambda p: p = '' OR p = '.' OR p = '..' OR regexp_matches(p, '[ .]$') OR regexp_matches(p, '[\x00-\x1f<>"|?*]') OR regexp_matches(p, '(?i)^(CON|PRN|AUX|NUL|COM[1-9¹²³]|LPT[1-9¹²³])(\.|$)'))) = 0 AS safe FROM x""")
+@query("p31_safe_member", r"""WITH x AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'manifest.json' WHEN 1 THEN 'other/' ELSE 'pages/' END || CASE page_id % 4 WHEN 0 THEN '' ELSE regexp_replace(url, '^https?://', '') END AS path FROM pages)
+SELECT page_id, length(path) > 0 AND NOT regexp_matches(path, '[\\:\x00]') AND len(list_filter(string_split(path, '/'), lambda p: p = '' OR p = '.' OR p = '..' OR regexp_matches(p, '[ .]$') OR regexp_matches(p, '[\x00-\x1f<>"|?*]') OR regexp_matches(p, '(?i)^(CON|PRN|AUX|NUL|COM[1-9¹²³]|LPT[1-9¹²³])(\.|$)'))) = 0 AND (path = 'manifest.json' OR starts_with(path, 'pages/')) AS safe FROM x""")
 def p31_safe_member(spark, d):
-    return read(spark, d, "pages").select("page_id", N.safe_member(F.regexp_replace("url", "^https?://", "")).alias("safe"))
+    """Page addresses as members of an archive that holds one file and one folder."""
+    n, address = F.col("page_id") % 4, F.regexp_replace("url", "^https?://", "")
+    path = F.when(n == 0, "manifest.json").when(n == 1, F.concat(F.lit("other/"), address)).otherwise(F.concat(F.lit("pages/"), address))
+    return read(spark, d, "pages").select("page_id", N.safe_member(path, ("manifest.json",), ("pages",)).alias("safe"))
 
 
 SPECULATES = " OR ".join(f"contains(body, '{p}')" for p in T.SPECULATION)
