@@ -72,53 +72,60 @@ def sorted_lists(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def no_random_access(lists: tuple[np.ndarray, np.ndarray], q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """(rows, scores, depth read) of the k best integer inner products of ``q`` in a shard; rows of equal score are all found.
+    """(rows, scores, depth read) of the k best integer inner products of ``q`` in a shard; rows of equal score are all found."""
+    return next(read_lists(lists, q[None, :], k))
 
-    Only the sorted lists are read, each from the end that ``q`` favours. A row's lower bound takes the far end of every list
-    in which it has not been met, its upper bound what that list has come down to."""
+
+def read_lists(lists: tuple[np.ndarray, np.ndarray], queries: np.ndarray, k: int):
+    """(rows, scores, depth read) of ``no_random_access`` for each query.
+
+    Only the sorted lists are read, each from the ends that some query favours, in step and once for all queries. A row's
+    lower bound takes the far end of every list in which it has not been met, its upper bound what that list has come down
+    to; both are sums over what has been met, so the bounds of all queries are two matrix products."""
     order, value = lists
-    n, use = order.shape[1], np.flatnonzero(q)
-    if not len(use):
-        return np.arange(n), np.zeros(n, np.int64), 0
-    up, factor = q[use] > 0, q[use].astype(np.float64)
-    worst = factor * np.where(up, value[use, 0], value[use, -1])
-    lower, held, place, met_all = np.full(n, worst.sum()), np.zeros(n), None, []
-    depth = max(1, n * DEPTHS[0] // 16)
-    gap = factor * np.where(up, value[use, n - depth], value[use, depth - 1]) - worst
-    for c, is_up, f, w, g in zip(use.tolist(), up.tolist(), factor.tolist(), worst.tolist(), gap.tolist(), strict=True):
-        span = slice(n - depth, n) if is_up else slice(0, depth)
-        met = order[c, span]
-        lower[met] += value[c, span] * f - w
-        held[met] += g
-        met_all.append(met)
-    open_ = lower + (gap.sum() - held) >= (np.partition(lower, -k)[-k] if n >= k else -np.inf)
-    left = np.flatnonzero(open_)
-    # from here on only the rows that are still open: their bounds, and the lists in which they have not been met
-    place = np.full(n, -1)
-    place[left] = np.arange(len(left))
-    unmet = np.ones((len(use), len(left)), bool)
-    for j, met in enumerate(met_all):
-        unmet[j, place[met[open_[met]]]] = False
-    lower = lower[left]
-    for part in DEPTHS[1:]:
-        to = n if part == DEPTHS[-1] else max(depth, n * part // 16)
-        if not unmet.any() or to == depth:
+    d, n = order.shape
+    positive, negative = np.maximum(queries, 0).astype(np.float64), np.minimum(queries, 0).astype(np.float64)
+    ends = [(c, True) for c in range(d) if positive[:, c].any()] + [(c, False) for c in range(d) if negative[:, c].any()]
+    if not ends:
+        for _ in queries:
+            yield np.arange(n), np.zeros(n, np.int64), 0
+        return
+    factor = np.stack([(positive if up else negative)[:, c] for c, up in ends], 1)
+    # what is known of a row from each list and end: its value, or as long as it has not been met the far end
+    known = np.tile([float(value[c, 0] if up else value[c, -1]) for c, up in ends], (n, 1))
+    met, depth = np.zeros((n, len(ends)), bool), 0
+    left = [None] * len(queries)
+    done: list[tuple[np.ndarray, np.ndarray, int] | None] = [None] * len(queries)
+    for part in DEPTHS:
+        to = n if part == DEPTHS[-1] else max(depth, 1, n * part // 16)
+        if to == depth:
             continue
-        for j, (c, is_up, f, w) in enumerate(zip(use.tolist(), up.tolist(), factor.tolist(), worst.tolist(), strict=True)):
-            span = slice(n - to, n - depth) if is_up else slice(depth, to)
-            at = place[order[c, span]]
-            new = at >= 0
-            at = at[new]
-            lower[at] += value[c, span][new] * f - w
-            unmet[j, at] = False
+        for j, (c, up) in enumerate(ends):
+            span = slice(n - to, n - depth) if up else slice(depth, to)
+            rows = order[c, span]
+            known[rows, j] = value[c, span]
+            met[rows, j] = True
         depth = to
-        gap = factor * np.where(up, value[use, n - depth], value[use, depth - 1]) - worst
-        out = lower + gap @ unmet < (np.partition(lower, -k)[-k] if len(left) >= k else -np.inf)
-        if out.any():
-            left, lower, unmet = left[~out], lower[~out], unmet[:, ~out]
-            place[:] = -1
-            place[left] = np.arange(len(left))
-    return left, np.rint(lower).astype(np.int64), depth
+        front = np.array([float(value[c, n - depth] if up else value[c, depth - 1]) for c, up in ends])
+        first = left[0] is None and done[0] is None
+        if first:
+            all_lower, all_upper = factor @ known.T, factor @ np.where(met, known, front).T
+        for i, f in enumerate(factor):
+            if done[i] is not None:
+                continue
+            if first:
+                at, lower, upper = np.arange(n), all_lower[i], all_upper[i]
+            else:
+                at = left[i]
+                lower, upper = known[at] @ f, np.where(met[at], known[at], front) @ f
+            keep = upper >= (np.partition(lower, -k)[-k] if len(at) >= k else -np.inf)
+            at, lower = at[keep], lower[keep]
+            left[i] = at
+            if met[at][:, f != 0].all():
+                done[i] = at, np.rint(lower).astype(np.int64), depth
+        if all(x is not None for x in done):
+            break
+    yield from done
 
 
 def exact_search(df: DataFrame, k: int = 5, shard: int = SHARD, block: int = QUERIES) -> DataFrame:
@@ -141,8 +148,8 @@ def exact_search(df: DataFrame, k: int = 5, shard: int = SHARD, block: int = QUE
         if len(rows) and len(queries):
             x = np.stack(rows["vector"].to_numpy()).astype(np.int64)
             lists, ids = sorted_lists(x), rows["ids"].to_numpy()
-            for qc, q in zip(queries["qc"], queries["vector"], strict=True):
-                at, score, _ = no_random_access(lists, np.asarray(q, np.int64), k + 1)
+            found = read_lists(lists, np.stack(queries["vector"].to_numpy()).astype(np.int64), k + 1)
+            for qc, (at, score, _) in zip(queries["qc"], found, strict=True):
                 if len(at) > k + 1:
                     edge = np.partition(score, -(k + 1))[-(k + 1)]
                     keep = score >= edge

@@ -142,3 +142,20 @@ def test_hilbert_is_a_path():
 def test_empty(spark):
     for data in ([], [(50, None)], [(50, [1.0, 2.0])]):
         assert V.exact_search(frame(spark, data)).collect() == [] and V.approximate_search(frame(spark, data)).collect() == []
+
+
+def test_lists_are_read_once_for_all_queries():
+    """What a query finds does not depend on the queries beside it, and they share the reading of the lists."""
+    rng = np.random.default_rng(8)
+    x = rng.integers(-300, 300, (500, 16))
+    order, value = V.sorted_lists(x)
+    queries = np.concatenate([x[:30], np.zeros((1, 16), np.int64), rng.integers(0, 3, (5, 16))])
+    value = value.view(Counted)
+    value.read = []
+    together = list(V.read_lists((order, value), queries, 6))
+    assert len(value.read) <= 2 * 16 * len(V.DEPTHS)  # each end of a list in at most so many steps
+    for q, (at, score, depth) in zip(queries, together, strict=True):
+        alone = V.no_random_access(V.sorted_lists(x), q, 6)
+        assert sorted(zip(at, score, strict=True)) == sorted(zip(*alone[:2], strict=True)) and (depth == alone[2] or not q.any())
+        assert (score == x[at] @ q).all()
+        assert (np.sort(score)[-6:] == np.sort(x @ q)[-6:]).all()
