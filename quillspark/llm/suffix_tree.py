@@ -15,13 +15,14 @@ from __future__ import annotations
 
 import functools
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bitmap, crc_mod, marked, materialize, text_slices
+from .common import as_bytes, bitmap, crc_mod, discard, marked, materialize, text_slices
 
 END = b" end"  # no word holds a space
 LEAST_WORD, LEAST_COUNT = 1e-6, 8
@@ -33,6 +34,10 @@ GAIN = 4.0
 MEMO = 1_000_000
 BIG = 1 << 62
 BITS = 1 << 27
+#: Ranges of the 32-bit buckets of grams, and grams of a task that are counted at a time.
+RANGES, HELD = 256, 4_000_000
+#: Turns in which the texts are scored, so that what the open tokens of one turn ask and are told is gone before the next.
+TURNS = 3
 
 
 class Codes(dict):
@@ -117,6 +122,77 @@ def grams(codes: np.ndarray, sizes: np.ndarray, depth: int) -> list[tuple[np.nda
     return out
 
 
+def bucket(grams: np.ndarray) -> np.ndarray:
+    """The high 32 bits of each key."""
+    return (grams.view(np.uint64) >> np.uint64(32)).astype(np.int64)
+
+
+def packed(buckets: np.ndarray):
+    """(range, distinct buckets, counts) of each of the RANGES of some 32-bit buckets: what stands between two sorted buckets in four byte planes, and counts up to 255, compressed."""
+    k, n = np.unique(buckets, return_counts=True)
+    ends = np.searchsorted(k >> (32 - RANGES.bit_length() + 1), np.arange(RANGES + 1))
+    for part in np.flatnonzero(np.diff(ends)).tolist():
+        span = slice(ends[part], ends[part + 1])
+        steps = np.diff(k[span], prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T
+        yield part, zlib.compress(steps.tobytes(), 1), zlib.compress(np.minimum(n[span], 255).astype(np.uint8).tobytes(), 1)
+
+
+def unpacked(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = np.frombuffer(zlib.decompress(counts), np.uint8)
+    steps = np.frombuffer(zlib.decompress(keys), np.uint8).reshape(4, -1).T
+    return np.cumsum(np.ascontiguousarray(steps).view(np.uint32).ravel(), dtype=np.uint32), n
+
+
+def full_buckets(docs: DataFrame, usable, least_count: int) -> np.ndarray:
+    """A bit for each 32 neighbouring buckets of grams, set if one of them holds ``least_count`` grams (at most 255).
+
+    Counts of 32 hash bits are at least those of their grams, so a bucket without the support holds no gram that has it. A
+    task sends its counts of a range of buckets as one packed row; a range is summed in one task, in an array of fixed size."""
+    width, names = (1 << 32) // RANGES, ["part", "k", "n"]
+
+    def count(batches):
+        held, size = [], 0
+
+        def rows():
+            nonlocal held, size
+            found = [pa.array(x) for x in zip(*packed(np.concatenate(held)), strict=True)] if size else None
+            held, size = [], 0
+            if found:
+                yield pa.RecordBatch.from_arrays([found[0].cast(pa.int32()), *found[1:]], names)
+
+        for gram, _, _ in usable(batches):
+            held.append(bucket(gram).astype(np.uint32))
+            size += len(gram)
+            if size > HELD:
+                yield from rows()
+        yield from rows()
+
+    def total(batches):
+        part, sums = None, None
+
+        def row():
+            full = np.packbits((sums >= min(least_count, 255)).reshape(-1, 32).any(1), bitorder="little")
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([full.tobytes()], pa.binary())], ["part", "bits"])
+
+        for batch in batches:
+            for p, k, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if p != part:
+                    if part is not None:
+                        yield row()
+                    part, sums = p, np.zeros(width, np.uint8)
+                k, n = unpacked(k, n)
+                k &= width - 1
+                sums[k] = np.minimum(sums[k].astype(np.int16) + n, 255)
+        if part is not None:
+            yield row()
+
+    out = np.zeros((1 << 32) // 32 // 8, np.uint8)
+    ranges = docs.mapInArrow(count, "part int, k binary, n binary").repartition("part").sortWithinPartitions("part")
+    for r in ranges.mapInArrow(total, "part int, bits binary").collect():
+        out[r["part"] * (width // 256) :][: width // 256] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
 def keyed(df: DataFrame, key, schema: str) -> DataFrame:
     """``df`` with its column k replaced by ``key`` of each batch."""
 
@@ -151,7 +227,7 @@ def learn(docs: DataFrame, depth: int = 2, least_word: float = LEAST_WORD, least
     off = min(0.95, max(0.05, head["n1"] / (head["n1"] + 2 * head["n2"]) if head["n1"] + head["n2"] else 0.5))
     often = max(1.0, least_word * total)
     model = {"N": total, "V": distinct, "off": off, "depth": depth}
-    states = spark.createDataFrame([], "k long, v double, n long")
+    states, used = spark.createDataFrame([], "k long, v double, n long"), []
     #: Grams of the level before with their count and the probability of their last word in the states so far.
     before = counts.where(F.col("n") >= least_count).select("k", "n", ((F.col("n") - off) / max(total, 1)).alias("p"))
     for level in range(1, depth + 1):
@@ -166,20 +242,12 @@ def learn(docs: DataFrame, depth: int = 2, least_word: float = LEAST_WORD, least
                 use = use[marked(shared.value, context[use]) & marked(shared.value, suffix[use])]
                 yield gram[use], context[use], suffix[use]
 
-        def buckets(batches, usable=usable):
-            sums = Counter(["k", "n"])
-            for gram, _, _ in usable(batches):
-                yield from sums.add(gram >> 32)
-            yield from sums.flush()
-
-        # counts of 32 hash bits are at least those of their grams, so a bucket without the support holds no gram that has it
-        full = docs.mapInArrow(buckets, "k long, n long").select(F.col("k").cast("int").alias("k"), F.col("n").cast("int").alias("n")).groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") >= least_count)
-        full = spark.sparkContext.broadcast(bitmap(full.select(F.col("k").cast("long").alias("k")), "k", BITS))
+        full = spark.sparkContext.broadcast(full_buckets(docs, usable, least_count))
 
         def pairs(batches, usable=usable, full=full):
             sums = Counter(["n", "context", "suffix"])
             for gram, context, suffix in usable(batches):
-                use = marked(full.value, gram >> 32)
+                use = marked(full.value, bucket(gram) >> 5)
                 yield from sums.add(gram[use], context[use], suffix[use])
             yield from sums.flush()
 
@@ -195,11 +263,14 @@ def learn(docs: DataFrame, depth: int = 2, least_word: float = LEAST_WORD, least
         likely = F.col("likely") - F.col("explicit") * F.log("seen") + F.when(left > 0, F.col("seen") * left * F.log(left / other)).otherwise(0.0)
         kept = materialize(sums.where(likely >= gain * F.col("m")).select("context", "seen", (1 - (F.col("explicit") - DISCOUNT * F.col("m")) / F.col("seen")).alias("rest")), "contexts")
         p = (F.col("n") - DISCOUNT) / F.col("seen")
+        used.append(joint)
         joint = materialize(joint.join(kept, "context", "left").select("k", "n", p.alias("own"), F.coalesce(F.col("rest") * F.col("q") + p, "q").alias("p")), "states")
         rests = keyed(kept.select(F.col("context").alias("k"), F.col("rest").alias("v"), F.col("seen").alias("n")), lambda b: rest_key(numbers(b, "k")), "k long, v double, n long")
         states = states.unionByName(rests).unionByName(joint.where("own IS NOT NULL").select("k", F.col("own").alias("v"), "n"))
+        used += [kept, joint]
         before = joint.select("k", "n", "p")
     states = materialize(states, "tree")
+    discard(*used)
     for name, frame, value in (("words", counts, "n"), ("states", states, "v")):
         rows = frame.where(F.col("n") >= often).select("k", F.col(value).cast("double").alias("v")).toPandas().sort_values("k")  # relative frequencies, so bounded
         model[name] = rows["k"].to_numpy(np.int64), rows["v"].to_numpy(np.float64)
@@ -211,28 +282,48 @@ def rest_key(contexts: np.ndarray) -> np.ndarray:
     return np.where(contexts != 0, mix(contexts, 1), 0)
 
 
-def found(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(whether, value) of each key in a sorted table."""
-    k, v = table
+def indexed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """A table sorted by key, and where each range of keys begins. The keys are hashes, so a range holds about half a key."""
+    bits = min(22, max(1, 1 + len(keys).bit_length()))
+    starts = np.searchsorted(keys, np.append((np.arange(1 << bits) - (1 << bits - 1)) << (64 - bits), BIG * 2 - 1)).astype(np.int32)
+    return keys, values, starts, 64 - bits
+
+
+def found(table: tuple[np.ndarray, np.ndarray, np.ndarray, int], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether, value) of each key in an indexed table; the value of an absent key is any."""
+    k, v, starts, shift = table
     if not len(k):
         return np.zeros(len(keys), bool), np.zeros(len(keys))
-    at = np.minimum(np.searchsorted(k, keys), len(k) - 1)
-    return k[at] == keys, v[at]
+    span = (keys >> shift) + (1 << 63 - shift)
+    at = np.minimum(starts[span], len(k) - 1)
+    have = k[at] == keys
+    open_ = np.flatnonzero(~have & (k[at] < keys))
+    while len(open_):
+        at[open_] += 1
+        open_ = open_[at[open_] < len(k)]
+        now = k[at[open_]]
+        have[open_] = now == keys[open_]
+        open_ = open_[now < keys[open_]]
+    at = np.minimum(at, len(k) - 1)
+    return have, v[at]
 
 
 def score(docs: DataFrame, model: dict, counts: DataFrame, states: DataFrame) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score of every row of ``docs`` (doc_id, text); null text is empty (its end alone).
 
     A token is scored at once if all it needs is broadcast. A word that is not, in no state that may name it, is joined with
-    the counts; every other open token is joined with counts and states by what it lacks."""
+    the counts; every other open token with counts and states by what it lacks: its word's count, then for each level what
+    the state leaves and what it gives the word. A text asks with keys and places alone and gets its answers in one row; the texts take turns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     total, distinct, off, depth = model["N"], model["V"], model["off"], model["depth"]
     unseen = math.log10(off * distinct / total) if total else 0.0
-    #: What a token needs: its word's count, then for each level what the state leaves and what it gives the word.
-    values, default = [f"v{i}" for i in range(1 + 2 * depth)], [0.0, *[1.0, 0.0] * depth]
+
+    def tables(shared):
+        m = shared.value
+        return m | {name: indexed(*m[name]) for name in ("words", "states")}
 
     def run(batches):
-        m, codes = shared.value, Codes()
+        m, codes = tables(shared), Codes()
         for part in text_slices(batches, 2):
             c, sizes = codes.of(as_bytes(part.column(2)))
             doc = np.repeat(np.arange(len(sizes)), sizes)
@@ -242,22 +333,28 @@ def score(docs: DataFrame, model: dict, counts: DataFrame, states: DataFrame) ->
             p, rest, named = (v[0] - off) / max(total, 1), np.ones(len(c)), np.zeros(len(c), bool)
             for gram, context, _ in grams(c, sizes, depth):
                 same = np.where(gram != 0, gram, same)
+                state = np.ones(len(c), bool)
                 for key, absent in ((rest_key(context), 1.0), (gram, 0.0)):
                     have, x = found(m["states"], key)
                     have &= key != 0
                     keys.append(key)
                     v.append(np.where(have, x, absent))
-                    lacks.append((key != 0) & ~have & marked(m["bits"], key))
+                    lacks.append((key != 0) & ~have & state & marked(m["bits"], key))
+                    state = have | lacks[-1]  # a context that is no state names no word
                 p, rest, named = v[-2] * p + v[-1], v[-2] * rest, named | (v[-1] > 0)
             late = functools.reduce(np.logical_or, lacks[1:], ~common & named)
             now, alone = common & ~late, ~common & ~late
             part_score = count(doc[now], np.log10(p[now])) + count(doc[alone], np.log10(rest[alone]))
             part_base = count(doc[common], np.log10((n[common] + 1) / (total + distinct + 1)))
 
-            def lists(d, columns):
-                offsets = pa.array(np.append(0, np.cumsum(count(d))).astype(np.int32))
+            def lists(d, columns, width=1):
+                offsets = pa.array(np.append(0, np.cumsum(count(d) * width)).astype(np.int32))
                 return [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in columns]
 
+            def nth(d):
+                """The place of each value among those of its text; ``d`` is sorted."""
+                return np.arange(len(d)) - np.searchsorted(d, d)
+
             def distinct_of(at, keys):
                 """First places of equal keys of a text, and how many there are."""
                 at = at[np.lexsort((keys[at], doc[at]))]
@@ -267,37 +364,57 @@ def score(docs: DataFrame, model: dict, counts: DataFrame, states: DataFrame) ->
                 return at[first], np.diff(np.append(first, len(at))).astype(np.int32)
 
             at, times = distinct_of(np.flatnonzero(alone), c)
-            rare = lists(doc[at], (c[at], times))
+            rare = lists(doc[at], (times,))
+            asked, key, place = doc[at], c[at], -1 - nth(doc[at])
             at, times = distinct_of(np.flatnonzero(late), same)
-            need = np.stack([x[at] for x in lacks], 1)
-            token, kind = np.nonzero(need)
-            key = np.stack([x[at] for x in keys], 1)[token, kind]
-            open_ = lists(doc[at[token]], (token.astype(np.int32), times[token], kind.astype(np.int32), key, *(x[at[token]] for x in v)))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes), pa.array(count(doc[common])), pa.array(part_base), pa.array(part_score), *rare, *open_], ["row", "doc_id", "n_tokens", "n_common", "base_part", "score_part", "rare", "times", "token", "t", "kind", "k", *values])
-
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    schema = "row long, doc_id long, n_tokens long, n_common long, base_part double, score_part double, rare array<long>, times array<int>, token array<int>, t array<int>, kind array<int>, k array<long>, " + ", ".join(f"{v} array<double>" for v in values)
-    parts = materialize(rows.mapInArrow(run, schema), "partial-scores")
-    base = lambda n: F.log10((n + 1) / float(total + distinct + 1))
-    root = lambda n: F.when(n > 0, (n - off) / max(total, 1)).otherwise(10.0**unseen)
-
-    rare = parts.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("k"), F.col("x.times").alias("t"))
-    n, t = F.coalesce(F.col("n"), F.lit(0)), F.col("t")
-    alone = rare.join(counts, "k", "left").select("row", F.when(n > 0, t).otherwise(0).alias("known"), (t * base(n)).alias("base"), (t * F.log10(root(n))).alias("fit"))
-
-    names = ["token", "t", "kind", "k", *values]
-    late = parts.select("row", F.explode(F.arrays_zip(*names)).alias("x")).select("row", *[F.col(f"x.{n}").alias(n) for n in names])
-    joined = late.join(counts.select("k", F.col("n").cast("double").alias("v")).unionByName(states), "k", "left")
-    mine = lambda i: F.max(F.when(F.col("kind") == i, F.coalesce("v", F.lit(default[i]))))
-    whole = joined.groupBy("row", "token").agg(F.max("t").alias("t"), F.max(F.col("kind") == 0).alias("open"), *[F.coalesce(mine(i), F.max(v)).alias(v) for i, v in enumerate(values)])
-    n, p = F.col("v0"), root(F.col("v0"))
-    for level in range(depth):
-        p = F.col(values[2 * level + 1]) * p + F.col(values[2 * level + 2])
-    word = lambda x: F.when(F.col("open"), x).otherwise(0)
-    alone = alone.unionByName(whole.select("row", word(F.when(n > 0, t).otherwise(0)).alias("known"), word(t * base(n)).alias("base"), (t * F.log10(p)).alias("fit")))
-    sums = alone.groupBy("row").agg(F.sum("known").alias("n_rare"), F.sum("base").alias("base_rare"), F.sum("fit").alias("score_rare"))
-    add = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
-    return parts.select("row", "doc_id", "n_tokens", "n_common", "base_part", "score_part").join(sums, "row", "left").select("doc_id", "n_tokens", add("n_common", "n_rare").alias("n_known"), add("base_part", "base_rare").alias("base_score"), add("score_part", "score_rare").alias("score"))
+            open_ = lists(doc[at], (times, lacks[0][at])) + lists(doc[at], (np.stack([x[at] for x in v], 1).ravel(),), len(v))
+            token, kind = np.nonzero(np.stack([x[at] for x in lacks], 1))
+            asked = np.concatenate([asked, doc[at][token]])
+            key = np.concatenate([key, np.stack([x[at] for x in keys], 1)[token, kind]])
+            place = np.concatenate([place, nth(doc[at])[token] * len(v) + kind])
+            order = np.argsort(asked, kind="stable")
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes), pa.array(count(doc[common])), pa.array(part_base), pa.array(part_score), *rare, *open_, *lists(asked, (key[order], place[order].astype(np.int32)))], ["row", "doc_id", "n_tokens", "n_common", "base_part", "score_part", "rare", "times", "open", "v", "k", "place"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("turn", F.pmod(F.xxhash64("doc_id"), F.lit(TURNS)))
+    schema = "row long, doc_id long, n_tokens long, n_common long, base_part double, score_part double, rare array<int>, times array<int>, open array<boolean>, v array<double>, k array<long>, place array<int>"
+    def finish(batches):
+        for batch in batches:
+            col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            n_docs, known = batch.num_rows, numbers(batch, "n_common").copy()
+            base, fit = numbers(batch, "base_part").copy(), numbers(batch, "score_part").copy()
+            offsets = {n: np.append(0, np.cumsum(col[n].value_lengths().fill_null(0).to_numpy(zero_copy_only=False))) for n in ("rare", "times", "told")}
+            flat = {n: col[n].flatten() for n in ("rare", "times", "open", "v", "told")}
+            seen, v = np.zeros(len(flat["rare"])), flat["v"].to_numpy(zero_copy_only=False).copy()
+            doc = np.repeat(np.arange(n_docs), np.diff(offsets["told"]))
+            place, answer = (flat["told"].field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            of_rare = place < 0
+            seen[offsets["rare"][doc[of_rare]] - 1 - place[of_rare]] = answer[of_rare]
+            v[offsets["times"][doc[~of_rare]] * (1 + 2 * depth) + place[~of_rare]] = answer[~of_rare]
+            v = v.reshape(-1, 1 + 2 * depth)
+            root = lambda n: np.where(n > 0, (n - off) / max(total, 1), 10.0**unseen)
+            p = root(v[:, 0])
+            for level in range(depth):
+                p = v[:, 2 * level + 1] * p + v[:, 2 * level + 2]
+            for name, n, q, word in (("rare", seen, root(seen), None), ("times", v[:, 0], p, flat["open"].to_numpy(zero_copy_only=False).astype(bool))):
+                doc, t = np.repeat(np.arange(n_docs), np.diff(offsets[name])), flat[name].to_numpy()
+                fit += np.bincount(doc, t * np.log10(q), n_docs)
+                at = slice(None) if word is None else word
+                base += np.bincount(doc[at], t[at] * np.log10((n[at] + 1) / (total + distinct + 1)), n_docs)
+                known += np.bincount(doc[at], t[at] * (n[at] > 0), n_docs).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([col["doc_id"], col["n_tokens"], pa.array(known), pa.array(base), pa.array(fit)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    names = ["doc_id", "n_tokens", "n_common", "base_part", "score_part", "rare", "times", "open", "v"]
+    values = counts.select("k", F.col("n").cast("double").alias("told")).unionByName(states.withColumnRenamed("v", "told"))
+    scores = []
+    for turn in range(TURNS):
+        mine = rows.where(F.col("turn") == turn).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+        parts = materialize(mine.mapInArrow(run, schema), "partial-scores")
+        asked = parts.select("row", F.explode(F.arrays_zip("k", "place")).alias("x")).select("row", F.col("x.k").alias("k"), F.col("x.place").alias("place"))
+        told = asked.join(values, "k").groupBy("row").agg(F.collect_list(F.struct("place", "told")).alias("told"))
+        whole = parts.select("row", *names).join(told, "row", "left").select(*names, "told")
+        scores.append(materialize(whole.mapInArrow(finish, "doc_id long, n_tokens long, n_known long, base_score double, score double"), "scores"))
+        discard(parts)
+    return functools.reduce(DataFrame.unionByName, scores)
 
 
 def train_and_score(docs: DataFrame, fold: int = 7, held: int = 2, **settings) -> DataFrame:

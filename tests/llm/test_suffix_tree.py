@@ -1,4 +1,5 @@
 import math
+import os
 import random
 import zlib
 from collections import Counter
@@ -115,3 +116,34 @@ def test_support_is_absolute(spark, monkeypatch):
         for a, b in zip(got, sorted(want), strict=True):
             assert a[:5] == b[:5]
             assert np.allclose(a[5:], b[5:], rtol=1e-9)
+
+
+def test_packed_buckets_hold_all_counts():
+    rng = np.random.default_rng(5)
+    buckets = np.concatenate([rng.integers(0, 1 << 32, 20_000, dtype=np.uint32), np.repeat(np.array([0, 7, (1 << 32) - 1], np.uint32), [300, 9, 1])])
+    got = {}
+    rows = list(S.packed(buckets))
+    for part, k, n in rows:
+        k, n = S.unpacked(k, n)
+        assert (k >> 24 == part).all()
+        got |= dict(zip(k.tolist(), n.tolist(), strict=True))
+    assert got == {b: min(255, n) for b, n in Counter(buckets.tolist()).items()}
+    assert sum(len(k) + len(n) for _, k, n in rows) < 5 * len(got)  # a row of two numbers takes 24 bytes
+
+
+def test_found_in_an_indexed_table():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 2, 5000):
+        k = np.unique(np.concatenate([rng.integers(-(1 << 63), (1 << 63) - 1, n), rng.integers(S.BIG, S.BIG + 50, n)]))
+        keys = np.concatenate([k, rng.integers(-(1 << 63), (1 << 63) - 1, 1000), rng.integers(S.BIG - 9, S.BIG + 99, 1000), [0, -(1 << 63), (1 << 63) - 1]])
+        have, value = S.found(S.indexed(k, k * 0.5), keys)
+        assert (have == np.isin(keys, k)).all() and (value[have] == keys[have] * 0.5).all()
+
+
+def test_what_open_tokens_ask_is_gone_in_the_end(spark):
+    docs = spark.createDataFrame(rows(), "doc_id long, text string")
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    tables = lambda: {d for d in os.listdir(folder) if d.startswith(("partial-scores", "pairs", "contexts", "states"))}
+    before = tables() if os.path.isdir(folder) else set()
+    out = S.train_and_score(docs, least_word=1.0)
+    assert tables() <= before and out.count() == len(rows())
