@@ -1,8 +1,8 @@
 """Encoding whole texts with a public tokenizer inside Arrow batches.
 
 A byte-level or word BPE encodes each pre-token on its own, and a pre-token never reaches over a single white-space
-character between two others. So a text is cut there, each different cut is encoded once a worker, and the
-ids are joined. The ids are those of encoding the whole text: tests compare both on mixed scripts, runs of white space
+character between two others. So a text is cut there, each different cut is looked up once a call and encoded once a
+worker, and the ids are joined. The ids are those of encoding the whole text: tests compare both on mixed scripts, runs of white space
 and special tokens' strings.
 """
 
@@ -10,18 +10,22 @@ from __future__ import annotations
 
 import os
 import re
+import string
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Before one space or line feed that stands between two characters that are no white space.
 CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 RUN = re.compile(r"\s\s")
 #: Marks that end a word; an apostrophe is none, since a pre-token can begin with it and go on.
-MARKS = frozenset('.,!?;:|%$#*&")]}')
-TAIL = re.compile(r"[.,!?;:|%$#*&\")\]}]+$")
+MARKS = '.,!?;:|%$#*&")]}'
 #: Memory of a worker's cache: entries after which it starts anew.
 CACHE = 900_000
+#: Characters of texts that are cut at a time (one text may be longer).
+AT_ONCE = 8 << 20
 
 
 class Encoder:
@@ -44,6 +48,8 @@ class Encoder:
         self.letters = {ord(c): x[0][0][1:] for c in map(chr, range(0x130)) if c.isalpha() and len(x := cut(normal("a" + c))) == 1}
         self.word = re.compile("[" + re.escape("".join(map(chr, self.letters))) + "]+")
         self.space = cut(normal(" a"))[0][0][:-1]
+        self.ascii = all(ord(c) in self.letters for c in string.ascii_letters)
+        self.bytes = [k.to_bytes(2, "little") for k in range(1 << 16)]
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {}
@@ -53,10 +59,10 @@ class Encoder:
 
     def _learn(self, known: dict[str, bytes], new: list[str], lead: str) -> None:
         """A word of Latin letters is one pre-token and goes to the model at once; the rest takes the whole way."""
-        tokenize, space, rest = self.model.model.tokenize, self.space if lead else "", []
+        tokenize, space, two, rest = self.model.model.tokenize, self.space if lead else "", self.bytes, []
         for p in new:
-            if self.word.fullmatch(p):
-                known[p] = np.array([t.id for t in tokenize(space + p.translate(self.letters))], dtype="<u2").tobytes()
+            if self.ascii and p.isascii() and p.isalpha() or self.word.fullmatch(p):
+                known[p] = b"".join([two[t.id] for t in tokenize(space + p.translate(self.letters))])
             else:
                 rest.append(p)
         new, texts = rest, [p if p[:1] == "\n" else lead + p for p in rest]
@@ -73,14 +79,15 @@ class Encoder:
 
     def _cut(self, text: str) -> list[str]:
         """First cut, then the others without the space that leads them (one that a line feed leads keeps it)."""
-        if not RUN.search(text):
-            return text.replace("\n", " \n").split(" ")
         first, *rest = CUT.split(text)
         return [first, *(p[1:] if p[0] == " " else p for p in rest)]
 
-    def _fill(self, known: dict[str, bytes], new: set[str], lead: str) -> None:
+    def _fill(self, known: dict[str, bytes], new: set[str] | list[str], lead: str) -> None:
         """Learn ``new``; a word and the marks behind it are two pre-tokens, so known words are not encoded again for each mark."""
-        tails = {p: TAIL.search(p).start() if p[-1:] in MARKS and p[0] != "\n" else 0 for p in new}
+        plain = [p for p in new if p.isalpha()]
+        self._learn(known, plain, lead)
+        new = [p for p in new if p not in known]
+        tails = {p: at if (at := len(p.rstrip(MARKS))) < len(p) and p[0] != "\n" else 0 for p in new}
         stems = {p[:at] if at and p[at - 1].isalpha() else p for p, at in tails.items()}
         self._learn(known, [p for p in stems if p not in known], lead)
         self._learn(self.bare, [t for t in {p[at:] for p, at in tails.items() if at} if t not in self.bare], "")
@@ -89,7 +96,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes | None] = [b""] * len(texts)
-        open_, heads, words = [], set(), set()
+        open_, heads, words, plain = [], set(), set(), []
         for known in (self.first, self.later):
             if len(known) > CACHE:
                 known.clear()
@@ -100,6 +107,9 @@ class Encoder:
             if self.marks.search(text):
                 out[k] = self._plain([text])[0]
                 continue
+            if not RUN.search(text):
+                plain.append(k)
+                continue
             head, *rest = self._cut(text)
             ids = [first.get(head), *map(later.get, rest)]
             try:
@@ -113,8 +123,36 @@ class Encoder:
         self._fill(later, words, " ")
         for k, head, rest in open_:
             out[k] = b"".join((first[head], *map(later.__getitem__, rest)))
+        while plain:
+            sizes = np.cumsum([len(texts[k]) for k in plain])
+            n = max(1, int(np.searchsorted(sizes, AT_ONCE, "right")))
+            now, plain = plain[:n], plain[n:]
+            for k, ids in zip(now, self._together([texts[k] for k in now]), strict=True):
+                out[k] = ids
         return out
 
+    def _together(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts without runs of white space: all are cut at once, and each different cut is looked up once."""
+        first, later = self.first, self.later
+        cuts = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " \n"), " ")
+        at = cuts.offsets.to_numpy()
+        lead = np.zeros(len(cuts.values), bool)
+        lead[at[:-1]] = True
+        heads = cuts.values.filter(pa.array(lead)).to_pylist()
+        rest = cuts.values.filter(pa.array(~lead)).dictionary_encode()
+        words, place = rest.dictionary.to_numpy(zero_copy_only=False).tolist(), rest.indices.to_numpy()
+        self._fill(first, {p for p in heads if p not in first}, "")
+        ids = list(map(later.get, words))
+        self._fill(later, [p for p, x in zip(words, ids, strict=True) if x is None], " ")
+        ids = [later[p] if x is None else x for p, x in zip(words, ids, strict=True)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
+        begin, n = np.cumsum(sizes) - sizes, sizes[place]
+        ends = np.append(0, np.cumsum(n))
+        pool = np.frombuffer(b"".join(ids), "<u2")
+        flat = pool[np.arange(ends[-1]) + np.repeat(begin[place] - ends[:-1], n)].tobytes()
+        bounds = (2 * ends[at - np.arange(len(at))]).tolist()
+        return [first[head] + flat[a:b] for head, a, b in zip(heads, bounds[:-1], bounds[1:], strict=True)]
+
 
 @lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:

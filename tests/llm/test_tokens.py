@@ -78,3 +78,21 @@ def test_files_round_trip(spark, file_tokens):
 def test_no_documents(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert H.read_token_files(H.write_token_files(empty, tokenizer("words"), 2)).collect() == []
+
+
+def test_each_different_cut_is_looked_up_once():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, key, default=None):
+            Counted.asked += 1
+            return super().get(key, default)
+
+    encoder = T.Encoder(tokenizer("words"))
+    encoder.later = Counted()
+    texts = ["one two two\nthree two"] * 500
+    got = encoder.encode(texts)
+    assert Counted.asked <= 3
+    assert got == encoder._plain(texts)
+    odd = ["", " ", "\n", " a", "a ", "a\n", "\na", "a,", ", a", "a ,. b", "\n. a", "a b\u00a0c", None]
+    assert encoder.encode(odd) == [encoder._plain([t or ""])[0] for t in odd]
