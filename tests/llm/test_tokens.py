@@ -80,7 +80,8 @@ def test_no_documents(spark):
     assert H.read_token_files(H.write_token_files(empty, tokenizer("words"), 2)).collect() == []
 
 
-def test_each_different_cut_is_looked_up_once():
+@pytest.mark.parametrize("kind", ["bytes", "words"])
+def test_each_different_cut_is_looked_up_once(kind):
     class Counted(dict):
         asked = 0
 
@@ -88,7 +89,8 @@ def test_each_different_cut_is_looked_up_once():
             Counted.asked += 1
             return super().get(key, default)
 
-    encoder = T.Encoder(tokenizer("words"))
+    Counted.asked = 0
+    encoder = T.Encoder(tokenizer(kind))
     encoder.later = Counted()
     texts = ["one two two\nthree two"] * 500
     got = encoder.encode(texts)
