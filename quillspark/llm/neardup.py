@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bitmap, checkpointed, joined, marked, materialize, text_slices
+from .common import as_bytes, bitmap, checkpointed, discard, joined, marked, materialize, text_slices
 
 WORDS = 5
 BUCKETS, ROWS, MANTISSA = 192, 4, 10
@@ -217,7 +217,9 @@ def shared_keys(firsts: DataFrame) -> DataFrame:
     shared = materialize(counts.where("c > 1"), "shared-keys")
     bits = 1 << min(27, max(15, (16 * shared.count()).bit_length()))
     keys = materialize(bands(firsts, bitmap(shared, "key", bits)), "keys")
-    return materialize(joined(keys, shared, ["key"], "c", keys.count()).select("key", "doc", "n", "c"), "bands")
+    out = materialize(joined(keys, shared, ["key"], "c", keys.count()).select("key", "doc", "n", "c"), "bands")
+    discard(shared, keys)
+    return out
 
 
 def sized_alike(n, m):
@@ -339,11 +341,13 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc", "shingles"])
 
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("text").cast("string"), hashed("doc_id").alias("k"))
-    return materialize(texts.mapInArrow(run, "doc long, shingles binary"), "sets")
+    out = materialize(texts.mapInArrow(run, "doc long, shingles binary"), "sets")
+    discard(ids)
+    return out
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the similarity."""
+    """The pairs (a, b), a materialized table that goes, whose full shingle sets reach the similarity."""
     sets = sets_of(docs, pairs.select(F.col("a").alias("doc")).union(pairs.select("b")))
 
     def check(batches):
@@ -356,12 +360,17 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             keep = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], ["a", "b"])
 
-    return with_sides(pairs, sets, ["shingles"]).mapInArrow(check, "a long, b long")
+    out = materialize(with_sides(pairs, sets, ["shingles"]).mapInArrow(check, "a long, b long"), "links")
+    discard(pairs, sets)
+    return out
 
 
 def linked_pairs(pairs: DataFrame, sketches: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of the pairs (a, b), each tried once, that pass the estimate and then full sets."""
-    return confirmed(materialize(estimated(materialize(pairs.distinct(), "candidates"), sketches), "pairs"), docs)
+    candidates = materialize(pairs.distinct(), "candidates")
+    passed = materialize(estimated(candidates, sketches), "pairs")
+    discard(candidates)
+    return confirmed(passed, docs)
 
 
 def shared_with(mine: np.ndarray, others: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -443,12 +452,15 @@ def links_between(doc: np.ndarray, component: np.ndarray, side: np.ndarray, own:
 
 
 def swept(spanned: DataFrame, label: DataFrame, docs: DataFrame, chunk: int | None = None) -> DataFrame:
-    """Links (a, b) between classes of a frequent key that ``label`` has in different components."""
+    """Links (a, b) between classes of a frequent key that ``label`` has in different components.
+
+    Of keys that the same classes share, one is swept."""
     rows = spanned.join(label.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     weight = F.greatest(F.col("n") * 8, F.lit(LEAST))
-    parts = rows.groupBy("key", "span", "component").agg(F.sum(weight).alias("bytes"), F.max("own").alias("own"), F.count("*").alias("held"))
-    parts = parts.groupBy("key", "span").agg(F.count("*").alias("parts"), F.sum("bytes").alias("bytes"), F.max("own").alias("some"), F.sum("held").alias("held"))
-    open_ = materialize(parts.where("parts > 1 AND some").select("key", "span", "held", F.ceil(F.col("bytes") / (chunk or CHUNK)).cast("int").alias("chunks")), "open-keys")
+    parts = rows.groupBy("key", "span", "component").agg(F.sum(weight).alias("bytes"), F.max("own").alias("own"), F.count("*").alias("held"), *[F.bit_xor(F.xxhash64("doc", "n", F.lit(x))).alias(x) for x in ("x", "y")])
+    parts = parts.groupBy("key", "span").agg(F.count("*").alias("parts"), F.sum("bytes").alias("bytes"), F.max("own").alias("some"), F.sum("held").alias("held"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
+    once = parts.where("parts > 1 AND some").groupBy("span", "held", "bytes", "x", "y").agg(F.min("key").alias("key"))
+    open_ = materialize(once.select("key", "span", "held", F.ceil(F.col("bytes") / (chunk or CHUNK)).cast("int").alias("chunks")), "open-keys")
     total = rows.count()
     rows = joined(rows, open_, ["key", "span"], "held", total).withColumn("chunk", F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int"))
     rows = materialize(rows.select("key", "span", "doc", "component", "own", "chunk", "chunks"), "unconnected")
@@ -462,7 +474,9 @@ def swept(spanned: DataFrame, label: DataFrame, docs: DataFrame, chunk: int | No
             found = links_between(*(members[c].to_numpy() for c in ("doc", "component", "side", "own")), [np.frombuffer(x, np.uint64) for x in members["shingles"]])
         return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
-    return dealt.join(sets, "doc").groupBy("key", "span", "i", "j").applyInPandas(run, "a long, b long").distinct()
+    out = materialize(dealt.join(sets, "doc").groupBy("key", "span", "i", "j").applyInPandas(run, "a long, b long").distinct(), "links")
+    discard(open_, rows, sets)
+    return out
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -478,6 +492,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     linked = sketches.where("n > 0 AND doc_id IS NOT NULL")
     least = linked.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "registers")).alias("x"), F.count("*").alias("held"))
     classes = materialize(least.select("digest", "held", F.col("x.doc_id").alias("doc"), F.col("x.n").alias("n"), F.col("x.registers").alias("registers")), "classes")
+    whole, sketches = sketches, materialize(sketches.drop("registers"), "sizes")
+    discard(whole)  # the classes have the registers
+    linked = sketches.where("n > 0 AND doc_id IS NOT NULL")
     # a doc_id that stands for several sets has a row for each: all their keys and estimates are tried
     firsts = classes.select("doc", "n", "registers")
     rows = shared_keys(firsts)

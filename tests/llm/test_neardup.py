@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -180,3 +181,11 @@ def test_components(spark, edges):
         parent[max(x, y)] = min(x, y)
     got = N.components(spark.createDataFrame(edges, "a long, b long"))
     assert {r["node"]: r["component"] for r in got.collect()} == {x: find(x) for x in parent}
+
+
+def test_scratch_of_earlier_steps_is_gone_in_the_end(spark):
+    folder = N.materialize(spark.range(1), "probe").inputFiles()[0].removeprefix("file://").rsplit("/", 2)[0]
+    scratch = lambda: {d for d in os.listdir(folder) if d.startswith(("sketches", "shared-keys", "keys", "candidates", "pairs", "open-pairs", "wanted", "sets", "open-keys", "unconnected"))}
+    before, rows = scratch(), corpus()
+    out = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert scratch() <= before and out.count() == len(rows)
