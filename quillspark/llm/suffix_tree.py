@@ -14,7 +14,6 @@ and for either table of a level), and bitmaps of BITS hashed keys, which never m
 from __future__ import annotations
 
 import functools
-import math
 import zlib
 
 import numpy as np
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bitmap, crc_mod, discard, marked, materialize, text_slices
+from .common import as_bytes, bitmap, crc_mod, discard, marked, materialize, release, text_slices
 
 END = b" end"  # no word holds a space
 LEAST_WORD, LEAST_COUNT = 1e-6, 8
@@ -35,8 +34,10 @@ MEMO = 1_000_000
 BIG = 1 << 62
 BITS = 1 << 27
 #: Ranges of the 32-bit buckets of grams, and grams of a task that are counted at a time.
-RANGES, HELD = 256, 4_000_000
-#: Turns in which the texts are scored, so that what the open tokens of one turn ask and are told is gone before the next.
+RANGES, HELD = 256, 2_000_000
+#: Bytes of text in a slice, which is one row of codes (a text may be longer).
+SLICE = 512 << 10
+#: Turns in which the slices are scored, so that what those of one turn ask and are told is gone before the next.
 TURNS = 3
 
 
@@ -71,12 +72,15 @@ class Counter:
     def __init__(self, names: list[str], most: int = 1_000_000):
         self.names, self.parts, self.held, self.most = names, [], 0, most
 
-    def add(self, keys: np.ndarray, *beside: np.ndarray):
-        k, at, n = np.unique(keys, return_index=True, return_counts=True)
-        self.parts.append((k, n.astype(np.int64), *(b[at] for b in beside)))
-        self.held += len(k)
+    def add(self, keys: np.ndarray, *beside: np.ndarray, times: np.ndarray | None = None):
+        """``times``: how often each of some distinct keys stands there."""
+        if times is None:
+            keys, at, times = np.unique(keys, return_index=True, return_counts=True)
+            beside = [b[at] for b in beside]
+        self.parts.append((keys, times.astype(np.int64), *beside))
+        self.held += len(keys)
         if self.held > self.most:
-            yield from self.flush(self.most // 2)
+            yield from self.flush(self.most * 3 // 4)
 
     def flush(self, keep: int = 0):
         if not self.parts:
@@ -91,6 +95,45 @@ class Counter:
             found = {"k": k, "n": n, "context": rows[-2], "suffix": rows[-1]}
             for i in range(0, len(k), 200_000):
                 yield pa.RecordBatch.from_arrays([pa.array(found[x][i : i + 200_000]) for x in self.names], self.names)
+            del columns, first, at, rows, found
+            release()
+
+
+def coded(docs: DataFrame) -> DataFrame:
+    """The texts of ``docs`` (doc_id, text, held) as codes, in slices of texts of equal ``held``: row, held, doc_id and
+    sizes of its texts, the distinct words' codes, and each token's place among them.
+
+    The texts are cut into words once; what is written here is read in each pass and takes about as much as the texts' Parquet."""
+
+    def run(batches):
+        codes = Codes()
+        for batch in batches:
+            flags = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            for held in (False, True):
+                use = np.flatnonzero(flags == held)
+                for part in text_slices([batch.take(pa.array(use))], most=SLICE) if len(use) else ():
+                    c, sizes = codes.of(as_bytes(part.column(1)))
+                    c = pa.array(c).dictionary_encode()
+                    words = c.dictionary.to_numpy()
+                    at = c.indices.to_numpy().astype("<u2" if len(words) <= 1 << 16 else "<u4")
+                    ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
+                    rows = [pa.array([held]), ids, *(pa.array([x.tobytes()], pa.binary()) for x in (sizes, words, at))]
+                    yield pa.RecordBatch.from_arrays(rows, ["held", "doc_id", "sizes", "words", "places"])
+
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "held")
+    slices = texts.mapInArrow(run, "held boolean, doc_id array<long>, sizes binary, words binary, places binary")
+    return materialize(slices.withColumn("row", F.monotonically_increasing_id()), "codes")
+
+
+def decoded(batches):
+    """(row, codes of the distinct words, each token's place among them, number of tokens of each text) of every slice."""
+    for batch in batches:
+        row, *columns = (batch.column(batch.schema.get_field_index(n)) for n in ("row", "words", "places", "sizes"))
+        for k in range(batch.num_rows):
+            words, places, sizes = (c[k].as_buffer() for c in columns)
+            words = np.frombuffer(words, np.int64)
+            yield row[k].as_py(), words, np.frombuffer(places, "<u2" if len(words) <= 1 << 16 else "<u4"), np.frombuffer(sizes, np.int64)
+        release()
 
 
 def mix(a: np.ndarray, b) -> np.ndarray:
@@ -209,16 +252,16 @@ def numbers(batch, name: str) -> np.ndarray:
     return batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
 
 
-def learn(docs: DataFrame, depth: int = 2, least_word: float = LEAST_WORD, least_count: int = LEAST_COUNT, gain: float = GAIN) -> tuple[dict, DataFrame, DataFrame]:
-    """(model, counts, states): what is broadcast, the table (k, n) of every training word's count, and the table (k, v)
-    of what a state leaves its suffix and gives each explicit symbol."""
-    docs = docs.select("doc_id", F.col("text").cast("string"))
+def learn(slices: DataFrame, depth: int = 2, least_word: float = LEAST_WORD, least_count: int = LEAST_COUNT, gain: float = GAIN) -> tuple[dict, DataFrame, DataFrame]:
+    """(model, counts, states) of the texts in ``slices`` (see ``coded``): what is broadcast, the table (k, n) of every
+    training word's count, and the table (k, v) of what a state leaves its suffix and gives each explicit symbol."""
+    docs = slices.select("row", "words", "places", "sizes")
     spark = docs.sparkSession
 
     def words(batches):
-        codes, sums = Codes(), Counter(["k", "n"])
-        for part in text_slices(batches):
-            yield from sums.add(codes.of(as_bytes(part.column(1)))[0])
+        sums = Counter(["k", "n"])
+        for _, codes, at, _ in decoded(batches):
+            yield from sums.add(codes, times=np.bincount(at, minlength=len(codes)))
         yield from sums.flush()
 
     counts = materialize(docs.mapInArrow(words, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")), "words")
@@ -235,9 +278,8 @@ def learn(docs: DataFrame, depth: int = 2, least_word: float = LEAST_WORD, least
 
         def usable(batches, shared=shared, level=level):
             """Grams of which context and suffix may have the support, without which they have none."""
-            codes = Codes()
-            for part in text_slices(batches, most=2 << 20):
-                gram, context, suffix = grams(*codes.of(as_bytes(part.column(1))), level)[-1]
+            for _, codes, at, sizes in decoded(batches):
+                gram, context, suffix = grams(codes[at], sizes, level)[-1]
                 use = np.flatnonzero(gram)
                 use = use[marked(shared.value, context[use]) & marked(shared.value, suffix[use])]
                 yield gram[use], context[use], suffix[use]
@@ -308,112 +350,101 @@ def found(table: tuple[np.ndarray, np.ndarray, np.ndarray, int], keys: np.ndarra
     return have, v[at]
 
 
-def score(docs: DataFrame, model: dict, counts: DataFrame, states: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score, score of every row of ``docs`` (doc_id, text); null text is empty (its end alone).
-
-    A token is scored at once if all it needs is broadcast. A word that is not, in no state that may name it, is joined with
-    the counts; every other open token with counts and states by what it lacks: its word's count, then for each level what
-    the state leaves and what it gives the word. A text asks with keys and places alone and gets its answers in one row; the texts take turns."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def needed(m: dict, words: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> tuple[list[np.ndarray], list[tuple[int, np.ndarray]], np.ndarray, np.ndarray]:
+    """(v, open, keys, order) of a slice. v: the count of each distinct word, then for each level what the state leaves
+    and what it gives the word, of each token, so far as that is broadcast. open: which values of v tables have to
+    tell. keys: those to look up, each once; ``order`` has the place among them of every open value, in turn."""
+    depth, state_of = m["depth"], m["states"]
+    have, n = found(m["words"], words)
+    v, open_, lacking = [np.where(have, n, 0.0)], [(0, np.flatnonzero(~have))], [words[~have]]
+
+    def look(key):
+        have, x = found(state_of, key)
+        return have, x, ~have & marked(m["bits"], key)
+
+    def put(absent, pos, key, have, x, lacks):
+        value = np.full(len(at), absent)
+        value[pos] = np.where(have, x, absent)
+        v.append(value)
+        open_.append((len(v) - 1, pos[lacks]))
+        lacking.append(key[lacks])
+        return pos[have | lacks]
+
+    codes = words[at]
+    rests = rest_key(words)
+    known = rests, *look(rests)
+    for level, (gram, context, _) in enumerate(grams(codes, sizes, depth)):
+        pos = np.flatnonzero(context)
+        if level:
+            key = rest_key(context[pos])
+            told = key, *look(key)
+        else:
+            told = [x[at[pos - 1]] for x in known]
+        pos = put(1.0, pos, *told)  # a context that is no state names no word
+        put(0.0, pos, gram[pos], *look(gram[pos]))
+    keys, order = np.unique(np.concatenate(lacking), return_inverse=True)
+    return v, open_, keys, order
+
+
+def ready(shared) -> dict:
+    """The broadcast model with its tables indexed, once in each worker."""
+    m = shared.value
+    if len(m["words"]) == 2:
+        m |= {name: indexed(*m[name]) for name in ("words", "states")}
+    return m
+
+
+def asked(slices: DataFrame, shared) -> DataFrame:
+    """k, row, place: what each slice of texts has to be told, a key once; ``place`` is the key's among the slice's."""
+
+    def ask(batches):
+        m = ready(shared)
+        for row, words, at, sizes in decoded(batches):
+            keys = needed(m, words, at, sizes)[2]
+            place = np.arange(len(keys), dtype=np.int32)
+            for k in range(0, len(keys), 200_000):
+                part = slice(k, k + 200_000)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[part]), pa.array(np.full(len(keys[part]), row)), pa.array(place[part])], ["k", "row", "place"])
+
+    return slices.select("row", "words", "places", "sizes").mapInArrow(ask, "k long, row long, place int")
+
+
+def score(slices: DataFrame, model: dict, counts: DataFrame, states: DataFrame) -> DataFrame:
+    """doc_id, held, n_tokens, n_known, base_score, score of every text in ``slices`` (see ``coded``).
+
+    What is not broadcast of the counts and states that a slice may need is joined by key, once for each slice; a slice
+    meets its answers in one group and scores its texts there. The slices take turns."""
+    shared = slices.sparkSession.sparkContext.broadcast(model)
     total, distinct, off, depth = model["N"], model["V"], model["off"], model["depth"]
-    unseen = math.log10(off * distinct / total) if total else 0.0
-
-    def tables(shared):
-        m = shared.value
-        return m | {name: indexed(*m[name]) for name in ("words", "states")}
+    unseen = off * distinct / total if total else 1.0
+
+    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        held, doc_id = left.column("held")[0].as_py(), left.column("doc_id").combine_chunks().flatten()
+        _, words, at, sizes = next(decoded(left.combine_chunks().to_batches()))
+        v, open_, keys, order = needed(ready(shared), words, at, sizes)
+        answer = np.full(len(keys), np.nan)
+        answer[right.column("place").to_numpy()] = right.column("told").to_numpy()
+        told, done = answer[order], 0
+        for kind, pos in open_:
+            x = told[done : done + len(pos)]
+            done += len(pos)
+            v[kind][pos[~np.isnan(x)]] = x[~np.isnan(x)]
+        n = v[0]
+        p = np.where(n > 0, (n - off) / max(total, 1), unseen)[at]
+        for level in range(depth):
+            p = v[2 * level + 1] * p + v[2 * level + 2]
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        sums = lambda x: np.bincount(doc, x, len(sizes))
+        known, base = sums((n > 0)[at]).astype(np.int64), sums(np.log10((n + 1) / (total + distinct + 1))[at])
+        return pa.table([doc_id, pa.array(np.full(len(sizes), held)), pa.array(sizes), pa.array(known), pa.array(base), pa.array(sums(np.log10(p)))], ["doc_id", "held", "n_tokens", "n_known", "base_score", "score"])
 
-    def run(batches):
-        m, codes = tables(shared), Codes()
-        for part in text_slices(batches, 2):
-            c, sizes = codes.of(as_bytes(part.column(2)))
-            doc = np.repeat(np.arange(len(sizes)), sizes)
-            count = lambda at, x=None: np.bincount(at, x, len(sizes)).astype(np.int64 if x is None else np.float64)
-            common, n = found(m["words"], c)
-            v, keys, lacks, same = [np.where(common, n, 0.0)], [c], [~common], c
-            p, rest, named = (v[0] - off) / max(total, 1), np.ones(len(c)), np.zeros(len(c), bool)
-            for gram, context, _ in grams(c, sizes, depth):
-                same = np.where(gram != 0, gram, same)
-                state = np.ones(len(c), bool)
-                for key, absent in ((rest_key(context), 1.0), (gram, 0.0)):
-                    have, x = found(m["states"], key)
-                    have &= key != 0
-                    keys.append(key)
-                    v.append(np.where(have, x, absent))
-                    lacks.append((key != 0) & ~have & state & marked(m["bits"], key))
-                    state = have | lacks[-1]  # a context that is no state names no word
-                p, rest, named = v[-2] * p + v[-1], v[-2] * rest, named | (v[-1] > 0)
-            late = functools.reduce(np.logical_or, lacks[1:], ~common & named)
-            now, alone = common & ~late, ~common & ~late
-            part_score = count(doc[now], np.log10(p[now])) + count(doc[alone], np.log10(rest[alone]))
-            part_base = count(doc[common], np.log10((n[common] + 1) / (total + distinct + 1)))
-
-            def lists(d, columns, width=1):
-                offsets = pa.array(np.append(0, np.cumsum(count(d) * width)).astype(np.int32))
-                return [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in columns]
-
-            def nth(d):
-                """The place of each value among those of its text; ``d`` is sorted."""
-                return np.arange(len(d)) - np.searchsorted(d, d)
-
-            def distinct_of(at, keys):
-                """First places of equal keys of a text, and how many there are."""
-                at = at[np.lexsort((keys[at], doc[at]))]
-                new = np.ones(len(at), bool)
-                new[1:] = (doc[at[1:]] != doc[at[:-1]]) | (keys[at[1:]] != keys[at[:-1]])
-                first = np.flatnonzero(new)
-                return at[first], np.diff(np.append(first, len(at))).astype(np.int32)
-
-            at, times = distinct_of(np.flatnonzero(alone), c)
-            rare = lists(doc[at], (times,))
-            asked, key, place = doc[at], c[at], -1 - nth(doc[at])
-            at, times = distinct_of(np.flatnonzero(late), same)
-            open_ = lists(doc[at], (times, lacks[0][at])) + lists(doc[at], (np.stack([x[at] for x in v], 1).ravel(),), len(v))
-            token, kind = np.nonzero(np.stack([x[at] for x in lacks], 1))
-            asked = np.concatenate([asked, doc[at][token]])
-            key = np.concatenate([key, np.stack([x[at] for x in keys], 1)[token, kind]])
-            place = np.concatenate([place, nth(doc[at])[token] * len(v) + kind])
-            order = np.argsort(asked, kind="stable")
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes), pa.array(count(doc[common])), pa.array(part_base), pa.array(part_score), *rare, *open_, *lists(asked, (key[order], place[order].astype(np.int32)))], ["row", "doc_id", "n_tokens", "n_common", "base_part", "score_part", "rare", "times", "open", "v", "k", "place"])
-
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("turn", F.pmod(F.xxhash64("doc_id"), F.lit(TURNS)))
-    schema = "row long, doc_id long, n_tokens long, n_common long, base_part double, score_part double, rare array<int>, times array<int>, open array<boolean>, v array<double>, k array<long>, place array<int>"
-    def finish(batches):
-        for batch in batches:
-            col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            n_docs, known = batch.num_rows, numbers(batch, "n_common").copy()
-            base, fit = numbers(batch, "base_part").copy(), numbers(batch, "score_part").copy()
-            offsets = {n: np.append(0, np.cumsum(col[n].value_lengths().fill_null(0).to_numpy(zero_copy_only=False))) for n in ("rare", "times", "told")}
-            flat = {n: col[n].flatten() for n in ("rare", "times", "open", "v", "told")}
-            seen, v = np.zeros(len(flat["rare"])), flat["v"].to_numpy(zero_copy_only=False).copy()
-            doc = np.repeat(np.arange(n_docs), np.diff(offsets["told"]))
-            place, answer = (flat["told"].field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            of_rare = place < 0
-            seen[offsets["rare"][doc[of_rare]] - 1 - place[of_rare]] = answer[of_rare]
-            v[offsets["times"][doc[~of_rare]] * (1 + 2 * depth) + place[~of_rare]] = answer[~of_rare]
-            v = v.reshape(-1, 1 + 2 * depth)
-            root = lambda n: np.where(n > 0, (n - off) / max(total, 1), 10.0**unseen)
-            p = root(v[:, 0])
-            for level in range(depth):
-                p = v[:, 2 * level + 1] * p + v[:, 2 * level + 2]
-            for name, n, q, word in (("rare", seen, root(seen), None), ("times", v[:, 0], p, flat["open"].to_numpy(zero_copy_only=False).astype(bool))):
-                doc, t = np.repeat(np.arange(n_docs), np.diff(offsets[name])), flat[name].to_numpy()
-                fit += np.bincount(doc, t * np.log10(q), n_docs)
-                at = slice(None) if word is None else word
-                base += np.bincount(doc[at], t[at] * np.log10((n[at] + 1) / (total + distinct + 1)), n_docs)
-                known += np.bincount(doc[at], t[at] * (n[at] > 0), n_docs).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([col["doc_id"], col["n_tokens"], pa.array(known), pa.array(base), pa.array(fit)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
-
-    names = ["doc_id", "n_tokens", "n_common", "base_part", "score_part", "rare", "times", "open", "v"]
     values = counts.select("k", F.col("n").cast("double").alias("told")).unionByName(states.withColumnRenamed("v", "told"))
     scores = []
     for turn in range(TURNS):
-        mine = rows.where(F.col("turn") == turn).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-        parts = materialize(mine.mapInArrow(run, schema), "partial-scores")
-        asked = parts.select("row", F.explode(F.arrays_zip("k", "place")).alias("x")).select("row", F.col("x.k").alias("k"), F.col("x.place").alias("place"))
-        told = asked.join(values, "k").groupBy("row").agg(F.collect_list(F.struct("place", "told")).alias("told"))
-        whole = parts.select("row", *names).join(told, "row", "left").select(*names, "told")
-        scores.append(materialize(whole.mapInArrow(finish, "doc_id long, n_tokens long, n_known long, base_score double, score double"), "scores"))
-        discard(parts)
+        mine = slices.where(F.pmod("row", F.lit(TURNS)) == turn)
+        told = asked(mine, shared).join(values.hint("shuffle_hash"), "k").select("row", "place", "told")
+        whole = mine.groupBy("row").cogroup(told.groupBy("row")).applyInArrow(finish, "doc_id long, held boolean, n_tokens long, n_known long, base_score double, score double")
+        scores.append(materialize(whole, "scores"))
     return functools.reduce(DataFrame.unionByName, scores)
 
 
@@ -422,7 +453,8 @@ def train_and_score(docs: DataFrame, fold: int = 7, held: int = 2, **settings) -
 
     Repeated rows count and are scored each; other columns are ignored. Without training text every word is unseen
     and the one symbol left has probability 1."""
-    mine = docs.select("doc_id", "text")
-    model, counts, states = learn(mine.where(crc_mod(F.col("doc_id"), fold) != held), **settings)
-    out = score(mine, model, counts, states)
-    return out.select("doc_id", (crc_mod(F.col("doc_id"), fold) == held).alias("held_out"), "n_tokens", "n_known", F.lit(model["N"]).cast("long").alias("train_tokens"), "base_score", "score")
+    slices = coded(docs.select("doc_id", "text", (crc_mod(F.col("doc_id"), fold) == held).alias("held")))
+    model, counts, states = learn(slices.where("NOT held"), **settings)
+    out = score(slices, model, counts, states)
+    discard(slices)
+    return out.select("doc_id", F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(model["N"]).cast("long").alias("train_tokens"), "base_score", "score")

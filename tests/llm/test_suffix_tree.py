@@ -147,3 +147,12 @@ def test_what_open_tokens_ask_is_gone_in_the_end(spark):
     before = tables() if os.path.isdir(folder) else set()
     out = S.train_and_score(docs, least_word=1.0)
     assert tables() <= before and out.count() == len(rows())
+
+
+def test_texts_are_coded_once_and_a_slice_asks_for_a_key_once(spark):
+    docs = spark.createDataFrame([(k, "new york city and " * 3, k % 3 == 0) for k in range(60)], "doc_id long, text string, held boolean").coalesce(1)
+    slices = S.coded(docs)
+    assert sorted(i for r in slices.collect() for i in r["doc_id"]) == list(range(60))
+    model, counts, states = S.learn(slices.where("NOT held"), least_word=1.0)
+    got = [(r["k"], r["row"]) for r in S.asked(slices, spark.sparkContext.broadcast(model)).collect()]
+    assert len(got) == len(set(got)) and {k for k, _ in got} >= {r["k"] for r in counts.union(states).collect() if r["k"]}
