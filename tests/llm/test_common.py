@@ -24,3 +24,10 @@ def test_shuffle_files_of_a_written_table_go(spark):
     assert df.count() == 7 and spark.conf.get(C.CLEANUP) == "false"  # other queries keep theirs
     C.discard(table)
     assert not os.path.exists(table.inputFiles()[0].removeprefix("file://"))
+
+
+def test_executors_collect_their_garbage(spark):
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    before = sum(b.getCollectionCount() for b in beans())
+    C.collect_executors(spark)  # a local session's executor is the driver
+    assert sum(b.getCollectionCount() for b in beans()) > before
