@@ -31,3 +31,18 @@ def test_executors_collect_their_garbage(spark):
     before = sum(b.getCollectionCount() for b in beans())
     C.collect_executors(spark)  # a local session's executor is the driver
     assert sum(b.getCollectionCount() for b in beans()) > before
+
+
+def test_steps_collect_the_executors_now_and_then(monkeypatch):
+    class Session:
+        def __init__(self, master):
+            self.sparkContext = type("Context", (), {"master": master})
+
+    calls = []
+    monkeypatch.setattr(C, "collect_executors", calls.append)
+    for master, more in (("local[4]", 0), ("local", 0), ("local-cluster[3,2,3000]", 1), ("spark://host:7077", 1), ("yarn", 1)):
+        monkeypatch.setattr(C, "collected", [time.monotonic(), time.monotonic() - C.EXECUTORS_PAUSE - 1])
+        before = len(calls)
+        for _ in range(3):  # once in a while, however many steps there are
+            C.collect_garbage(Session(master))
+        assert len(calls) - before == more
