@@ -15,6 +15,7 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -73,33 +74,51 @@ def canonical(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return codes, ids, sizes, top
 
 
+@lru_cache(maxsize=1)
+def codebook(lengths: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """``canonical`` of some code lengths, which all files of a corpus share."""
+    return canonical(np.frombuffer(lengths, np.uint8))
+
+
 def pack_bits(codes: np.ndarray, sizes: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """The bit stream of ``codes`` and the bit offset of each."""
-    ends = np.cumsum(sizes)
-    at = ends - sizes
-    word, shift = at >> 5, 32 - (at & 31) - sizes
-    high = np.where(shift >= 0, codes << np.maximum(shift, 0), codes >> np.maximum(-shift, 0))
-    low = np.where(shift < 0, (codes << np.maximum(32 + shift, 0)) & 0xFFFFFFFF, 0)
-    n = int(ends[-1] // 32 + 2) if len(ends) else 1
-    # 32-bit values that share no bit: their float sum is exact
-    total = np.bincount(word, high, n) + np.bincount(word + 1, low, n)
-    return total.astype(np.uint64).astype(">u4").tobytes(), at
+    """The bit stream of ``codes`` and the bit offset of each. A few neighbours of at most 63 bits together are put in place at once."""
+    at = np.cumsum(sizes) - sizes
+    if not len(codes):
+        return bytes(8), at
+    width = min(4, 63 // int(sizes.max()))
+    groups = np.zeros((2, -(-len(codes) // width) * width), np.uint64)
+    groups[0, : len(codes)], groups[1, : len(codes)] = codes, sizes
+    code, size = groups.reshape(2, -1, width)
+    value, bits = code[:, 0], size[:, 0]
+    for k in range(1, width):
+        value, bits = value << size[:, k] | code[:, k], bits + size[:, k]
+    start, bits = at[::width], bits.astype(np.int64)
+    word, room = start >> 6, 64 - (start & 63) - bits
+    over = np.flatnonzero(room < 0)
+    high = value << np.maximum(room, 0).view(np.uint64)
+    high[over] = value[over] >> (-room[over]).view(np.uint64)
+    # a group has under 64 bits, so one begins in each word, and one at most reaches into it
+    total = np.zeros(word[-1] + 2, np.uint64)
+    total[:-1] = np.bitwise_or.reduceat(high, np.flatnonzero(np.diff(word, prepend=-1)))
+    total[word[over] + 1] |= value[over] << (64 + room[over]).view(np.uint64)
+    return total.astype(">u8").tobytes(), at
 
 
 def unpack_blocks(stream: bytes, offsets: np.ndarray, tokens: int, block: int, ids: np.ndarray, sizes: np.ndarray, top: int) -> np.ndarray:
     """All ids of a file: each step looks up the next symbol of every block that still has one."""
     words = np.frombuffer(stream, ">u4").astype(np.uint64)
     pairs = (words << np.uint64(32)) | np.append(words[1:], np.uint64(0))
-    out = np.zeros((len(offsets), block), dtype=np.int64)
+    both = (ids << 6 | sizes).astype(np.uint32)
+    out = np.zeros((block, len(offsets)), dtype=np.uint32)
     at, mask = offsets.astype(np.int64), (1 << top) - 1
     last = tokens - block * (len(offsets) - 1)
     for k in range(block if len(offsets) > 1 else last):
         n = len(at) if k < last else len(at) - 1
         now = at[:n]
-        index = ((pairs[now >> 5] >> (64 - top - (now & 31)).astype(np.uint64)).astype(np.int64)) & mask
-        out[:n, k] = ids[index]
-        at[:n] = now + sizes[index]
-    return out.reshape(-1)[:tokens]
+        found = both[(pairs[now >> 5] >> (64 - top - (now & 31)).view(np.uint64)).view(np.int64) & mask]
+        out[k, :n] = found >> 6
+        now += found & 63
+    return out.T.reshape(-1)[:tokens]
 
 
 def write_file(docs: list[tuple[int | None, bytes]], base: int, lengths: np.ndarray, codes: np.ndarray, block: int = BLOCK) -> bytes:
@@ -122,10 +141,10 @@ def read_file(data: bytes) -> Iterator[tuple[int | None, int, np.ndarray]]:
     nulls = np.frombuffer(data, "u1", n, at + 8 * n)
     counts = np.frombuffer(data, "<i8", n, at + 9 * n)
     at += 17 * n
-    lengths = np.frombuffer(zlib.decompress(data[at : at + head["lengths"]]), "u1")
+    lengths = zlib.decompress(data[at : at + head["lengths"]])
     at += head["lengths"]
     offsets = np.frombuffer(data, "<u8", blocks, at)
-    _, ids, sizes, top = canonical(lengths)
+    _, ids, sizes, top = codebook(lengths)
     out = unpack_blocks(data[at + 8 * blocks :], offsets, head["tokens"], head["block"], ids, sizes, top)
     start = 0
     for doc_id, null, count in zip(doc_ids.tolist(), nulls.tolist(), counts.tolist(), strict=True):
@@ -139,11 +158,9 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int | None) -> DataFrame:
 
     def run(batches):
         encode = encoder(tokenizer).encode
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                ids = [x + tail for x in encode(part.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 2 for x in ids], pa.int64())], ["doc_id", "ids", "n_tokens"])
+        for batch in batches:  # whole, so that a word is looked up once a batch
+            ids = [x + tail for x in encode(batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 2 for x in ids], pa.int64())], ["doc_id", "ids", "n_tokens"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary, n_tokens long")
 
@@ -154,10 +171,9 @@ def id_counts(tokens: DataFrame, vocabulary: int) -> np.ndarray:
     def run(batches):
         total = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                total += 0 if not ids.is_valid else np.bincount(np.frombuffer(ids.as_buffer(), "<u2"), minlength=vocabulary) if len(ids.as_buffer()) > vocabulary // 8 else 0
-            short = b"".join(x for x in batch.column(0).to_pylist() if len(x) <= vocabulary // 8)
-            total += np.bincount(np.frombuffer(short, "<u2"), minlength=vocabulary)
+            ids = batch.column(0).cast(pa.large_binary())
+            ends = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset :][: len(ids) + 1]
+            total += np.bincount(np.frombuffer(ids.buffers()[2], "<u2", (ends[-1] - ends[0]) // 2, ends[0]), minlength=vocabulary) if ends[-1] > ends[0] else 0
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
 
@@ -189,7 +205,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, file_tokens:
 
     def write(batches):
         lengths, bases = shared.value
-        codes = canonical(lengths)[0]
+        codes = codebook(lengths.tobytes())[0]
         store, root = filesystem(folder)
         store.create_dir(root, recursive=True)
         state = {"shard": None, "docs": [], "n": 0, "base": 0, "part": 0}
@@ -232,7 +248,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
             for path in batch.column(0).to_pylist():
                 store, at = filesystem(path)
                 with store.open_input_file(at) as f:
-                    rows = [(d, s, len(x), zlib.crc32(x.astype("<u4").tobytes())) for d, s, x in read_file(f.read())]
+                    rows = [(d, s, len(x), zlib.crc32(x.astype("<u4", copy=False))) for d, s, x in read_file(f.read())]
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in zip(*rows, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     files = manifest.select("path")

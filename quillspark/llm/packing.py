@@ -110,17 +110,15 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int, window: int) -> DataF
     def run(batches):
         encode = encoder(tokenizer).encode
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                counts, crcs, rems = [], [], []
-                for ids in encode(part.column(1).to_pylist()):
-                    ids += tail
-                    n = len(ids) // 2
-                    wide = np.frombuffer(ids, "<u2").astype("<u4")
-                    counts.append(n)
-                    crcs.append([zlib.crc32(wide[k : k + window].tobytes()) for k in range(0, n // window * window, window)])
-                    rems.append(ids[n // window * window * 2 :])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(rems, pa.binary()), pa.array([len(x) // 2 for x in rems], pa.int32())], ["doc_id", "doc_tokens", "full_crcs", "rem", "rem_len"])
+            counts, crcs, rems = [], [], []
+            for ids in encode(batch.column(1).to_pylist()):
+                ids += tail
+                n = len(ids) // 2
+                wide = np.frombuffer(ids, "<u2").astype("<u4")
+                counts.append(n)
+                crcs.append([zlib.crc32(wide[k : k + window].tobytes()) for k in range(0, n // window * window, window)])
+                rems.append(ids[n // window * window * 2 :])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(rems, pa.binary()), pa.array([len(x) // 2 for x in rems], pa.int32())], ["doc_id", "doc_tokens", "full_crcs", "rem", "rem_len"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, doc_tokens long, full_crcs array<long>, rem binary, rem_len int")
 

@@ -24,8 +24,8 @@ RUN = re.compile(r"\s\s")
 MARKS = '.,!?;:|%$#*&")]}'
 #: Memory of a worker's cache: entries after which it starts anew.
 CACHE = 900_000
-#: Characters of texts that are cut at a time (one text may be longer).
-AT_ONCE = 8 << 20
+#: Characters of texts that are cut at a time (one text may be longer); more than an Arrow batch of 8 MB and its last text.
+AT_ONCE = 9 << 20
 
 
 class Encoder:
@@ -149,7 +149,9 @@ class Encoder:
         begin, n = np.cumsum(sizes) - sizes, sizes[place]
         ends = np.append(0, np.cumsum(n))
         pool = np.frombuffer(b"".join(ids), "<u2")
-        flat = pool[np.arange(ends[-1]) + np.repeat(begin[place] - ends[:-1], n)].tobytes()
+        from_ = np.repeat(begin[place] - ends[:-1], n)
+        from_ += np.arange(ends[-1])
+        flat = pool[from_].tobytes()
         bounds = (2 * ends[at - np.arange(len(at))]).tolist()
         return [first[head] + flat[a:b] for head, a, b in zip(heads, bounds[:-1], bounds[1:], strict=True)]
 

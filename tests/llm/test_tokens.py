@@ -3,10 +3,12 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from quillspark.llm import huffman as H
+from quillspark.llm import packing as P
 from quillspark.llm import tokens as T
 from quillspark.llm.queries import tokenizer
 
@@ -98,3 +100,46 @@ def test_each_different_cut_is_looked_up_once(kind):
     assert got == encoder._plain(texts)
     odd = ["", " ", "\n", " a", "a ", "a\n", "\na", "a,", ", a", "a ,. b", "\n. a", "a b\u00a0c", None]
     assert encoder.encode(odd) == [encoder._plain([t or ""])[0] for t in odd]
+
+
+def test_neighbours_are_packed_at_once(monkeypatch):
+    """The stream is the codes' bits one after the other, for groups of one to four codes; few arrays are as long as the codes."""
+    rng = np.random.default_rng(4)
+    for top, count in ((1, 1), (1, 130), (5, 1000), (18, 2000), (30, 777), (40, 64), (63, 65)):
+        sizes = rng.integers(1, top + 1, count)
+        codes = np.array([rng.integers(0, 1 << int(n)) for n in sizes], np.int64)
+        bits = "".join(format(c, f"0{n}b") for c, n in zip(codes.tolist(), sizes.tolist(), strict=True))
+        stream, at = H.pack_bits(codes, sizes)
+        assert at.tolist() == (np.cumsum(sizes) - sizes).tolist()
+        got = "".join(format(x, "08b") for x in stream)
+        assert got[: len(bits)] == bits and not got[len(bits) :].strip("0") and len(stream) % 8 == 0
+    codes, long = np.ones(100_000, np.int64), []
+    count = np.bincount
+    monkeypatch.setattr(np, "bincount", lambda x, *a: long.append(len(x)) or count(x, *a))
+    H.pack_bits(codes, np.full(len(codes), 16))
+    assert sum(long) < len(codes)
+
+
+def test_a_batch_is_encoded_whole(spark):
+    """A call's words are looked up once, so a batch is one call."""
+    calls = []
+
+    class Held:
+        def encode(self, texts):
+            calls.append(len(texts))
+            return [b"" for _ in texts]
+
+    class Docs:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return list(run([pa.record_batch({"doc_id": list(range(5000)), "text": ["a b"] * 5000})]))
+
+    for module, args in ((H, ("x", 2)), (P, ("x", 0, 1024))):
+        kept, module.encoder = module.encoder, lambda _: Held()
+        try:
+            assert sum(b.num_rows for b in module.tokenize(Docs(), *args)) == 5000
+        finally:
+            module.encoder = kept
+    assert calls == [5000, 5000]
