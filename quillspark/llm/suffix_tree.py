@@ -14,6 +14,7 @@ and for either table of a level), and bitmaps of BITS hashed keys, which never m
 from __future__ import annotations
 
 import functools
+import struct
 import zlib
 
 import numpy as np
@@ -39,6 +40,12 @@ RANGES, HELD = 256, 2_000_000
 SLICE = 512 << 10
 #: Turns in which the slices are scored, so that what those of one turn ask and are told is gone before the next.
 TURNS = 3
+#: Ranges of keys in which slices meet counts and states, at least, and slices for each range beyond that.
+PARTS, SLICES = 128, 400
+#: Input splits that a task counts together, if that leaves every core two tasks.
+SPLITS = 4
+#: Low bytes of the steps between sorted keys, which no code shortens.
+PLAIN = 5
 
 
 class Codes(dict):
@@ -236,6 +243,43 @@ def full_buckets(docs: DataFrame, usable, least_count: int) -> np.ndarray:
     return out
 
 
+def squeezed(numbers: np.ndarray, plain: int = 0) -> bytes:
+    """Whole numbers from 0 in byte planes up to the highest in use; all but the ``plain`` lowest planes are compressed."""
+    x = np.ascontiguousarray(numbers, np.uint64)
+    width = max(plain, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    planes = x.astype("<u8").view(np.uint8).reshape(-1, 8).T
+    return struct.pack("<IB", len(x), width) + planes[:plain].tobytes() + zlib.compress(planes[plain:width].tobytes(), 1)
+
+
+def restored(data: bytes, plain: int = 0) -> np.ndarray:
+    n, width = struct.unpack_from("<IB", data)
+    body, out = memoryview(data)[5:], np.zeros((n, 8), np.uint8)
+    out[:, :plain] = np.frombuffer(body[: plain * n], np.uint8).reshape(plain, n).T
+    out[:, plain:width] = np.frombuffer(zlib.decompress(body[plain * n :]), np.uint8).reshape(width - plain, n).T
+    return out.view("<u8").ravel().astype(np.uint64, copy=False)
+
+
+def turned(keys: np.ndarray) -> np.ndarray:
+    """Keys with their two high bits, which are the same for all words, at the end: even over all ranges."""
+    x = keys.view(np.uint64)
+    return x << np.uint64(2) | x >> np.uint64(62)
+
+
+def spans(keys: np.ndarray, parts: int):
+    """(part, span) of each of ``parts`` ranges that holds some of the sorted turned keys."""
+    ends = np.searchsorted((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64))
+    for part in np.flatnonzero(np.diff(ends)).tolist():
+        yield part, slice(ends[part], ends[part + 1])
+
+
+def steps(keys: np.ndarray) -> bytes:
+    return squeezed(np.diff(keys, prepend=np.uint64(0)), PLAIN)
+
+
+def unstepped(data: bytes) -> np.ndarray:
+    return np.cumsum(restored(data, PLAIN), dtype=np.uint64)
+
+
 def keyed(df: DataFrame, key, schema: str) -> DataFrame:
     """``df`` with its column k replaced by ``key`` of each batch."""
 
@@ -252,9 +296,17 @@ def numbers(batch, name: str) -> np.ndarray:
     return batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
 
 
+def gathered(slices: DataFrame) -> DataFrame:
+    """``slices`` in fewer, larger tasks: each sends the words and pairs it has counted once, so fewer tasks send fewer rows."""
+    splits = slices.rdd.getNumPartitions()
+    tasks = max(2 * slices.sparkSession.sparkContext.defaultParallelism, splits // SPLITS)
+    return slices.coalesce(tasks) if tasks < splits else slices
+
+
 def learn(slices: DataFrame, depth: int = 2, least_word: float = LEAST_WORD, least_count: int = LEAST_COUNT, gain: float = GAIN) -> tuple[dict, DataFrame, DataFrame]:
-    """(model, counts, states) of the texts in ``slices`` (see ``coded``): what is broadcast, the table (k, n) of every
-    training word's count, and the table (k, v) of what a state leaves its suffix and gives each explicit symbol."""
+    """(model, counts, states) of the texts in ``slices`` (see ``coded``): what is broadcast, the table of every training word's
+    count, and the table of what a state leaves its suffix and gives each explicit symbol. Both are (k, n, m, seen): a
+    count and a gift are (n - DISCOUNT * m) / seen, what is left is 1 less that."""
     docs = slices.select("row", "words", "places", "sizes")
     spark = docs.sparkSession
 
@@ -264,13 +316,13 @@ def learn(slices: DataFrame, depth: int = 2, least_word: float = LEAST_WORD, lea
             yield from sums.add(codes, times=np.bincount(at, minlength=len(codes)))
         yield from sums.flush()
 
-    counts = materialize(docs.mapInArrow(words, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")), "words")
+    counts = materialize(gathered(docs).mapInArrow(words, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")), "words")
     head = counts.agg(F.sum("n").alias("N"), F.count("*").alias("V"), F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2")).first()
     total, distinct = head["N"] or 0, head["V"]
     off = min(0.95, max(0.05, head["n1"] / (head["n1"] + 2 * head["n2"]) if head["n1"] + head["n2"] else 0.5))
     often = max(1.0, least_word * total)
     model = {"N": total, "V": distinct, "off": off, "depth": depth}
-    states, used = spark.createDataFrame([], "k long, v double, n long"), []
+    states, used = spark.createDataFrame([], "k long, v double, often long, n long, m long, seen long"), []
     #: Grams of the level before with their count and the probability of their last word in the states so far.
     before = counts.where(F.col("n") >= least_count).select("k", "n", ((F.col("n") - off) / max(total, 1)).alias("p"))
     for level in range(1, depth + 1):
@@ -293,7 +345,7 @@ def learn(slices: DataFrame, depth: int = 2, least_word: float = LEAST_WORD, lea
                 yield from sums.add(gram[use], context[use], suffix[use])
             yield from sums.flush()
 
-        joint = docs.mapInArrow(pairs, "n long, context long, suffix long").groupBy("context", "suffix").agg(F.sum("n").alias("n")).where(F.col("n") >= least_count)
+        joint = gathered(docs).mapInArrow(pairs, "n long, context long, suffix long").groupBy("context", "suffix").agg(F.sum("n").alias("n")).where(F.col("n") >= least_count)
         joint = joint.select(F.lit(0).cast("long").alias("k"), "context", "suffix", "n")
         joint = keyed(joint, lambda b: mix(numbers(b, "context"), numbers(b, "suffix")), "k long, context long, suffix long, n long")
         # the suffix of a gram occurs at least as often as the gram, so it is in the table
@@ -303,21 +355,22 @@ def learn(slices: DataFrame, depth: int = 2, least_word: float = LEAST_WORD, lea
         left = F.greatest(F.lit(0.0), 1 - F.col("explicit") / F.col("seen"))
         other = F.greatest(F.lit(1e-12), 1 - F.col("q"))
         likely = F.col("likely") - F.col("explicit") * F.log("seen") + F.when(left > 0, F.col("seen") * left * F.log(left / other)).otherwise(0.0)
-        kept = materialize(sums.where(likely >= gain * F.col("m")).select("context", "seen", (1 - (F.col("explicit") - DISCOUNT * F.col("m")) / F.col("seen")).alias("rest")), "contexts")
+        kept = materialize(sums.where(likely >= gain * F.col("m")).select("context", "seen", "explicit", "m", (1 - (F.col("explicit") - DISCOUNT * F.col("m")) / F.col("seen")).alias("rest")), "contexts")
         p = (F.col("n") - DISCOUNT) / F.col("seen")
         used.append(joint)
-        joint = materialize(joint.join(kept, "context", "left").select("k", "n", p.alias("own"), F.coalesce(F.col("rest") * F.col("q") + p, "q").alias("p")), "states")
-        rests = keyed(kept.select(F.col("context").alias("k"), F.col("rest").alias("v"), F.col("seen").alias("n")), lambda b: rest_key(numbers(b, "k")), "k long, v double, n long")
-        states = states.unionByName(rests).unionByName(joint.where("own IS NOT NULL").select("k", F.col("own").alias("v"), "n"))
+        joint = materialize(joint.join(kept, "context", "left").select("k", "n", "seen", p.alias("own"), F.coalesce(F.col("rest") * F.col("q") + p, "q").alias("p")), "states")
+        rests = kept.select(F.col("context").alias("k"), F.col("rest").alias("v"), F.col("seen").alias("often"), F.col("explicit").alias("n"), "m", "seen")
+        rests = keyed(rests, lambda b: rest_key(numbers(b, "k")), "k long, v double, often long, n long, m long, seen long")
+        states = states.unionByName(rests).unionByName(joint.where("own IS NOT NULL").select("k", F.col("own").alias("v"), F.col("n").alias("often"), "n", F.lit(1).cast("long").alias("m"), "seen"))
         used += [kept, joint]
         before = joint.select("k", "n", "p")
     states = materialize(states, "tree")
     discard(*used)
-    for name, frame, value in (("words", counts, "n"), ("states", states, "v")):
-        rows = frame.where(F.col("n") >= often).select("k", F.col(value).cast("double").alias("v")).toPandas().sort_values("k")  # relative frequencies, so bounded
+    for name, frame, count, value in (("words", counts, "n", "n"), ("states", states, "often", "v")):
+        rows = frame.where(F.col(count) >= often).select("k", F.col(value).cast("double").alias("v")).toPandas().sort_values("k")  # relative frequencies, so bounded
         model[name] = rows["k"].to_numpy(np.int64), rows["v"].to_numpy(np.float64)
-    model["bits"] = bitmap(states.where(F.col("n") < often), "k", BITS)
-    return model, counts, states.select("k", "v")
+    model["bits"] = bitmap(states.where(F.col("often") < often), "k", BITS)
+    return model, counts.select("k", "n", F.lit(0).cast("long").alias("m"), F.lit(1).cast("long").alias("seen")), states.select("k", "n", "m", "seen")
 
 
 def rest_key(contexts: np.ndarray) -> np.ndarray:
@@ -353,7 +406,7 @@ def found(table: tuple[np.ndarray, np.ndarray, np.ndarray, int], keys: np.ndarra
 def needed(m: dict, words: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> tuple[list[np.ndarray], list[tuple[int, np.ndarray]], np.ndarray, np.ndarray]:
     """(v, open, keys, order) of a slice. v: the count of each distinct word, then for each level what the state leaves
     and what it gives the word, of each token, so far as that is broadcast. open: which values of v tables have to
-    tell. keys: those to look up, each once; ``order`` has the place among them of every open value, in turn."""
+    tell. keys: those to look up, turned, sorted, each once; ``order`` has the place among them of every open value, in turn."""
     depth, state_of = m["depth"], m["states"]
     have, n = found(m["words"], words)
     v, open_, lacking = [np.where(have, n, 0.0)], [(0, np.flatnonzero(~have))], [words[~have]]
@@ -382,7 +435,7 @@ def needed(m: dict, words: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> tup
             told = [x[at[pos - 1]] for x in known]
         pos = put(1.0, pos, *told)  # a context that is no state names no word
         put(0.0, pos, gram[pos], *look(gram[pos]))
-    keys, order = np.unique(np.concatenate(lacking), return_inverse=True)
+    keys, order = np.unique(turned(np.concatenate(lacking)), return_inverse=True)
     return v, open_, keys, order
 
 
@@ -394,26 +447,86 @@ def ready(shared) -> dict:
     return m
 
 
-def asked(slices: DataFrame, shared) -> DataFrame:
-    """k, row, place: what each slice of texts has to be told, a key once; ``place`` is the key's among the slice's."""
+def asks(slices: DataFrame, shared, parts: int) -> DataFrame:
+    """part, row, keys: what each slice of texts has to be told, a key once, in one packed row for each range of keys."""
 
     def ask(batches):
         m = ready(shared)
         for row, words, at, sizes in decoded(batches):
             keys = needed(m, words, at, sizes)[2]
-            place = np.arange(len(keys), dtype=np.int32)
-            for k in range(0, len(keys), 200_000):
-                part = slice(k, k + 200_000)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[part]), pa.array(np.full(len(keys[part]), row)), pa.array(place[part])], ["k", "row", "place"])
+            rows = [(part, steps(keys[span])) for part, span in spans(keys, parts)]
+            if rows:
+                part, packed = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(np.full(len(part), row)), pa.array(packed, pa.binary())], ["part", "row", "keys"])
+
+    return slices.select("row", "words", "places", "sizes").mapInArrow(ask, "part int, row long, keys binary")
+
+
+def asked(slices: DataFrame, shared) -> DataFrame:
+    """k, row: the keys of ``asks``, one in a row."""
+
+    def run(batches):
+        for batch in batches:
+            for row, packed in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                keys = unstepped(packed)
+                keys = (keys >> np.uint64(2) | keys << np.uint64(62)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), row))], ["k", "row"])
+
+    return asks(slices, shared, PARTS).mapInArrow(run, "k long, row long")
+
+
+def dealt(counts: DataFrame, states: DataFrame, parts: int) -> DataFrame:
+    """part, keys, values: the rows of both tables, those that a task holds of a range of keys in one packed row."""
+
+    def run(batches):
+        held, size = [], 0
+
+        def rows():
+            nonlocal held, size
+            keys, *values = (np.concatenate(x) for x in zip(*held, strict=True))
+            keys = turned(keys)
+            order = np.argsort(keys)
+            keys, values = keys[order], np.stack([x[order] for x in values])
+            held, size = [], 0
+            found = [(part, steps(keys[span]), squeezed(values[:, span].ravel())) for part, span in spans(keys, parts)]
+            return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*found, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["part", "keys", "values"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append([numbers(batch, n) for n in ("k", "n", "m", "seen")])
+                size += batch.num_rows
+            if size > HELD // 2:
+                yield rows()
+        if size:
+            yield rows()
+        release()
+
+    return materialize(counts.unionByName(states).mapInArrow(run, "part int, keys binary, values binary"), "values")
+
+
+def answers(left: pa.Table, right: pa.Table) -> pa.Table:
+    """row, part, told: the values of the keys that slices ask for in a range of keys, zeros for those that have none."""
+    rows = right.column("keys").to_pylist()
+    k = np.concatenate([np.zeros(0, np.uint64), *map(unstepped, rows)])
+    order = np.argsort(k)
+    k = np.append(k[order], np.uint64(0))
+    values = np.concatenate([np.zeros((3, 0), np.uint64), *(restored(x).reshape(3, -1) for x in right.column("values").to_pylist())], axis=1)
+    values = np.append(values[:, order], np.zeros((3, 1), np.uint64), axis=1)
+
+    def told(packed: bytes) -> bytes:
+        keys = unstepped(packed)
+        at = np.searchsorted(k[:-1], keys)
+        return squeezed(np.where(k[at] == keys, values[:, at], np.uint64(0)).ravel())
 
-    return slices.select("row", "words", "places", "sizes").mapInArrow(ask, "k long, row long, place int")
+    return pa.table([left.column("row"), left.column("part"), pa.array(map(told, left.column("keys").to_pylist()), pa.binary())], ["row", "part", "told"])
 
 
-def score(slices: DataFrame, model: dict, counts: DataFrame, states: DataFrame) -> DataFrame:
-    """doc_id, held, n_tokens, n_known, base_score, score of every text in ``slices`` (see ``coded``).
+def score(slices: DataFrame, model: dict, values: DataFrame, parts: int) -> DataFrame:
+    """doc_id, held, n_tokens, n_known, base_score, score of every text in ``slices`` (see ``coded``); ``values`` are ``dealt`` to ``parts``.
 
-    What is not broadcast of the counts and states that a slice may need is joined by key, once for each slice; a slice
-    meets its answers in one group and scores its texts there. The slices take turns."""
+    What is not broadcast of the counts and states that a slice may need is asked for by key, once for each slice. What is
+    asked meets the values in ranges of keys; a slice meets its answers in one group and scores its texts there. All of
+    this moves as packed rows. The slices take turns."""
     shared = slices.sparkSession.sparkContext.broadcast(model)
     total, distinct, off, depth = model["N"], model["V"], model["off"], model["depth"]
     unseen = off * distinct / total if total else 1.0
@@ -422,13 +535,18 @@ def score(slices: DataFrame, model: dict, counts: DataFrame, states: DataFrame)
         held, doc_id = left.column("held")[0].as_py(), left.column("doc_id").combine_chunks().flatten()
         _, words, at, sizes = next(decoded(left.combine_chunks().to_batches()))
         v, open_, keys, order = needed(ready(shared), words, at, sizes)
-        answer = np.full(len(keys), np.nan)
-        answer[right.column("place").to_numpy()] = right.column("told").to_numpy()
-        told, done = answer[order], 0
+        packed = right.column("told").to_pylist()
+        packed = [packed[i] for i in np.argsort(right.column("part").to_numpy())]  # the keys are sorted, and so are their ranges
+        n, m, seen = np.concatenate([np.zeros((3, 0), np.uint64), *(restored(x).reshape(3, -1) for x in packed)], axis=1).astype(np.float64)
+        assert len(n) == len(keys)
+        have = seen > 0
+        answer = (n - DISCOUNT * m) / np.where(have, seen, 1.0)
+        done = 0
         for kind, pos in open_:
-            x = told[done : done + len(pos)]
+            of = order[done : done + len(pos)]
             done += len(pos)
-            v[kind][pos[~np.isnan(x)]] = x[~np.isnan(x)]
+            x = answer[of]
+            v[kind][pos[have[of]]] = (1 - x if kind % 2 else x)[have[of]]  # kinds: counts, then what is left and what is given of each level
         n = v[0]
         p = np.where(n > 0, (n - off) / max(total, 1), unseen)[at]
         for level in range(depth):
@@ -438,11 +556,10 @@ def score(slices: DataFrame, model: dict, counts: DataFrame, states: DataFrame)
         known, base = sums((n > 0)[at]).astype(np.int64), sums(np.log10((n + 1) / (total + distinct + 1))[at])
         return pa.table([doc_id, pa.array(np.full(len(sizes), held)), pa.array(sizes), pa.array(known), pa.array(base), pa.array(sums(np.log10(p)))], ["doc_id", "held", "n_tokens", "n_known", "base_score", "score"])
 
-    values = counts.select("k", F.col("n").cast("double").alias("told")).unionByName(states.withColumnRenamed("v", "told"))
     scores = []
     for turn in range(TURNS):
         mine = slices.where(F.pmod("row", F.lit(TURNS)) == turn)
-        told = asked(mine, shared).join(values.hint("shuffle_hash"), "k").select("row", "place", "told")
+        told = asks(mine, shared, parts).groupBy("part").cogroup(values.groupBy("part")).applyInArrow(answers, "row long, part int, told binary")
         whole = mine.groupBy("row").cogroup(told.groupBy("row")).applyInArrow(finish, "doc_id long, held boolean, n_tokens long, n_known long, base_score double, score double")
         scores.append(materialize(whole, "scores"))
     return functools.reduce(DataFrame.unionByName, scores)
@@ -455,6 +572,9 @@ def train_and_score(docs: DataFrame, fold: int = 7, held: int = 2, **settings) -
     and the one symbol left has probability 1."""
     slices = coded(docs.select("doc_id", "text", (crc_mod(F.col("doc_id"), fold) == held).alias("held")))
     model, counts, states = learn(slices.where("NOT held"), **settings)
-    out = score(slices, model, counts, states)
-    discard(slices)
+    parts = max(PARTS, -(-slices.count() // SLICES))
+    values = dealt(counts, states, parts)
+    discard(counts, states)
+    out = score(slices, model, values, parts)
+    discard(slices, values)
     return out.select("doc_id", F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(model["N"]).cast("long").alias("train_tokens"), "base_score", "score")

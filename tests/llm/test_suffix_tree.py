@@ -156,3 +156,31 @@ def test_texts_are_coded_once_and_a_slice_asks_for_a_key_once(spark):
     model, counts, states = S.learn(slices.where("NOT held"), least_word=1.0)
     got = [(r["k"], r["row"]) for r in S.asked(slices, spark.sparkContext.broadcast(model)).collect()]
     assert len(got) == len(set(got)) and {k for k, _ in got} >= {r["k"] for r in counts.union(states).collect() if r["k"]}
+
+
+def test_asks_and_answers_are_packed(spark):
+    """One row for each slice and range of keys, about 6 bytes a key and 2 a small count; a key without a value gets zeros."""
+    rng = np.random.default_rng(7)
+    for x in ([], [0], [5, 0, (1 << 64) - 1], rng.integers(0, 1 << 62, 1000)):
+        x = np.array(x, np.uint64)
+        for plain in (0, S.PLAIN):
+            assert (S.restored(S.squeezed(x, plain), plain) == x).all()
+    keys = np.unique(S.turned(rng.integers(S.BIG, S.BIG * 2 - 1, 40_000)))
+    packed = {part: S.steps(keys[span]) for part, span in S.spans(keys, S.PARTS)}
+    assert len(packed) == S.PARTS and (np.concatenate([S.unstepped(packed[p]) for p in sorted(packed)]) == keys).all()
+    assert sum(map(len, packed.values())) < 7 * len(keys)  # a row of key, slice and place took 16 in the shuffle
+    k = keys.view(np.int64)
+    counts = spark.createDataFrame([(int(x >> 2 & (S.BIG - 1) | S.BIG), n % 50, 0, 1) for n, x in enumerate(k[:3000:2].tolist())], "k long, n long, m long, seen long")
+    values = S.dealt(counts, counts.limit(0), S.PARTS).toArrow()
+    want = dict(zip(keys[:3000:2].tolist(), (n % 50 for n in range(1500)), strict=True))
+    asks = S.pa.table({"part": [0], "row": [9], "keys": [S.steps(keys[:3000])]})
+    got = S.restored(S.answers(asks, values).column("told")[0].as_py()).reshape(3, -1)
+    assert got[0].tolist() == [want.get(x, 0) for x in keys[:3000].tolist()] and (got[2] == np.arange(1, 3001) % 2).all()
+    assert S.answers(asks, values.slice(0, 0)).num_rows == 1 and len(S.answers(asks, values).column("told")[0].as_py()) < 2 * 3000
+
+
+def test_tasks_count_several_splits_together(spark):
+    slices = S.coded(spark.createDataFrame([(k, "new york city " * 40, False) for k in range(300)], "doc_id long, text string, held boolean").repartition(60))
+    cores, split = spark.sparkContext.defaultParallelism, slices.repartition(40 * spark.sparkContext.defaultParallelism)
+    assert S.gathered(split).rdd.getNumPartitions() == 10 * cores and S.gathered(slices.coalesce(3)).rdd.getNumPartitions() <= 3
+    assert sum(r["n"] for r in S.learn(split)[1].collect()) == 300 * 121
