@@ -91,10 +91,10 @@ def inventory_tree(files: DataFrame, name: str, digest: str, by: str) -> DataFra
 
 
 def grouped_split(df: DataFrame, group: str, shares: dict[str, float], seed: int, namespace: str) -> DataFrame:
-    """group, split: groups in the order of a seeded hash, the first shares to their splits, the rest to ``train``."""
-    groups = df.select(group).distinct().withColumn("h", F.sha2(F.concat_ws(":", F.lit(namespace), F.lit(str(seed)), F.col(group).cast("string")).cast("binary"), 256))
+    """group, split: groups in the order of a seeded hash, the first shares to their splits, the rest to ``train``. A null group is the last."""
+    groups = df.select(group).distinct().withColumn("h", F.sha2(F.concat(F.lit(f"{namespace}:{seed}:"), F.col(group).cast("string")).cast("binary"), 256))
     # ranks by hash prefix: counts of the 4096 prefixes are small, and only rows of one prefix are sorted together
-    groups = groups.withColumn("p", F.substring("h", 1, 3))
+    groups = groups.withColumn("p", F.coalesce(F.substring("h", 1, 3), F.lit("none")))
     counts = groups.groupBy("p").count()
     before = F.coalesce(F.sum("count").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = counts.withColumn("before", before).withColumn("total", F.sum("count").over(Window.partitionBy()))

@@ -95,3 +95,25 @@ def test_split_keeps_groups_whole(spark):
     for r in got:
         sides.setdefault(r["grp"], set()).add(r["split"])
     assert all(len(s) == 1 for s in sides.values()) and sum(s == {"validation"} for s in sides.values()) == 2
+
+
+def oracle(path, tables, sql):
+    """Rows of ``sql`` over Parquet tables of a folder."""
+    import duckdb
+
+    with duckdb.connect() as con:
+        for t in tables:
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{path}/{t}.parquet/*.parquet')")
+        return sorted(con.execute(sql).fetchall(), key=str)
+
+
+def test_split_of_odd_documents_is_that_of_the_sql(spark, tmp_path):
+    """Empty, blank and null texts, other white space at the ends, repeated ids and texts without a language or source."""
+    from quillspark.jobs import catalog, training as jobs  # noqa: F401
+
+    rows = [(k, f"text {k % 50}", "en", f"s{k % 9}") for k in range(90)]
+    rows += [(100, "", "en", "s1"), (101, " \n", "en", "s2"), (102, None, "fr", "s1"), (103, None, "fr", "s2"), (104, "text 3\u00a0", "en", "s3"), (105, "\x0btext 3", "en", "s3")]
+    rows += [(106, "own\r\n", "de", "s1"), (107, "own", "de", "s1"), (108, "twice", "de", "s2"), (108, "again", "de", "s2"), (109, "lost", None, "s4"), (110, "lost too", "en", None), (None, "no id", "en", "s1")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in catalog.QUERIES["d5_split"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == oracle(tmp_path, ["documents"], catalog.SQL["d5_split"])
