@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.files import scratch_table
-from . import fusion, lexical
+from . import best, fusion, lexical
 
 
 def expected_rank(hits: DataFrame, relevant: DataFrame) -> DataFrame:
@@ -47,43 +47,32 @@ def sweep(queries: DataFrame, relevant: DataFrame, chunks: DataFrame | lexical.I
     """setting, questions, recall_1, recall_5, recall_8, mrr, better, worse of a search under every setting.
 
     A setting has a name, a mode (bm25 or hybrid) and any of k1, b, heading_repeat, rrf_k, candidates and top_k; better and worse
-    count questions against the first setting of its mode. Postings are read, joined and grouped once: each different
-    set of BM25 parameters is a pair of sum columns beside the others. Settings are a stated list, a few dozen at most."""
+    count questions against the first setting of its mode. Bags are read once: a task keeps the best of each different set of BM25
+    parameters and question, with and without the factor. Settings are a stated list, a few dozen at most."""
     given = [{"k1": lexical.K1, "b": lexical.B, "heading_repeat": lexical.HEADING_REPEAT, "rrf_k": fusion.RRF_K, "candidates": 50, "top_k": 10} | s for s in settings]
     if len({s["name"] for s in given}) < len(given) or any(s["mode"] not in ("bm25", "hybrid") for s in given):
         raise ValueError("settings need different names and a known mode")
-    found, wanted = lexical.index(chunks), lexical.query_tokens(queries)
-    forms = sorted({(s["k1"], s["b"], s["heading_repeat"]) for s in given})
-    repeats = sorted({r for _, _, r in forms})
-    totals = [(F.sum(lexical.weighed(found.rows, r)) / F.max("n")).alias(f"avgdl_{r}") for r in repeats]
-    stats = found.rows.crossJoin(F.broadcast(found.chunks.agg(F.count("*").alias("n")))).agg(F.max("n").alias("n"), *totals)
-    post = found.rows.where("token <> ''").join(wanted.select("token").distinct(), "token", "left_semi")
-    words = lexical.document_frequency(post).crossJoin(F.broadcast(stats))  # one row
-    words = words.withColumn("idf", lexical.bm25_idf(F.col("n"), F.col("df")))
-    rows = post.join(words, "token").join(wanted, "token")
-
-    def part(k1, b, r):
-        length = F.col("doc_len") + (r - lexical.HEADING_REPEAT) * F.col("head_len")
-        return F.col("idf") * lexical.tf_part(lexical.weighed(rows, r), length, F.col(f"avgdl_{r}"), k1, b)
-
-    sums = [c.alias(f"{name}_{i}") for i, form in enumerate(forms) for name, c in zip(("high", "low"), lexical.exact(part(*form)), strict=True)]
-    each = F.array(*[F.struct(F.lit(i).alias("form"), lexical.value(F.col(f"high_{i}"), F.col(f"low_{i}")).alias("score")) for i in range(len(forms))])
-    scored = rows.groupBy("query_id", "chunk_id").agg(*sums).select("query_id", "chunk_id", F.explode(each).alias("x")).select("query_id", "chunk_id", "x.form", "x.score")
-    scored = scored.join(lexical.factors(found.chunks), "chunk_id", "left").withColumn("factor", F.coalesce("factor", F.lit(1.0)))
+    found = lexical.index(chunks)
+    ids, words, numbers, (n, _) = lexical.stated(queries, found)
+    kinds = sorted({(s["k1"], s["b"], s["heading_repeat"], s["mode"] == "hybrid") for s in given})  # a fused ranking takes the factor once, at its end
+    total = found.bags.agg(F.sum("doc_len"), F.sum("head_len")).first()
+    length = lambda r: (total[0] + (r - lexical.HEADING_REPEAT) * total[1]) / n if n else 1.0
+    each = [(k1, b, r, length(r), raw) for k1, b, r, raw in kinds]
     most = max(max(s["candidates"], s["top_k"]) for s in given)
-    ranked = lambda df, *by: df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "chunk_id")))
-    raw = scratch_table(ranked(scored.where("score > 0"), "form", "query_id").where(F.col("rank") <= most), "raw")
-    own = ranked(scored.select("query_id", "chunk_id", "form", (F.col("score") * F.col("factor")).alias("score")).where("score > 0"), "form", "query_id")
-    own = scratch_table(own.where(F.col("rank") <= most), "own")
-    dense = scratch_table(lexical.top(fusion.dense_scores(query_vectors, vectors), most).select("query_id", "chunk_id", "rank"), "dense")
+    tried = best.token_best(found.bags, [(w["token"], w["idf"], w["lists"]) for w in words], max(1, len(ids)), each, most, True)
+    place = F.row_number().over(Window.partitionBy("list").orderBy(F.desc("score"), "chunk_id"))
+    width = F.lit(max(1, len(ids)))
+    tried = tried.withColumn("rank", place).where(F.col("rank") <= most).withColumn("kind", F.floor(F.col("list") / width).cast("int")).withColumn("list", F.col("list") % width)
+    tried = scratch_table(tried.join(F.broadcast(numbers), "list").select("kind", "query_id", "chunk_id", "rank"), "tried")
+    ranked_by = lambda s: tried.where(F.col("kind") == kinds.index((s["k1"], s["b"], s["heading_repeat"], s["mode"] == "hybrid"))).drop("kind")
+    dense = scratch_table(fusion.dense_best(query_vectors, vectors, most).select("query_id", "chunk_id", "rank"), "dense")
     hits = None
     for s in given:
-        form = forms.index((s["k1"], s["b"], s["heading_repeat"]))
         if s["mode"] == "bm25":
-            one = own.where((F.col("form") == form) & (F.col("rank") <= s["top_k"])).select("query_id", "chunk_id", "rank")
+            one = ranked_by(s).where(F.col("rank") <= s["top_k"])
         else:
             near = F.col("rank") <= s["candidates"]
-            votes = fusion.fuse([("bm25", raw.where((F.col("form") == form) & near).select("query_id", "chunk_id", "rank")), ("vector", dense.where(near))], s["rrf_k"])
+            votes = fusion.fuse([("bm25", ranked_by(s).where(near)), ("vector", dense.where(near))], s["rrf_k"])
             votes = votes.join(lexical.factors(found.chunks), "chunk_id", "left").withColumn("score", F.col("score") * F.coalesce("factor", F.lit(1.0)))
             one = lexical.top(votes.select("query_id", "chunk_id", "score"), s["top_k"]).select("query_id", "chunk_id", "rank")
         one = one.select(F.lit(s["name"]).alias("setting"), "*")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from . import lexical
+from . import best, lexical
 
 RRF_K = 60
 
@@ -26,6 +26,14 @@ def dense_scores(queries: DataFrame, vectors: DataFrame, block: int = 4096) -> D
     return rows.join(asked, "block").select("query_id", "chunk_id", dot(F.col("qvec"), F.col("vec")).alias("score"))
 
 
+def dense_best(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """query_id, chunk_id, score, rank of the ``k`` best by ``dense_scores`` of a stated query set, of which a task hands on its own best."""
+    asked = queries.select("query_id", "qvec").collect()
+    numbers = best.numbered([r["query_id"] for r in asked], queries.schema["query_id"].dataType, queries.sparkSession)
+    tried = best.vector_best(vectors, [r["qvec"] for r in asked], k)
+    return lexical.top(tried.join(F.broadcast(numbers), "list").select("query_id", "chunk_id", "score"), k)
+
+
 def fuse(channels: list[tuple[str, DataFrame]], k: int = RRF_K) -> DataFrame:
     """query_id, chunk_id, score of ranked channels (query_id, chunk_id, rank): sums of 1 / (k + rank) in channel order.
 
@@ -42,7 +50,7 @@ def hybrid(queries: DataFrame, chunks: DataFrame, query_vectors: DataFrame, vect
     """Both channels cut to ``candidates``, fused, quality factor once on positive scores, then the ``k`` best."""
     found = lexical.index(chunks)
     words = lexical.search(queries, found, candidates, raw=True)
-    dense = lexical.top(dense_scores(query_vectors, vectors), candidates)
+    dense = dense_best(query_vectors, vectors, candidates)
     fused = fuse([("bm25", words), ("vector", dense)])
     factors = lexical.factors(found.chunks)
     scored = fused.join(factors, "chunk_id", "left").withColumn("score", F.when(F.col("score") > 0, F.col("score") * F.coalesce("factor", F.lit(1.0))).otherwise(F.col("score")))
