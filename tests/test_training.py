@@ -117,3 +117,21 @@ def test_split_of_odd_documents_is_that_of_the_sql(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     got = [tuple(r) for r in catalog.QUERIES["d5_split"](spark, str(tmp_path)).collect()]
     assert sorted(got, key=str) == oracle(tmp_path, ["documents"], catalog.SQL["d5_split"])
+
+
+def test_codes_are_made_without_joins_and_of_any_character(spark):
+    """Prompt and answer are coded in one pass over the rows, on more tasks than a small file has; texts of batches are shuffled, not their ids."""
+    alphabet = spark.createDataFrame([("a", 3), ("中", 4), ("😀", 5)], "char string, id int")
+    rows = spark.createDataFrame([(1, "a中", "😀b"), (2, "", "a"), (3, None, "x" * 3), (1, "中", "")], "id long, asked string, said string")
+    got = [tuple(r) for r in datasets.coded(rows, alphabet, prompt=("asked", False), answer=("said", True)).collect()]
+    assert sorted(got, key=str) == sorted([(1, [3, 4], [5, 1, 2]), (2, [], [3, 2]), (3, None, [1, 1, 1, 2]), (1, [4], [2])], key=str)
+    plan = training.character_labels(made(spark), alphabet, 70)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("MapInArrow") == 1
+    assert [tuple(r) for r in datasets.vocabulary(spark.createDataFrame([("b😀a",), (None,), ("",), ("aé",)], "text string")).collect()] == [("a", 3), ("b", 4), ("é", 5), ("😀", 6)]
+
+
+def test_the_parts_are_dealt_anew(spark, tmp_path):
+    from quillspark.jobs import training as jobs
+
+    spark.range(40).selectExpr("id AS p_partkey", "'n' AS p_name", "'b' AS p_brand", "'t' AS p_type", "1 AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    assert jobs.cards(spark, str(tmp_path), 3).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
