@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,6 +105,42 @@ def covers_expected(text: Column, keywords: Column) -> Column:
     return covers(text, keywords) | ((F.size(parts[0]) >= 2) & covers(text, parts[0])) | ((F.size(parts[1]) >= 2) & covers(text, parts[1]))
 
 
+def covered(chunks: DataFrame, items: DataFrame) -> DataFrame:
+    """query_id, chunk_id, covers (``covers_expected``) of every chunk (chunk_id, text) and every one of items (query_id, keywords).
+
+    Items are a stated set, sent to all tasks. A text is put in lower case once and each different keyword is looked for once."""
+    rows = items.select("query_id", F.transform(F.coalesce("keywords", F.array().cast("array<string>")), F.lower).alias("keywords"), F.col("keywords").isNull().alias("unknown"))
+    rows = rows.select("query_id", "keywords", F.transform("keywords", lambda k: k.rlike("[\\x{3400}-\\x{9fff}]")).alias("cjk"), "unknown").collect()
+    ids, kind = [r["query_id"] for r in rows], items.schema["query_id"].dataType
+    words = sorted({k for r in rows for k in r["keywords"] if k is not None})
+    at = {k: i for i, k in enumerate(words)}
+    # per item: all its keywords, and those of a script with two or more; a null keyword is never found
+    ways = []
+    for r in rows:
+        sides = [[k for k, c in zip(r["keywords"], r["cjk"], strict=True) if c is not None and c == side] for side in (True, False)]
+        lists = [r["keywords"], *[x for x in sides if len(x) >= 2]]
+        ways.append([] if r["unknown"] else [[at[k] for k in x] for x in lists if None not in x])
+
+    def run(batches):
+        for batch in batches:
+            found = np.zeros((batch.num_rows, len(words)), bool)
+            texts = batch.column(1).to_pylist()
+            for i, text in enumerate(texts):
+                if text:
+                    found[i] = [w in text for w in words]
+            some = np.array([bool(t) for t in texts], bool)
+            out = np.zeros((batch.num_rows, len(ids)), bool)
+            for j, lists in enumerate(ways):
+                for x in lists:
+                    out[:, j] |= found[:, x].all(axis=1) & some
+            ends = np.arange(batch.num_rows + 1, dtype=np.int32) * len(ids)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(out.ravel()))], ["chunk_id", "covers"])
+
+    each = chunks.select("chunk_id", F.lower("text").alias("text")).mapInArrow(run, f"chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}, covers array<boolean>")
+    each = each.select("chunk_id", F.posexplode("covers").alias("list", "covers"))
+    return each.join(F.broadcast(best.numbered(ids, kind, chunks.sparkSession)), "list").select("query_id", "chunk_id", "covers")
+
+
 def score_answers(answers: DataFrame) -> DataFrame:
     """Adds the checks to answers (answer, rejected, expected, must_mention, must_cite, valid)."""
     has = lambda phrases: F.exists(T.literals(phrases), lambda p: F.contains(F.col("answer"), p))

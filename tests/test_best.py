@@ -58,3 +58,18 @@ def test_keeper_orders_like_sql():
     keeper.add(np.array([1, 1]), np.array([0.0, -1.0]), np.array([0, 2]), ids, np.array([True, False]))
     out = keeper.batch(["list", "chunk_id", "score"], pa.int64()).to_pydict()
     assert out["list"] == [0, 0, 0, 1, 1] and out["chunk_id"] == [1, None, 2, 1, 5] and out["score"][1:] == [1.0, 1.0, -1.0, None]
+
+
+def test_covered_is_covers_expected(spark):
+    """Each keyword is looked for once a text: the pairs are those of the expression, for odd texts and keywords too."""
+    from pyspark.sql import functions as F
+
+    from quillspark.operators import evaluation
+
+    texts = [(1, "The ABC cat"), (2, ""), (3, None), (4, "中文 the dog"), (5, "x"), (None, "the cat")]
+    items = [(1, ["the", "Cat"]), (2, []), (3, ["中文", "cat", "dog"]), (4, ["", "the"]), (5, None), (6, ["the", None]), (7, ["中", "文", "zebra"]), (7, ["zebra"])]
+    chunks, asked = spark.createDataFrame(texts, "chunk_id long, text string"), spark.createDataFrame(items, "query_id long, keywords array<string>")
+    want = chunks.crossJoin(asked).select("query_id", "chunk_id", evaluation.covers_expected(F.col("text"), F.col("keywords")).alias("covers"))
+    got = evaluation.covered(chunks, asked)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
