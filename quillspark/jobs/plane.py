@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import lexical, plane, sections
 from ..sources import versions
-from ..sources.files import scratch_folder
+from ..sources.files import scratch_folder, spread
 from .catalog import query, read
 from .markdown import sql_runs
 
@@ -28,7 +28,7 @@ STATES = (
 
 def corpus(spark, d, state: int):
     where, text = STATES[state]
-    return read(spark, d, "documents").where(where).select(F.col("doc_id").alias("source_file"), F.col("source").alias("title"), F.expr(text).alias("text"))
+    return spread(read(spark, d, "documents")).where(where).select(F.col("doc_id").alias("source_file"), F.col("source").alias("title"), F.expr(text).alias("text"))
 
 
 def line_chunks(documents):

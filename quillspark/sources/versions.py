@@ -128,6 +128,15 @@ def hashed(documents: DataFrame) -> DataFrame:
     return documents.where(F.col("source_file").isNotNull()).withColumn("document_sha256", T.sha256(F.coalesce("text", F.lit(""))))
 
 
+def single(wide: DataFrame) -> DataFrame:
+    """``wide`` with the least text of each source_file. Only names are shuffled, and the texts of those that stand more than once."""
+    names = scratch_table(wide.groupBy("source_file").agg(F.count("*").alias("n")).where("n > 1").select("source_file"), "repeated")
+    if not names.limit(1).count():
+        return wide
+    least = wide.join(names, "source_file", "left_semi").groupBy("source_file").agg(F.min(F.struct("text", "title", "document_sha256")).alias("d")).select("source_file", "d.*")
+    return wide.select(*least.columns).join(names, "source_file", "left_anti").unionByName(least)
+
+
 def build(
     spark: SparkSession,
     root: str,
@@ -150,8 +159,8 @@ def build(
     old = store.current()
     last = max([v["version"] for v in store.versions()], default=0)
     wide = hashed(source())
-    docs = wide.groupBy("source_file").agg(F.min(F.struct("text", "title", "document_sha256")).alias("d")).select("source_file", "d.*")
     before = fingerprint(wide)
+    docs = single(wide).select("source_file", "text", "title", "document_sha256")
     if not before[0] and not allow_empty:
         raise ValueError("no documents; allow_empty publishes an empty index")
     kind = docs.schema["source_file"].dataType.simpleString()
@@ -172,7 +181,9 @@ def build(
     dead |= set(sorted(set(live) - dead, key=live.get, reverse=True)[MOST - 1 :])
     moved, kept = carried.where(F.col("segment").isin(*dead)), carried.where(~F.col("segment").isin(*dead))
     fresh = pair.where("change IN ('added', 'modified')" if compatible else "change <> 'deleted'")
-    read = docs.join(fresh.select("source_file"), "source_file", "left_semi")
+    read = docs
+    if compatible and same:  # else all documents are read
+        read = scratch_table(docs.join(fresh.select("source_file"), "source_file", "left_semi"), "read")
     cuts = scratch_table(cut(read).withColumn("built", F.lit(last + 1)), "cuts")
     if limit is not None and cuts.where(F.col("tokens") > limit).limit(1).count():
         raise ValueError(f"a chunk has more than {limit} tokens")

@@ -138,3 +138,11 @@ def test_new_versions_and_snapshot(spark):
     assert sorted((r["document_id"], r["number"]) for r in v.collect()) == [(1, 1), (2, 1), (3, 1), (3, 2), (4, 1)]
     libraries = spark.createDataFrame([("l", True), ("off", False)], "library string, active boolean")
     assert sorted((r["document_id"], r["text"]) for r in plane.snapshot(d, c, libraries).collect()) == [(1, "one"), (2, "two")]
+
+
+def test_texts_of_single_names_stay_where_they_are(spark):
+    """Only repeated names are grouped with their texts; the plan of the others groups none."""
+    wide = V.hashed(docs(spark, [A, B]))
+    assert "HashAggregate" not in V.single(wide)._jdf.queryExecution().executedPlan().toString()
+    twice = V.single(V.hashed(docs(spark, [A, B, ("a", "Z", "alpha"), (None, "x", "y")])))
+    assert sorted((r["source_file"], r["title"], r["text"]) for r in twice.collect()) == [("a", "Z", "alpha"), B]
